@@ -97,13 +97,13 @@ def low_volume(upcoming: DataFrame, history: DataFrame, provider: str = "provide
 def alert_text(df: DataFrame, kind: str) -> DataFrame:
     """Human-readable alert line for low-volume or critical-lab rows."""
     if kind == "low_volume":
-        text = F.format_string("Low volume: provider %s has %d appointments vs a daily average of %.1f",
-                               F.col("provider").cast("string"), F.col("upcoming"), F.col("daily_avg"))
+        text = F.format_string("Low volume: provider %s has %d appointments vs a daily average of %s",
+                               F.col("provider").cast("string"), F.col("upcoming"),
+                               F.round(F.col("daily_avg"), 1).cast("decimal(18,1)").cast("string"))
     elif kind == "critical":
         text = F.format_string("Critical %s for patient %s: %s (normal %s to %s)",
                                F.col("test"), F.col("patient_id").cast("string"),
-                               F.col("value").cast("string"), F.col("low").cast("string"),
-                               F.col("high").cast("string"))
+                               *[F.col(c).cast("decimal(18,2)").cast("string") for c in ("value", "low", "high")])
     else:
         raise ValueError(f"unknown alert kind {kind!r}")
     return df.withColumn("alert_text", text)

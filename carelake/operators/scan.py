@@ -57,3 +57,23 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
 def hour_bucket(ts: Column) -> Column:
     """Default bucket: whole hours since the epoch."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+
+
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str,
+               value: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order`` (the row
+    itself included when ``inclusive``), computed bucket-wise like ``carry_last``."""
+    keys = list(keys)
+    order_cols = [F.col(c) for c in order]
+    hi = 0 if inclusive else -1
+    w_local = (Window.partitionBy(*keys, bucket).orderBy(*order_cols)
+               .rowsBetween(Window.unboundedPreceding, hi))
+    local = df.withColumn("_ps_local", F.coalesce(F.sum(F.col(value)).over(w_local), F.lit(0)))
+    summary = local.groupBy(*keys, bucket).agg(F.sum(F.col(value)).alias("_ps_bucket"))
+    w_carry = (Window.partitionBy(*keys).orderBy(F.col(bucket))
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = (summary.withColumn("_ps_carry", F.coalesce(F.sum("_ps_bucket").over(w_carry), F.lit(0)))
+             .select(*keys, bucket, "_ps_carry"))
+    return (local.join(carry, on=[*keys, bucket], how="left")
+            .withColumn(out, F.col("_ps_local") + F.col("_ps_carry"))
+            .drop("_ps_local", "_ps_carry"))
