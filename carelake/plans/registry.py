@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from carelake.plans import q_audit, q_columns, q_context, q_labs, q_outreach, q_reports, q_sources, q_streams  # noqa: F401
+    from carelake.plans import q_audit, q_columns, q_context, q_labs, q_outreach, q_reports, q_sources, q_sql, q_streams  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
