@@ -11,19 +11,18 @@ UPLOADS_COLUMNS = "row_index BIGINT, content STRING, filename STRING, uploaded_a
 FILE_PARTITIONS = (*LAKE_PARTITIONS, "_filename")
 
 
-def write_lake(df: DataFrame, root: str, partition_cols=FILE_PARTITIONS, spread: int = 4) -> int:
+def write_lake(df: DataFrame, root: str, partition_cols=FILE_PARTITIONS) -> int:
     """Write ``df`` below ``root`` partitioned by ``partition_cols`` and return
     the number of rows written.
 
     Dynamic partition overwrite: re-ingesting a file replaces only that file's
-    folder.  Rows are shuffled on the partition columns plus a small salt so
-    each folder gets at most ``spread`` files and a huge folder is still
-    written by ``spread`` tasks.  The count is an observed metric of the same
-    job (no second scan).
+    folder.  The ``REBALANCE`` hint shuffles on the partition columns and lets
+    AQE merge small folders into few tasks and split a hot folder (one upload
+    holding a third of the rows) into several tasks/files.  The count is an
+    observed metric of the same job (no second scan).
     """
     obs = Observation("write_lake")
-    salt = (F.abs(F.xxhash64(*df.columns)) % F.lit(spread)).cast("int")
-    staged = df.observe(obs, F.count(F.lit(1)).alias("rows")).repartition(*partition_cols, salt)
+    staged = df.observe(obs, F.count(F.lit(1)).alias("rows")).hint("rebalance", *partition_cols)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_cols).parquet(root))
     return int(obs.get["rows"])

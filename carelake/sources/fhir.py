@@ -58,3 +58,9 @@ def fhir_search(df: DataFrame, **params: str) -> DataFrame:
         else:
             raise ValueError(f"unsupported search parameter {k}")
     return out
+
+
+def corrupt_records(df: DataFrame) -> DataFrame:
+    """Lines that did not parse (quarantine).  Selected together with ``id``:
+    Spark refuses queries that reference only the corrupt-record column."""
+    return df.where(F.col(CORRUPT).isNotNull()).select("id", CORRUPT)

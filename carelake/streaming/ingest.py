@@ -11,7 +11,7 @@ from carelake.sinks.lake import write_lake
 from carelake.sources.files import BINARY_FILE_SCHEMA, PLACEHOLDER_TEXT, with_format
 from carelake.sources.lake import key_parts, source_key
 
-MAX_FILES_PER_TRIGGER = 64
+MAX_FILES_PER_TRIGGER = 1000
 
 
 def csv_header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
