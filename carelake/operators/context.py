@@ -41,32 +41,41 @@ def combined_context(requests: DataFrame, docs: DataFrame, request: str = "reque
     key has no document; blocks are joined by a blank line and the whole text
     goes through the single-file cut (``final_limit=None`` keeps it whole).
 
-    Only the blocks that start before ``final_limit`` are concatenated: their
-    start offsets come from a bucketed running sum, the total length from an
-    aggregate, so a request with millions of files never becomes one string.
+    The layout is planned on lengths only: block lengths, their running start
+    offsets (a bucketed running sum, so a request with millions of files is
+    spread over many tasks) and the total length are integers.  Only blocks
+    that start before ``final_limit`` are joined with their text and
+    concatenated, so no request ever becomes one unbounded string.
     """
     counts = requests.groupBy(request).agg(F.count(F.lit(1)).alias("n_files"))
     per_file = F.greatest(F.lit(COMBINED_FLOOR), F.floor(F.lit(COMBINED_BUDGET) / F.col("n_files")).cast("int"))
-    j = (requests.join(counts, on=request)
-         .join(docs.select(F.col(key), F.col(text).alias("_text")), on=key, how="left")
-         .withColumn("_lim", per_file))
+    lengths = docs.select(F.col(key), F.length(F.col(text)).alias("_tlen"))
+    meta = (requests.select(request, ord_, key).join(counts, on=request)
+            .join(lengths, on=key, how="left")
+            .withColumn("_lim", per_file))
+    body_len = (F.when(F.col("_tlen").isNull(), F.lit(len(UNREADABLE)))
+                 .when(F.col("_tlen") > F.col("_lim"), F.col("_lim") + F.lit(len(COMBINED_MARKER)))
+                 .otherwise(F.col("_tlen")))
+    header_len = F.lit(2 * len(RULE) + len("\nFILE: ") + 2) + F.length(F.col(key).cast("string"))
+    meta = meta.withColumn("_len", header_len + body_len + F.lit(len(BLOCK_SEPARATOR)))
+    totals = meta.groupBy(request, "n_files").agg(
+        (F.sum("_len") - F.lit(len(BLOCK_SEPARATOR))).alias("full_length"))
+    if final_limit is not None:
+        meta = prefix_sum(meta.withColumn("_b", F.floor(F.col(ord_) / F.lit(bucket_size))),
+                          [request], [ord_], "_b", "_len", "_start", inclusive=False)
+        meta = meta.where(F.col("_start") < F.lit(final_limit))
+    kept = (meta.select(request, ord_, key, "_lim")
+            .join(docs.select(F.col(key), F.col(text).alias("_text")), on=key, how="left"))
     body = F.when(F.col("_text").isNull(), F.lit(UNREADABLE)).otherwise(
         F.when(F.length("_text") > F.col("_lim"),
                F.concat(F.substring(F.col("_text"), F.lit(1), F.col("_lim")), F.lit(COMBINED_MARKER)))
          .otherwise(F.col("_text")))
-    blocks = j.select(request, ord_, "n_files",
-                      F.concat(F.lit(RULE + "\nFILE: "), F.col(key).cast("string"), F.lit("\n" + RULE + "\n"), body)
-                      .alias("_block"))
-    blocks = blocks.withColumn("_len", F.length("_block") + F.lit(len(BLOCK_SEPARATOR)))
-    totals = blocks.groupBy(request).agg((F.sum("_len") - F.lit(len(BLOCK_SEPARATOR))).alias("full_length"))
-    if final_limit is not None:
-        blocks = prefix_sum(blocks.withColumn("_b", F.floor(F.col(ord_) / F.lit(bucket_size))),
-                            [request], [ord_], "_b", "_len", "_start", inclusive=False)
-        blocks = blocks.where(F.col("_start") < F.lit(final_limit))
-    joined = (blocks.groupBy(request, "n_files")
+    blocks = kept.select(request, ord_, F.concat(F.lit(RULE + "\nFILE: "), F.col(key).cast("string"),
+                                                 F.lit("\n" + RULE + "\n"), body).alias("_block"))
+    joined = (blocks.groupBy(request)
               .agg(F.expr(f"listagg(_block, '{BLOCK_SEPARATOR.encode('unicode_escape').decode()}') "
                           f"WITHIN GROUP (ORDER BY {ord_})").alias("_joined")))
-    out = joined.join(totals, on=request)
+    out = totals.join(joined, on=request)
     if final_limit is not None:
         ctx = F.when(F.col("full_length") > final_limit,
                      F.concat(F.substring("_joined", 1, final_limit), F.lit(SINGLE_MARKER))).otherwise(F.col("_joined"))
