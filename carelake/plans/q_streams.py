@@ -53,3 +53,24 @@ def q_stream_ingest(spark, sf):
     ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt", glob="*.csv")
     lake = read_lake(spark, f"{root}/lake/csv")
     return _conform(lake.select(*_ORDER_COLS, "user_id", "year", "month"), spark, sf)
+
+
+@register("backfill_ingest", f"""
+SELECT * FROM ({_ORDERS_WITH_KEYS_SQL})
+UNION ALL
+SELECT * REPLACE ('2030' AS year) FROM ({_ORDERS_WITH_KEYS_SQL})""")
+def q_backfill_ingest(spark, sf):
+    """Half of the uploads are converted first (by the stream); the batch
+    backfill must then convert exactly the rest."""
+    from carelake.streaming.ingest import backfill
+    root = scratch_dir(spark, "backfill")
+    (_orders_keyed(spark, sf).repartition("user_id", "year", "month").sortWithinPartitions("o_orderkey")
+     .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
+    ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt", glob="*.csv")
+    # New month folders arrive after the first conversion.
+    extra = _orders_keyed(spark, sf).withColumn("year", F.lit("2030"))
+    (extra.repartition("user_id", "year", "month").sortWithinPartitions("o_orderkey")
+     .write.mode("append").option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
+    backfill(spark, f"{root}/uploads", f"{root}/lake")
+    lake = read_lake(spark, f"{root}/lake/csv")
+    return _conform(lake.select(*_ORDER_COLS, "user_id", "year", "month"), spark, sf)

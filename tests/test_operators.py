@@ -208,3 +208,31 @@ def test_latest_per_phone(spark):
                                "phone string, row_index long, v string")
     got = sorted(tuple(r) for r in V.latest_per_phone(df).collect())
     assert got == [("p", 3, "c"), ("q", 1, "z")]
+
+
+def test_upsert_replace_and_merge(spark):
+    from carelake.sinks.conversations import upsert
+    cur = spark.createDataFrame([("p1", "Ann", 2, False), ("p2", "Bo", 5, True)],
+                                "phone_number string, patient_name string, reply_count int, opt_out boolean")
+    chg = spark.createDataFrame([("p2", None, 6, None), ("p3", "Cy", 1, None)],
+                                "phone_number string, patient_name string, reply_count int, opt_out boolean")
+    merged = {r.phone_number: tuple(r)[1:] for r in upsert(cur, chg, mode="merge").collect()}
+    assert merged == {"p1": ("Ann", 2, False), "p2": ("Bo", 6, True), "p3": ("Cy", 1, None)}
+    replaced = {r.phone_number: tuple(r)[1:] for r in upsert(cur, chg, mode="replace").collect()}
+    assert replaced == {"p1": ("Ann", 2, False), "p2": (None, 6, None), "p3": ("Cy", 1, None)}
+
+
+def test_append_pair_and_json_round_trip(spark):
+    from carelake import functions as C
+    df = spark.createDataFrame([('[{"role":"assistant","content":"hi"}]', "q", "a")], "h string, u string, r string")
+    out = df.select(C.history_json(C.append_pair(C.parse_history("h"), F.col("u"), F.col("r")))).first()[0]
+    assert json.loads(out) == [{"role": "assistant", "content": "hi"}, {"role": "user", "content": "q"},
+                               {"role": "assistant", "content": "a"}]
+
+
+def test_conversation_overview_defaults(spark):
+    convs = _convs(spark, [("+1", "Ann", "5", None, '[{"role":"user","content":"x"},{"role":"assistant","content":"y"}]',
+                            None, None, None),
+                           ("+2", "Bo", "", "wellness", "junk", 4, True, None)])
+    rows = [tuple(r) for r in V.conversation_overview(convs).collect()]
+    assert rows == [("+2", "Bo", "", "wellness", 4, True, None), ("+1", "Ann", "5", "balance", 0, False, "x")]

@@ -135,3 +135,23 @@ def test_uploads_catalog(spark, tmp):
     assert got == [(1, '{"a":1,"b":"x"}', "d.csv", "06"), (2, '{"a":2,"b":"y"}', "d.csv", "06"),
                    (3, '{"a":3,"b":"z"}', "d.csv", "06")]
     spark.sql("DROP TABLE uploads_test")
+
+
+def test_backfill_skips_converted(spark, tmp):
+    from carelake.streaming.ingest import backfill
+    up = os.path.join(tmp, "uploads")
+    put(up, "user_id=u1/year=2026/month=06/a.csv", "id,v\n1,x\n2,y\n")
+    put(up, "user_id=u1/year=2026/month=06/b.txt", "id,v\n3,z\n")
+    put(up, "user_id=u1/year=2026/month=06/c.csv", "other,cols,here\n7,8,9\n")
+    put(up, "user_id=u1/year=2026/month=06/d.pdf", "%PDF")   # not tabular: never picked up
+    wb = XL.build_xlsx([("Sheet1", [["Name", "Mobile Number"], ["Ann", "602-555-0100"], ["Bo", None]])])
+    put(up, "user_id=u1/year=2026/month=06/f.xlsx", wb)
+    lake = os.path.join(tmp, "lake")
+    assert backfill(spark, up, lake) == 4 + 2      # 4 CSV/TXT rows + 2 sheet rows
+    xl = read_lake(spark, os.path.join(lake, "xlsx")).collect()
+    assert sorted((r.Name, r.Mobile_Number) for r in xl) == [("Ann", "602-555-0100"), ("Bo", None)]
+    put(up, "user_id=u2/year=2026/month=07/e.csv", "id,v\n5,w\n")
+    assert backfill(spark, up, lake) == 1          # only the new file
+    sigs = {r.sig for r in read_lake(spark, os.path.join(lake, "csv")).select("sig").distinct().collect()}
+    assert len(sigs) == 2                          # two header signatures, two wide roots
+    assert backfill(spark, up, lake, force=True) == 5 + 2
