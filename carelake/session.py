@@ -23,8 +23,15 @@ DEFAULT_CONF = {
 }
 
 
+def _quiet_python_workers() -> None:
+    # Python workers inherit the environment: hide pandas FutureWarnings raised
+    # inside Spark's own Arrow serializer.
+    os.environ.setdefault("PYTHONWARNINGS", "ignore::FutureWarning")
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "carelake", extra: dict | None = None) -> SparkSession:
+    _quiet_python_workers()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

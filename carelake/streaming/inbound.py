@@ -35,7 +35,8 @@ def _history(text):
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     phone = key[0]
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "msg_id"])
+    parts = list(pdfs)
+    pdf = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(["ts", "msg_id"])
     if state.exists:
         opt, count, hist_text, last_in = state.get
         hist = _history(hist_text)
@@ -45,9 +46,9 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         count = int(first["stored_reply_count"]) if pd.notna(first["stored_reply_count"]) else None
         hist = _history(first["stored_history"] if pd.notna(first["stored_history"]) else None)
         last_in = first["stored_last_inbound"] if pd.notna(first["stored_last_inbound"]) else None
-    out = []
-    for r in pdf.itertuples(index=False):
-        cmd = r.command
+    ids, cmds, acts, counts, opts, sizes = [], [], [], [], [], []
+    for mid, cmd, body, reply, sent in zip(pdf["msg_id"].tolist(), pdf["command"].tolist(), pdf["body"].tolist(),
+                                           pdf["reply"].tolist(), pdf["sent"].tolist()):
         if cmd == "ignore":
             act = "ignore"
         elif cmd == "stop":
@@ -60,15 +61,20 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
             act = "suppressed"
         else:
             act = "reply"
-            if bool(r.sent):
-                hist = (hist + [{"role": "user", "content": r.body},
-                                {"role": "assistant", "content": r.reply}])[-HISTORY_KEEP:]
+            if sent:
+                hist = (hist + [{"role": "user", "content": body},
+                                {"role": "assistant", "content": reply}])[-HISTORY_KEEP:]
                 count = (count or 0) + 1
-                last_in = r.body
-        out.append((int(r.msg_id), phone, cmd, act, count, opt, len(hist)))
+                last_in = body
+        ids.append(mid)
+        cmds.append(cmd)
+        acts.append(act)
+        counts.append(count)
+        opts.append(opt)
+        sizes.append(len(hist))
     state.update((opt, count, json.dumps(hist), last_in))
-    yield pd.DataFrame(out, columns=["msg_id", "phone", "command", "action", "reply_count", "opt_out",
-                                     "history_size"])
+    yield pd.DataFrame({"msg_id": ids, "phone": phone, "command": cmds, "action": acts, "reply_count": counts,
+                        "opt_out": opts, "history_size": sizes})
 
 
 def inbound_stream(inbound: DataFrame, convs: DataFrame) -> DataFrame:
