@@ -129,9 +129,9 @@ def with_patient(inbound: DataFrame, convs: DataFrame, phone: str = "phone") ->
                      "patient_name", "amount_due", "conversation_history",
                      F.col("opt_out").alias("stored_opt_out"))
     j = inbound.join(c, on=phone, how="left")
-    known = F.coalesce(F.col("_known"), F.lit(False))
-    return (j.withColumn("patient_name", F.when(known, F.col("patient_name")).otherwise(F.lit("Patient")))
-             .withColumn("amount_due", F.when(known, F.col("amount_due")).otherwise(F.lit("")))
+    # An absent attribute (null) reads as the default, for known and unknown phones alike.
+    return (j.withColumn("patient_name", F.coalesce(F.col("patient_name"), F.lit("Patient")))
+             .withColumn("amount_due", F.coalesce(F.col("amount_due"), F.lit("")))
              .withColumn("history", C.parse_history("conversation_history"))
              .withColumn("stored_opt_out", F.coalesce(F.col("stored_opt_out"), F.lit(False)))
              .drop("_known", "conversation_history"))

@@ -10,10 +10,12 @@ used by the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.history import HISTORY
+
+HISTORY_KEEP = 20  # messages kept in a stored conversation
 from carelake.plans.tables import table
 
 
@@ -167,12 +169,17 @@ COMMAND_SQL = """CASE WHEN trim(coalesce({p}, '')) = '' OR trim(coalesce({b}, ''
 def conversation_items(spark: SparkSession, sf: str) -> DataFrame:
     """One stored conversation item per ``conv_id``, history as JSON text.
 
-    Every 10th item (conv_id % 10 == 3) carries a malformed history.
+    The stored history holds the last ``HISTORY_KEEP`` turns (the store's own
+    cap), taken per conversation as a top-k before the shuffle, so a huge
+    conversation never becomes one unbounded list.  Every 10th item
+    (conv_id % 10 == 3) carries a malformed history.
     """
     cv = table(spark, sf, "conversations")
-    grouped = (cv.groupBy("conv_id")
-               .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"),
-                    F.count_if(F.col("role") == "user").alias("_users")))
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    tail = (cv.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= HISTORY_KEEP)
+            .groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t")))
+    users = cv.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("_users"))
+    grouped = tail.join(users, "conv_id")
     hist = F.transform(F.col("_t"), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     k = F.col("conv_id")
     return grouped.select(
@@ -199,8 +206,10 @@ conv_items AS (
   FROM conversations GROUP BY conv_id
 ),
 conv_msgs AS (
-  SELECT conv_id, {PHONE_OF_SQL.format(x='conv_id')} AS phone_number, turn, role, text AS content,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos,
-    count(*) OVER (PARTITION BY conv_id) AS n
-  FROM conversations WHERE conv_id % 10 <> 3
+  SELECT conv_id, phone_number, turn, role, content,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM (SELECT conv_id, {PHONE_OF_SQL.format(x='conv_id')} AS phone_number, turn, role, text AS content,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back
+        FROM conversations WHERE conv_id % 10 <> 3)
+  WHERE back <= 20
 )"""

@@ -147,8 +147,7 @@ WITH {D.INBOUND_SQL.strip()}, {D.CONV_ITEMS_SQL.strip()},
 hn AS (SELECT conv_id, count(*) AS n FROM conv_msgs GROUP BY conv_id),
 q AS (
   SELECT i.msg_id, trim(i.body) AS body, c.conv_id, coalesce(hn.n, 0) AS n,
-    CASE WHEN c.phone_number IS NULL THEN 'Patient' ELSE coalesce(c.patient_name, '') END AS pn,
-    CASE WHEN c.phone_number IS NULL THEN '' ELSE coalesce(c.amount_due, '') END AS amt
+    coalesce(c.patient_name, 'Patient') AS pn, coalesce(c.amount_due, '') AS amt
   FROM inbound i LEFT JOIN conv_items c ON c.phone_number = i.phone LEFT JOIN hn ON hn.conv_id = c.conv_id
   WHERE {D.COMMAND_SQL.format(p='i.phone', b='i.body')} = 'message' AND NOT coalesce(c.opt_out, false))
 SELECT msg_id, 0 AS pos, 'system' AS role,

@@ -134,20 +134,23 @@ def q_xlsx_scan(spark, sf):
 
 
 # ------------------------------------------------------------------- docx --
+DOC_TURNS = 500  # turns per generated document: files stay bounded at any scale
+
+
 def _docx_files(spark, sf):
-    """One document per conversation: each line of each turn a paragraph, a
-    blank paragraph after every turn."""
-    cv = table(spark, sf, "conversations")
+    """One document per (conversation, block of 500 turns): each line of each
+    turn a paragraph, a blank paragraph after every turn."""
+    cv = table(spark, sf, "conversations").withColumn("_blk", F.floor(F.col("turn") / DOC_TURNS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         paras = []
         for t in pdf.sort_values("turn").text.tolist():
             paras.extend((t or "").split("\n"))
             paras.append("")
-        return pd.DataFrame({"path": [f"uploads/docx/conv-{int(pdf.conv_id.iloc[0])}.docx"],
-                             "content": [DX.build_docx(paras)]})
+        name = f"conv-{int(pdf.conv_id.iloc[0])}-{int(pdf._blk.iloc[0])}"
+        return pd.DataFrame({"path": [f"uploads/docx/{name}.docx"], "content": [DX.build_docx(paras)]})
 
-    return cv.groupBy("conv_id").applyInPandas(build, "path string, content binary")
+    return cv.groupBy("conv_id", "_blk").applyInPandas(build, "path string, content binary")
 
 
 @register("docx_text", """
@@ -155,9 +158,9 @@ WITH lines AS (
   SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS i,
          unnest(string_split(text, chr(10))) AS line
   FROM conversations)
-SELECT 'uploads/docx/conv-' || CAST(conv_id AS VARCHAR) || '.docx' AS path,
+SELECT 'uploads/docx/conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 500 AS VARCHAR) || '.docx' AS path,
   string_agg(line, chr(10) ORDER BY turn, i) AS text
-FROM lines WHERE trim(line) <> '' GROUP BY conv_id""")
+FROM lines WHERE trim(line) <> '' GROUP BY conv_id, turn // 500""")
 def q_docx_text(spark, sf):
     return DX.docx_text(_docx_files(spark, sf))
 
