@@ -229,3 +229,31 @@ def q_pending_files(spark, sf):
     listing = docs.select(_doc_key().alias("key"))
     done = table(spark, sf, "labels").join(docs, "doc_id").select(_doc_key().alias("key"))
     return pending_files(listing, done)
+
+
+def _wb_sql(col: str) -> str:
+    return f"CAST(c_nationkey AS VARCHAR) || '-' || CAST(CAST(floor({col} / {WORKBOOK_ROWS}) AS BIGINT) AS VARCHAR)"
+
+
+@register("xlsx_sheet_text", f"""
+WITH c AS (SELECT *, {_wb_sql('c_custkey')} AS wb FROM customer),
+lines AS (
+  SELECT wb, 0 AS s, 0 AS r, '=== Sheet: Notes ===' AS line FROM c GROUP BY wb
+  UNION ALL SELECT wb, 0, 1, 'generated' FROM c GROUP BY wb
+  UNION ALL SELECT wb, 1, 0, '=== Sheet: Patients ===' FROM c GROUP BY wb
+  UNION ALL SELECT wb, 1, 1, 'Customer Key' || chr(9) || ' First Name ' || chr(9) || 'Last Name' || chr(9)
+                      || 'Amount Due' || chr(9) || 'MOBILE NUMBER' || chr(9) || 'last name' FROM c GROUP BY wb
+  UNION ALL SELECT wb, 1, 2 + c_custkey,
+    CAST(c_custkey AS VARCHAR) || chr(9) || split_part(c_name, '#', 1) || chr(9) || split_part(c_name, '#', 2)
+    || chr(9) || regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '')
+    || CASE WHEN c_custkey % 9 = 0 THEN ''
+            ELSE chr(9) || CAST(6025550000 + c_custkey % 10000 AS VARCHAR) || chr(9) || lower(split_part(c_name, '#', 2))
+       END
+  FROM c)
+SELECT 'uploads/xlsx/' || wb || '.xlsx' AS path, string_agg(line, chr(10) ORDER BY s, r) AS text
+FROM lines GROUP BY wb""")
+def q_xlsx_sheet_text(spark, sf):
+    """Question-time text of each uploaded workbook: every sheet, every row."""
+    from carelake.operators.context import sheets_to_text
+    rows = XL.parse_xlsx(_xlsx_files(spark, sf))
+    return sheets_to_text(rows.withColumnRenamed("path", "workbook")).withColumnRenamed("workbook", "path")
