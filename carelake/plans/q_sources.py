@@ -153,14 +153,17 @@ def _docx_files(spark, sf):
     return cv.groupBy("conv_id", "_blk").applyInPandas(build, "path string, content binary")
 
 
-@register("docx_text", """
+_DOCX_TEXT_SQL = """
 WITH lines AS (
   SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS i,
          unnest(string_split(text, chr(10))) AS line
   FROM conversations)
 SELECT 'uploads/docx/conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 500 AS VARCHAR) || '.docx' AS path,
   string_agg(line, chr(10) ORDER BY turn, i) AS text
-FROM lines WHERE trim(line) <> '' GROUP BY conv_id, turn // 500""")
+FROM lines WHERE trim(line) <> '' GROUP BY conv_id, turn // 500"""
+
+
+@register("docx_text", _DOCX_TEXT_SQL)
 def q_docx_text(spark, sf):
     return DX.docx_text(_docx_files(spark, sf))
 
@@ -235,7 +238,7 @@ def _wb_sql(col: str) -> str:
     return f"CAST(c_nationkey AS VARCHAR) || '-' || CAST(CAST(floor({col} / {WORKBOOK_ROWS}) AS BIGINT) AS VARCHAR)"
 
 
-@register("xlsx_sheet_text", f"""
+_XLSX_TEXT_SQL = f"""
 WITH c AS (SELECT *, {_wb_sql('c_custkey')} AS wb FROM customer),
 lines AS (
   SELECT wb, 0 AS s, 0 AS r, '=== Sheet: Notes ===' AS line FROM c GROUP BY wb
@@ -251,9 +254,28 @@ lines AS (
        END
   FROM c)
 SELECT 'uploads/xlsx/' || wb || '.xlsx' AS path, string_agg(line, chr(10) ORDER BY s, r) AS text
-FROM lines GROUP BY wb""")
+FROM lines GROUP BY wb"""
+
+
+@register("xlsx_sheet_text", _XLSX_TEXT_SQL)
 def q_xlsx_sheet_text(spark, sf):
     """Question-time text of each uploaded workbook: every sheet, every row."""
     from carelake.operators.context import sheets_to_text
     rows = XL.parse_xlsx(_xlsx_files(spark, sf))
     return sheets_to_text(rows.withColumnRenamed("path", "workbook")).withColumnRenamed("workbook", "path")
+
+
+
+@register("extract_text", f"""
+SELECT * FROM ({_XLSX_TEXT_SQL})
+UNION ALL SELECT * FROM ({_DOCX_TEXT_SQL})
+UNION ALL SELECT 'uploads/docs/' || CAST(doc_id AS VARCHAR) || '.' || lang AS path, text FROM documents""")
+def q_extract_text(spark, sf):
+    """A mixed upload set -- workbooks, documents and text files with other
+    extensions -- turned into text by one dispatching job."""
+    from carelake.sources.extract import extract_text
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("uploads/docs/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("path"),
+        F.encode("text", "UTF-8").alias("content"))
+    files = _xlsx_files(spark, sf).unionByName(_docx_files(spark, sf)).unionByName(docs)
+    return extract_text(files)
