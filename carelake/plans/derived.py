@@ -124,7 +124,7 @@ upload_names AS (
 
 
 # ------------------------------------------------------------- inbound SMS --
-def inbound(spark: SparkSession, sf: str) -> DataFrame:
+def inbound(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Inbound texts: signup -> START, error -> STOP, view -> HELP, others a question.
 
     ``reply`` (the generated answer) and ``sent`` (the send outcome) are input
@@ -143,6 +143,7 @@ def inbound(spark: SparkSession, sf: str) -> DataFrame:
         body.alias("body"),
         F.concat(F.lit("Thanks, we will call you about "), F.col("event_id").cast("string")).alias("reply"),
         (F.col("event_id") % 17 != 5).alias("sent"),
+        *keep,
     )
 
 

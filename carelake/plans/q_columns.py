@@ -170,7 +170,6 @@ SELECT i.msg_id, r.rec AS rec,
 FROM inbound i JOIN events e ON e.event_id = i.msg_id
 JOIN (SELECT 1 AS rec UNION ALL SELECT 2) r ON r.rec = 1 OR e.event_type = 'error'""")
 def q_parse_envelope(spark, sf):
-    ib = D.inbound(spark, sf)
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("msg_id"), "event_type")
-    raw = ib.join(ev, "msg_id").select("msg_id", envelope_json("event_type", "phone", "body").alias("raw"))
+    ib = D.inbound(spark, sf, keep=("event_type",))
+    raw = ib.select("msg_id", envelope_json("event_type", "phone", "body").alias("raw"))
     return parse_envelope(raw, id_cols=["msg_id"])

@@ -42,7 +42,7 @@ def q_csv_scan(spark, sf):
     """Orders uploaded as one CSV per user and month, scanned back with header
     and inferred types; partition keys come from each row's source key."""
     root = scratch_dir(spark, "csv-uploads")
-    (_orders_keyed(spark, sf).repartition("user_id", "year", "month").sortWithinPartitions("o_orderkey")
+    (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
     df = spark.read.option("header", "true").option("inferSchema", "true") \
         .option("recursiveFileLookup", "true").csv(f"{root}/uploads")

@@ -48,7 +48,7 @@ def q_stream_login(spark, sf):
 @register("stream_ingest", _ORDERS_WITH_KEYS_SQL)
 def q_stream_ingest(spark, sf):
     root = scratch_dir(spark, "ingest-stream")
-    (_orders_keyed(spark, sf).repartition("user_id", "year", "month").sortWithinPartitions("o_orderkey")
+    (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
     ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt", glob="*.csv")
     lake = read_lake(spark, f"{root}/lake/csv")
@@ -64,12 +64,12 @@ def q_backfill_ingest(spark, sf):
     backfill must then convert exactly the rest."""
     from carelake.streaming.ingest import backfill
     root = scratch_dir(spark, "backfill")
-    (_orders_keyed(spark, sf).repartition("user_id", "year", "month").sortWithinPartitions("o_orderkey")
+    (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
     ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt", glob="*.csv")
     # New month folders arrive after the first conversion.
     extra = _orders_keyed(spark, sf).withColumn("year", F.lit("2030"))
-    (extra.repartition("user_id", "year", "month").sortWithinPartitions("o_orderkey")
+    (extra.hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.mode("append").option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
     backfill(spark, f"{root}/uploads", f"{root}/lake")
     lake = read_lake(spark, f"{root}/lake/csv")

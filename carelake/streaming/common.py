@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_time_chunks(df: DataFrame, ts: str, root: str, chunks: int, files_per_chunk: int = 2) -> None:
-    """Drop ``df`` into ``root`` as ``chunks`` successive appends in time order,
-    the way an upstream producer would, so a file stream sees them in order."""
+def write_time_chunks(df: DataFrame, ts: str, root: str, chunks: int, files_per_chunk: int = 1) -> None:
+    """Replay ``df`` into ``root`` as ``chunks`` successive appends in time
+    order, the way an upstream producer drops files, so a file stream with
+    ``maxFilesPerTrigger = files_per_chunk`` sees one time range per
+    micro-batch.  A fixture/replay helper: production streams consume the
+    producer's own files and never go through it."""
     bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
@@ -33,6 +36,6 @@ def run_available_now(query_builder, checkpoint: str):
     return q
 
 
-def stream_parquet(spark: SparkSession, root: str, schema, files_per_trigger: int = 2) -> DataFrame:
+def stream_parquet(spark: SparkSession, root: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
             .parquet(root))

@@ -117,14 +117,13 @@ def ingest_stream(spark: SparkSession, upload_root: str, lake_root: str, checkpo
 
 def converted_keys(spark: SparkSession, lake_root: str) -> DataFrame:
     """Source keys already present in the lake (empty when nothing is there)."""
+    from carelake.session import path_exists
     from carelake.sources.lake import read_lake
     out = spark.createDataFrame([], "key string")
     for kind in ("csv", "xlsx"):
-        try:
+        if path_exists(spark, f"{lake_root}/{kind}"):
             lake = read_lake(spark, f"{lake_root}/{kind}")
-        except Exception:  # noqa: BLE001 - nothing converted of this kind yet
-            continue
-        out = out.unionByName(lake.select(F.col("_source_key").alias("key")))
+            out = out.unionByName(lake.select(F.col("_source_key").alias("key")))
     return out.distinct()
 
 
