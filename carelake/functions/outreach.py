@@ -73,7 +73,7 @@ def classify_command(phone, body) -> Column:
     """ignore | stop | help | start | message."""
     p = F.coalesce(pystrip(_c(phone)), F.lit(""))
     b = F.coalesce(pystrip(_c(body)), F.lit(""))
-    u = pystrip(F.upper(b))
+    u = F.upper(b)
     return (F.when((p == "") | (b == ""), F.lit("ignore"))
              .when(u.isin(*STOP_WORDS), F.lit("stop"))
              .when(u.isin(*HELP_WORDS), F.lit("help"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # Python's str.strip() removes every character for which str.isspace() is true;
 # Spark's trim() removes spaces only.  Fixed value: the isspace() set.
-_PY_SPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
-_STRIP_RE = f"^{_PY_SPACE}+|{_PY_SPACE}+$"
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 
 # Characters allowed in a stored file name; everything else becomes "_".
 _UNSAFE_RE = "[^a-zA-Z0-9.\\-_]"
@@ -19,8 +20,9 @@ def _c(x) -> Column:
 
 
 def pystrip(c) -> Column:
-    """Strip leading/trailing whitespace the way Python's ``str.strip`` does."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """Strip leading/trailing whitespace the way Python's ``str.strip`` does
+    (a character-set trim: no regular expression per row)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def basename(key) -> Column:
