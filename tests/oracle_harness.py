@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import decimal
 import math
+import os
 
 import duckdb
 
@@ -18,15 +19,18 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = bool(os.environ.get("ORACLE_STRICT"))
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return repr(v) if STRICT else round(v, 6)
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
+        return str(v) if STRICT else round(float(v), 6)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
