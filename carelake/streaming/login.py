@@ -63,8 +63,12 @@ def _make_fold(grace_s: int):
     return fold
 
 
-def login_stream(events: DataFrame, grace_s: int = 86400, delay: str = "1 hour") -> DataFrame:
-    """``events`` from :func:`login_events` (streaming) -> attempt outcomes."""
+def login_stream(events: DataFrame, attempts: DataFrame | None = None, grace_s: int = 86400,
+                 delay: str = "1 hour") -> DataFrame:
+    """Attempt outcomes from a stream of :func:`login_events`, or from an
+    issue stream and an attempt stream (``login_stream(issues, attempts)``)."""
+    if attempts is not None:
+        events = login_events(events, attempts)
     return (events.withWatermark("event_time", delay)
             .groupBy(F.coalesce(F.col("email"), F.lit("")).alias("email"))
             .applyInPandasWithState(_make_fold(grace_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
