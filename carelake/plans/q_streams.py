@@ -29,7 +29,10 @@ def q_stream_inbound(spark, sf):
     root = scratch_dir(spark, "inbound-stream")
     src = D.inbound(spark, sf)
     write_time_chunks(src, "ts", f"{root}/in", CHUNKS)
-    out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", src.schema), D.conversation_items(spark, sf))
+    # The stored conversations are a table: materialised once, not re-derived per micro-batch.
+    D.conversation_items(spark, sf).write.parquet(f"{root}/convs")
+    convs = spark.read.parquet(f"{root}/convs")
+    out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", src.schema), convs)
     run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
     return spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out").select("msg_id", "phone", "command", "action")
 
