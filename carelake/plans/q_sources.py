@@ -6,14 +6,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carelake.session import scratch_dir
 from carelake.sinks.lake import register_uploads, to_uploads, write_lake
 from carelake.sources import docx as DX
 from carelake.sources import fhir as FH
 from carelake.sources import xlsx as XL
-from carelake.sources.files import pending_files, read_csv
+from carelake.sources.files import pending_files
 from carelake.sources.lake import key_parts, read_lake, with_provenance
 from carelake.plans.registry import register
 from carelake.plans.tables import table

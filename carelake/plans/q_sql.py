@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from carelake.operators.sql import query
 from carelake.plans.registry import register
 from carelake.plans.tables import table
-from carelake.sinks.lake import to_uploads
+from carelake.session import scratch_dir
+from carelake.sinks.lake import register_uploads, to_uploads, write_lake
 
 
 def _views(spark, sf, *names):
@@ -80,12 +81,17 @@ SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS n_rows,
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
 FROM orders GROUP BY 1""")
 def q_sql_uploads(spark, sf):
-    """SQL over the long-form ``uploads`` rows: the row content is JSON text."""
+    """Ad-hoc SQL over the ``uploads`` catalog table (row content is JSON text),
+    with a partition predicate the scan prunes on."""
     o = table(spark, sf, "orders").withColumns({
         "_source_key": F.lit("uploads/user_id=u0/year=2026/month=06/orders.csv"), "_filename": F.lit("orders.csv"),
         "user_id": F.lit("u0"), "year": F.lit("2026"), "month": F.lit("06")})
-    up = to_uploads(o, uploaded_at=F.lit("2026-06-01 00:00:00"))
-    return query(spark, """
+    root = scratch_dir(spark, "sql-uploads")
+    write_lake(to_uploads(o, uploaded_at=F.lit("2026-06-01 00:00:00")), root,
+               partition_cols=("user_id", "year", "month"))
+    name = f"uploads_{root.rsplit('-', 1)[-1]}"
+    register_uploads(spark, root, table=name)
+    return query(spark, f"""
         SELECT substr(get_json_object(content, '$.o_orderdate'), 1, 4) AS year, count(*) AS n_rows,
           CAST(sum(CAST(get_json_object(content, '$.o_totalprice') AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
-        FROM uploads GROUP BY 1""", {"uploads": up})
+        FROM {name} WHERE user_id = 'u0' AND year = '2026' GROUP BY 1""")
