@@ -248,7 +248,7 @@ lines AS (
   UNION ALL SELECT wb, 1, 2 + c_custkey,
     CAST(c_custkey AS VARCHAR) || chr(9) || split_part(c_name, '#', 1) || chr(9) || split_part(c_name, '#', 2)
     || chr(9) || regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '')
-    || CASE WHEN c_custkey % 9 = 0 THEN ''
+    || CASE WHEN c_custkey % 9 = 0 THEN chr(9) || chr(9)
             ELSE chr(9) || CAST(6025550000 + c_custkey % 10000 AS VARCHAR) || chr(9) || lower(split_part(c_name, '#', 2))
        END
   FROM c)

@@ -56,7 +56,8 @@ def _number_text(v: str) -> str:
 
 
 def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str | None]]]:
-    """(sheet_idx, sheet name, is active, 1-based row number, cells) per row."""
+    """(sheet_idx, sheet name, is active, 1-based row number, cells) for every
+    row of each sheet's used range, cells padded to the used columns."""
     zf = zipfile.ZipFile(io.BytesIO(data))
     names = set(zf.namelist())
     shared: list[str] = []
@@ -73,6 +74,7 @@ def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str |
         t = target.get(rid, "")
         part = t.lstrip("/") if t.startswith("/") else f"xl/{t}"
         root = ET.fromstring(zf.read(part))
+        grid: dict[int, dict[int, str | None]] = {}
         for row in root.iter(f"{{{_NS['m']}}}row"):
             rnum = int(row.get("r"))
             cells: dict[int, str | None] = {}
@@ -95,8 +97,20 @@ def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str |
                 else:
                     val = _number_text(v.text) if v is not None and v.text is not None else None
                 cells[col] = val
-            width = max(cells) if cells else 0
-            yield idx, sh.get("name"), idx == active, rnum, [cells.get(i) for i in range(1, width + 1)]
+            if cells:
+                grid[rnum] = cells
+        # The used range as a full grid: every row from the first to the last
+        # used one, each padded to the used columns (an empty sheet is one
+        # empty cell), as spreadsheet readers iterate it.
+        if grid:
+            r0, r1 = min(grid), max(grid)
+            c0 = min(min(c) for c in grid.values())
+            c1 = max(max(c) for c in grid.values())
+        else:
+            r0 = r1 = c0 = c1 = 1
+        for rnum in range(r0, r1 + 1):
+            cells = grid.get(rnum, {})
+            yield idx, sh.get("name"), idx == active, rnum, [cells.get(i) for i in range(c0, c1 + 1)]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

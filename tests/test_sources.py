@@ -155,3 +155,16 @@ def test_backfill_skips_converted(spark, tmp):
     sigs = {r.sig for r in read_lake(spark, os.path.join(lake, "csv")).select("sig").distinct().collect()}
     assert len(sigs) == 2                          # two header signatures, two wide roots
     assert backfill(spark, up, lake, force=True) == 5 + 2
+
+
+def test_xlsx_grid_and_sheet_text(spark, tmp):
+    from carelake.operators.context import sheets_to_text
+    # the third row has no cells at all, as spreadsheet apps write blank rows
+    data = XL.build_xlsx([("S", [["h1", "h2", "h3"], ["a"], [], ["b", None, "c"]]), ("Empty", [])])
+    p = put(tmp, "g.xlsx", data)
+    parsed = XL.read_xlsx(spark, p)
+    got = [(r.sheet, r.row_index, r.cells) for r in parsed.orderBy("sheet_idx", "row_index").collect()]
+    assert got == [("S", 1, ["h1", "h2", "h3"]), ("S", 2, ["a", None, None]), ("S", 3, [None, None, None]),
+                   ("S", 4, ["b", None, "c"]), ("Empty", 1, [None])]
+    text = sheets_to_text(parsed.withColumnRenamed("path", "workbook")).first().text
+    assert text == "=== Sheet: S ===\nh1\th2\th3\na\t\t\n\t\t\nb\t\tc\n=== Sheet: Empty ===\n"
