@@ -24,11 +24,13 @@ PARA_SCHEMA = T.StructType([
 
 
 def paragraphs(data: bytes) -> list[str]:
-    """Text of each body paragraph (runs concatenated; tabs and breaks as
-    ``\\t`` / ``\\n``)."""
+    """Text of each top-level body paragraph (runs concatenated; tabs and
+    breaks as ``\\t`` / ``\\n``).  Paragraphs inside tables are not body
+    paragraphs and are not included."""
     root = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
+    body = root.find(f"{{{_W}}}body")
     out = []
-    for p in root.iter(f"{{{_W}}}p"):
+    for p in (body.findall(f"{{{_W}}}p") if body is not None else []):
         parts = []
         for el in p.iter():
             if el.tag == f"{{{_W}}}t":

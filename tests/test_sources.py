@@ -168,3 +168,19 @@ def test_xlsx_grid_and_sheet_text(spark, tmp):
                    ("S", 4, ["b", None, "c"]), ("Empty", 1, [None])]
     text = sheets_to_text(parsed.withColumnRenamed("path", "workbook")).first().text
     assert text == "=== Sheet: S ===\nh1\th2\th3\na\t\t\n\t\t\nb\t\tc\n=== Sheet: Empty ===\n"
+
+
+def test_docx_skips_table_paragraphs(spark, tmp):
+    import io
+    import zipfile
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    doc = (f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>top</w:t></w:r></w:p>'
+           '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+           '<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p></w:body></w:document>')
+    base = zipfile.ZipFile(io.BytesIO(DX.build_docx(["x"])))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for n in base.namelist():
+            z.writestr(n, doc if n == "word/document.xml" else base.read(n))
+    p = put(tmp, "t.docx", buf.getvalue())
+    assert DX.read_docx(spark, p).first().text == "top\na\tb"
