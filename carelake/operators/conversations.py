@@ -18,6 +18,11 @@ from carelake.sinks.conversations import upsert
 
 HISTORY_KEEP = 20      # messages stored per conversation
 PROMPT_HISTORY = 10    # messages given to the reply prompt
+SMS_MAX_CHARS = 1600   # outbound text is cut here (no marker)
+
+# Automatic answers to HELP and START (%s = office phone).
+HELP_TEXT = "For billing help call %s. Reply STOP to opt out."
+RESUBSCRIBED_TEXT = "You have been re-subscribed. Call %s for help."
 
 CONV_COLUMNS = ["phone_number", "patient_name", "amount_due", "message_type", "last_outbound_message",
                 "last_message_id", "conversation_history", "reply_count", "opt_out", "last_inbound_message"]
@@ -207,6 +212,17 @@ def fold_conversations(convs: DataFrame, actions: DataFrame, keep: int = HISTORY
     )
 
 
+def outbound_messages(actions: DataFrame, office_phone: str = C.outreach.DEFAULT_OFFICE_PHONE) -> DataFrame:
+    """The text sent back for each action that answers: HELP and START get the
+    fixed texts, a reply its (input) answer cut to 1600 characters."""
+    a = F.col("action")
+    body = (F.when(a == "help", F.format_string(HELP_TEXT, F.lit(office_phone)))
+             .when(a == "resubscribe", F.format_string(RESUBSCRIBED_TEXT, F.lit(office_phone)))
+             .otherwise(C.truncate_text(F.coalesce(F.col("reply"), F.lit("")), SMS_MAX_CHARS)))
+    return actions.where(a.isin("help", "resubscribe", "reply")).select("msg_id", "phone", "action",
+                                                                         body.alias("sms_body"))
+
+
 # ------------------------------------------------------------------ prompts --
 DEFAULT_SMS_SYSTEM = "You answer patient text messages for the billing office."
 

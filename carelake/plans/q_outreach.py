@@ -195,6 +195,17 @@ def q_inbound_actions(spark, sf):
     return _actions(spark, sf).select("msg_id", "phone", "command", "action")
 
 
+@register("outbound_messages", f"""
+WITH {_TIMELINE_SQL}
+SELECT msg_id, phone, action,
+  CASE action WHEN 'help' THEN 'For billing help call 555-0100. Reply STOP to opt out.'
+              WHEN 'resubscribe' THEN 'You have been re-subscribed. Call 555-0100 for help.'
+              ELSE left(coalesce(reply, ''), 1600) END AS sms_body
+FROM act WHERE action IN ('help', 'resubscribe', 'reply')""")
+def q_outbound_messages(spark, sf):
+    return V.outbound_messages(_actions(spark, sf))
+
+
 @register("fold_conversations", f"""
 WITH {_TIMELINE_SQL},
 rep AS (SELECT * FROM act WHERE action = 'reply' AND sent),

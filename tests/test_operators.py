@@ -236,3 +236,16 @@ def test_conversation_overview_defaults(spark):
                            ("+2", "Bo", "", "wellness", "junk", 4, True, None)])
     rows = [tuple(r) for r in V.conversation_overview(convs).collect()]
     assert rows == [("+2", "Bo", "", "wellness", 4, True, None), ("+1", "Ann", "5", "balance", 0, False, "x")]
+
+
+def test_outbound_messages(spark):
+    convs = _convs(spark, [])
+    long = "x" * 2000
+    inbound = spark.createDataFrame(
+        [(1, ts(0), "+1", "help", "r1", True), (2, ts(1), "+1", "start", "r2", True),
+         (3, ts(2), "+1", "hi", long, True), (4, ts(3), "+1", "stop", "r4", True)],
+        "msg_id long, ts timestamp, phone string, body string, reply string, sent boolean")
+    out = {r.msg_id: r.sms_body for r in V.outbound_messages(V.inbound_actions(inbound, convs)).collect()}
+    assert out[1] == "For billing help call 555-0100. Reply STOP to opt out."
+    assert out[2] == "You have been re-subscribed. Call 555-0100 for help."
+    assert out[3] == "x" * 1600 and 4 not in out
