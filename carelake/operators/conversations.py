@@ -24,6 +24,8 @@ SMS_MAX_CHARS = 1600   # outbound text is cut here (no marker)
 HELP_TEXT = "For billing help call %s. Reply STOP to opt out."
 RESUBSCRIBED_TEXT = "You have been re-subscribed. Call %s for help."
 
+_FIRST_BUCKET = -(2 ** 62)   # sorts before every real time bucket
+
 CONV_COLUMNS = ["phone_number", "patient_name", "amount_due", "message_type", "last_outbound_message",
                 "last_message_id", "conversation_history", "reply_count", "opt_out", "last_inbound_message"]
 
@@ -145,19 +147,28 @@ def with_patient(inbound: DataFrame, convs: DataFrame, phone: str = "phone") ->
 def optout_timeline(inbound: DataFrame, convs: DataFrame) -> DataFrame:
     """Add ``command`` and ``opted_out_before``: the opt-out state just before
     each message (last STOP/START earlier for the phone, else the stored flag,
-    else false), ordered by (ts, msg_id)."""
+    else false), ordered by (ts, msg_id).
+
+    The stored flag enters the bucketed scan as a virtual first event of its
+    phone (a bucket before all others), so the message rows are never joined
+    with the stored table on the phone key.
+    """
     staged = (inbound
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))
               .withColumn("command", C.classify_command("phone", "body"))
               .withColumn("body", C.pystrip(F.coalesce(F.col("body"), F.lit(""))))
               .withColumn("_flag", F.when(F.col("command") == "stop", F.lit(True))
                           .when(F.col("command") == "start", F.lit(False)))
-              .withColumn("_bucket", hour_bucket(F.col("ts"))))
-    scanned = carry_last(staged, ["phone"], ["ts", "msg_id"], "_bucket", "_flag", "_prev", inclusive=False)
-    stored = convs.select(F.col("phone_number").alias("phone"), F.col("opt_out").alias("_stored"))
-    return (scanned.join(stored, on="phone", how="left")
-            .withColumn("opted_out_before", F.coalesce(F.col("_prev"), F.col("_stored"), F.lit(False)))
-            .drop("_flag", "_bucket", "_prev", "_stored"))
+              .withColumn("_bucket", hour_bucket(F.col("ts")))
+              .withColumn("_real", F.lit(True)))
+    stored = convs.where(F.col("opt_out").isNotNull()).select(
+        F.col("phone_number").alias("phone"), F.col("opt_out").alias("_flag"),
+        F.lit(_FIRST_BUCKET).alias("_bucket"), F.lit(False).alias("_real"))
+    timeline = staged.unionByName(stored, allowMissingColumns=True)
+    scanned = carry_last(timeline, ["phone"], ["ts", "msg_id"], "_bucket", "_flag", "_prev", inclusive=False)
+    return (scanned.where(F.col("_real"))
+            .withColumn("opted_out_before", F.coalesce(F.col("_prev"), F.lit(False)))
+            .drop("_flag", "_bucket", "_prev", "_real"))
 
 
 def inbound_actions(inbound: DataFrame, convs: DataFrame) -> DataFrame:
