@@ -144,15 +144,18 @@ def with_patient(inbound: DataFrame, convs: DataFrame, phone: str = "phone") ->
              .drop("_known", "conversation_history"))
 
 
-def optout_timeline(inbound: DataFrame, convs: DataFrame) -> DataFrame:
+def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = True) -> DataFrame:
     """Add ``command`` and ``opted_out_before``: the opt-out state just before
     each message (last STOP/START earlier for the phone, else the stored flag,
     else false), ordered by (ts, msg_id).
 
     The stored flag enters the bucketed scan as a virtual first event of its
     phone (a bucket before all others), so the message rows are never joined
-    with the stored table on the phone key.
+    with the stored table on the phone key.  A message delivered twice (same
+    ``msg_id``) is handled once when ``dedupe``.
     """
+    if dedupe:
+        inbound = inbound.dropDuplicates(["msg_id"])
     staged = (inbound
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))
               .withColumn("command", C.classify_command("phone", "body"))
@@ -171,10 +174,10 @@ def optout_timeline(inbound: DataFrame, convs: DataFrame) -> DataFrame:
             .drop("_flag", "_bucket", "_prev", "_real"))
 
 
-def inbound_actions(inbound: DataFrame, convs: DataFrame) -> DataFrame:
+def inbound_actions(inbound: DataFrame, convs: DataFrame, dedupe: bool = True) -> DataFrame:
     """ignore / opt_out / help / resubscribe / suppressed / reply per message.
     HELP is answered even when opted out."""
-    t = optout_timeline(inbound, convs)
+    t = optout_timeline(inbound, convs, dedupe=dedupe)
     cmd = F.col("command")
     action = (F.when(cmd == "ignore", "ignore").when(cmd == "stop", "opt_out").when(cmd == "help", "help")
                .when(cmd == "start", "resubscribe")

@@ -77,13 +77,19 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
                         "opt_out": opts, "history_size": sizes})
 
 
-def inbound_stream(inbound: DataFrame, convs: DataFrame) -> DataFrame:
-    """``inbound`` (streaming: msg_id, ts, phone, body, reply, sent) -> actions."""
+def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str = "1 day") -> DataFrame:
+    """``inbound`` (streaming: msg_id, ts, phone, body, reply, sent) -> actions.
+
+    A message delivered twice (same ``msg_id`` within ``dedupe_delay`` of event
+    time) is handled once."""
     stored = convs.select(F.col("phone_number").alias("phone"), F.col("opt_out").alias("stored_opt_out"),
                           F.col("reply_count").alias("stored_reply_count"),
                           F.col("conversation_history").alias("stored_history"),
                           F.col("last_inbound_message").alias("stored_last_inbound"))
     staged = (inbound
+              .withColumn("_event_time", F.col("ts").cast("timestamp"))   # watermarks need TIMESTAMP
+              .withWatermark("_event_time", dedupe_delay)
+              .dropDuplicatesWithinWatermark(["msg_id"])
               .withColumn("command", C.classify_command("phone", "body"))
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))
               .withColumn("body", C.pystrip(F.coalesce(F.col("body"), F.lit(""))))

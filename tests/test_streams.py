@@ -20,6 +20,7 @@ def _inbound(spark):
     bodies = ["hi", "STOP", "hi", "help", "start", "hi", "", "hello", "stop", "x"]
     rows = [(i, T0 + dt.timedelta(minutes=37 * i), f"+1602555010{i % 3}", bodies[i % len(bodies)], f"r{i}", i % 7 != 3)
             for i in range(60)]
+    rows += [rows[7], rows[30]]   # redelivered messages
     return spark.createDataFrame(rows, "msg_id long, ts timestamp, phone string, body string, reply string, sent boolean")
 
 
