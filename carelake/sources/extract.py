@@ -12,14 +12,21 @@ from carelake.sources import docx as DX
 from carelake.sources import xlsx as XL
 
 
+# Fixed value: text given for a file whose format cannot be extracted here.
+UNSUPPORTED_TEXT = "[Could not extract text from this file type]"
+NO_PARSER = ("pdf", "xls")
+
+
 def extract_text(files: DataFrame) -> DataFrame:
     """``(path, content)`` -> ``(path, text)``; one job, each branch only sees
-    its own files.  PDF and legacy ``.xls`` have no parser here and fall back
-    to UTF-8 text of the bytes."""
+    its own files.  PDF and legacy ``.xls`` have no parser here and get the
+    unsupported-type text instead of decoded bytes."""
     ext = extension_or_name(F.element_at(F.split(F.col("path"), "/"), -1))
     tagged = files.select("path", "content", ext.alias("_ext"))
     sheets = sheets_to_text(XL.parse_xlsx(tagged.where(F.col("_ext") == "xlsx"))
                             .withColumnRenamed("path", "workbook")).withColumnRenamed("workbook", "path")
     docs = DX.docx_text(tagged.where(F.col("_ext") == "docx"))
-    plain = tagged.where(~F.col("_ext").isin("xlsx", "docx")).select("path", make_valid_text("content").alias("text"))
-    return sheets.unionByName(docs).unionByName(plain)
+    plain = tagged.where(~F.col("_ext").isin("xlsx", "docx", *NO_PARSER)).select(
+        "path", make_valid_text("content").alias("text"))
+    unsupported = tagged.where(F.col("_ext").isin(*NO_PARSER)).select("path", F.lit(UNSUPPORTED_TEXT).alias("text"))
+    return sheets.unionByName(docs).unionByName(plain).unionByName(unsupported)

@@ -184,3 +184,15 @@ def test_docx_skips_table_paragraphs(spark, tmp):
             z.writestr(n, doc if n == "word/document.xml" else base.read(n))
     p = put(tmp, "t.docx", buf.getvalue())
     assert DX.read_docx(spark, p).first().text == "top\na\tb"
+
+
+def test_extract_text_dispatch(spark):
+    from carelake.sources.extract import UNSUPPORTED_TEXT, extract_text
+    wb = XL.build_xlsx([("S", [["a", 1]])])
+    files = spark.createDataFrame(
+        [("u/a.XLSX", bytearray(wb)), ("u/b.docx", bytearray(DX.build_docx(["p1", "", "p2"]))),
+         ("u/c.csv", bytearray(b"x,y\n1,2\n")), ("u/d.pdf", bytearray(b"%PDF-1.4")), ("u/noext", bytearray(b"\xffz"))],
+        "path string, content binary")
+    got = {r.path: r.text for r in extract_text(files).collect()}
+    assert got == {"u/a.XLSX": "=== Sheet: S ===\na\t1", "u/b.docx": "p1\np2", "u/c.csv": "x,y\n1,2\n",
+                   "u/d.pdf": UNSUPPORTED_TEXT, "u/noext": "�z"}
