@@ -190,6 +190,8 @@ def fold_conversations(convs: DataFrame, actions: DataFrame, keep: int = HISTORY
 
     ``reply`` rows that were sent append (user, assistant) and bump
     ``reply_count``; STOP/START set ``opt_out``; an item is created when absent.
+    ``actions`` is read twice (aggregates and the history tail): pass it
+    checkpointed when it is expensive to recompute.
     """
     pairs_needed = (keep + 1) // 2
     ok_reply = (F.col("action") == "reply") & F.coalesce(F.col("sent"), F.lit(False))

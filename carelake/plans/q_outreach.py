@@ -10,6 +10,7 @@ from carelake import functions as C
 from carelake.operators import conversations as V
 from carelake.plans import derived as D
 from carelake.plans.registry import register
+from carelake.session import checkpoint_root
 
 _SYS = V.DEFAULT_SMS_SYSTEM
 
@@ -237,6 +238,10 @@ FROM keys k LEFT JOIN conv_items c ON c.phone_number = k.phone LEFT JOIN cnt ON
 LEFT JOIN flags f ON f.phone = k.phone LEFT JOIN lastin li ON li.phone = k.phone
 LEFT JOIN newh nh ON nh.phone = k.phone LEFT JOIN oldh oh ON oh.phone = k.phone""", headline=True)
 def q_fold_conversations(spark, sf):
-    folded = V.fold_conversations(D.conversation_items(spark, sf), _actions(spark, sf))
+    # The actions feed two aggregations: checkpointed once (shared checkpoint
+    # folder) instead of being recomputed, which also cuts their lineage.
+    checkpoint_root(spark)
+    actions = _actions(spark, sf).checkpoint()
+    folded = V.fold_conversations(D.conversation_items(spark, sf), actions)
     return folded.select("phone_number", "patient_name", "amount_due", "message_type", "reply_count", "opt_out",
                          "last_inbound_message", *_hist_cols())
