@@ -196,3 +196,19 @@ def test_extract_text_dispatch(spark):
     got = {r.path: r.text for r in extract_text(files).collect()}
     assert got == {"u/a.XLSX": "=== Sheet: S ===\na\t1", "u/b.docx": "p1\np2", "u/c.csv": "x,y\n1,2\n",
                    "u/d.pdf": UNSUPPORTED_TEXT, "u/noext": "�z"}
+
+
+def test_row_index_across_splits(spark, tmp):
+    lines = "\n".join(["id,v"] + [f"{i},row{i}" for i in range(1, 3001)]) + "\n"
+    p = put(tmp, "uploads/user_id=u1/year=2026/month=06/big.csv", lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        src = with_provenance(read_csv(spark, p), tmp).withColumns(
+            {"user_id": F.lit("u1"), "year": F.lit("2026"), "month": F.lit("06")})
+        assert src.rdd.getNumPartitions() > 5
+        long = to_uploads(src, uploaded_at=F.lit("2026-06-01 00:00:00"))
+        got = [(r.row_index, r.content) for r in long.orderBy("row_index").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f'{{"id":{i},"v":"row{i}"}}') for i in range(1, 3001)]
