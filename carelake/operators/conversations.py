@@ -102,6 +102,11 @@ def campaign_writes(attempts: DataFrame) -> DataFrame:
     return latest_per_phone(written, phone="phone_number").drop("row_index")
 
 
+def campaign_errors(attempts: DataFrame, by: str = "file") -> DataFrame:
+    """The failed sends of each campaign, one row each (the error list)."""
+    return attempts.where(F.col("outcome") == "failed").select(by, "row_index", "phone")
+
+
 def campaign_summary(attempts: DataFrame, by: str = "file") -> DataFrame:
     """Counts per campaign file and the summary line.  Failed sends stay rows
     (``attempts.where(outcome = 'failed')``) rather than an unbounded list."""

@@ -69,6 +69,14 @@ def q_campaign_summary(spark, sf):
     return V.campaign_summary(attempts, by="file")
 
 
+@register("campaign_errors", f"""
+WITH {_CAMPAIGN_SQL}
+SELECT file, row_index, phone FROM attempts WHERE outcome = 'failed'""")
+def q_campaign_errors(spark, sf):
+    attempts, _ = _campaign(spark, sf)
+    return V.campaign_errors(attempts, by="file")
+
+
 @register("latest_per_phone", f"""
 WITH {_CAMPAIGN_SQL}
 SELECT phone, row_index, patient_name FROM (
