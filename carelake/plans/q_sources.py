@@ -158,8 +158,8 @@ WITH lines AS (
          unnest(string_split(text, chr(10))) AS line
   FROM conversations)
 SELECT 'uploads/docx/conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 500 AS VARCHAR) || '.docx' AS path,
-  string_agg(line, chr(10) ORDER BY turn, i) AS text
-FROM lines WHERE trim(line) <> '' GROUP BY conv_id, turn // 500"""
+  coalesce(string_agg(CASE WHEN trim(line) <> '' THEN line END, chr(10) ORDER BY turn, i), '') AS text
+FROM lines GROUP BY conv_id, turn // 500"""
 
 
 @register("docx_text", _DOCX_TEXT_SQL)

@@ -64,10 +64,13 @@ def parse_docx(files: DataFrame) -> DataFrame:
 
 
 def docx_text(files: DataFrame) -> DataFrame:
-    """One text per file: non-blank paragraphs joined by newlines."""
-    paras = parse_docx(files).where(pystrip(F.col("text")) != "")
+    """One text per file: non-blank paragraphs joined by newlines ('' when
+    every paragraph is blank)."""
+    paras = parse_docx(files).withColumn(
+        "text", F.when(pystrip(F.col("text")) != "", F.col("text")))   # blank -> null, ignored by listagg
     return (paras.groupBy("path")
-            .agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY para_idx)").alias("text")))
+            .agg(F.coalesce(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY para_idx)"), F.lit(""))
+                 .alias("text")))
 
 
 def read_docx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:

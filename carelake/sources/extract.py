@@ -1,32 +1,97 @@
 """Question-time text of any upload: the format is chosen by extension
-(workbook -> sheet text, docx -> paragraphs, anything else -> UTF-8 text)."""
+(workbook -> sheet text, docx -> paragraphs, anything else -> UTF-8 text).
+
+One pass over the files: a single Arrow-batch parser turns every file into
+uniform line rows, then Spark assembles each file's text with one ordered
+aggregation.  Files are read once whatever the mix of formats.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from carelake.functions.text import extension_or_name, make_valid_text
-from carelake.operators.context import sheets_to_text
-from carelake.sources import docx as DX
-from carelake.sources import xlsx as XL
-
+from carelake.functions.text import pystrip
+from carelake.operators.context import SHEET_HEADER
+from carelake.sources.docx import paragraphs
+from carelake.sources.xlsx import workbook_rows
 
 # Fixed value: text given for a file whose format cannot be extracted here.
 UNSUPPORTED_TEXT = "[Could not extract text from this file type]"
 NO_PARSER = ("pdf", "xls")
 
+LINE_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("kind", T.StringType()),        # sheet | row | para | text
+    T.StructField("k1", T.LongType()),
+    T.StructField("k2", T.LongType()),
+    T.StructField("cells", T.ArrayType(T.StringType())),
+    T.StructField("text", T.StringType()),
+])
+_ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()),
+                    ("cells", pa.list_(pa.string())), ("text", pa.string())])
+
+
+def _ext(path: str) -> str:
+    name = path.rsplit("/", 1)[-1].lower()
+    return name.rsplit(".", 1)[-1]
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = {f: [] for f in _ARROW.names}
+
+        def emit(path, kind, k1, k2, cells=None, text=None):
+            out["path"].append(path)
+            out["kind"].append(kind)
+            out["k1"].append(k1)
+            out["k2"].append(k2)
+            out["cells"].append(cells)
+            out["text"].append(text)
+
+        for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            data = data or b""
+            ext = _ext(path)
+            emit(path, "file", -1, -1)   # keeps files whose text is empty
+            if ext == "xlsx":
+                seen = set()
+                for idx, name, _active, rnum, cells in workbook_rows(data):
+                    if idx not in seen:
+                        seen.add(idx)
+                        emit(path, "sheet", idx, -1, text=name)
+                    emit(path, "row", idx, rnum, cells=cells)
+            elif ext == "docx":
+                for i, t in enumerate(paragraphs(data)):
+                    emit(path, "para", 0, i, text=t)
+            elif ext in NO_PARSER:
+                emit(path, "text", 0, 0, text=UNSUPPORTED_TEXT)
+            else:
+                emit(path, "text", 0, 0, text=data.decode("utf-8", errors="replace"))
+        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+
+
+def extract_lines(files: DataFrame) -> DataFrame:
+    """``(path, content)`` -> one row per text line of each file."""
+    return files.select("path", "content").mapInArrow(_lines, LINE_SCHEMA)
+
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> ``(path, text)``; one job, each branch only sees
-    its own files.  PDF and legacy ``.xls`` have no parser here and get the
-    unsupported-type text instead of decoded bytes."""
-    ext = extension_or_name(F.element_at(F.split(F.col("path"), "/"), -1))
-    tagged = files.select("path", "content", ext.alias("_ext"))
-    sheets = sheets_to_text(XL.parse_xlsx(tagged.where(F.col("_ext") == "xlsx"))
-                            .withColumnRenamed("path", "workbook")).withColumnRenamed("workbook", "path")
-    docs = DX.docx_text(tagged.where(F.col("_ext") == "docx"))
-    plain = tagged.where(~F.col("_ext").isin("xlsx", "docx", *NO_PARSER)).select(
-        "path", make_valid_text("content").alias("text"))
-    unsupported = tagged.where(F.col("_ext").isin(*NO_PARSER)).select("path", F.lit(UNSUPPORTED_TEXT).alias("text"))
-    return sheets.unionByName(docs).unionByName(plain).unionByName(unsupported)
+    """``(path, content)`` -> ``(path, text)``.  Workbooks: a header line per
+    sheet, rows tab-joined (null -> ''); documents: non-blank paragraphs;
+    PDF and legacy ``.xls``: the unsupported-type text; anything else: UTF-8
+    with malformed bytes replaced."""
+    lines = extract_lines(files)
+    kind = F.col("kind")
+    blank_para = (kind == "para") & (pystrip(F.col("text")) == "")
+    line = (F.when(kind == "sheet", F.format_string(SHEET_HEADER, F.col("text")))
+             .when(kind == "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\t"))
+             .when((kind == "file") | blank_para, F.lit(None).cast("string"))   # ignored by listagg
+             .otherwise(F.col("text")))
+    return (lines.select("path", "k1", "k2", line.alias("line"))
+            .groupBy("path")
+            .agg(F.coalesce(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY k1, k2)"), F.lit(""))
+                 .alias("text")))

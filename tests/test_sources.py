@@ -212,3 +212,12 @@ def test_row_index_across_splits(spark, tmp):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(i, f'{{"id":{i},"v":"row{i}"}}') for i in range(1, 3001)]
+
+
+def test_blank_documents_keep_a_row(spark):
+    from carelake.sources.extract import extract_text
+    files = spark.createDataFrame([("u/blank.docx", bytearray(DX.build_docx(["", "  "]))),
+                                   ("u/empty.txt", bytearray(b""))], "path string, content binary")
+    assert {r.path: r.text for r in extract_text(files).collect()} == {"u/blank.docx": "", "u/empty.txt": ""}
+    assert [tuple(r) for r in DX.docx_text(files.where(F.col("path").endswith(".docx"))).collect()] == \
+        [("u/blank.docx", "")]
