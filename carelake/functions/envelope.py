@@ -28,23 +28,19 @@ def parse_envelope(df: DataFrame, raw: str = "raw", id_cols: Sequence[str] = ())
 
     Every record is handled (not only the first).  A record whose message is not
     valid JSON yields empty phone and body; the sender is ``originationNumber``,
-    else ``destinationIdentity``.
+    else ``destinationIdentity``.  A bare message counts as one record.  One pass
+    over the input: both shapes become a list of messages, exploded once.
     """
     env = F.from_json(F.col(raw), ENVELOPE)
-    staged = df.select(*id_cols, env.alias("_env"))
-    wrapped = (staged.where(F.col("_env.Records").isNotNull())
-               .select(*id_cols, F.posexplode_outer("_env.Records").alias("_pos", "_r"))
-               .select(*id_cols, (F.col("_pos") + 1).cast("int").alias("rec"),
-                       F.from_json(F.col("_r.Sns.Message"), INBOUND_FIELDS).alias("_m")))
-    bare = (staged.where(F.col("_env.Records").isNull())
-            .select(*id_cols, F.lit(1).alias("rec"),
-                    F.struct(*[F.col(f"_env.{f.name}").alias(f.name) for f in INBOUND_FIELDS.fields]).alias("_m")))
-    both = wrapped.unionByName(bare)
+    wrapped = F.transform(env["Records"], lambda r: F.from_json(r["Sns"]["Message"], INBOUND_FIELDS))
+    bare = F.array(F.struct(*[env[f.name].alias(f.name) for f in INBOUND_FIELDS.fields]))
+    msgs = F.when(env["Records"].isNotNull(), wrapped).otherwise(bare)
+    exploded = df.select(*id_cols, F.posexplode_outer(msgs).alias("_pos", "_m"))
     phone = F.coalesce(F.nullif(F.col("_m.originationNumber"), F.lit("")),
                        F.nullif(F.col("_m.destinationIdentity"), F.lit("")), F.lit(""))
     body = F.coalesce(F.col("_m.messageBody"), F.lit(""))
-    return both.select(*id_cols, F.coalesce(F.col("rec"), F.lit(1)).alias("rec"),
-                       pystrip(phone).alias("phone"), pystrip(body).alias("body"))
+    return exploded.select(*id_cols, (F.coalesce(F.col("_pos"), F.lit(0)) + 1).cast("int").alias("rec"),
+                           pystrip(phone).alias("phone"), pystrip(body).alias("body"))
 
 
 def envelope_json(kind, phone, body) -> Column:

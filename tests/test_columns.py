@@ -125,3 +125,21 @@ def test_utf8_replacement(spark):
 def test_normalize_headers(spark):
     df = spark.createDataFrame([([" First Name ", None, "MOBILE number"],)], "c array<string>")
     assert df.select(C.normalize_headers("c")).first()[0] == ["first name", "", "mobile number"]
+
+
+def test_parse_envelope_shapes(spark):
+    import json
+    from carelake.functions.envelope import parse_envelope
+    msg = lambda p, b: json.dumps({"originationNumber": p, "messageBody": b})
+    rows = [
+        (1, json.dumps({"Records": [{"Sns": {"Message": msg("+1", " hi ")}},
+                                    {"Sns": {"Message": msg("", "x")}}]})),
+        (2, json.dumps({"Records": []})),
+        (3, json.dumps({"Records": [{"Sns": {"Message": "not json"}}]})),
+        (4, "garbage"),
+        (5, json.dumps({"destinationIdentity": " +2 ", "messageBody": "STOP"})),
+    ]
+    df = spark.createDataFrame(rows, "id int, raw string")
+    got = sorted(tuple(r) for r in parse_envelope(df, id_cols=["id"]).collect())
+    assert got == [(1, 1, "+1", "hi"), (1, 2, "", "x"), (2, 1, "", ""), (3, 1, "", ""), (4, 1, "", ""),
+                   (5, 1, "+2", "STOP")]
