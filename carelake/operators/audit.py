@@ -20,40 +20,43 @@ STATUSES = ("success", "incorrect", "expired", "no_session", "bad_request")
 
 def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600) -> DataFrame:
     """issues: (email, code_hash, user_sub, issued_s, expiry_s, issue_id);
-    attempts: (email, code_hash, attempt_s, attempt_id).  One row per attempt."""
+    attempts: (email, code_hash, attempt_s, attempt_id).  One row per attempt.
+
+    Issues and attempts form one timeline per e-mail; the code in force at each
+    attempt is a bucketed as-of scan (see :mod:`carelake.operators.scan`), and
+    "already consumed" compares with the first consuming attempt of that code
+    (a partial aggregate).  Attempts with a blank e-mail or code stay in the
+    timeline, answer ``bad_request`` and never touch a code.
+    """
     bad = (F.coalesce(F.col("email"), F.lit("")) == "") | (F.coalesce(F.col("code_hash"), F.lit("")) == "")
-    att = attempts.withColumn("_bad", bad)
-    good = att.where(~F.col("_bad"))
+    issue_type = "struct<issue_id:bigint,code_hash:string,expiry_s:bigint,user_sub:string>"
     timeline = (issues.select("email", F.col("issued_s").alias("t"), F.lit(0).alias("kind"),
                               F.col("issue_id").alias("id"),
                               F.struct("issue_id", "code_hash", "expiry_s", "user_sub").alias("_issue"),
-                              F.lit(None).cast("string").alias("code_hash"))
-                .unionByName(good.select("email", F.col("attempt_s").alias("t"), F.lit(1).alias("kind"),
-                                         F.col("attempt_id").alias("id"),
-                                         F.lit(None).cast("struct<issue_id:bigint,code_hash:string,expiry_s:bigint,"
-                                                          "user_sub:string>").alias("_issue"),
-                                         "code_hash"))
+                              F.lit(None).cast("string").alias("code_hash"), F.lit(False).alias("_bad"))
+                .unionByName(attempts.select("email", F.col("attempt_s").alias("t"), F.lit(1).alias("kind"),
+                                             F.col("attempt_id").alias("id"),
+                                             F.lit(None).cast(issue_type).alias("_issue"), "code_hash",
+                                             bad.alias("_bad")))
                 .withColumn("_b", F.floor(F.col("t") / F.lit(bucket_s)).cast("long")))
     scanned = carry_last(timeline, ["email"], ["t", "kind", "id"], "_b", "_issue", "_cur", inclusive=True)
+    cur = F.when(~F.col("_bad"), F.col("_cur"))
     looked = (scanned.where(F.col("kind") == 1)
-              .select("email", F.col("t").alias("attempt_s"), F.col("id").alias("attempt_id"), "code_hash",
-                      F.col("_cur.issue_id").alias("issue_id"), F.col("_cur.user_sub").alias("user_sub"),
-                      F.when(F.col("_cur").isNull(), F.lit("no_session"))
+              .select("email", F.col("t").alias("attempt_s"), F.col("id").alias("attempt_id"),
+                      cur["issue_id"].alias("issue_id"), cur["user_sub"].alias("user_sub"),
+                      F.when(F.col("_bad"), F.lit("bad_request"))
+                       .when(F.col("_cur").isNull(), F.lit("no_session"))
                        .when(F.col("t") > F.col("_cur.expiry_s"), F.lit("expired"))
                        .when(F.col("code_hash") != F.col("_cur.code_hash"), F.lit("incorrect"))
                        .otherwise(F.lit("success")).alias("_raw")))
     consumes = F.col("_raw").isin("success", "expired")
-    first = (looked.where(consumes & F.col("issue_id").isNotNull())
+    first = (looked.where(consumes)
              .groupBy("email", "issue_id")
              .agg(F.min(F.struct("attempt_s", "attempt_id")).alias("_first")))
     res = looked.join(first, on=["email", "issue_id"], how="left")
     after = F.struct("attempt_s", "attempt_id") > F.col("_first")
     status = F.when(F.coalesce(after, F.lit(False)), F.lit("no_session")).otherwise(F.col("_raw"))
-    done = res.select("attempt_id", "email", "attempt_s", "issue_id", "user_sub", status.alias("status"))
-    bad_rows = att.where(F.col("_bad")).select(
-        "attempt_id", "email", "attempt_s", F.lit(None).cast("long").alias("issue_id"),
-        F.lit(None).cast("string").alias("user_sub"), F.lit("bad_request").alias("status"))
-    return done.unionByName(bad_rows)
+    return res.select("attempt_id", "email", "attempt_s", "issue_id", "user_sub", status.alias("status"))
 
 
 def login_outcomes(audit: DataFrame) -> DataFrame:
