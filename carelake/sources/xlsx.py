@@ -10,6 +10,7 @@ inline strings, numbers, booleans and sparse cells (``r="C5"``).
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -55,6 +56,44 @@ def _number_text(v: str) -> str:
     return v[:-2] if v.endswith(".0") else v
 
 
+# Built-in number formats that show dates or times (spreadsheet
+# format ids 14-22 and 45-47); custom formats are recognised by their tokens.
+BUILTIN_DATE_FORMATS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47])
+_QUOTED = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]')
+_DATE_TOKENS = re.compile(r"[dmyhs]", re.IGNORECASE)
+
+
+def _is_date_format(code: str) -> bool:
+    return bool(_DATE_TOKENS.search(_QUOTED.sub("", code)))
+
+
+def _date_styles(zf: zipfile.ZipFile, names: set) -> set[int]:
+    """Indexes of the cell styles whose number format is a date or time."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ET.fromstring(zf.read("xl/styles.xml"))
+    custom = {int(f.get("numFmtId")): f.get("formatCode", "")
+              for f in root.findall("m:numFmts/m:numFmt", _NS)}
+    out = set()
+    for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in BUILTIN_DATE_FORMATS or (fid in custom and _is_date_format(custom[fid])):
+            out.add(i)
+    return out
+
+
+def _serial_text(v: str, date1904: bool) -> str:
+    """A date serial as the reader's text: ``YYYY-MM-DD HH:MM:SS`` (time only
+    for serials below one day in the 1900 system)."""
+    serial = float(v)
+    if not date1904 and 0 <= serial < 1:
+        return str((datetime.datetime(1900, 1, 1) + datetime.timedelta(microseconds=round(serial * 86400e6))).time())
+    base = datetime.datetime(1904, 1, 1) if date1904 else datetime.datetime(1899, 12, 30)
+    if not date1904 and serial < 60:   # serials before the phantom 1900-02-29
+        base += datetime.timedelta(days=1)
+    return str(base + datetime.timedelta(microseconds=round(serial * 86400 * 1e6)))
+
+
 def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str | None]]]:
     """(sheet_idx, sheet name, is active, 1-based row number, cells) for every
     row of each sheet's used range, cells padded to the used columns."""
@@ -67,6 +106,9 @@ def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str |
     wb = ET.fromstring(zf.read("xl/workbook.xml"))
     rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
     target = {r.get("Id"): r.get("Target") for r in rels.findall("pr:Relationship", _NS)}
+    date_styles = _date_styles(zf, names)
+    pr = wb.find("m:workbookPr", _NS)
+    date1904 = pr is not None and pr.get("date1904", "0") in ("1", "true")
     view = wb.find("m:bookViews/m:workbookView", _NS)
     active = int(view.get("activeTab", "0")) if view is not None else 0
     for idx, sh in enumerate(wb.findall("m:sheets/m:sheet", _NS)):
@@ -94,8 +136,12 @@ def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str |
                     val = None if v is None else ("True" if v.text == "1" else "False")
                 elif typ == "str":
                     val = v.text if v is not None else None
+                elif v is None or v.text is None:
+                    val = None
+                elif c.get("s") is not None and int(c.get("s")) in date_styles:
+                    val = _serial_text(v.text, date1904)
                 else:
-                    val = _number_text(v.text) if v is not None and v.text is not None else None
+                    val = _number_text(v.text)
                 cells[col] = val
             if cells:
                 grid[rnum] = cells
@@ -183,6 +229,10 @@ def build_xlsx(sheets: Sequence[tuple[str, Sequence[Sequence[object]]]], active:
     def cell(ref: str, v) -> str:
         if v is None:
             return ""
+        if isinstance(v, (datetime.date, datetime.datetime)):
+            d = v if isinstance(v, datetime.datetime) else datetime.datetime(v.year, v.month, v.day)
+            serial = (d - datetime.datetime(1899, 12, 30)).total_seconds() / 86400
+            return f'<c r="{ref}" s="1"><v>{serial!r}</v></c>'
         if isinstance(v, bool):
             return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
         if isinstance(v, (int, float)):
@@ -230,7 +280,13 @@ def build_xlsx(sheets: Sequence[tuple[str, Sequence[Sequence[object]]]], active:
                    + "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>'
                              for i in range(1, n + 1))
                    + f'<Relationship Id="rId{n + 1}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/sharedStrings" Target="sharedStrings.xml"/>'
+                   + f'<Relationship Id="rId{n + 2}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>'
                    "</Relationships>")
+        # style 0: general; style 1: built-in date format 14
+        z.writestr("xl/styles.xml",
+                   f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{_NS["m"]}">'
+                   '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14" applyNumberFormat="1"/></cellXfs>'
+                   "</styleSheet>")
         for i, x in enumerate(sheet_xml, start=1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", x)
         z.writestr("xl/sharedStrings.xml",

@@ -221,3 +221,11 @@ def test_blank_documents_keep_a_row(spark):
     assert {r.path: r.text for r in extract_text(files).collect()} == {"u/blank.docx": "", "u/empty.txt": ""}
     assert [tuple(r) for r in DX.docx_text(files.where(F.col("path").endswith(".docx"))).collect()] == \
         [("u/blank.docx", "")]
+
+
+def test_xlsx_date_cells(spark, tmp):
+    import datetime as dt
+    rows = [["Name", "DOB", "Visit"], ["Ann", dt.date(1960, 1, 2), dt.datetime(2026, 6, 1, 9, 30)], ["Bo", 12, None]]
+    p = put(tmp, "d.xlsx", XL.build_xlsx([("S", rows)]))
+    got = [r.cells for r in XL.read_xlsx(spark, p).orderBy("row_index").collect()]
+    assert got == [["Name", "DOB", "Visit"], ["Ann", "1960-01-02 00:00:00", "2026-06-01 09:30:00"], ["Bo", "12", None]]
