@@ -58,7 +58,8 @@ def _make_fold(grace_s: int):
             out.append((int(r.id), email, int(r.t), iid, sub, status))
         if cur is not None:
             state.update(cur)
-            state.setTimeoutTimestamp((cur[2] + grace_s) * 1000)
+            # the timer may not lie before the watermark; it only drops state
+            state.setTimeoutTimestamp(max((cur[2] + grace_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["attempt_id", "email", "attempt_s", "issue_id", "user_sub", "status"])
     return fold
 
