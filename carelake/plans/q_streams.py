@@ -19,6 +19,11 @@ from carelake.streaming.common import run_available_now, stream_parquet, write_t
 from carelake.streaming.ingest import ingest_stream
 
 CHUNKS = 3
+
+
+def _state_partitions(spark) -> int:
+    """State partitions for a new stateful query: one per core of the cluster."""
+    return max(8, spark.sparkContext.defaultParallelism)
 # Grace before a code's state is dropped; longer than any gap in the event log,
 # so the stream and the batch twin see the same codes.
 LOGIN_GRACE_S = 40 * 86400
@@ -33,7 +38,8 @@ def q_stream_inbound(spark, sf):
     D.conversation_items(spark, sf).write.parquet(f"{root}/convs")
     convs = spark.read.parquet(f"{root}/convs")
     out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", src.schema), convs)
-    run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
+    run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt",
+                      spark, _state_partitions(spark))
     return spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out").select("msg_id", "phone", "command", "action")
 
 
@@ -44,7 +50,8 @@ def q_stream_login(spark, sf):
     ev = SL.login_events(issues, attempts)
     write_time_chunks(ev, "t", f"{root}/in", CHUNKS)
     out = SL.login_stream(stream_parquet(spark, f"{root}/in", ev.schema), grace_s=LOGIN_GRACE_S)
-    run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
+    run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt",
+                      spark, _state_partitions(spark))
     return spark.read.schema(SL.OUTPUT_SCHEMA).parquet(f"{root}/out")
 
 

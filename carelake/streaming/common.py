@@ -26,10 +26,24 @@ def write_time_chunks(df: DataFrame, ts: str, root: str, chunks: int, files_per_
         df.where(cond).repartition(files_per_chunk).write.mode("append").parquet(root)
 
 
-def run_available_now(query_builder, checkpoint: str):
-    """Start ``query_builder(checkpoint)`` (a DataStreamWriter) with
-    ``availableNow`` and wait for it to drain the input."""
-    q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available_now(query_builder, checkpoint: str, spark: SparkSession | None = None,
+                      state_partitions: int | None = None):
+    """Start ``query_builder`` (a DataStreamWriter) with ``availableNow`` and
+    wait for it to drain the input.
+
+    ``state_partitions`` fixes the number of state partitions of a new
+    stateful query (it is kept in the checkpoint afterwards); the session's
+    shuffle setting is restored once the query has started.
+    """
+    old = None
+    if spark is not None and state_partitions:
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if old is not None:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
