@@ -69,7 +69,7 @@ def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_r
         wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
                            key.alias("_source_key"))
         wide = wide.withColumns(key_parts(F.col("_source_key")))
-        written += write_lake(wide, f"{lake_root}/xlsx/sig={sig}")
+        written += write_lake(wide, f"{lake_root}/xlsx/sig={sig}/types=text")
     return written
 
 
@@ -85,10 +85,13 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
     csv_paths = [r.path for r in files if r.format == "csv"]
     written = 0
     for sig, group in csv_header_groups(spark, csv_paths).items():
-        df = (spark.read.option("header", "true").option("inferSchema", "true").csv(group)
-              .withColumn("_source_key", source_key(F.col("_metadata.file_path"), upload_root)))
+        df = spark.read.option("header", "true").option("inferSchema", "true").csv(group)
+        # One root per (header, inferred types): a later batch that infers other
+        # types for the same header never mixes conflicting Parquet files.
+        types = hashlib.sha256(df.schema.simpleString().encode()).hexdigest()[:8]
+        df = df.withColumn("_source_key", source_key(F.col("_metadata.file_path"), upload_root))
         parts = key_parts(F.col("_source_key"))
-        written += write_lake(df.withColumns(parts), f"{lake_root}/csv/sig={sig}")
+        written += write_lake(df.withColumns(parts), f"{lake_root}/csv/sig={sig}/types={types}")
     xlsx_paths = [r.path for r in files if r.format == "xlsx"]
     if xlsx_paths:
         written += convert_xlsx(spark, xlsx_paths, upload_root, lake_root)
