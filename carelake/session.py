@@ -16,10 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Coalesce shuffle output toward ~128 MB partitions instead of keeping the
-    # configured partition count: set shuffle.partitions high on a cluster and
-    # let AQE merge, so partitions fit executor memory at any scale.
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Skew splits and rebalanced writes aim at ~128 MB partitions.  AQE keeps
+    # its parallelism-first coalescing (many folders are written in parallel).
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
