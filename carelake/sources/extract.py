@@ -59,7 +59,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             emit(path, "file", -1, -1)   # keeps files whose text is empty
             if ext == "xlsx":
                 seen = set()
-                for idx, name, _active, rnum, cells in workbook_rows(data):
+                for idx, name, _active, rnum, cells, _hrow, _hdr in workbook_rows(data):
                     if idx not in seen:
                         seen.add(idx)
                         emit(path, "sheet", idx, -1, text=name)

@@ -32,6 +32,9 @@ ROW_SCHEMA = T.StructType([
     T.StructField("active", T.BooleanType()),
     T.StructField("row_index", T.LongType()),
     T.StructField("cells", T.ArrayType(T.StringType())),
+    # the sheet's first row (its header) on every row: no self-join needed
+    T.StructField("header_row", T.LongType()),
+    T.StructField("header", T.ArrayType(T.StringType())),
 ])
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -94,9 +97,10 @@ def _serial_text(v: str, date1904: bool) -> str:
     return str(base + datetime.timedelta(microseconds=round(serial * 86400 * 1e6)))
 
 
-def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str | None]]]:
-    """(sheet_idx, sheet name, is active, 1-based row number, cells) for every
-    row of each sheet's used range, cells padded to the used columns."""
+def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str | None], int, list[str | None]]]:
+    """(sheet_idx, sheet name, is active, 1-based row number, cells, header row
+    number, header cells) for every row of each sheet's used range, cells
+    padded to the used columns."""
     zf = zipfile.ZipFile(io.BytesIO(data))
     names = set(zf.namelist())
     shared: list[str] = []
@@ -154,9 +158,11 @@ def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str |
             c1 = max(max(c) for c in grid.values())
         else:
             r0 = r1 = c0 = c1 = 1
+        first = grid.get(r0, {})
+        header = [first.get(i) for i in range(c0, c1 + 1)]
         for rnum in range(r0, r1 + 1):
             cells = grid.get(rnum, {})
-            yield idx, sh.get("name"), idx == active, rnum, [cells.get(i) for i in range(c0, c1 + 1)]
+            yield idx, sh.get("name"), idx == active, rnum, [cells.get(i) for i in range(c0, c1 + 1)], r0, header
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +173,19 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for p, data in zip(paths, contents):
             if data is None:
                 continue
-            for idx, name, act, rnum, cells in workbook_rows(data):
+            for idx, name, act, rnum, cells, hrow, header in workbook_rows(data):
                 out["path"].append(p)
                 out["sheet_idx"].append(idx)
                 out["sheet"].append(name)
                 out["active"].append(act)
                 out["row_index"].append(rnum)
                 out["cells"].append(cells)
+                out["header_row"].append(hrow)
+                out["header"].append(header)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
             ("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("active", pa.bool_()),
-            ("row_index", pa.int64()), ("cells", pa.list_(pa.string()))]))
+            ("row_index", pa.int64()), ("cells", pa.list_(pa.string())), ("header_row", pa.int64()),
+            ("header", pa.list_(pa.string()))]))
 
 
 def parse_xlsx(files: DataFrame) -> DataFrame:
@@ -197,10 +206,9 @@ def xlsx_table(rows: DataFrame, columns: Sequence[str], sheet: str | None = None
     its last column; short rows are padded with null.
     """
     chosen = rows.where(F.col("sheet") == sheet) if sheet is not None else rows.where(F.col("active"))
-    heads = (chosen.groupBy("path", "sheet_idx")
-             .agg(F.min_by("cells", "row_index").alias("_hdr"), F.min("row_index").alias("_hrow"))
-             .withColumn("_hdr", normalize_headers("_hdr")))
-    body = chosen.join(heads, on=["path", "sheet_idx"]).where(F.col("row_index") > F.col("_hrow"))
+    # A projection: every row already carries its sheet's header.
+    body = (chosen.where(F.col("row_index") > F.col("header_row"))
+            .withColumn("_hdr", normalize_headers("header")))
     rev = F.reverse(F.col("_hdr"))
     out = [F.col("path"), F.col("sheet"), F.col("row_index")]
     for name in columns:

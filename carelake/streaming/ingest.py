@@ -55,7 +55,7 @@ def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_r
     from carelake.sources.xlsx import parse_xlsx
     files = spark.read.format("binaryFile").load(paths)
     rows = parse_xlsx(files).where(F.col("sheet_idx") == 0)
-    heads = rows.groupBy("path").agg(F.min_by("cells", "row_index").alias("hdr"), F.min("row_index").alias("hrow"))
+    heads = rows.where(F.col("row_index") == F.col("header_row")).select("path", F.col("header").alias("hdr"))
     written = 0
     groups: dict[tuple, list[str]] = {}
     for r in heads.collect():
@@ -63,8 +63,7 @@ def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_r
     for hdr, group in groups.items():
         names = _column_names(list(hdr))
         sig = hashlib.sha256("\x1f".join(names).encode()).hexdigest()[:16]
-        body = (rows.where(F.col("path").isin(group)).join(heads.select("path", "hrow"), "path")
-                .where(F.col("row_index") > F.col("hrow")))
+        body = rows.where(F.col("path").isin(group) & (F.col("row_index") > F.col("header_row")))
         key = source_key(F.col("path"), upload_root)
         wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
                            key.alias("_source_key"))
