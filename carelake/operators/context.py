@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.functions.text import truncate_text
+from carelake.session import checkpoint_root
 from carelake.operators.scan import prefix_sum
 
 # Limits and the marker texts of the question handler.
@@ -33,7 +34,8 @@ def file_context(docs: DataFrame, text: str = "text", limit: int | None = SINGLE
 
 def combined_context(requests: DataFrame, docs: DataFrame, request: str = "request_id",
                      ord_: str = "ord", key: str = "key", text: str = "text",
-                     final_limit: int | None = SINGLE_LIMIT, bucket_size: int = 4096) -> DataFrame:
+                     final_limit: int | None = SINGLE_LIMIT, bucket_size: int = 4096,
+                     materialize: bool = True) -> DataFrame:
     """One context per request from its files, in request order.
 
     Per-file limit ``max(8000, 120000 // n)``; each block is a ruled
@@ -46,6 +48,11 @@ def combined_context(requests: DataFrame, docs: DataFrame, request: str = "reque
     spread over many tasks) and the total length are integers.  Only blocks
     that start before ``final_limit`` are joined with their text and
     concatenated, so no request ever becomes one unbounded string.
+
+    The per-file layout table (keys and integers only) feeds the totals, the
+    offsets and the final selection; with ``materialize`` it is checkpointed
+    once into the shared checkpoint folder, so the documents' text is read
+    only twice (lengths, kept blocks) instead of once per consumer.
     """
     counts = requests.groupBy(request).agg(F.count(F.lit(1)).alias("n_files"))
     per_file = F.greatest(F.lit(COMBINED_FLOOR), F.floor(F.lit(COMBINED_BUDGET) / F.col("n_files")).cast("int"))
@@ -58,6 +65,9 @@ def combined_context(requests: DataFrame, docs: DataFrame, request: str = "reque
                  .otherwise(F.col("_tlen")))
     header_len = F.lit(2 * len(RULE) + len("\nFILE: ") + 2) + F.length(F.col(key).cast("string"))
     meta = meta.withColumn("_len", header_len + body_len + F.lit(len(BLOCK_SEPARATOR)))
+    if materialize:
+        checkpoint_root(meta.sparkSession)
+        meta = meta.checkpoint(eager=True)
     totals = meta.groupBy(request, "n_files").agg(
         (F.sum("_len") - F.lit(len(BLOCK_SEPARATOR))).alias("full_length"))
     if final_limit is not None:
