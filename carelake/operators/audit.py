@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.operators.scan import carry_last
+from carelake.session import checkpoint_root
 
 CODE_LIFE_S = 300
 STATUSES = ("success", "incorrect", "expired", "no_session", "bad_request")
 
 
-def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600) -> DataFrame:
+def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600,
+                 materialize: bool = True) -> DataFrame:
     """issues: (email, code_hash, user_sub, issued_s, expiry_s, issue_id);
     attempts: (email, code_hash, attempt_s, attempt_id).  One row per attempt.
 
@@ -26,7 +28,10 @@ def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600) -
     attempt is a bucketed as-of scan (see :mod:`carelake.operators.scan`), and
     "already consumed" compares with the first consuming attempt of that code
     (a partial aggregate).  Attempts with a blank e-mail or code stay in the
-    timeline, answer ``bad_request`` and never touch a code.
+    timeline, answer ``bad_request`` and never touch a code.  The per-attempt
+    lookups feed both the consumption aggregate and its join; with
+    ``materialize`` they are checkpointed once (shared checkpoint folder)
+    instead of re-scanning the logs for each.
     """
     bad = (F.coalesce(F.col("email"), F.lit("")) == "") | (F.coalesce(F.col("code_hash"), F.lit("")) == "")
     issue_type = "struct<issue_id:bigint,code_hash:string,expiry_s:bigint,user_sub:string>"
@@ -49,6 +54,9 @@ def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600) -
                        .when(F.col("t") > F.col("_cur.expiry_s"), F.lit("expired"))
                        .when(F.col("code_hash") != F.col("_cur.code_hash"), F.lit("incorrect"))
                        .otherwise(F.lit("success")).alias("_raw")))
+    if materialize:
+        checkpoint_root(looked.sparkSession)
+        looked = looked.checkpoint(eager=True)
     consumes = F.col("_raw").isin("success", "expired")
     first = (looked.where(consumes)
              .groupBy("email", "issue_id")
