@@ -73,3 +73,18 @@ def q_combined(spark, sf):
     orders = table(spark, sf, "orders")
     files = [orders.where(F.col("o_orderpriority") == f) for f in COMBINED_FILES]
     return R.combined(files, _file_aggs())
+
+
+@register("projection_months", f"""
+WITH m AS ({_MONTHLY_SQL}),
+y AS (
+  SELECT year, COUNT(*) AS n, MAX(month) AS last_month,
+         regr_slope(CAST(revenue AS DOUBLE), CAST(month AS DOUBLE)) AS b,
+         regr_intercept(CAST(revenue AS DOUBLE), CAST(month AS DOUBLE)) AS a
+  FROM m GROUP BY year)
+SELECT year, CAST(month AS INTEGER) AS month, CAST(round(a + b * month, 2) AS DECIMAL(38,2)) AS projected
+FROM y, LATERAL (SELECT unnest(generate_series(last_month + 1, 12)) AS month)
+WHERE n >= 2 AND last_month < 12""")
+def q_projection_months(spark, sf):
+    """The fitted figure for each month after the last observed one."""
+    return R.projection_months(monthly(spark, sf))
