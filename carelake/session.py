@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -62,13 +63,33 @@ def apply_runtime_conf(spark: SparkSession) -> None:
                 spark.conf.set(k, v)
             except Exception:  # static conf on a shared session
                 pass
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: functions that run there are pickled by
+    reference, and executors need not have the package installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_carelake_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="carelake-pkg-"), "carelake_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.join("carelake", os.path.relpath(f, top)))
+    sc.addPyFile(path)
+    sc._carelake_shipped = True
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment (a shared filesystem or object
-    store).  Only when it is unset -- local runs and tests -- do we create one.
+    store).  Only when it is unset in local mode (one machine, as in tests) do
+    we create one; elsewhere executors could not see it, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -76,6 +97,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="carelake-ckpt-")
     sc.setCheckpointDir(conf)
     got = sc.getCheckpointDir() or conf
