@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, mixing, quality, sharding
+from carelake.llm import chat, mixing, neardup, quality, sharding
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"),
                       F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
+
+
+@register("op9_bottom_k_near_duplicates")
+def op9_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
