@@ -22,6 +22,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts go through Arrow: small batches bound the memory of a worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Keyed stream state (per phone, per e-mail) lives in RocksDB, off heap and
     # spilled to local disk, so state larger than executor memory is fine.
@@ -56,9 +59,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Session-level SQL settings that can be applied to an existing session."""
+    """Session-level SQL settings applied to an existing session.
+
+    Sizes and switches that the deployment has set for its own hardware stay;
+    the time zone and the overwrite mode are needed for right results.
+    """
+    given = spark.sparkContext.getConf()
     for k, v in DEFAULT_CONF.items():
-        if k.startswith("spark.sql.") and k != "spark.sql.execution.arrow.pyspark.enabled":
+        needed = k in ("spark.sql.session.timeZone", "spark.sql.sources.partitionOverwriteMode")
+        if k.startswith("spark.sql.") and k != "spark.sql.execution.arrow.pyspark.enabled" and (needed or not given.contains(k)):
             try:
                 spark.conf.set(k, v)
             except Exception:  # static conf on a shared session
