@@ -36,6 +36,7 @@ K = 64
 SHINGLE = 5
 PERCENT = 85
 LONG = 32     # longest list whose pairs are all made
+PAIRS = 64    # pairs whose sets a worker holds at a time
 BLOCK = 512   # members of a long list that one task compares with as many others
 MISS = 1e-10
 
@@ -124,7 +125,7 @@ def _estimate(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(a, b) of the pairs whose full sets meet the threshold; the texts are read whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, b.num_rows, PAIRS)):
             both = [[shingle_set(w.hash[w.row(r)], shingle) for w in words(batch.column(c), NON_SPACE) for r in range(w.hi - w.lo)]
                     for c in (2, 3)]
             ok = []
