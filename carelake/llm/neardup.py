@@ -156,11 +156,41 @@ def _leader_pairs(hot: DataFrame, seeds: range) -> DataFrame:
     return p.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
-def _pairs_of_long_lists(hot: DataFrame, reps: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that meet on a long list and share enough retained values.
+def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set): all shingle hashes of a text, sorted, made like those of the sketches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column(1), NON_SPACE):
+                sets = [(shingle_set(w.hash[w.row(r)], shingle) >> np.uint64(1)).astype(np.int64) for r in range(w.hi - w.lo)]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo),
+                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["rep", "set"])
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, set array<long>")
+
+
+def _shared(values: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the arrays share; a bounded number of columns at a time."""
+    n = len(values)
+    row = np.repeat(np.arange(n), [len(x) for x in values])
+    _, col, many = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    row, col = row[many[col] > 1], col[many[col] > 1]
+    col = np.unique(col, return_inverse=True)[1]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(col.max(initial=-1)) + 1, 4096):
+        part = (col >= lo) & (col < lo + 4096)
+        m = np.zeros((n, 4096), np.float32)
+        m[row[part], col[part] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _links_of_long_lists(hot: DataFrame, sets: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between different components whose texts meet on a long list; enough to join what is linked.
 
     The largest component of a list is never compared with itself.  The others
-    are dealt into blocks by a hash; a task compares two blocks.
+    are dealt into blocks by a hash; a task compares two blocks: the sketches
+    drop most pairs, a pair counts on its first common list only, and the full
+    sets confirm the rest.  Only a link that joins something becomes a row.
     """
     h = _with_component(hot, comps, "rep", "comp")
     sizes = h.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(
@@ -174,31 +204,40 @@ def _pairs_of_long_lists(hot: DataFrame, reps: DataFrame, comps: DataFrame, k: i
         transform(sequence(0, nm - 1), j -> struct(1 as kind, mine as i, j as j)))
         else transform(sequence(0, nr - 1), i -> struct(1 as kind, i as i, mine as j)) end""")
     dealt = h.select("v", "rep", "comp", "rest", F.explode(to).alias("t")).select("v", "t.kind", "t.i", "t.j", "rep", "comp", "rest")
-    dealt = dealt.join(reps.select("rep", "n", "sketch"), "rep")
-    least = [min(math.ceil(n * percent / 100), least_matches(k, percent)) for n in range(k + 1)]
+    lists = hot.groupBy("rep").agg(F.collect_set("v").alias("on"))  # at most k
+    dealt = dealt.join(sets.join(lists, "rep"), "rep")
+    least = np.array([min(math.ceil(n * percent / 100), least_matches(k, percent)) for n in range(k + 1)])
 
     def compare(df):
         import pandas as pd
-        n, comp, rest, rep = df["n"].to_numpy(), df["comp"].to_numpy(), df["rest"].to_numpy(), df["rep"].to_numpy()
-        size = np.array([len(s) for s in df["sketch"]])
-        row = np.repeat(np.arange(len(df)), size)
-        _, col, many = np.unique(np.concatenate(df["sketch"].to_list()), return_inverse=True, return_counts=True)
-        keep = many[col] > 1
-        row, (_, col) = row[keep], np.unique(col[keep], return_inverse=True)
-        shared = np.zeros((len(df), len(df)), np.float32)
-        for lo in range(0, int(col.max(initial=-1)) + 1, 4096):  # so many values at a time
-            part = (col >= lo) & (col < lo + 4096)
-            m = np.zeros((len(df), 4096), np.float32)
-            m[row[part], col[part] - lo] = 1
-            shared += m @ m.T
-        need = np.array(least)[np.minimum(n, k)]
-        ok = (shared >= np.maximum(need[:, None], need[None, :])) & (comp[:, None] != comp[None, :])
-        ok &= (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        full = [np.asarray(x) for x in df["set"]]
+        n = np.array([len(x) for x in full])
+        comp, rest, rep, v = df["comp"].to_numpy(), df["rest"].to_numpy(), df["rep"].to_numpy(), df["v"].iloc[0]
+        need = least[np.minimum(n, k)]
+        ok = np.triu(_shared([x[:k] for x in full]) >= np.maximum(need[:, None], need[None, :]), 1)
+        ok &= (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
         if df["kind"].iloc[0] == 1:
             ok &= rest[:, None] != rest[None, :]
-        x, y = np.nonzero(np.triu(ok, 1))
-        return pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
-    return dealt.groupBy("v", "kind", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+        ok &= _shared([np.asarray([y for y in x if y < v], np.int64) for x in df["on"]]) == 0
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+        a, b = [], []
+        for x, y in zip(*np.nonzero(ok)):
+            cx, cy = find(comp[x]), find(comp[y])
+            if cx == cy:
+                continue
+            common = len(np.intersect1d(full[x], full[y], assume_unique=True))
+            if 100 * common >= percent * (n[x] + n[y] - common):
+                root[cx] = cy
+                a.append(min(rep[x], rep[y]))
+                b.append(max(rep[x], rep[y]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return dealt.groupBy("v", "kind", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle: int = SHINGLE, long: int = LONG) -> DataFrame:
@@ -230,15 +269,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle
     lead = _estimate(_leader_pairs(hot, range(1)), reps, k, percent)
     comps = components(linked(best.unionByName(lead).distinct()))
     # 2: whatever pairs of short lists are still apart, and more leaders
-    more = _estimate(_apart(_leader_pairs(hot, range(1, 4)), comps), reps, k, percent)
+    more = _estimate(_apart(_leader_pairs(hot, range(1, 3)), comps), reps, k, percent)
     rest = _apart(cold.select("a", "b"), comps).unionByName(more).distinct()
     stars = comps.select(F.col("v").alias("a"), F.col("u").alias("b"))
     comps = components(linked(rest).unionByName(stars))
-    # 3: pairs of long lists that are still apart
-    far = cut(_estimate(_pairs_of_long_lists(hot, reps, comps, k, percent), reps, k, percent))
+    # 3: what is still apart on long lists
+    sets = _full_sets(texts.join(hot.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+    far = cut(_links_of_long_lists(hot, sets, comps, k, percent))
     if not far.isEmpty():
         stars = comps.select(F.col("v").alias("a"), F.col("u").alias("b"))
-        comps = components(linked(far).unionByName(stars))
+        comps = components(far.unionByName(stars))
     labels = _with_component(reps.select("digest", "rep"), comps, "rep", "component")
     # rows with one id and several sets are one node already; equal sets are one class
     out = s.select("doc_id", "n", "digest").join(labels.select("digest", "component"), "digest", "left")
