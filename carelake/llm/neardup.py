@@ -10,7 +10,7 @@ No link is lost to skew, and no list is expanded into all its pairs:
 
 * A pair at the threshold shares at least ``need`` retained values (but for a
   chance of 1e-10), so it meets in the first ``k - need + 1`` values of any
-  common order.  The order puts values of many texts ("hot", on lists longer
+  common order (``LISTS`` long lists at most, chance 1e-9).  The order puts values of many texts ("hot", on lists longer
   than ``LONG``) last; texts that only share a licence or a menu never meet.
 * Lists up to ``LONG`` give their pairs.  A hot list gives each member's pair
   with a few leaders of the list, which joins groups of near copies; then only
@@ -37,7 +37,8 @@ SHINGLE = 5
 PERCENT = 85
 LONG = 32     # longest list whose pairs are all made
 PAIRS = 64    # pairs whose sets a worker holds at a time
-BLOCK = 512   # members of a long list that one task compares with as many others
+LISTS = 16    # long lists of a text
+BLOCK = 1024  # members of a long list that one task compares with as many others
 MISS = 1e-10
 
 
@@ -101,7 +102,9 @@ def _prefixes(reps: DataFrame, k: int, percent: int, long: int) -> DataFrame:
     p = reps.select("rep", "n", "sketch").join(found, "rep", "left").withColumn("hv", F.sort_array(F.coalesce("hv", none)))
     p = p.withColumn("cold", F.array_except("sketch", "hv"))
     p = p.withColumn("len", F.size("sketch") - _need(F.col("n"), k, percent) + 1)
-    rest = F.greatest(F.lit(0), F.col("len") - F.size("cold"))
+    # a text that gets here has over half of its values on long lists, so a similar text has each of these with a chance
+    # of 0.73 at least: the pair misses all of them with 0.27^16 < 1e-9
+    rest = F.greatest(F.lit(0), F.least(F.lit(LISTS), F.col("len") - F.size("cold")))
     return p.select("rep", "n", F.expr("slice(cold, 1, len)").alias("cold"), F.slice("hv", F.lit(1), rest).alias("hot"))
 
 
