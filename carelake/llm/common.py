@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle and checkpoint files of finished steps (Spark frees them when their owners are collected)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def only(df: DataFrame, ids: DataFrame, on: str, bound: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids`` (one column): ids are broadcast up to ``bound`` rows, else shuffled."""
+    ids = cut(ids.distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= bound else ids, on, "left_semi")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body`` (a lambda body otherwise re-evaluates what it names)."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import cut, union_all
+from carelake.llm.common import cut, only, tidy
 from carelake.llm.graph import components
 from carelake.llm.words import NON_SPACE, shingle_set, words
 
@@ -118,6 +118,10 @@ def _pairs_of_short_lists(pre: DataFrame, percent: int) -> DataFrame:
     return lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
 
 
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias(name))
+
+
 def _estimate(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that their sketches admit."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -252,17 +256,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle
     kept with a null component.  Rows with one doc_id are one node; an empty
     table gives an empty result; other columns are left out.
     """
+    spark = docs.sparkSession
     s = cut(sketches(docs, k, shingle))
     reps = cut(s.where("n > 0 and doc_id is not null").groupBy("digest")
                .agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
+    classes = reps.select("digest", "rep")
+    tidy(spark)
     pre = cut(_prefixes(reps, k, percent, long))
+    tidy(spark)
     hot = cut(pre.select("rep", "n", F.explode("hot").alias("v")))
-    cold = cut(_estimate(_pairs_of_short_lists(pre, percent), reps, k, percent))
-    # only texts that a pair needs are shuffled, and once
-    wanted = union_all([cold.select(F.col("a").alias("doc_id")), cold.select(F.col("b").alias("doc_id")),
-                        hot.select(F.col("rep").alias("doc_id"))]).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", F.xxhash64("text").alias("_h")).agg(F.any_value("text").alias("text"))
+    near = cut(_pairs_of_short_lists(pre, percent))
+    # from here on only sketches and texts that a pair needs are shuffled
+    reps = cut(only(reps, _ends(near, "rep").unionByName(hot.select("rep")), "rep").drop("digest"))
+    cold = cut(_estimate(near, reps, k, percent))
+    wanted = _ends(cold, "doc_id").unionByName(hot.select(F.col("rep").alias("doc_id")))
+    texts = (only(docs.select("doc_id", "text"), wanted, "doc_id")
+             .groupBy("doc_id", F.xxhash64("text").alias("_h")).agg(F.any_value("text").alias("text")))
     texts = cut(texts.select("doc_id", "text"))
+    tidy(spark)
 
     def linked(pairs: DataFrame) -> DataFrame:
         return _confirm(pairs, texts, percent, shingle)
@@ -276,13 +287,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle
     rest = _apart(cold.select("a", "b"), comps).unionByName(more).distinct()
     stars = comps.select(F.col("v").alias("a"), F.col("u").alias("b"))
     comps = components(linked(rest).unionByName(stars))
+    tidy(spark)
     # 3: what is still apart on long lists
     sets = _full_sets(texts.join(hot.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
     far = cut(_links_of_long_lists(hot, sets, comps, k, percent))
     if not far.isEmpty():
         stars = comps.select(F.col("v").alias("a"), F.col("u").alias("b"))
         comps = components(far.unionByName(stars))
-    labels = _with_component(reps.select("digest", "rep"), comps, "rep", "component")
+    labels = _with_component(classes, comps, "rep", "component")
     # rows with one id and several sets are one node already; equal sets are one class
     out = s.select("doc_id", "n", "digest").join(labels.select("digest", "component"), "digest", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
