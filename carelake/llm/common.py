@@ -36,6 +36,17 @@ def only(df: DataFrame, ids: DataFrame, on: str, bound: int = 2_000_000) -> Data
     return df.join(F.broadcast(ids) if ids.count() <= bound else ids, on, "left_semi")
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows named by ``bad`` (doc_id, key): the id, null or not, and the text's hash."""
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    named = docs.withColumn("_k", text_key())
+    return named.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body`` (a lambda body otherwise re-evaluates what it names)."""
     return F.transform(F.array(value), body)[0]

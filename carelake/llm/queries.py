@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, mixing, neardup, quality, sharding
+from carelake.llm import chat, language, mixing, neardup, quality, sharding, winnow
 from carelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,34 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_bottom_k_near_duplicates")
 def op9_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_language_mixture")
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score",
+                        F.concat_ws(",", F.transform("mixture", lambda m: m["lang"])).alias("languages"))
+
+
+@register("op5_winnowing", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') g
+       FROM b, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) s(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') g
+       FROM d, (SELECT DISTINCT m FROM bw), unnest(generate_series(1, len(w) - m + 1)) s(i) WHERE len(w) >= m),
+hit AS (SELECT doc_id, item_id, i, m FROM dw JOIN bw USING (m, g)),
+n AS (SELECT doc_id, count(DISTINCT i + j) n_hit FROM hit, unnest(generate_series(0, m - 1)) s(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) n_items, string_agg(x, ',' ORDER BY x) x
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
+       sha256(coalesce(x, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.hit_words(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
