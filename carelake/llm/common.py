@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_uri(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder; whoever writes first creates it."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of the shuffle and checkpoint files of finished steps (Spark frees them when their owners are collected)."""
     gc.collect()

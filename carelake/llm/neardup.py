@@ -305,5 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The documents that stay: one row of every group, and every row without an id; columns unchanged."""
     kept = near_duplicates(docs, **params).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, language, mixing, neardup, quality, sharding, winnow
-from carelake.llm.common import table
+from carelake.llm import chat, html_blocks, language, mixing, neardup, quality, sharding, tokens, warc, winnow
+from carelake.llm.common import scratch_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +124,27 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.hit_words(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op4_block_tree")
+def op4_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
+@register("op1_warc_members", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) d FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) keeper FROM p)
+SELECT page_id, n::BIGINT payload_bytes, d payload_digest, CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END refers_to FROM k
+""")
+def op1_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(table(spark, sf_dir, "pages"), scratch_uri(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op6_token_spans")
+def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token that crosses a line's end counts where it begins."""
+    out = tokens.attribute(table(spark, sf_dir, "documents"), rule="first")
+    return out.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")

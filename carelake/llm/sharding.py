@@ -6,7 +6,7 @@ min/max statistics of its files prune on any of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.llm.common import cut, ranked
@@ -112,13 +112,26 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     return hilbert_shards(cut(document_metadata(docs)), shards, ["lang", "source"], ["size"], ["text_crc32", "size", "doc_id"])
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """The documents themselves as Parquet, a folder per shard, rows in curve order, files cut at row groups.
+def place_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """The documents with ``shard`` and ``slot`` (columns of that name are replaced), rows dealt and sorted in that order.
 
-    ``doc_id`` must name rows; a row without it stays, in shard 0.
+    Equal rows are numbered on both sides, so each gets a slot of its own; the
+    texts are shuffled to meet their place, and once more into order.
     """
-    meta = shard_documents(docs, shards)
-    place = meta.groupBy("doc_id").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    (docs.drop("shard", "slot").join(place, "doc_id", "left").fillna({"shard": 0, "slot": 0})
-     .repartitionByRange(4 * shards, "shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.mode("overwrite").partitionBy("shard").parquet(path))
+    one = Window.partitionBy("_id", "text_crc32").orderBy("_slot")
+    key = F.struct("doc_id").alias("_id")  # a null id is a value too
+    meta = shard_documents(docs, shards).withColumn("_slot", F.struct("shard", "slot"))
+    meta = meta.select(key, "text_crc32", "_slot").withColumn("_copy", F.row_number().over(one))
+    rows = docs.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot", "text_crc32")], key,
+                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    # rows of one id and checksum: ordered by what else tells them apart
+    same = Window.partitionBy("_id", "text_crc32").orderBy("lang", "source")
+    rows = rows.withColumn("_copy", F.row_number().over(same)).join(meta, ["_id", "text_crc32", "_copy"])
+    rows = rows.select("*", "_slot.shard", "_slot.slot").drop("_id", "text_crc32", "_copy", "_slot")
+    n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+    """The documents as Parquet, a folder per shard, rows in curve order: file statistics prune on every dimension."""
+    place_documents(docs, shards).write.mode("overwrite").partitionBy("shard").parquet(path)
