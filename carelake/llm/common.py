@@ -36,21 +36,30 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def only(df: DataFrame, ids: DataFrame, on: str, bound: int = 2_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in ``ids`` (one column): ids are broadcast up to ``bound`` rows, else shuffled."""
-    ids = cut(ids.distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= bound else ids, on, "left_semi")
+#: rows of keys that may be broadcast (some tens of MB); beyond, the join shuffles
+BROADCAST_ROWS = 2_000_000
 
 
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def checked(keys: DataFrame) -> DataFrame:
+    """Distinct keys, cut, marked for broadcast if they are few enough."""
+    keys = cut(keys.distinct())
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def only(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids`` (one column)."""
+    return df.join(checked(ids), on, "left_semi")
+
+
+def text_key(column: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` without the rows named by ``bad`` (doc_id, key): the id, null or not, and the text's hash."""
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    named = docs.withColumn("_k", text_key())
-    return named.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti").drop("_k")
+    bad = checked(bad.select("doc_id", "key")).alias("b")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (text_key("d.text") == F.col("b.key"))
+    return docs.alias("d").join(bad, same, "left_anti").select(*docs.columns)
 
 
 def let(value: Column, body) -> Column:

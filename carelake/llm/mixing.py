@@ -39,11 +39,10 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     per = (per.withColumn("_all", F.sum("source_size").over(everything) * F.lit(budget))
            .withColumn("_full", F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
            .withColumn("_open", F.sum("_w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-           .withColumn("_level", (F.col("_all") - F.col("_full")) / F.col("_open")))
+           .withColumn("_level", (F.col("_all") - F.col("_full")) / F.col("_open")).withColumn("_turn", F.row_number().over(order)))
     # the first source whose own level leaves it below its cap sets the level of all after it
     stops = F.col("_level") <= F.col("_cap") / F.col("_w")
-    per = per.withColumn("_lv", F.min(F.when(stops, F.struct(F.col("_cap") / F.col("_w"), "_level")))
-                         .over(everything)["_level"])
+    per = per.withColumn("_lv", F.min(F.when(stops, F.struct("_turn", "_level"))).over(everything)["_level"])
     target = F.least(F.col("_cap"), F.coalesce(F.col("_lv"), F.lit(float("inf"))) * F.col("_w"))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -95,10 +94,9 @@ def mix_documents(docs: DataFrame, **recipe) -> DataFrame:
     plan = mix(document_sizes(docs), **recipe)
     copies = (F.col("epochs") + (F.col("extra") * 2 > F.col("size")).cast("long")).cast("int")
     # repeated rows of one id and text share a plan row
-    plan = (plan.select("doc_id", "_crc", copies.alias("_copies")).where("_copies > 0")
-            .groupBy("doc_id", "_crc").agg(F.max("_copies").alias("_copies")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_crc", F.crc32(text.cast("binary"))).alias("d").join(
-        plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._crc") == F.col("p._crc")))
-    return (out.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-            .drop("_copy"))
+    plan = (plan.select("doc_id", "_crc", copies.alias("copies")).where("copies > 0")
+            .groupBy("doc_id", "_crc").agg(F.max("copies").alias("copies")))
+    crc = F.crc32(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (crc == F.col("p._crc"))
+    out = docs.alias("d").join(plan.alias("p"), same)
+    return out.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("__copy")).drop("__copy")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import cut, only, tidy
+from carelake.llm.common import checked, cut, only, tidy
 from carelake.llm.graph import components
 from carelake.llm.words import NON_SPACE, shingle_set, words
 
@@ -304,8 +304,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The documents that stay: one row of every group, and every row without an id; columns unchanged."""
-    kept = near_duplicates(docs, **params).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = near_duplicates(docs, **params).where("not kept and doc_id is not null").select("doc_id")
+    stay = docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.where("doc_id is not null")
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stay
+    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))

@@ -75,7 +75,7 @@ def quantise_number(df: DataFrame, col: str, bits: int, out: str) -> DataFrame:
 
 def hilbert_shards(df: DataFrame, shards: int, text_dims: list[str], number_dims: list[str], tie: list[str],
                    bits: int = 5) -> DataFrame:
-    """Add ``curve``, ``shard`` and ``slot``: equal runs (row counts at most one apart) of the curve order.
+    """Add ``curve``, ``rank`` in its order, ``shard`` and ``slot``: equal runs (row counts at most one apart) of the curve order.
 
     ``tie`` orders rows within a curve cell.  Nulls in any column are a value
     of their own; an empty table gives an empty result.  ``df`` should hold
@@ -90,13 +90,15 @@ def hilbert_shards(df: DataFrame, shards: int, text_dims: list[str], number_dims
         axes.append(f"_q{i}")
     df = hilbert_index(df, axes, bits).drop(*axes)
     out = ranked(df, ["curve", *tie])
-    total = df.agg(F.count("*").alias("_all"))
-    out = out.crossJoin(F.broadcast(total))  # one row
-    # shard s holds the ranks floor(s * all / shards) <= rank < floor((s + 1) * all / shards)
-    shard = F.expr(f"((before + 1) * {shards} - 1) div _all")
-    return (out.withColumn("shard", shard.cast("int"))
-            .withColumn("slot", F.col("before") - F.expr(f"(cast(shard as long) * _all) div {shards}"))
-            .drop("before", "_all"))
+    out = out.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all"))))  # one row
+    return _cut_runs(out.withColumnRenamed("before", "rank"), shards, "rank", "_all").drop("_all")
+
+
+def _cut_runs(df: DataFrame, shards: int, rank: str, total: str) -> DataFrame:
+    """Add shard and slot: shard s holds the ranks floor(s * all / shards) <= rank < floor((s + 1) * all / shards)."""
+    shard = F.expr(f"(({rank} + 1) * {shards} - 1) div {total}")
+    return (df.withColumn("shard", shard.cast("int"))
+            .withColumn("slot", F.col(rank) - F.expr(f"(cast(shard as long) * {total}) div {shards}")))
 
 
 def document_metadata(docs: DataFrame) -> DataFrame:
@@ -107,29 +109,28 @@ def document_metadata(docs: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Documents' metadata with ``curve``, ``shard``, ``slot`` over (size, lang, source); ties by text, then id."""
+    """Documents' metadata with ``curve``, ``shard``, ``slot`` over (size, lang, source); ties by text, id, lang, source."""
     # cut: the texts are read once, the small rows as often as the order needs them
-    return hilbert_shards(cut(document_metadata(docs)), shards, ["lang", "source"], ["size"], ["text_crc32", "size", "doc_id"])
+    return hilbert_shards(cut(document_metadata(docs)), shards, ["lang", "source"], ["size"], ["text_crc32", "size", "doc_id", "lang", "source"])
 
 
 def place_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The documents with ``shard`` and ``slot`` (columns of that name are replaced), rows dealt and sorted in that order.
 
-    Equal rows are numbered on both sides, so each gets a slot of its own; the
-    texts are shuffled to meet their place, and once more into order.
+    Rows alike in id, checksum, lang and source stand side by side in the order,
+    so one small row per such group (its first rank) joins the texts.  Texts are
+    shuffled twice: to meet their rank, and into order.
     """
-    one = Window.partitionBy("_id", "text_crc32").orderBy("_slot")
-    key = F.struct("doc_id").alias("_id")  # a null id is a value too
-    meta = shard_documents(docs, shards).withColumn("_slot", F.struct("shard", "slot"))
-    meta = meta.select(key, "text_crc32", "_slot").withColumn("_copy", F.row_number().over(one))
-    rows = docs.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot", "text_crc32")], key,
-                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    # rows of one id and checksum: ordered by what else tells them apart
-    same = Window.partitionBy("_id", "text_crc32").orderBy("lang", "source")
-    rows = rows.withColumn("_copy", F.row_number().over(same)).join(meta, ["_id", "text_crc32", "_copy"])
-    rows = rows.select("*", "_slot.shard", "_slot.slot").drop("_id", "text_crc32", "_copy", "_slot")
+    key = F.struct("doc_id", "lang", "source").alias("__id")  # nulls are values too
+    meta = shard_documents(docs, shards)
+    first = meta.select(key, F.col("text_crc32").alias("__crc"), "rank").groupBy("__id", "__crc").agg(F.min("rank").alias("__first"))
+    rows = docs.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], key,
+                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("__crc"))
+    copy = F.row_number().over(Window.partitionBy("__id", "__crc").orderBy("__first"))
+    rows = rows.join(first, ["__id", "__crc"]).withColumn("__rank", F.col("__first") + copy - 1).withColumn("__all", F.lit(docs.count()))
+    rows = _cut_runs(rows, shards, "__rank", "__all").drop("__id", "__crc", "__first", "__all")
     n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
+    return rows.repartitionByRange(n, "__rank").sortWithinPartitions("__rank").drop("__rank")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
