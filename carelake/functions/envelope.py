@@ -31,7 +31,9 @@ def parse_envelope(df: DataFrame, raw: str = "raw", id_cols: Sequence[str] = ())
     else ``destinationIdentity``.  A bare message counts as one record.  One pass
     over the input: both shapes become a list of messages, exploded once.
     """
-    env = F.from_json(F.col(raw), ENVELOPE)
+    # parsed once, in a projection of its own: the fields below only refer to it
+    df = df.select(*id_cols, F.from_json(F.col(raw), ENVELOPE).alias("_env"))
+    env = F.col("_env")
     wrapped = F.transform(env["Records"], lambda r: F.from_json(r["Sns"]["Message"], INBOUND_FIELDS))
     bare = F.array(F.struct(*[env[f.name].alias(f.name) for f in INBOUND_FIELDS.fields]))
     msgs = F.when(env["Records"].isNotNull(), wrapped).otherwise(bare)

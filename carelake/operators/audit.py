@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.functions.text import normalize_email
 from carelake.operators.scan import carry_last
 from carelake.session import checkpoint_root
 
@@ -23,6 +24,7 @@ def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600,
                  materialize: bool = True) -> DataFrame:
     """issues: (email, code_hash, user_sub, issued_s, expiry_s, issue_id);
     attempts: (email, code_hash, attempt_s, attempt_id).  One row per attempt.
+    E-mails are stripped and lower-cased in both logs.
 
     Issues and attempts form one timeline per e-mail; the code in force at each
     attempt is a bucketed as-of scan (see :mod:`carelake.operators.scan`), and
@@ -33,7 +35,9 @@ def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600,
     ``materialize`` they are checkpointed once (shared checkpoint folder)
     instead of re-scanning the logs for each.
     """
-    bad = (F.coalesce(F.col("email"), F.lit("")) == "") | (F.coalesce(F.col("code_hash"), F.lit("")) == "")
+    email = normalize_email(F.coalesce(F.col("email"), F.lit("")))
+    issues, attempts = issues.withColumn("email", email), attempts.withColumn("email", email)
+    bad = (F.col("email") == "") | (F.coalesce(F.col("code_hash"), F.lit("")) == "")
     issue_type = "struct<issue_id:bigint,code_hash:string,expiry_s:bigint,user_sub:string>"
     timeline = (issues.select("email", F.col("issued_s").alias("t"), F.lit(0).alias("kind"),
                               F.col("issue_id").alias("id"),

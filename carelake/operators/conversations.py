@@ -88,7 +88,7 @@ def run_campaign(patients: DataFrame, convs: DataFrame, message_type: str = "bal
     The send outcome is the input column ``sent``; failed rows write nothing.
     """
     msgs = campaign_messages(patients, message_type, **msg_kw)
-    opted = convs.where(F.col("opt_out")).select(F.col("phone_number").alias("phone"), F.lit(True).alias("_opted"))
+    opted = convs.where(F.col("opt_out")).select(F.col("phone_number").alias("phone"), F.lit(True).alias("_opted")).distinct()
     marked = msgs.join(opted, on="phone", how="left") if respect_opt_out else msgs.withColumn("_opted", F.lit(None))
     attempts = marked.withColumn("outcome", F.when(F.col("phone").isNull(), "skipped")
                                  .when(F.coalesce(F.col("_opted"), F.lit(False)), "suppressed")
@@ -149,18 +149,27 @@ def with_patient(inbound: DataFrame, convs: DataFrame, phone: str = "phone") ->
              .drop("_known", "conversation_history"))
 
 
-def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = True) -> DataFrame:
+def _without_redeliveries(inbound: DataFrame) -> DataFrame:
+    """A message delivered twice is handled once.  Records of one envelope share
+    its ``msg_id``, so ``rec`` tells them apart; rows without an id are never merged."""
+    key = ["msg_id"] + (["rec"] if "rec" in inbound.columns else [])
+    return inbound.where(F.col("msg_id").isNotNull()).dropDuplicates(key).unionByName(inbound.where(F.col("msg_id").isNull()))
+
+
+def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = False) -> DataFrame:
     """Add ``command`` and ``opted_out_before``: the opt-out state just before
     each message (last STOP/START earlier for the phone, else the stored flag,
     else false), ordered by (ts, msg_id).
 
     The stored flag enters the bucketed scan as a virtual first event of its
     phone (a bucket before all others), so the message rows are never joined
-    with the stored table on the phone key.  A message delivered twice (same
-    ``msg_id``) is handled once when ``dedupe``.
+    with the stored table on the phone key.  ``dedupe`` handles a message that
+    is delivered twice once.  Records of one envelope (column ``rec``) follow
+    their order in it.
     """
     if dedupe:
-        inbound = inbound.dropDuplicates(["msg_id"])
+        inbound = _without_redeliveries(inbound)
+    order = ["ts", "msg_id"] + (["rec"] if "rec" in inbound.columns else [])
     staged = (inbound
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))
               .withColumn("command", C.classify_command("phone", "body"))
@@ -173,13 +182,13 @@ def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = True) -
         F.col("phone_number").alias("phone"), F.col("opt_out").alias("_flag"),
         F.lit(_FIRST_BUCKET).alias("_bucket"), F.lit(False).alias("_real"))
     timeline = staged.unionByName(stored, allowMissingColumns=True)
-    scanned = carry_last(timeline, ["phone"], ["ts", "msg_id"], "_bucket", "_flag", "_prev", inclusive=False)
+    scanned = carry_last(timeline, ["phone"], order, "_bucket", "_flag", "_prev", inclusive=False)
     return (scanned.where(F.col("_real"))
             .withColumn("opted_out_before", F.coalesce(F.col("_prev"), F.lit(False)))
             .drop("_flag", "_bucket", "_prev", "_real"))
 
 
-def inbound_actions(inbound: DataFrame, convs: DataFrame, dedupe: bool = True) -> DataFrame:
+def inbound_actions(inbound: DataFrame, convs: DataFrame, dedupe: bool = False) -> DataFrame:
     """ignore / opt_out / help / resubscribe / suppressed / reply per message.
     HELP is answered even when opted out."""
     t = optout_timeline(inbound, convs, dedupe=dedupe)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 _OPS = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "=": "__eq__", "!=": "__ne__"}
 
-# Thresholds above this row count are joined by shuffle, not broadcast.
-BROADCAST_MAX_ROWS = 100_000
-
 
 def lab_filter(dfs: Sequence[DataFrame], test: str, op: str, value: float,
                test_col: str = "test", value_col: str = "value") -> DataFrame:
@@ -24,16 +21,13 @@ def lab_filter(dfs: Sequence[DataFrame], test: str, op: str, value: float,
     return union.where((F.col(test_col) == test) & cmp)
 
 
-def critical_labs(labs: DataFrame, thresholds: DataFrame, test: str = "test",
-                  value: str = "value", max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def critical_labs(labs: DataFrame, thresholds: DataFrame, test: str = "test", value: str = "value") -> DataFrame:
     """Readings strictly outside their test's [low, high] range.
 
-    The threshold table is one row per test code; it is broadcast only after
-    its row count is checked, otherwise the join shuffles on ``test``.
+    The threshold table is one row per test code; Spark broadcasts it below its
+    own size limit and otherwise joins by shuffle, splitting hot tests.
     """
-    n = thresholds.limit(max_broadcast_rows + 1).count()
-    th = F.broadcast(thresholds) if n <= max_broadcast_rows else thresholds
-    j = labs.join(th, on=test, how="inner")
+    j = labs.join(thresholds, on=test, how="inner")
     return j.where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 

@@ -15,27 +15,30 @@ from pyspark.sql import functions as F
 
 from carelake.functions.history import HISTORY
 
-HISTORY_KEEP = 20  # messages kept in a stored conversation
 from carelake.plans.tables import table
 
+HISTORY_KEEP = 20  # messages kept in a stored conversation
+
 
 def phone_of(id_col: Column) -> Column:
-    """Fictional +1 602 555 xxxx number for an id."""
-    return F.concat(F.lit("+1602555"), F.lpad(id_col.cast("string"), 4, "0"))
+    """Fictional +1 602 555 xxxx number for an id; ids from 10,000 on count on from there, so each id has its own."""
+    return F.concat(F.lit("+1602"), (id_col.cast("long") + 5550000).cast("string"))
 
 
-PHONE_OF_SQL = "('+1602555' || lpad(CAST({x} AS VARCHAR), 4, '0'))"
+PHONE_OF_SQL = "('+1602' || CAST(CAST({x} AS BIGINT) + 5550000 AS VARCHAR))"
 
 
 # ---------------------------------------------------------------- patients --
 def patients(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
-    d = F.lpad((k % 1000).cast("string"), 4, "0")
-    shape = (F.when(k % 4 == 0, F.concat(F.lit("(602) 555-"), d))
-              .when(k % 4 == 1, F.concat(F.lit("1-602-555-"), d))
-              .when(k % 4 == 2, F.concat(F.lit("2-602-555-"), d))
-              .otherwise(F.concat(F.lit("555-"), d)))
+    # two patients share a number; the numbers grow with the table
+    n = (F.floor(k / 2) + 5550000).cast("string")
+    d = F.concat(F.substring(n, 1, 3), F.lit("-"), F.expr("substring(cast(floor(c_custkey / 2) + 5550000 as string), 4)"))
+    shape = (F.when(k % 4 == 0, F.concat(F.lit("(602) "), d))
+              .when(k % 4 == 1, F.concat(F.lit("1-602-"), d))
+              .when(k % 4 == 2, F.concat(F.lit("2-602-"), d))
+              .otherwise(d))
     dec = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
     amount = (F.when(k % 10 == 3, F.lit(None).cast("string"))
                .when(k % 10 == 5, F.lit(""))
@@ -69,11 +72,9 @@ patients AS (
     CASE WHEN c_custkey % 5 = 2 THEN shape END AS mobilenumber,
     c_custkey % 13 <> 4 AS sent
   FROM (SELECT *, CASE c_custkey % 4
-          WHEN 0 THEN '(602) 555-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0')
-          WHEN 1 THEN '1-602-555-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0')
-          WHEN 2 THEN '2-602-555-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0')
-          ELSE '555-' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0') END AS shape
-        FROM customer) c
+          WHEN 0 THEN '(602) ' || d WHEN 1 THEN '1-602-' || d WHEN 2 THEN '2-602-' || d ELSE d END AS shape
+        FROM (SELECT *, substr(n, 1, 3) || '-' || substr(n, 4) AS d
+              FROM (SELECT *, CAST(c_custkey // 2 + 5550000 AS VARCHAR) AS n FROM customer))) c
 )"""
 
 # SQL pieces mirroring the column functions on plain (space-only) data.

@@ -19,12 +19,15 @@ def logs(spark, sf, life_s: int = LIFE_S):
     email = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com"))
     secs = F.unix_seconds(F.col("ts").cast("timestamp"))
     code = F.sha2((k % 3).cast("string"), 256)
+    # attempts as typed: padded, in capitals, or no e-mail at all
+    typed = (F.when(F.col("event_id") % 41 == 0, F.lit("  ")).when(F.col("event_id") % 5 == 0, F.concat(F.lit(" "), F.upper(email), F.lit("\t")))
+             .otherwise(email))
     issues = e.where(F.col("event_type") == "signup").select(
         email.alias("email"), code.alias("code_hash"),
         F.concat(F.lit("sub-"), F.col("user_id").cast("string")).alias("user_sub"),
         secs.alias("issued_s"), (secs + F.lit(life_s)).alias("expiry_s"), F.col("event_id").alias("issue_id"))
     attempts = e.where(F.col("event_type") == "click").select(
-        email.alias("email"), F.when(F.col("value") < 1, F.lit("")).otherwise(code).alias("code_hash"),
+        typed.alias("email"), F.when(F.col("value") < 1, F.lit("")).otherwise(code).alias("code_hash"),
         secs.alias("attempt_s"), F.col("event_id").alias("attempt_id"))
     return issues, attempts
 
@@ -35,7 +38,8 @@ WITH ev AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 3
             FROM events),
 iss AS (SELECT email, code, 'sub-' || CAST(user_id AS VARCHAR) AS user_sub, s AS issued_s, s + {LIFE_S} AS expiry_s,
           event_id AS issue_id FROM ev WHERE event_type = 'signup'),
-att AS (SELECT email, CASE WHEN value < 1 THEN NULL ELSE code END AS code, s AS attempt_s, event_id AS attempt_id
+att AS (SELECT CASE WHEN event_id % 41 = 0 THEN '' ELSE email END AS email,
+               CASE WHEN value < 1 OR event_id % 41 = 0 THEN NULL ELSE code END AS code, s AS attempt_s, event_id AS attempt_id
         FROM ev WHERE event_type = 'click'),
 tl AS (SELECT email, issued_s AS t, 0 AS kind, issue_id AS id, issue_id AS iid FROM iss
        UNION ALL SELECT email, attempt_s, 1, attempt_id, NULL FROM att WHERE code IS NOT NULL),

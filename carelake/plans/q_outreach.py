@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelake import functions as C
+from carelake.functions.envelope import envelope_json, parse_envelope
 from carelake.operators import conversations as V
 from carelake.plans import derived as D
 from carelake.plans.registry import register
@@ -204,6 +205,32 @@ def q_inbound_actions(spark, sf):
     return _actions(spark, sf).select("msg_id", "phone", "command", "action")
 
 
+_ENVELOPE_SQL = f"""
+{D.INBOUND_SQL.strip()}, {D.CONV_ITEMS_SQL.strip()},
+rec AS (SELECT i.msg_id, i.ts, r.rec, CASE WHEN e.event_type = 'signup' THEN '' ELSE i.phone END AS phone,
+          CASE WHEN e.event_type = 'signup' THEN '' WHEN r.rec = 2 THEN 'second ' || trim(i.body) ELSE trim(i.body) END AS body
+        FROM inbound i JOIN events e ON e.event_id = i.msg_id
+        JOIN (SELECT 1 AS rec UNION ALL SELECT 2) r ON r.rec = 1 OR e.event_type = 'error'),
+cmd AS (SELECT *, {D.COMMAND_SQL.format(p='phone', b='body')} AS command FROM rec),
+tl AS (SELECT c.*, coalesce(last_value(CASE command WHEN 'stop' THEN true WHEN 'start' THEN false END IGNORE NULLS)
+         OVER (PARTITION BY c.phone ORDER BY ts, msg_id, rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         s.opt_out, false) AS opted_out_before
+       FROM cmd c LEFT JOIN conv_items s ON s.phone_number = c.phone)"""
+
+
+@register("envelope_actions", f"""
+WITH {_ENVELOPE_SQL}
+SELECT msg_id, rec, phone, command, CASE command WHEN 'ignore' THEN 'ignore' WHEN 'stop' THEN 'opt_out' WHEN 'help' THEN 'help'
+    WHEN 'start' THEN 'resubscribe' ELSE CASE WHEN opted_out_before THEN 'suppressed' ELSE 'reply' END END AS action
+FROM tl""")
+def q_envelope_actions(spark, sf):
+    """Envelopes as delivered -> records -> actions: every record of a message acts, redeliveries (none here) act once."""
+    ib = D.inbound(spark, sf, keep=("event_type",))
+    raw = ib.select("msg_id", "ts", envelope_json("event_type", "phone", "body").alias("raw"))
+    records = parse_envelope(raw, id_cols=["msg_id", "ts"])
+    return V.inbound_actions(records, D.conversation_items(spark, sf), dedupe=True).select("msg_id", "rec", "phone", "command", "action")
+
+
 @register("outbound_messages", f"""
 WITH {_TIMELINE_SQL}
 SELECT msg_id, phone, action,

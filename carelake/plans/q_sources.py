@@ -83,7 +83,7 @@ def q_uploads_table(spark, sf):
         "_filename": F.lit("orders.parquet"), "user_id": F.lit("u0"), "year": F.lit("2026"),
         "month": F.lit("06")})
     long = to_uploads(src, uploaded_at=F.lit("2026-06-01 00:00:00"))
-    write_lake(long, root, partition_cols=("user_id", "year", "month"))
+    write_lake(long, root)
     name = f"uploads_{root.rsplit('-', 1)[-1]}"
     t = register_uploads(spark, root, table=name)
     return t.select("row_index", "filename", "user_id", "year", "month",

@@ -24,12 +24,20 @@ CHUNKS = 3
 def _state_partitions(spark) -> int:
     """State partitions for a new stateful query: one per core of the cluster."""
     return max(8, spark.sparkContext.defaultParallelism)
-# Grace before a code's state is dropped; longer than any gap in the event log,
-# so the stream and the batch twin see the same codes.
-LOGIN_GRACE_S = 40 * 86400
 
 
-@register("stream_inbound", f"WITH {_TIMELINE_SQL} SELECT msg_id, phone, command, action FROM act")
+@register("stream_inbound", f"""
+WITH {_TIMELINE_SQL},
+hn AS (SELECT phone_number, count(*) AS n FROM conv_msgs GROUP BY 1),
+run AS (SELECT a.*, s.reply_count AS stored, s.opt_out AS stored_flag, coalesce(hn.n, 0) AS h,
+    count(*) FILTER (WHERE action = 'reply' AND sent) OVER w AS n,
+    last_value(CASE command WHEN 'stop' THEN true WHEN 'start' THEN false END IGNORE NULLS) OVER w AS flag
+  FROM act a LEFT JOIN conv_items s ON s.phone_number = a.phone LEFT JOIN hn ON hn.phone_number = a.phone
+  WINDOW w AS (PARTITION BY a.phone ORDER BY ts, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT msg_id, phone, command, action,
+  CAST(CASE WHEN n = 0 THEN stored ELSE coalesce(stored, 0) + n END AS INTEGER) AS reply_count,
+  coalesce(flag, stored_flag) AS opt_out, CAST(least(20, h + 2 * n) AS INTEGER) AS history_size
+FROM run""")
 def q_stream_inbound(spark, sf):
     root = scratch_dir(spark, "inbound-stream")
     src = D.inbound(spark, sf)
@@ -40,7 +48,7 @@ def q_stream_inbound(spark, sf):
     out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", src.schema), convs)
     run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt",
                       spark, _state_partitions(spark))
-    return spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out").select("msg_id", "phone", "command", "action")
+    return spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out")
 
 
 @register("stream_login", _AUDIT_SQL + " SELECT * FROM audit")
@@ -49,7 +57,7 @@ def q_stream_login(spark, sf):
     issues, attempts = logs(spark, sf)
     ev = SL.login_events(issues, attempts)
     write_time_chunks(ev, "t", f"{root}/in", CHUNKS)
-    out = SL.login_stream(stream_parquet(spark, f"{root}/in", ev.schema), grace_s=LOGIN_GRACE_S)
+    out = SL.login_stream(stream_parquet(spark, f"{root}/in", ev.schema))
     run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt",
                       spark, _state_partitions(spark))
     return spark.read.schema(SL.OUTPUT_SCHEMA).parquet(f"{root}/out")

@@ -30,19 +30,21 @@ def write_lake(df: DataFrame, root: str, partition_cols=FILE_PARTITIONS) -> int:
 
 def to_uploads(df: DataFrame, uploaded_at=None, file_col: str = "_source_key") -> DataFrame:
     """Long form of ingested rows: one JSON ``content`` per row with its
-    position in the file, the file name, upload time and partition keys."""
+    position in the file, the file name, upload time and partition keys.  The
+    file is a partition too: writing one never replaces its neighbours."""
     data_cols = [c for c in df.columns if c not in (*LAKE_PARTITIONS, "_source_key", "_filename")]
     numbered = with_row_index(df, file_col=file_col)
     ts = uploaded_at if uploaded_at is not None else F.current_timestamp()
     return numbered.select(
         "row_index", F.to_json(F.struct(*data_cols)).alias("content"), F.col("_filename").alias("filename"),
-        ts.cast("timestamp").alias("uploaded_at"), *LAKE_PARTITIONS)
+        ts.cast("timestamp").alias("uploaded_at"), *FILE_PARTITIONS)
 
 
 def register_uploads(spark: SparkSession, root: str, table: str = "uploads") -> DataFrame:
     """Catalog table over the long-form folder; partitions are discovered with
     ``MSCK REPAIR TABLE`` (rows are invisible before it)."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({UPLOADS_COLUMNS}, user_id STRING, year STRING, month STRING) "
-              f"USING parquet PARTITIONED BY (user_id, year, month) LOCATION '{root}'")
+    quoted = root.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({UPLOADS_COLUMNS}, user_id STRING, year STRING, month STRING, _filename STRING) "
+              f"USING parquet PARTITIONED BY (user_id, year, month, _filename) LOCATION '{quoted}'")
     spark.sql(f"MSCK REPAIR TABLE {table}")
     return spark.table(table)

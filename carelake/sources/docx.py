@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.functions.text import pystrip
+from carelake.sources.xlsx import CHUNK_ROWS, UNREADABLE
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 PARA_SCHEMA = T.StructType([
@@ -45,21 +46,22 @@ def paragraphs(data: bytes) -> list[str]:
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ps, idx, txt = [], [], []
-        for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+        for path, data in zip(b.column("path"), b.column("content")):
+            path, data = path.as_py(), data.as_py()
             if data is None:
                 continue
-            for i, t in enumerate(paragraphs(data)):
-                ps.append(p)
-                idx.append(i)
-                txt.append(t)
-        yield pa.RecordBatch.from_pydict({"path": ps, "para_idx": idx, "text": txt},
-                                         schema=pa.schema([("path", pa.string()), ("para_idx", pa.int64()),
-                                                           ("text", pa.string())]))
+            try:
+                texts = paragraphs(data)
+            except UNREADABLE:
+                continue   # one bad file never takes the others with it
+            for i in range(0, len(texts), CHUNK_ROWS):
+                part = texts[i:i + CHUNK_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(i, i + len(part)), pa.int64()),
+                                                  pa.array(part, pa.string())], ["path", "para_idx", "text"])
 
 
 def parse_docx(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> ``(path, para_idx, text)``."""
+    """``(path, content)`` -> ``(path, para_idx, text)``; a damaged file gives no rows."""
     return files.select("path", "content").mapInArrow(_parse_batches, PARA_SCHEMA)
 
 

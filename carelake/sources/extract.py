@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.functions.text import pystrip
+from carelake.functions.text import make_valid_text, pystrip
 from carelake.operators.context import SHEET_HEADER
 from carelake.sources.docx import paragraphs
-from carelake.sources.xlsx import workbook_rows
+from carelake.sources.xlsx import CHUNK_ROWS, UNREADABLE, workbook_rows
 
 # Fixed value: text given for a file whose format cannot be extracted here.
 UNSUPPORTED_TEXT = "[Could not extract text from this file type]"
+# Fixed value: text given for a file that is damaged.
+UNREADABLE_TEXT = "[Could not read this file]"
 NO_PARSER = ("pdf", "xls")
 
 LINE_SCHEMA = T.StructType([
@@ -41,49 +43,53 @@ def _ext(path: str) -> str:
     return name.rsplit(".", 1)[-1]
 
 
+def _file_lines(path: str, data: bytes) -> Iterator[tuple]:
+    """(kind, k1, k2, cells, text) of one workbook, document or unsupported file."""
+    ext = _ext(path)
+    if ext == "xlsx":
+        seen = set()
+        for idx, name, _active, rnum, cells, _hrow, _hdr in workbook_rows(data):
+            if idx not in seen:
+                seen.add(idx)
+                yield "sheet", idx, -1, None, name
+            yield "row", idx, rnum, cells, None
+    elif ext == "docx":
+        for i, t in enumerate(paragraphs(data)):
+            yield "para", 0, i, None, t
+    else:
+        yield "text", 0, 0, None, UNSUPPORTED_TEXT
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = {f: [] for f in _ARROW.names}
-
-        def emit(path, kind, k1, k2, cells=None, text=None):
-            out["path"].append(path)
-            out["kind"].append(kind)
-            out["k1"].append(k1)
-            out["k2"].append(k2)
-            out["cells"].append(cells)
-            out["text"].append(text)
-
-        for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            data = data or b""
-            ext = _ext(path)
-            emit(path, "file", -1, -1)   # keeps files whose text is empty
-            if ext == "xlsx":
-                seen = set()
-                for idx, name, _active, rnum, cells, _hrow, _hdr in workbook_rows(data):
-                    if idx not in seen:
-                        seen.add(idx)
-                        emit(path, "sheet", idx, -1, text=name)
-                    emit(path, "row", idx, rnum, cells=cells)
-            elif ext == "docx":
-                for i, t in enumerate(paragraphs(data)):
-                    emit(path, "para", 0, i, text=t)
-            elif ext in NO_PARSER:
-                emit(path, "text", 0, 0, text=UNSUPPORTED_TEXT)
-            else:
-                emit(path, "text", 0, 0, text=data.decode("utf-8", errors="replace"))
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+        for path, data in zip(b.column("path"), b.column("content")):
+            path = path.as_py()
+            try:
+                rows = list(_file_lines(path, data.as_py() or b""))
+            except UNREADABLE:
+                rows = [("text", 0, 0, None, UNREADABLE_TEXT)]
+            rows.insert(0, ("file", -1, -1, None, None))   # keeps files whose text is empty
+            for i in range(0, len(rows), CHUNK_ROWS):
+                part = [(path, *r) for r in rows[i:i + CHUNK_ROWS]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
 
 
 def extract_lines(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> one row per text line of each file."""
-    return files.select("path", "content").mapInArrow(_lines, LINE_SCHEMA)
+    """``(path, content)`` -> one row per text line of each workbook or document;
+    plain text stays in the JVM (one row per file, malformed bytes replaced)."""
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    parsed = F.element_at(F.split(name, r"\."), -1).isin("xlsx", "docx", *NO_PARSER)
+    plain = files.where(~parsed).select(
+        "path", F.lit("text").alias("kind"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
+        F.lit(None).cast("array<string>").alias("cells"), make_valid_text(F.coalesce("content", F.lit(b""))).alias("text"))
+    return files.where(parsed).select("path", "content").mapInArrow(_lines, LINE_SCHEMA).unionByName(plain)
 
 
 def extract_text(files: DataFrame) -> DataFrame:
     """``(path, content)`` -> ``(path, text)``.  Workbooks: a header line per
     sheet, rows tab-joined (null -> ''); documents: non-blank paragraphs;
-    PDF and legacy ``.xls``: the unsupported-type text; anything else: UTF-8
-    with malformed bytes replaced."""
+    PDF and legacy ``.xls``: the unsupported-type text; damaged files: the
+    unreadable text; anything else: UTF-8 with malformed bytes replaced."""
     lines = extract_lines(files)
     kind = F.col("kind")
     blank_para = (kind == "para") & (pystrip(F.col("text")) == "")

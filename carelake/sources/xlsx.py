@@ -14,6 +14,7 @@ import datetime
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
@@ -165,31 +166,32 @@ def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str |
             yield idx, sh.get("name"), idx == active, rnum, [cells.get(i) for i in range(c0, c1 + 1)], r0, header
 
 
+#: what a damaged or foreign file (a legacy .xls, say) makes the parser raise
+UNREADABLE = (zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, IndexError, AttributeError, EOFError, NotImplementedError)
+CHUNK_ROWS = 2000
+_ARROW = pa.schema([("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("active", pa.bool_()),
+                    ("row_index", pa.int64()), ("cells", pa.list_(pa.string())), ("header_row", pa.int64()),
+                    ("header", pa.list_(pa.string()))])
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = {f.name: [] for f in ROW_SCHEMA.fields}
-        paths = b.column("path").to_pylist()
-        contents = b.column("content").to_pylist()
-        for p, data in zip(paths, contents):
+        for path, data in zip(b.column("path"), b.column("content")):
+            path, data = path.as_py(), data.as_py()
             if data is None:
                 continue
-            for idx, name, act, rnum, cells, hrow, header in workbook_rows(data):
-                out["path"].append(p)
-                out["sheet_idx"].append(idx)
-                out["sheet"].append(name)
-                out["active"].append(act)
-                out["row_index"].append(rnum)
-                out["cells"].append(cells)
-                out["header_row"].append(hrow)
-                out["header"].append(header)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-            ("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("active", pa.bool_()),
-            ("row_index", pa.int64()), ("cells", pa.list_(pa.string())), ("header_row", pa.int64()),
-            ("header", pa.list_(pa.string()))]))
+            try:
+                rows = list(workbook_rows(data))
+            except UNREADABLE:
+                continue   # one bad file never takes the others with it
+            for i in range(0, len(rows), CHUNK_ROWS):
+                part = [(path, *r) for r in rows[i:i + CHUNK_ROWS]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
 
 
 def parse_xlsx(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> workbook rows (see module doc)."""
+    """``(path, content)`` -> workbook rows (see module doc).  A file that can't
+    be read gives no rows (a readable one gives at least one)."""
     return files.select("path", "content").mapInArrow(_parse_batches, ROW_SCHEMA)
 
 

@@ -77,22 +77,28 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
                         "opt_out": opts, "history_size": sizes})
 
 
-def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str = "1 day") -> DataFrame:
+def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str | None = None) -> DataFrame:
     """``inbound`` (streaming: msg_id, ts, phone, body, reply, sent) -> actions.
 
-    A message delivered twice (same ``msg_id`` within ``dedupe_delay`` of event
-    time) is handled once."""
+    Every message yields a row however late it comes; a late STOP takes effect
+    from its arrival on.  With ``dedupe_delay`` a message delivered twice (same
+    ``msg_id`` within that event time) is handled once, at the price that
+    messages later than the delay are dropped by the watermark.  Messages
+    without a sender never reach the keyed step."""
     stored = convs.select(F.col("phone_number").alias("phone"), F.col("opt_out").alias("stored_opt_out"),
                           F.col("reply_count").alias("stored_reply_count"),
                           F.col("conversation_history").alias("stored_history"),
                           F.col("last_inbound_message").alias("stored_last_inbound"))
+    if dedupe_delay:
+        inbound = (inbound.withColumn("_event_time", F.col("ts").cast("timestamp"))   # watermarks need TIMESTAMP
+                   .withWatermark("_event_time", dedupe_delay).dropDuplicatesWithinWatermark(["msg_id"]))
     staged = (inbound
-              .withColumn("_event_time", F.col("ts").cast("timestamp"))   # watermarks need TIMESTAMP
-              .withWatermark("_event_time", dedupe_delay)
-              .dropDuplicatesWithinWatermark(["msg_id"])
               .withColumn("command", C.classify_command("phone", "body"))
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))
-              .withColumn("body", C.pystrip(F.coalesce(F.col("body"), F.lit(""))))
-              .join(stored, on="phone", how="left"))
-    return staged.groupBy("phone").applyInPandasWithState(
-        _fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+              .withColumn("body", C.pystrip(F.coalesce(F.col("body"), F.lit("")))))
+    blank = staged.where(F.col("phone") == "").select(
+        "msg_id", "phone", "command", F.lit("ignore").alias("action"), F.lit(None).cast("int").alias("reply_count"),
+        F.lit(None).cast("boolean").alias("opt_out"), F.lit(0).alias("history_size"))
+    known = (staged.where(F.col("phone") != "").join(stored, on="phone", how="left").groupBy("phone")
+             .applyInPandasWithState(_fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    return known.unionByName(blank)

@@ -10,11 +10,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.sinks.lake import write_lake
+from carelake.sinks.lake import FILE_PARTITIONS, write_lake
 from carelake.sources.files import BINARY_FILE_SCHEMA, PLACEHOLDER_TEXT, with_format
 from carelake.sources.lake import key_parts, source_key
 
 MAX_FILES_PER_TRIGGER = 1000
+MANIFEST = "key string, format string, status string"
 
 
 def csv_header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
@@ -48,18 +49,22 @@ def _column_names(header: list) -> list[str]:
     return out
 
 
-def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_root: str) -> int:
+def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_root: str) -> tuple[int, set[str]]:
     """First sheet of each workbook, first row as header, cells as text; one
-    wide table per header signature.  Only one header row per file reaches
-    the driver."""
+    wide table per header signature.  Each workbook is parsed once, into the
+    shared checkpoint folder.  Only one header row per file reaches the driver.
+    Returns the rows written and the files that could be read."""
+    from carelake.session import checkpoint_root
     from carelake.sources.xlsx import parse_xlsx
     files = spark.read.format("binaryFile").load(paths)
-    rows = parse_xlsx(files).where(F.col("sheet_idx") == 0)
+    checkpoint_root(spark)
+    rows = parse_xlsx(files).where(F.col("sheet_idx") == 0).checkpoint()
     heads = rows.where(F.col("row_index") == F.col("header_row")).select("path", F.col("header").alias("hdr"))
     written = 0
     groups: dict[tuple, list[str]] = {}
     for r in heads.collect():
         groups.setdefault(tuple(r.hdr or []), []).append(r.path)
+    readable = {p for group in groups.values() for p in group}
     for hdr, group in groups.items():
         names = _column_names(list(hdr))
         sig = hashlib.sha256("\x1f".join(names).encode()).hexdigest()[:16]
@@ -68,15 +73,38 @@ def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_r
         wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
                            key.alias("_source_key"))
         wide = wide.withColumns(key_parts(F.col("_source_key")))
-        written += write_lake(wide, f"{lake_root}/xlsx/sig={sig}/types=text")
-    return written
+        root = f"{lake_root}/xlsx/sig={sig}/types=text"
+        drop_stale(spark, wide.select(*FILE_PARTITIONS).distinct(), lake_root, keep=root)
+        written += write_lake(wide, root)
+    return written, readable
+
+
+def drop_stale(spark: SparkSession, folders: DataFrame, lake_root: str, keep: str | None = None) -> None:
+    """Delete what earlier uploads of the same files left in other roots of the
+    lake, so that a file with another header or other types replaces its rows.
+    ``folders`` has the partition values of one batch's files."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(lake_root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    roots = [str(s.getPath().toString()) for kind in ("csv", "xlsx") for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{lake_root}/{kind}/sig=*/types=*")) or []]
+    roots.append(f"{lake_root}/placeholder")
+    tail = "/".join((keep or "").split("/")[-3:])   # kind/sig=../types=..: the scheme of the path may differ
+    roots = [r for r in roots if not (tail and r.endswith(tail))]
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in folders.select(*[F.col(c).cast("string").alias(c) for c in FILE_PARTITIONS]).collect() if roots else []:
+        sub = "/".join(f"{c}={escape(row[c])}" for c in FILE_PARTITIONS if row[c])
+        for r in roots:
+            path = jvm.org.apache.hadoop.fs.Path(f"{r}/{sub}")
+            if fs.exists(path):
+                fs.delete(path, True)
 
 
 def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_root: str) -> int:
     """Convert the files of one micro-batch.  CSV/TXT uploads are read with
-    header and inferred types, one read per header signature; other files get
-    a placeholder row.  Only the batch's file list (bounded by the trigger
-    size) reaches the driver."""
+    header and inferred types, one read per header signature; other files, and
+    workbooks that can't be read, get a placeholder row.  Every file of the
+    batch is entered in the manifest, so that files without rows are not
+    converted again.  Only the batch's file list (bounded by the trigger size)
+    reaches the driver."""
     files = (with_format(batch.select("path")
                          .withColumn("_source_key", source_key(F.col("path"), upload_root))
                          .withColumn("file_name", F.element_at(F.split("_source_key", "/"), -1)), "file_name")
@@ -90,17 +118,25 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
         types = hashlib.sha256(df.schema.simpleString().encode()).hexdigest()[:8]
         df = df.withColumn("_source_key", source_key(F.col("_metadata.file_path"), upload_root))
         parts = key_parts(F.col("_source_key"))
-        written += write_lake(df.withColumns(parts), f"{lake_root}/csv/sig={sig}/types={types}")
+        root = f"{lake_root}/csv/sig={sig}/types={types}"
+        keyed = spark.createDataFrame([(r._source_key,) for r in files if r.path in set(group)], "_source_key string")
+        drop_stale(spark, keyed.withColumns(key_parts(F.col("_source_key"))), lake_root, keep=root)
+        written += write_lake(df.withColumns(parts), root)
     xlsx_paths = [r.path for r in files if r.format == "xlsx"]
+    readable = set(csv_paths)
     if xlsx_paths:
-        written += convert_xlsx(spark, xlsx_paths, upload_root, lake_root)
-    other = [(r.file_name, r._source_key) for r in files if r.format == "binary"]
+        rows, found = convert_xlsx(spark, xlsx_paths, upload_root, lake_root)
+        written, readable = written + rows, readable | found
+    other = [(r.file_name, r._source_key) for r in files if r.path not in readable]
     if other:
         ph = spark.createDataFrame(other, "filename string, _source_key string")
         parts = key_parts(F.col("_source_key"))
         ph = ph.select("filename", F.lit(PLACEHOLDER_TEXT).alias("content"), "_source_key",
                        *[parts[k].alias(k) for k in ("user_id", "year", "month", "_filename")])
         written += write_lake(ph, f"{lake_root}/placeholder")
+    if files:
+        status = [(r._source_key, r.format, "converted" if r.path in readable else "placeholder") for r in files]
+        spark.createDataFrame(status, MANIFEST).coalesce(1).write.mode("append").parquet(f"{lake_root}/manifest")
     return written
 
 
@@ -118,15 +154,12 @@ def ingest_stream(spark: SparkSession, upload_root: str, lake_root: str, checkpo
 
 
 def converted_keys(spark: SparkSession, lake_root: str) -> DataFrame:
-    """Source keys already present in the lake (empty when nothing is there)."""
+    """Source keys that have been converted (empty when nothing is there): the
+    manifest's, however many rows a file gave."""
     from carelake.session import path_exists
-    from carelake.sources.lake import read_lake
-    out = spark.createDataFrame([], "key string")
-    for kind in ("csv", "xlsx"):
-        if path_exists(spark, f"{lake_root}/{kind}"):
-            lake = read_lake(spark, f"{lake_root}/{kind}")
-            out = out.unionByName(lake.select(F.col("_source_key").alias("key")))
-    return out.distinct()
+    if not path_exists(spark, f"{lake_root}/manifest"):
+        return spark.createDataFrame([], "key string")
+    return spark.read.schema(MANIFEST).parquet(f"{lake_root}/manifest").select("key").distinct()
 
 
 def backfill(spark: SparkSession, upload_root: str, lake_root: str, force: bool = False,

@@ -1,7 +1,11 @@
-"""Login-code stream: per e-mail the code in force is keyed state, dropped by
-an event-time timer after expiry (plus a grace period); each attempt yields
-its outcome with the rules of :mod:`carelake.operators.audit`.  Outcomes are
-decided by the strict ``attempt > expiry`` comparison, never by the timer."""
+"""Login-code stream: per e-mail the code in force is keyed state; each attempt
+yields its outcome with the rules of :mod:`carelake.operators.audit`.
+
+A timer drops the state of an e-mail that has been idle for ``grace_s`` seconds.
+Its clock, and the watermark, follow the rows' arrival (as a store's
+time-to-live would), so no row is ever behind the watermark and dropped.  Outcomes are decided by the strict ``attempt >
+expiry`` comparison, never by the timer.  Attempts without e-mail or code never
+reach the keyed step."""
 
 from __future__ import annotations
 
@@ -12,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from carelake.functions.text import normalize_email
+
 OUTPUT_SCHEMA = "attempt_id long, email string, attempt_s long, issue_id long, user_sub string, status string"
 STATE_SCHEMA = "issue_id long, code_hash string, expiry_s long, user_sub string, consumed boolean"
 
@@ -39,9 +45,6 @@ def _make_fold(grace_s: int):
             if r.kind == 0:
                 cur = (int(r.id), r.code_hash, int(r.expiry_s), r.user_sub, False)
                 continue
-            if not email or not r.code_hash:
-                out.append((int(r.id), email, int(r.t), None, None, "bad_request"))
-                continue
             if cur is None:
                 out.append((int(r.id), email, int(r.t), None, None, "no_session"))
                 continue
@@ -58,19 +61,22 @@ def _make_fold(grace_s: int):
             out.append((int(r.id), email, int(r.t), iid, sub, status))
         if cur is not None:
             state.update(cur)
-            # the timer may not lie before the watermark; it only drops state
-            state.setTimeoutTimestamp(max((cur[2] + grace_s) * 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(int(pdf["_arrived"].max().timestamp() * 1000) + grace_s * 1000)
         yield pd.DataFrame(out, columns=["attempt_id", "email", "attempt_s", "issue_id", "user_sub", "status"])
     return fold
 
 
-def login_stream(events: DataFrame, attempts: DataFrame | None = None, grace_s: int = 86400,
-                 delay: str = "1 hour") -> DataFrame:
+def login_stream(events: DataFrame, attempts: DataFrame | None = None, grace_s: int = 86400) -> DataFrame:
     """Attempt outcomes from a stream of :func:`login_events`, or from an
     issue stream and an attempt stream (``login_stream(issues, attempts)``)."""
     if attempts is not None:
         events = login_events(events, attempts)
-    return (events.withWatermark("event_time", delay)
-            .groupBy(F.coalesce(F.col("email"), F.lit("")).alias("email"))
-            .applyInPandasWithState(_make_fold(grace_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    events = (events.withColumn("email", normalize_email(F.coalesce(F.col("email"), F.lit(""))))
+              .withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "1 minute"))
+    blank = (F.col("email") == "") | (F.coalesce(F.col("code_hash"), F.lit("")) == "")
+    bad = events.where(blank & (F.col("kind") == 1)).select(
+        F.col("id").alias("attempt_id"), "email", F.col("t").alias("attempt_s"), F.lit(None).cast("long").alias("issue_id"),
+        F.lit(None).cast("string").alias("user_sub"), F.lit("bad_request").alias("status"))
+    known = (events.where(~blank | ((F.col("kind") == 0) & (F.col("email") != ""))).groupBy("email")
+             .applyInPandasWithState(_make_fold(grace_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    return known.unionByName(bad)

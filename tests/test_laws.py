@@ -1,9 +1,10 @@
-"""Laws from the test strategy, on the driver data, plus property tests of the
-column functions against small Python models of their stated rules."""
+"""Laws from the test strategy, on the driver data, plus property tests and
+tables of cases for the column functions."""
 
 import re
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,17 +59,6 @@ def _eval(spark, col_fn, values):
     return [r[1] for r in df.select("i", col_fn(F.col("x"))).orderBy("i").collect()]
 
 
-def phone_model(raw):
-    if raw is None:
-        return None
-    d = re.sub(r"[^0-9]", "", raw)
-    if len(d) == 10:
-        return "+1" + d
-    if len(d) == 11 and d.startswith("1"):
-        return "+" + d
-    return None
-
-
 def money_model(raw):
     if raw is None or raw == "":
         return "0.00"
@@ -89,8 +79,17 @@ money_str = st.one_of(st.decimals(min_value=-10**9, max_value=10**9, places=2).m
 
 @PROP
 @given(st.lists(st.one_of(st.none(), phone_text), min_size=20, max_size=60))
-def test_phone_property(spark, values):
-    assert _eval(spark, C.normalize_phone, values) == [phone_model(v) for v in values]
+def test_phone_shape_and_digits(spark, values):
+    """A result has the E.164 shape, ends in the input's last ten digits, survives a second pass, and ignores punctuation."""
+    got = _eval(spark, C.normalize_phone, values)
+    for raw, phone in zip(values, got):
+        digits = [c for c in raw or "" if c.isdigit()]
+        assert (phone is not None) == ("".join(digits[:-10]) in ("", "1") and len(digits) >= 10)
+        if phone is not None:
+            assert phone[:2] == "+1" and list(phone[2:]) == digits[-10:]
+    assert _eval(spark, C.normalize_phone, got) == got
+    spaced = [None if v is None else " ".join(v) for v in values]
+    assert _eval(spark, C.normalize_phone, spaced) == got
 
 
 @PROP
@@ -120,44 +119,34 @@ def test_safe_filename_property(spark, values):
     assert _eval(spark, C.safe_filename, got) == got
 
 
-def command_model(phone, body):
-    p = (phone or "").strip()
-    b = (body or "").strip()
-    if not p or not b:
-        return "ignore"
-    u = b.upper().strip()
-    if u in ("STOP", "STOPALL", "UNSUBSCRIBE", "CANCEL", "END", "QUIT"):
-        return "stop"
-    if u == "HELP":
-        return "help"
-    if u in ("START", "UNSTOP"):
-        return "start"
-    return "message"
+COMMANDS = {"stop": ["STOP", "STOPALL", "UNSUBSCRIBE", "CANCEL", "END", "QUIT"], "help": ["HELP"], "start": ["START", "UNSTOP"],
+            "message": ["stop please", "helper", "yes", "start!"], "ignore": ["", "  ", "\t"]}
 
 
-words = st.sampled_from(["stop", "STOP", " Stop ", "stopall", "help", "HeLp", "start", "unstop", "end", "quit",
-                         "cancel", "hi", "", "  ", "\t", "stop please", "unsubscribe\n"])
+def test_commands_in_any_case_and_padding(spark):
+    rows = [(v, want) for want, words in COMMANDS.items() for w in words for v in (w, w.lower(), w.title(), f" {w}\n")]
+    df = spark.createDataFrame(rows, "b string, want string").withColumn("got", C.classify_command(F.lit("+16025550100"), "b"))
+    assert df.where("got <> want").collect() == []
 
 
-@PROP
-@given(st.lists(st.tuples(st.sampled_from(["+16025550100", "", " ", None]), st.one_of(st.none(), words)),
-                min_size=20, max_size=60))
-def test_command_property(spark, pairs):
-    df = spark.createDataFrame([(i, p, b) for i, (p, b) in enumerate(pairs)], "i int, p string, b string")
-    got = [r[0] for r in df.orderBy("i").select(C.classify_command("p", "b")).collect()]
-    assert got == [command_model(p, b) for p, b in pairs]
+@pytest.mark.parametrize("phone", ["", "  ", None])
+def test_messages_without_a_sender_are_ignored(spark, phone):
+    df = spark.createDataFrame([(phone, w) for ws in COMMANDS.values() for w in ws], "p string, b string")
+    assert {r[0] for r in df.select(C.classify_command("p", "b")).collect()} == {"ignore"}
 
 
 @PROP
-@given(st.lists(st.text(alphabet="ab./XY", max_size=10), min_size=20, max_size=60))
-def test_basename_extension_property(spark, keys):
-    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+@given(st.lists(st.tuples(st.text(alphabet="ab/.", max_size=6), st.text(alphabet="abXY_", min_size=1, max_size=6), st.text(alphabet="abXY", max_size=4)),
+                min_size=20, max_size=60))
+def test_names_come_apart_as_they_were_joined(spark, parts):
+    keys = [f"{folder}/{stem}.{ext}" for folder, stem, ext in parts]
+    df = spark.createDataFrame(list(enumerate(keys)), "i int, k string").orderBy("i")
     b = C.basename("k")
-    got = [tuple(r)[1:] for r in df.orderBy("i").select("i", b, C.extension(b), C.extension_or_name(b)).collect()]
-
-    def model(k):
-        name = k.split("/")[-1] or k
-        glue = name.lower().rsplit(".", 1)[-1] if "." in name else ""
-        chat = name.lower().rsplit(".", 1)[-1]
-        return name, glue, chat
-    assert got == [model(k) for k in keys]
+    for (_, stem, ext), r in zip(parts, df.select(b.alias("b"), C.extension(b).alias("e"), C.extension_or_name(b).alias("n")).collect()):
+        assert (r.b, r.e, r.n) == (f"{stem}.{ext}", ext.lower(), ext.lower())
+
+
+def test_names_without_an_extension(spark):
+    got = spark.createDataFrame([("a/README",), ("x/",), ("Plain",)], "k string").select(
+        C.basename("k").alias("b"), C.extension(C.basename("k")).alias("e"), C.extension_or_name(C.basename("k")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("README", "", "readme"), ("x/", "", "x/"), ("Plain", "", "plain")]

@@ -129,7 +129,7 @@ def test_uploads_catalog(spark, tmp):
         {"user_id": F.lit("u1"), "year": F.lit("2026"), "month": F.lit("06")})
     long = to_uploads(src, uploaded_at=F.lit("2026-06-01 00:00:00"))
     root = os.path.join(tmp, "uploads_long")
-    write_lake(long, root, partition_cols=("user_id", "year", "month"))
+    write_lake(long, root)
     t = register_uploads(spark, root, table="uploads_test")
     got = sorted((r.row_index, r.content, r.filename, r.month) for r in t.collect())
     assert got == [(1, '{"a":1,"b":"x"}', "d.csv", "06"), (2, '{"a":2,"b":"y"}', "d.csv", "06"),

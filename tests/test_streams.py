@@ -33,12 +33,12 @@ def test_inbound_stream_twin(spark, chunks):
                                   "conversation_history string, reply_count int, opt_out boolean, "
                                   "last_inbound_message string")
     write_time_chunks(inbound, "ts", f"{root}/in", chunks)
-    out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", inbound.schema), convs)
+    out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", inbound.schema), convs, dedupe_delay="1 day")
     run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck")
     got = {r.msg_id: r.action for r in spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out").collect()}
-    want = {r.msg_id: r.action for r in V.inbound_actions(inbound, convs).collect()}
+    want = {r.msg_id: r.action for r in V.inbound_actions(inbound, convs, dedupe=True).collect()}
     assert got == want
-    final = {r.phone_number: r.reply_count for r in V.fold_conversations(convs, V.inbound_actions(inbound, convs))
+    final = {r.phone_number: r.reply_count for r in V.fold_conversations(convs, V.inbound_actions(inbound, convs, dedupe=True))
              .collect()}
     last = (spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out")
             .groupBy("phone").agg(F.max_by("reply_count", "msg_id").alias("rc")).collect())
