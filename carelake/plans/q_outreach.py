@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from carelake import functions as C
 from carelake.functions.envelope import envelope_json, parse_envelope
+from carelake.functions.history import message
 from carelake.operators import conversations as V
 from carelake.plans import derived as D
 from carelake.plans.registry import register
+from carelake.plans.tables import table
 from carelake.session import checkpoint_root
 
 _SYS = V.DEFAULT_SMS_SYSTEM
@@ -137,19 +139,19 @@ def q_last_user_message(spark, sf):
                      F.size(h).alias("history_size"))
 
 
-@register("chat_messages", f"""
-WITH {D.CONV_ITEMS_SQL.strip()}
-SELECT phone_number, 0 AS pos, 'system' AS role, 'Conversation for ' || patient_name AS content FROM conv_items
-UNION ALL
-SELECT phone_number, CAST(pos AS INTEGER), role, content FROM conv_msgs
-UNION ALL
-SELECT c.phone_number, CAST(coalesce(h.n, 0) + 1 AS INTEGER), 'user', 'What is my balance?'
-FROM conv_items c LEFT JOIN (SELECT conv_id, count(*) AS n FROM conv_msgs GROUP BY conv_id) h USING (conv_id)""")
+@register("chat_messages", """
+WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, role, text FROM conversations),
+c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, 0 AS pos, 'system' AS role, 'Conversation ' || CAST(conv_id AS VARCHAR) AS content FROM c
+UNION ALL SELECT conv_id, CAST(pos AS INTEGER), role, text FROM m
+UNION ALL SELECT conv_id, CAST(n + 1 AS INTEGER), 'user', 'What is my balance?' FROM c""")
 def q_chat_messages(spark, sf):
-    cv = D.conversation_items(spark, sf)
-    msgs = V.chat_messages(F.concat(F.lit("Conversation for "), F.col("patient_name")),
-                           C.parse_history("conversation_history"), F.lit("What is my balance?"))
-    return V.explode_messages(cv.withColumn("messages", msgs), ["phone_number"])
+    """All turns of every conversation between its context and the question."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    cv = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    history = F.transform("turns", lambda t: message(t["role"], t["text"]))
+    msgs = V.chat_messages(F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")), history, F.lit("What is my balance?"))
+    return V.explode_messages(cv.withColumn("messages", msgs), ["conv_id"])
 
 
 @register("sms_prompt", f"""

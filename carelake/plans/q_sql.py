@@ -50,7 +50,7 @@ SELECT o_custkey, o_orderkey,
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS running_total,
   lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_order,
-  CAST(rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS BIGINT) AS price_rank
+  CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS price_rank
 FROM orders""", "orders", headline=True)
 
 _same("sql_setops", """
