@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from carelake import functions as C
 from carelake.functions.history import HISTORY, message
-from carelake.operators.scan import carry_last, hour_bucket
+from carelake.operators.scan import carry_last, hour_bucket, prefix_sum
 from carelake.sinks.conversations import upsert
 
 HISTORY_KEEP = 20      # messages stored per conversation
 PROMPT_HISTORY = 10    # messages given to the reply prompt
 SMS_MAX_CHARS = 1600   # outbound text is cut here (no marker)
+REPLY_BLOCK = 4096     # replies of one phone handled together by the point-in-time history
 
 # Automatic answers to HELP and START (%s = office phone).
 HELP_TEXT = "For billing help call %s. Reply STOP to opt out."
@@ -149,10 +150,15 @@ def with_patient(inbound: DataFrame, convs: DataFrame, phone: str = "phone") ->
              .drop("_known", "conversation_history"))
 
 
+def _message_key(inbound: DataFrame) -> list[str]:
+    """What tells messages apart; records of one envelope follow their order in it."""
+    return ["msg_id"] + (["rec"] if "rec" in inbound.columns else [])
+
+
 def _without_redeliveries(inbound: DataFrame) -> DataFrame:
     """A message delivered twice is handled once.  Records of one envelope share
     its ``msg_id``, so ``rec`` tells them apart; rows without an id are never merged."""
-    key = ["msg_id"] + (["rec"] if "rec" in inbound.columns else [])
+    key = _message_key(inbound)
     return inbound.where(F.col("msg_id").isNotNull()).dropDuplicates(key).unionByName(inbound.where(F.col("msg_id").isNull()))
 
 
@@ -169,7 +175,7 @@ def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = False)
     """
     if dedupe:
         inbound = _without_redeliveries(inbound)
-    order = ["ts", "msg_id"] + (["rec"] if "rec" in inbound.columns else [])
+    order = ["ts", *_message_key(inbound)]
     staged = (inbound
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))
               .withColumn("command", C.classify_command("phone", "body"))
@@ -210,14 +216,14 @@ def fold_conversations(convs: DataFrame, actions: DataFrame, keep: int = HISTORY
     pairs_needed = (keep + 1) // 2
     ok_reply = (F.col("action") == "reply") & F.coalesce(F.col("sent"), F.lit(False))
     flag = F.when(F.col("action") == "opt_out", F.lit(True)).when(F.col("action") == "resubscribe", F.lit(False))
-    ordkey = [F.col("ts"), F.col("msg_id")]
+    ordkey = [F.col(c) for c in ("ts", *_message_key(actions))]
     per_phone = (actions.where(ok_reply | flag.isNotNull())
                  .groupBy("phone")
                  .agg(F.count_if(ok_reply).alias("_replies"),
                       F.max(F.when(ok_reply, F.struct(*ordkey, F.col("body")))).getField("body").alias("_last_in"),
                       F.max(F.when(flag.isNotNull(), F.struct(*ordkey, flag.alias("f")))).getField("f").alias("_flag")))
     # Only the last ``keep / 2`` pairs can survive the cut: a per-phone top-k.
-    w = Window.partitionBy("phone").orderBy(F.col("ts").desc(), F.col("msg_id").desc())
+    w = Window.partitionBy("phone").orderBy(*[c.desc() for c in ordkey])
     tail = (actions.where(ok_reply)
             .withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= pairs_needed)
             .groupBy("phone")
@@ -242,13 +248,14 @@ def fold_conversations(convs: DataFrame, actions: DataFrame, keep: int = HISTORY
     )
 
 
-def outbound_messages(actions: DataFrame, office_phone: str = C.outreach.DEFAULT_OFFICE_PHONE) -> DataFrame:
+def outbound_messages(actions: DataFrame, office_phone: str = C.outreach.DEFAULT_OFFICE_PHONE,
+                      max_chars: int = SMS_MAX_CHARS) -> DataFrame:
     """The text sent back for each action that answers: HELP and START get the
-    fixed texts, a reply its (input) answer cut to 1600 characters."""
+    fixed texts, a reply its (input) answer cut to ``max_chars`` characters."""
     a = F.col("action")
     body = (F.when(a == "help", F.format_string(HELP_TEXT, F.lit(office_phone)))
              .when(a == "resubscribe", F.format_string(RESUBSCRIBED_TEXT, F.lit(office_phone)))
-             .otherwise(C.truncate_text(F.coalesce(F.col("reply"), F.lit("")), SMS_MAX_CHARS)))
+             .otherwise(C.truncate_text(F.coalesce(F.col("reply"), F.lit("")), max_chars)))
     return actions.where(a.isin("help", "resubscribe", "reply")).select("msg_id", "phone", "action",
                                                                          body.alias("sms_body"))
 
@@ -261,18 +268,56 @@ def sms_prompt(inbound: DataFrame, convs: DataFrame, system_text: str = DEFAULT_
                n: int = PROMPT_HISTORY) -> DataFrame:
     """Prompt message list for each inbound question from a phone that is not
     opted out: system text (+ patient, + balance), last ``n`` stored messages,
-    the new message."""
+    the new message.  It sees the stored items only; :func:`sms_prompts_in_order`
+    also sees the messages before it."""
     j = with_patient(inbound.withColumn("body", C.pystrip(F.coalesce(F.col("body"), F.lit("")))), convs)
     j = j.where((C.classify_command("phone", "body") == "message") & ~F.col("stored_opt_out"))
+    return j.withColumn("messages", _prompt(F.col("history"), system_text, n))
+
+
+def _prompt(history, system_text: str, n: int) -> "F.Column":
     name = F.coalesce(F.col("patient_name"), F.lit(""))
     amount = F.coalesce(F.col("amount_due"), F.lit(""))
     system = F.concat(F.lit(system_text),
                       F.when(name != "", F.concat(F.lit("\n\nCurrent patient: "), name, F.lit("."))).otherwise(F.lit("")),
                       F.when(amount != "", F.concat(F.lit(" Outstanding balance: $"), amount, F.lit(".")))
                        .otherwise(F.lit("")))
-    msgs = F.concat(F.array(message("system", system)), C.last_n(F.col("history"), n),
-                    F.array(message("user", F.col("body"))))
-    return j.withColumn("messages", msgs)
+    return F.concat(F.array(message("system", system)), C.last_n(history, n), F.array(message("user", F.col("body"))))
+
+
+def _with_recent_replies(replies: DataFrame, order: list[str], pairs: int) -> DataFrame:
+    """Sent ``replies`` with ``_recent``: the last ``pairs`` (question, answer) messages of the phone up to and with
+    this one.  A phone's replies are numbered bucket by bucket and cut into blocks; each block gets copies of the
+    replies just before it, so that no task holds more than a block of a phone, however busy it is."""
+    numbered = prefix_sum(replies.withColumn("_one", F.lit(1)), ["phone"], order, "_bucket", "_one", "_nth")
+    at = F.col("_nth") - 1
+    own = F.floor(at / REPLY_BLOCK)
+    places = F.array(F.struct(own.alias("block"), F.lit(True).alias("real")))
+    carried = F.array(F.struct((own + 1).alias("block"), F.lit(False).alias("real")))
+    w = Window.partitionBy("phone", "_place.block").orderBy("_nth").rowsBetween(1 - pairs, 0)
+    pair = F.array(message("user", F.col("body")), message("assistant", F.col("reply")))
+    return (numbered.withColumn("_place", F.explode(F.when(at % REPLY_BLOCK > REPLY_BLOCK - pairs, F.concat(places, carried))
+                                                    .otherwise(places)))
+            .withColumn("_recent", F.flatten(F.collect_list(pair).over(w)))
+            .where(F.col("_place.real")).drop("_one", "_nth", "_place"))
+
+
+def sms_prompts_in_order(actions: DataFrame, convs: DataFrame, system_text: str = DEFAULT_SMS_SYSTEM,
+                         n: int = PROMPT_HISTORY) -> DataFrame:
+    """The prompt of each ``reply`` action as it was at its time: the last ``n`` messages are those of the stored item
+    followed by the replies sent to the phone before this message (STOP and START before it have already decided the
+    action).  ``actions`` is read several times: pass it checkpointed when it is expensive to recompute.  Among messages
+    with equal (ts, msg_id, rec) any order may hold."""
+    order = ["ts", *_message_key(actions)]
+    replies = (actions.where(F.col("action") == "reply")
+               .withColumn("_bucket", F.coalesce(hour_bucket(F.col("ts")), F.lit(_FIRST_BUCKET))))
+    ok = F.coalesce(F.col("sent"), F.lit(False))
+    sent = _with_recent_replies(replies.where(ok), order, (n + 1) // 2)
+    timeline = sent.unionByName(replies.where(~ok), allowMissingColumns=True)
+    before = carry_last(timeline, ["phone"], order, "_bucket", "_recent", "_before", inclusive=False)
+    j = with_patient(before, convs)
+    history = F.concat(F.col("history"), F.coalesce(F.col("_before"), F.array().cast(HISTORY)))
+    return j.withColumn("messages", _prompt(history, system_text, n)).drop("_bucket", "_recent", "_before")
 
 
 def chat_messages(ctx, history, question) -> "F.Column":

@@ -196,6 +196,12 @@ def conversation_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def conversation_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored items' keys and opt-out flags alone: one narrow aggregate, no history."""
+    cv = table(spark, sf, "conversations").select("conv_id").distinct()
+    return cv.select(phone_of(F.col("conv_id")).alias("phone_number"), (F.col("conv_id") % 7 == 0).alias("opt_out"))
+
+
 # Stored items without the JSON text: the oracle works on the message rows.
 CONV_ITEMS_SQL = f"""
 conv_items AS (

@@ -31,6 +31,15 @@ def q_single_context(spark, sf):
     return X.file_context(d, "text").select("doc_id", "context")
 
 
+@register("single_context_cut", f"""
+SELECT doc_id, CASE WHEN length(text) > 500
+  THEN left(text, 500) || {_NL} || {_NL} || '[... file truncated for context length ...]' ELSE text END AS context
+FROM documents""")
+def q_single_context_cut(spark, sf):
+    """The single-file context with a limit that most documents exceed."""
+    return X.file_context(table(spark, sf, "documents"), "text", limit=500).select("doc_id", "context")
+
+
 _KEY = "'documents/' || CAST(doc_id AS VARCHAR) || '.txt'"
 
 

@@ -14,6 +14,7 @@ from carelake.plans import derived as D
 from carelake.plans.registry import register
 from carelake.plans.tables import table
 from carelake.session import checkpoint_root
+from carelake.sinks.conversations import upsert
 
 _SYS = V.DEFAULT_SMS_SYSTEM
 
@@ -96,7 +97,7 @@ SELECT row_index, phone FROM msgs
 WHERE phone IS NOT NULL AND phone NOT IN (SELECT phone_number FROM conv_items WHERE opt_out)""")
 def q_suppress_opted_out(spark, sf):
     m = V.campaign_messages(D.patients(spark, sf)).where(F.col("phone").isNotNull())
-    return V.suppress_opted_out(m.select("row_index", "phone"), D.conversation_items(spark, sf))
+    return V.suppress_opted_out(m.select("row_index", "phone"), D.conversation_flags(spark, sf))
 
 
 @register("upsert_conversations", f"""
@@ -192,12 +193,12 @@ act AS (
 
 
 def _actions(spark, sf):
-    return V.inbound_actions(D.inbound(spark, sf), D.conversation_items(spark, sf))
+    return V.inbound_actions(D.inbound(spark, sf), D.conversation_flags(spark, sf))
 
 
 @register("optout_timeline", f"WITH {_TIMELINE_SQL} SELECT msg_id, phone, command, opted_out_before FROM tl")
 def q_optout_timeline(spark, sf):
-    t = V.optout_timeline(D.inbound(spark, sf), D.conversation_items(spark, sf))
+    t = V.optout_timeline(D.inbound(spark, sf), D.conversation_flags(spark, sf))
     return t.select("msg_id", "phone", "command", "opted_out_before")
 
 
@@ -230,7 +231,7 @@ def q_envelope_actions(spark, sf):
     ib = D.inbound(spark, sf, keep=("event_type",))
     raw = ib.select("msg_id", "ts", envelope_json("event_type", "phone", "body").alias("raw"))
     records = parse_envelope(raw, id_cols=["msg_id", "ts"])
-    return V.inbound_actions(records, D.conversation_items(spark, sf), dedupe=True).select("msg_id", "rec", "phone", "command", "action")
+    return V.inbound_actions(records, D.conversation_flags(spark, sf), dedupe=True).select("msg_id", "rec", "phone", "command", "action")
 
 
 @register("outbound_messages", f"""
@@ -244,6 +245,62 @@ def q_outbound_messages(spark, sf):
     return V.outbound_messages(_actions(spark, sf))
 
 
+@register("outbound_cut", f"""
+WITH {_TIMELINE_SQL}
+SELECT msg_id, phone, left(reply, 30) AS sms_body FROM act WHERE action = 'reply'""")
+def q_outbound_cut(spark, sf):
+    """Answers longer than the allowed 30 characters are cut, without a marker."""
+    out = V.outbound_messages(_actions(spark, sf), max_chars=30)
+    return out.where(F.col("action") == "reply").select("msg_id", "phone", "sms_body")
+
+
+@register("sms_prompt_in_order", f"""
+WITH {_TIMELINE_SQL},
+hn AS (SELECT phone_number, count(*) AS n FROM conv_msgs GROUP BY phone_number),
+p AS (
+  SELECT a.msg_id, a.phone, a.ts, a.body, a.reply, a.sent, coalesce(c.patient_name, 'Patient') AS pn, coalesce(c.amount_due, '') AS amt,
+    coalesce(hn.n, 0) AS stored,
+    coalesce(count(*) FILTER (WHERE a.sent) OVER (PARTITION BY a.phone ORDER BY a.ts, a.msg_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM act a LEFT JOIN conv_items c ON c.phone_number = a.phone LEFT JOIN hn ON hn.phone_number = a.phone
+  WHERE a.action = 'reply'),
+past AS (
+  SELECT phone_number AS phone, pos, role, content FROM conv_msgs
+  UNION ALL SELECT phone, stored + 2 * before + 1, 'user', body FROM p WHERE sent
+  UNION ALL SELECT phone, stored + 2 * before + 2, 'assistant', reply FROM p WHERE sent)
+SELECT msg_id, 0 AS pos, 'system' AS role,
+  '{_SYS}' || CASE WHEN pn <> '' THEN chr(10) || chr(10) || 'Current patient: ' || pn || '.' ELSE '' END
+    || CASE WHEN amt <> '' THEN ' Outstanding balance: $' || amt || '.' ELSE '' END AS content
+FROM p
+UNION ALL
+SELECT p.msg_id, CAST(h.pos - greatest(stored + 2 * before - 10, 0) AS INTEGER), h.role, h.content
+FROM p JOIN past h ON h.phone = p.phone AND h.pos > stored + 2 * before - 10 AND h.pos <= stored + 2 * before
+UNION ALL
+SELECT msg_id, CAST(least(stored + 2 * before, 10) + 1 AS INTEGER), 'user', body FROM p""", headline=True)
+def q_sms_prompt_in_order(spark, sf):
+    """Each answered message's prompt with the replies and STOPs that came before it."""
+    checkpoint_root(spark)
+    actions = _actions(spark, sf).checkpoint()
+    p = V.sms_prompts_in_order(actions, D.conversation_items(spark, sf))
+    return V.explode_messages(p, ["msg_id"])
+
+
+@register("upsert_merge", f"""
+WITH {_TIMELINE_SQL},
+flags AS (SELECT phone, max_by(action = 'opt_out', (ts, msg_id)) AS flag FROM act
+          WHERE action IN ('opt_out', 'resubscribe') GROUP BY phone)
+SELECT coalesce(c.phone_number, f.phone) AS phone_number, c.patient_name, c.amount_due, c.reply_count,
+  coalesce(f.flag, c.opt_out) AS opt_out
+FROM conv_items c FULL JOIN flags f ON f.phone = c.phone_number""")
+def q_upsert_merge(spark, sf):
+    """STOP and START update one field of the stored item and create it when absent."""
+    acts = _actions(spark, sf).where(F.col("action").isin("opt_out", "resubscribe"))
+    last = F.max(F.struct("ts", "msg_id", (F.col("action") == "opt_out").alias("opt_out")))["opt_out"]
+    changes = acts.groupBy(F.col("phone").alias("phone_number")).agg(last.alias("opt_out"))
+    stored = D.conversation_items(spark, sf).select("phone_number", "patient_name", "amount_due", "reply_count", "opt_out")
+    return upsert(stored, changes, mode="merge")
+
+
 @register("fold_conversations", f"""
 WITH {_TIMELINE_SQL},
 rep AS (SELECT * FROM act WHERE action = 'reply' AND sent),

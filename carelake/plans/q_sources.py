@@ -278,3 +278,40 @@ def q_extract_text(spark, sf):
         F.encode("text", "UTF-8").alias("content"))
     files = _xlsx_files(spark, sf).unionByName(_docx_files(spark, sf)).unionByName(docs)
     return extract_text(files)
+
+
+_QUESTION_DOCS_SQL = f"""
+SELECT 'workbooks' AS request_id, * FROM ({_XLSX_TEXT_SQL})
+UNION ALL SELECT 'chat ' || CAST(CAST(regexp_extract(path, 'conv-([0-9]+)-', 1) AS BIGINT) % 50 AS VARCHAR), * FROM ({_DOCX_TEXT_SQL})
+UNION ALL SELECT lang || ' ' || CAST(doc_id % 40 AS VARCHAR), 'uploads/docs/' || CAST(doc_id AS VARCHAR) || '.' || lang, text FROM documents
+  WHERE lang IS NOT NULL"""
+
+
+@register("question_context", f"""
+WITH d AS MATERIALIZED ({_QUESTION_DOCS_SQL}),
+r AS (SELECT *, CAST(regexp_extract_all(string_split(path, '/')[-1], '[0-9]+') AS BIGINT[]) AS nums,
+        count(*) OVER (PARTITION BY request_id) AS n_files FROM d),
+b AS (SELECT request_id, nums, n_files, repeat('=', 60) || chr(10) || 'FILE: ' || path || chr(10) || repeat('=', 60) || chr(10) ||
+    CASE WHEN text IS NULL THEN '[Could not read this file]' WHEN length(text) > greatest(8000, 120000 // n_files)
+         THEN left(text, CAST(greatest(8000, 120000 // n_files) AS BIGINT)) || chr(10) || '[... truncated ...]' ELSE text END AS block
+  FROM r),
+j AS (SELECT request_id, n_files, string_agg(block, chr(10) || chr(10) ORDER BY nums) AS full_text FROM b GROUP BY request_id, n_files)
+SELECT request_id, n_files, length(full_text) AS full_length, CASE WHEN length(full_text) > 60000
+  THEN left(full_text, 60000) || chr(10) || chr(10) || '[... file truncated for context length ...]' ELSE full_text END AS context
+FROM j""")
+def q_question_context(spark, sf):
+    """A question over files, end to end: mixed uploads are extracted once, and each request gets the combined context
+    of its files in the order of their numbers."""
+    from carelake.operators.context import combined_context
+    path = f"{scratch_dir(spark, 'question')}/texts"
+    q_extract_text(spark, sf).write.parquet(path)
+    docs = spark.read.parquet(path).withColumnRenamed("path", "key").where(F.col("key").isNotNull())
+    conv = F.regexp_extract("key", "conv-([0-9]+)-", 1)
+    name = F.element_at(F.split("key", "/"), -1)
+    request = (F.when(F.col("key").startswith("uploads/xlsx/"), F.lit("workbooks"))
+               .when(F.col("key").startswith("uploads/docx/"), F.concat(F.lit("chat "), (conv.cast("long") % 50).cast("string")))
+               .otherwise(F.concat(F.split_part(name, F.lit("."), F.lit(2)), F.lit(" "),
+                                   (F.split_part(name, F.lit("."), F.lit(1)).cast("long") % 40).cast("string"))))
+    nums = F.regexp_extract_all(name, F.lit("([0-9]+)")).cast("array<long>")
+    ord_ = F.element_at(nums, 1) * 1_000_000 + F.coalesce(F.try_element_at(nums, F.lit(2)), F.lit(0))
+    return combined_context(docs.select(request.alias("request_id"), ord_.alias("ord"), "key"), docs)

@@ -6,17 +6,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from carelake.operators.sql import query
 from carelake.plans import derived as D
 from carelake.plans.q_audit import _AUDIT_SQL, logs
 from carelake.plans.q_outreach import _TIMELINE_SQL
 from carelake.plans.q_sources import _ORDER_COLS, _ORDERS_WITH_KEYS_SQL, _conform, _orders_keyed
 from carelake.plans.registry import register
 from carelake.session import scratch_dir
+from carelake.sinks.lake import register_uploads
 from carelake.sources.lake import read_lake
 from carelake.streaming import inbound as SI
 from carelake.streaming import login as SL
 from carelake.streaming.common import run_available_now, stream_parquet, write_time_chunks
-from carelake.streaming.ingest import ingest_stream
+from carelake.streaming.ingest import backfill, ingest_stream
 
 CHUNKS = 3
 
@@ -73,6 +75,26 @@ def q_stream_ingest(spark, sf):
     return _conform(lake.select(*_ORDER_COLS, "user_id", "year", "month"), spark, sf)
 
 
+@register("ingest_uploads", """
+SELECT 'u' || CAST(o_custkey % 4 AS VARCHAR) AS user_id, strftime(o_orderdate, '%Y') AS year, count(*) AS n_rows,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
+FROM orders WHERE strftime(o_orderdate, '%Y') >= '1995' GROUP BY ALL""")
+def q_ingest_uploads(spark, sf):
+    """CSV uploads are ingested into the ``uploads`` table, ingested again (which replaces them), and queried with a
+    partition predicate."""
+    root = scratch_dir(spark, "ingest-uploads")
+    (_orders_keyed(spark, sf).withColumn("month", F.lit("06")).hint("rebalance", "user_id", "year", "month")
+     .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
+    for _ in range(2):
+        backfill(spark, f"{root}/uploads", f"{root}/lake", force=True, uploads_root=f"{root}/table")
+    name = f"uploads_{root.rsplit('-', 1)[-1]}"
+    register_uploads(spark, f"{root}/table", table=name)
+    return query(spark, f"""
+        SELECT user_id, year, count(*) AS n_rows,
+          CAST(sum(CAST(get_json_object(content, '$.o_totalprice') AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
+        FROM {name} WHERE year >= '1995' GROUP BY user_id, year""")
+
+
 @register("backfill_ingest", f"""
 SELECT * FROM ({_ORDERS_WITH_KEYS_SQL})
 UNION ALL
@@ -80,7 +102,6 @@ SELECT * REPLACE ('2030' AS year) FROM ({_ORDERS_WITH_KEYS_SQL})""")
 def q_backfill_ingest(spark, sf):
     """Half of the uploads are converted first (by the stream); the batch
     backfill must then convert exactly the rest."""
-    from carelake.streaming.ingest import backfill
     root = scratch_dir(spark, "backfill")
     (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))

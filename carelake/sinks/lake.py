@@ -33,11 +33,11 @@ def to_uploads(df: DataFrame, uploaded_at=None, file_col: str = "_source_key") -
     position in the file, the file name, upload time and partition keys.  The
     file is a partition too: writing one never replaces its neighbours."""
     data_cols = [c for c in df.columns if c not in (*LAKE_PARTITIONS, "_source_key", "_filename")]
-    numbered = with_row_index(df, file_col=file_col)
     ts = uploaded_at if uploaded_at is not None else F.current_timestamp()
+    numbered = with_row_index(df.withColumn("_uploaded_at", ts), file_col=file_col)
     return numbered.select(
         "row_index", F.to_json(F.struct(*data_cols)).alias("content"), F.col("_filename").alias("filename"),
-        ts.cast("timestamp").alias("uploaded_at"), *FILE_PARTITIONS)
+        F.col("_uploaded_at").cast("timestamp").alias("uploaded_at"), *FILE_PARTITIONS)
 
 
 def register_uploads(spark: SparkSession, root: str, table: str = "uploads") -> DataFrame:

@@ -36,7 +36,7 @@ def _history(text):
 def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     phone = key[0]
     parts = list(pdfs)
-    pdf = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(["ts", "msg_id"])
+    pdf = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(["ts", "msg_id", "rec"])
     if state.exists:
         opt, count, hist_text, last_in = state.get
         hist = _history(hist_text)
@@ -81,17 +81,19 @@ def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str | Non
     """``inbound`` (streaming: msg_id, ts, phone, body, reply, sent) -> actions.
 
     Every message yields a row however late it comes; a late STOP takes effect
-    from its arrival on.  With ``dedupe_delay`` a message delivered twice (same
-    ``msg_id`` within that event time) is handled once, at the price that
+    from its arrival on.  Records of one envelope (column ``rec``) follow their
+    order in it.  With ``dedupe_delay`` a message delivered twice (same ``msg_id``
+    and ``rec`` within that event time) is handled once, at the price that
     messages later than the delay are dropped by the watermark.  Messages
     without a sender never reach the keyed step."""
     stored = convs.select(F.col("phone_number").alias("phone"), F.col("opt_out").alias("stored_opt_out"),
                           F.col("reply_count").alias("stored_reply_count"),
                           F.col("conversation_history").alias("stored_history"),
                           F.col("last_inbound_message").alias("stored_last_inbound"))
+    inbound = inbound.withColumn("rec", F.col("rec") if "rec" in inbound.columns else F.lit(1))
     if dedupe_delay:
         inbound = (inbound.withColumn("_event_time", F.col("ts").cast("timestamp"))   # watermarks need TIMESTAMP
-                   .withWatermark("_event_time", dedupe_delay).dropDuplicatesWithinWatermark(["msg_id"]))
+                   .withWatermark("_event_time", dedupe_delay).dropDuplicatesWithinWatermark(["msg_id", "rec"]))
     staged = (inbound
               .withColumn("command", C.classify_command("phone", "body"))
               .withColumn("phone", C.pystrip(F.coalesce(F.col("phone"), F.lit(""))))

@@ -6,35 +6,54 @@ from __future__ import annotations
 
 import hashlib
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.sinks.lake import FILE_PARTITIONS, write_lake
+from carelake.sinks.lake import FILE_PARTITIONS, to_uploads, write_lake
 from carelake.sources.files import BINARY_FILE_SCHEMA, PLACEHOLDER_TEXT, with_format
 from carelake.sources.lake import key_parts, source_key
 
 MAX_FILES_PER_TRIGGER = 1000
+MAX_HEADER_BYTES = 1 << 20
+HEADER_READERS = 16
 MANIFEST = "key string, format string, status string"
 
 
 def csv_header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Files grouped by their header line, so each group is read with one
-    consistent schema (files with another header are never mixed in).  Only
-    one line per file reaches the driver."""
-    if not paths:
-        return {}
-    lines = (spark.read.text(paths)
-             .select(F.col("_metadata.file_path").alias("fp"), F.col("_metadata.file_block_start").alias("blk"),
-                     F.monotonically_increasing_id().alias("mid"), "value")
-             .where(F.col("blk") == 0)
-             .groupBy("fp").agg(F.min_by("value", "mid").alias("header")))
+    consistent schema (files with another header are never mixed in).  Only the
+    beginning of each file is read, through the file system of its path; a
+    file without any text is in no group."""
     groups: dict[str, list[str]] = {}
-    for r in lines.select("fp", F.sha2("header", 256).substr(1, 16).alias("sig")).collect():
-        groups.setdefault(r.sig, []).append(r.fp)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for path, header in zip(paths, pool.map(lambda p: _header_line(spark, p), paths)):
+            if header is not None:
+                groups.setdefault(hashlib.sha256(header.encode()).hexdigest()[:16], []).append(path)
     return groups
 
 
+def _header_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a file that isn't blank; what lies beyond
+    ``MAX_HEADER_BYTES`` of a line or of blank lines isn't looked at."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        reader, line, left = jvm.org.apache.hadoop.util.LineReader(stream), jvm.org.apache.hadoop.io.Text(), MAX_HEADER_BYTES
+        while left > 0:
+            n = reader.readLine(line, left, left)
+            if n == 0:
+                return None
+            if line.toString().strip():
+                return line.toString()
+            left -= n
+        return None
+    finally:
+        stream.close()
+
+
 def _column_names(header: list) -> list[str]:
     """Header cells -> distinct, Parquet-safe column names (blank -> ``_cN``)."""
     out, seen = [], set()
@@ -49,7 +68,8 @@ def _column_names(header: list) -> list[str]:
     return out
 
 
-def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_root: str) -> tuple[int, set[str]]:
+def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_root: str,
+                 uploads_root: str | None = None) -> tuple[int, set[str]]:
     """First sheet of each workbook, first row as header, cells as text; one
     wide table per header signature.  Each workbook is parsed once, into the
     shared checkpoint folder.  Only one header row per file reaches the driver.
@@ -71,24 +91,40 @@ def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_r
         body = rows.where(F.col("path").isin(group) & (F.col("row_index") > F.col("header_row")))
         key = source_key(F.col("path"), upload_root)
         wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
-                           key.alias("_source_key"))
+                           key.alias("_source_key"), (F.col("row_index") - F.col("header_row")).alias("_row"))
         wide = wide.withColumns(key_parts(F.col("_source_key")))
+        if uploads_root:
+            content = F.to_json(F.struct(*[F.col(n) for n in names]))
+            write_lake(_long(wide, F.col("_row"), content), uploads_root)
+        wide = wide.drop("_row")
         root = f"{lake_root}/xlsx/sig={sig}/types=text"
         drop_stale(spark, wide.select(*FILE_PARTITIONS).distinct(), lake_root, keep=root)
         written += write_lake(wide, root)
     return written, readable
 
 
-def drop_stale(spark: SparkSession, folders: DataFrame, lake_root: str, keep: str | None = None) -> None:
+def _long(rows: DataFrame, row_index, content) -> DataFrame:
+    """Rows that carry their file's key parts, in the ``uploads`` form."""
+    return rows.select(row_index.cast("long").alias("row_index"), content.alias("content"), F.col("_filename").alias("filename"),
+                       F.current_timestamp().alias("uploaded_at"), *FILE_PARTITIONS)
+
+
+def drop_stale(spark: SparkSession, folders: DataFrame, lake_root: str, keep: str | None = None,
+               uploads_root: str | None = None) -> None:
     """Delete what earlier uploads of the same files left in other roots of the
     lake, so that a file with another header or other types replaces its rows.
-    ``folders`` has the partition values of one batch's files."""
+    ``folders`` has the partition values of one batch's files.  With
+    ``uploads_root`` their folders there go, and none of the lake's."""
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(lake_root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     roots = [str(s.getPath().toString()) for kind in ("csv", "xlsx") for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{lake_root}/{kind}/sig=*/types=*")) or []]
-    roots.append(f"{lake_root}/placeholder")
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{lake_root}/placeholder")):
+        roots.append(f"{lake_root}/placeholder")
     tail = "/".join((keep or "").split("/")[-3:])   # kind/sig=../types=..: the scheme of the path may differ
-    roots = [r for r in roots if not (tail and r.endswith(tail))]
+    if uploads_root:
+        roots = [uploads_root] if fs.exists(jvm.org.apache.hadoop.fs.Path(uploads_root)) else []
+    else:
+        roots = [r for r in roots if not (tail and r.endswith(tail))]
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for row in folders.select(*[F.col(c).cast("string").alias(c) for c in FILE_PARTITIONS]).collect() if roots else []:
         sub = "/".join(f"{c}={escape(row[c])}" for c in FILE_PARTITIONS if row[c])
@@ -98,19 +134,24 @@ def drop_stale(spark: SparkSession, folders: DataFrame, lake_root: str, keep: st
                 fs.delete(path, True)
 
 
-def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_root: str) -> int:
+def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_root: str,
+                  uploads_root: str | None = None) -> int:
     """Convert the files of one micro-batch.  CSV/TXT uploads are read with
     header and inferred types, one read per header signature; other files, and
     workbooks that can't be read, get a placeholder row.  Every file of the
     batch is entered in the manifest, so that files without rows are not
-    converted again.  Only the batch's file list (bounded by the trigger size)
-    reaches the driver."""
+    converted again.  With ``uploads_root`` the rows also go to the ``uploads``
+    table's folder, where a file's new rows replace all its old ones.  Only the
+    batch's file list (bounded by the trigger size) reaches the driver."""
     files = (with_format(batch.select("path")
                          .withColumn("_source_key", source_key(F.col("path"), upload_root))
                          .withColumn("file_name", F.element_at(F.split("_source_key", "/"), -1)), "file_name")
              .select("path", "format", "_source_key", "file_name").collect())
     csv_paths = [r.path for r in files if r.format == "csv"]
     written = 0
+    if uploads_root and files:
+        keys = spark.createDataFrame([(r._source_key,) for r in files], "_source_key string")
+        drop_stale(spark, keys.withColumns(key_parts(F.col("_source_key"))), lake_root, uploads_root=uploads_root)
     for sig, group in csv_header_groups(spark, csv_paths).items():
         df = spark.read.option("header", "true").option("inferSchema", "true").csv(group)
         # One root per (header, inferred types): a later batch that infers other
@@ -121,11 +162,14 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
         root = f"{lake_root}/csv/sig={sig}/types={types}"
         keyed = spark.createDataFrame([(r._source_key,) for r in files if r.path in set(group)], "_source_key string")
         drop_stale(spark, keyed.withColumns(key_parts(F.col("_source_key"))), lake_root, keep=root)
-        written += write_lake(df.withColumns(parts), root)
+        df = df.withColumns(parts)
+        written += write_lake(df, root)
+        if uploads_root:
+            write_lake(to_uploads(df, uploaded_at=F.col("_metadata.file_modification_time")), uploads_root)
     xlsx_paths = [r.path for r in files if r.format == "xlsx"]
     readable = set(csv_paths)
     if xlsx_paths:
-        rows, found = convert_xlsx(spark, xlsx_paths, upload_root, lake_root)
+        rows, found = convert_xlsx(spark, xlsx_paths, upload_root, lake_root, uploads_root)
         written, readable = written + rows, readable | found
     other = [(r.file_name, r._source_key) for r in files if r.path not in readable]
     if other:
@@ -134,6 +178,8 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
         ph = ph.select("filename", F.lit(PLACEHOLDER_TEXT).alias("content"), "_source_key",
                        *[parts[k].alias(k) for k in ("user_id", "year", "month", "_filename")])
         written += write_lake(ph, f"{lake_root}/placeholder")
+        if uploads_root:
+            write_lake(_long(ph, F.lit(1), F.to_json(F.struct("filename", "content"))), uploads_root)
     if files:
         status = [(r._source_key, r.format, "converted" if r.path in readable else "placeholder") for r in files]
         spark.createDataFrame(status, MANIFEST).coalesce(1).write.mode("append").parquet(f"{lake_root}/manifest")
@@ -141,13 +187,13 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
 
 
 def ingest_stream(spark: SparkSession, upload_root: str, lake_root: str, checkpoint: str,
-                  glob: str = "*", max_files: int = MAX_FILES_PER_TRIGGER):
+                  glob: str = "*", max_files: int = MAX_FILES_PER_TRIGGER, uploads_root: str | None = None):
     """Start the stream (``availableNow``): returns the finished query."""
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", max_files).load(upload_root)
            .select("path"))
-    q = (src.writeStream.foreachBatch(lambda b, _id: convert_batch(spark, b, upload_root, lake_root))
+    q = (src.writeStream.foreachBatch(lambda b, _id: convert_batch(spark, b, upload_root, lake_root, uploads_root))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -163,20 +209,22 @@ def converted_keys(spark: SparkSession, lake_root: str) -> DataFrame:
 
 
 def backfill(spark: SparkSession, upload_root: str, lake_root: str, force: bool = False,
-             chunk_files: int = MAX_FILES_PER_TRIGGER) -> int:
+             chunk_files: int = MAX_FILES_PER_TRIGGER, uploads_root: str | None = None) -> int:
     """Batch conversion of every tabular upload that has no lake output yet.
 
-    Listing (no bytes read) -> anti-join with the keys already in the lake ->
-    conversion in chunks of ``chunk_files`` files, each chunk one grouped read
+    Listing (no bytes read) -> anti-join with the keys already in the lake, kept
+    in the shared checkpoint folder and so done once for all chunks -> conversion in chunks of ``chunk_files`` files, each chunk one grouped read
     and one write per header signature.  Returns the rows written.
     """
+    from carelake.session import checkpoint_root
     from carelake.sources.files import list_files, pending_files
     listing = list_files(spark, upload_root).withColumn("key", source_key(F.col("path"), upload_root))
-    todo = pending_files(listing, converted_keys(spark, lake_root), key="key", force=force)
+    checkpoint_root(spark)
+    todo = pending_files(listing, converted_keys(spark, lake_root), key="key", force=force).checkpoint()
     n_files = todo.count()
     n_chunks = max(1, -(-n_files // chunk_files))
     todo = todo.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks)))
     written = 0
     for c in range(n_chunks if n_files else 0):
-        written += convert_batch(spark, todo.where(F.col("_chunk") == c).select("path"), upload_root, lake_root)
+        written += convert_batch(spark, todo.where(F.col("_chunk") == c).select("path"), upload_root, lake_root, uploads_root)
     return written

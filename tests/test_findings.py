@@ -58,6 +58,36 @@ def test_late_messages_are_not_lost(spark):
     assert got == {1: "reply", 2: "opt_out", 3: "ignore", 4: "suppressed"}
 
 
+def test_prompts_see_the_replies_before_them(spark, monkeypatch):
+    monkeypatch.setattr(V, "REPLY_BLOCK", 4)   # many blocks
+    stored = '[{"role": "user", "content": "s1"}, {"role": "assistant", "content": "s2"}]'
+    convs = spark.createDataFrame([("+1", "P", "5", "balance", stored, 0, False, None), ("+9", "Q", None, None, "junk", 0, True, None)], NO_CONVS)
+    rows = []
+    for i in range(40):
+        body = {7: "STOP", 12: "START"}.get(i, f"q{i}")
+        rows.append((i, T0 + dt.timedelta(minutes=25 * (i // 2)), "+1", body, f"a{i}", i % 3 != 1))
+    rows += [(100, None, "+2", "x", "y", None), (101, T0, "+9", "x", "y", True), (102, None, "+2", "z", "w", True), (103, T0, "+2", "v", None, True)]
+    inbound = spark.createDataFrame(rows, "msg_id long, ts timestamp, phone string, body string, reply string, sent boolean")
+    got = {r.msg_id: [m.content for m in r.messages][1:] for r in
+           V.sms_prompts_in_order(V.inbound_actions(inbound, convs), convs, n=7).collect()}
+    past, want = {"+1": ["s1", "s2"], "+2": []}, {}
+    for i, _, _, body, reply, sent in rows[:40]:
+        if 7 <= i <= 12:
+            continue
+        want[i] = past["+1"][-7:] + [body]
+        past["+1"] += [body, reply] if sent else []
+    assert got == want | {100: ["x"], 102: ["z"], 103: ["z", "w", "v"]}
+
+
+def test_records_of_an_envelope_keep_their_order(spark):
+    rows = [(1, T0, r, "+1", b, f"to {b}", True) for r, b in ((3, "a"), (1, "c"), (2, "b"))]
+    inbound = spark.createDataFrame(rows, "msg_id long, ts timestamp, rec int, phone string, body string, reply string, sent boolean")
+    convs = spark.createDataFrame([], NO_CONVS)
+    item = V.fold_conversations(convs, V.inbound_actions(inbound, convs)).first()
+    assert item.last_inbound_message == "a" and item.reply_count == 3
+    assert [item.conversation_history.index(f'"{b}"') for b in "cba"] == sorted(item.conversation_history.index(f'"{b}"') for b in "cba")
+
+
 def _logs(spark):
     issues = spark.createDataFrame([("a@example.com", "h", "s", 1000, 1300, 1)],
                                    "email string, code_hash string, user_sub string, issued_s long, expiry_s long, issue_id long")
@@ -120,6 +150,26 @@ def test_ingest_isolates_bad_files_and_replaces_reuploads(spark, tmp_path):
     assert [r.text for r in extract_text(files).collect()] == [UNREADABLE_TEXT]
 
 
+def test_ingest_fills_the_uploads_table(spark, tmp_path):
+    up, lake, table = (str(tmp_path / n) for n in ("uploads", "lake", "table"))
+    _put(up, "a.csv", b"\n  \nid,v\n1,2\n3,4\n")
+    _put(up, "b.csv", b"id,v\n5,6\n")
+    _put(up, "c.csv", b"id,v\n7,8\n")
+    _put(up, "old.xls", b"legacy")
+    _put(up, "two words.csv", b"id,w\n9,0\n")
+    for again in range(2):
+        backfill(spark, up, lake, force=True, uploads_root=table, chunk_files=2)
+        got = sorted((r.filename, r.row_index, r.content) for r in read_lake(spark, table).collect())
+        want = [("a.csv", 1, '{"id":1,"v":2}'), ("a.csv", 2, '{"id":3,"v":4}'), ("b.csv", 1, '{"id":5,"v":6}'), ("c.csv", 1, '{"id":7,"v":8}')]
+        assert got[:len(want)] == want and [g[0] for g in got[len(want):]] == ["old.xls", "two words.csv"]
+    assert all(r.uploaded_at is not None for r in read_lake(spark, table).collect())
+    _put(up, "a.csv", b"id,v\n")   # header only: its rows go
+    _put(up, "b.csv", b"id,v\nx,6\n")
+    backfill(spark, up, lake, force=True, uploads_root=table)
+    got = sorted((r.filename, r.content) for r in read_lake(spark, table).collect())
+    assert got[:2] == [("b.csv", '{"id":"x","v":6}'), ("c.csv", '{"id":"7","v":8}')]
+
+
 def test_uploads_of_one_month_stand_side_by_side(spark, tmp_path):
     root = str(tmp_path / "it's")
     for name, n in (("f1.csv", 25), ("f2.csv", 25), ("f1.csv", 3)):
