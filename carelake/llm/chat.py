@@ -1,14 +1,15 @@
 """Chat formatting with typed content parts (native).
 
 A message is a role and a list of parts: text, image, audio or document.  A
-visitor turns every part into one string (escaped text, or a placeholder with
-the attachment's number) and keeps a record of each attachment with the tokens
+visitor turns every part into one string (its text, or a placeholder with the
+attachment's number) and keeps a record of each attachment with the tokens
 it will expand to.  A conversation becomes one string:
 
     <|turn|>role<|body|>part part ...<|end|>   for every turn
 
 Control strings inside roles and texts are escaped reversibly, so the string
-can be parsed back without a side table.
+can be parsed back without a side table.  Texts that stand side by side are
+escaped as one, as a control string may run across their border.
 """
 
 from __future__ import annotations
@@ -59,12 +60,12 @@ ATTACHMENTS = {"image": _image, "audio": _audio, "document": _document}
 
 
 def visit(p: Column, number: Column) -> Column:
-    """One part -> (piece, type, ref, tokens): a piece of the body, and what an attachment leaves behind.
+    """One part -> (piece, type, ref, tokens): a piece of the body (texts not yet escaped), and what an attachment leaves behind.
 
     Null or unknown types count as text; a null text is empty.
     """
     kind = F.coalesce(p["type"], F.lit("text"))
-    piece, tokens = escape(F.coalesce(p["text"], F.lit(""))), F.lit(0).cast("long")
+    piece, tokens = F.coalesce(p["text"], F.lit("")), F.lit(0).cast("long")
     for name, expand in ATTACHMENTS.items():
         piece = F.when(kind == name, F.concat(F.lit(f"<|{name}:"), number.cast("string"), F.lit("|>"))).otherwise(piece)
         tokens = F.when(kind == name, expand(p).cast("long")).otherwise(tokens)
@@ -88,6 +89,16 @@ def flatten_message(parts: Column) -> Column:
     return let(F.coalesce(parts, F.array().cast(f"array<{PART}>")), numbered)
 
 
+def message_body(seen: Column) -> Column:
+    """The visited parts as one string: placeholders as they are, each run of texts between them escaped as a whole."""
+    none = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+
+    def add(a: Column, s: Column) -> Column:
+        text = F.struct(a["done"].alias("done"), F.concat(a["run"], s["piece"]).alias("run"))
+        return F.when(s["type"].isNull(), text).otherwise(F.struct(F.concat(a["done"], escape(a["run"]), s["piece"]).alias("done"), F.lit("").alias("run")))
+    return F.aggregate(seen, none, add, lambda a: F.concat(a["done"], escape(a["run"])))
+
+
 def format_conversations(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, parts) -> (conv_id, formatted, attachments, expanded_tokens).
 
@@ -97,7 +108,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     its rows are formatted before they are gathered.
     """
     rows = messages.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), flatten_message(F.col("parts")).alias("seen"))
-    body = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY), F.array_join(F.transform("seen", lambda s: s["piece"]), ""), F.lit(END))
+    body = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY), message_body(F.col("seen")), F.lit(END))
     found = F.transform(F.filter("seen", lambda s: s["type"].isNotNull()),
                         lambda s: F.struct(F.col("turn").alias("turn"), s["type"].alias("type"), s["ref"].alias("ref"), s["tokens"].alias("tokens")))
     rows = rows.select("conv_id", "turn", "role", body.alias("body"), found.alias("found"))
@@ -110,11 +121,11 @@ def format_conversations(messages: DataFrame) -> DataFrame:
 def parse(formatted: DataFrame) -> DataFrame:
     """Add ``turns`` (role, text, pieces of the raw body) read back from ``formatted`` alone.
 
-    ``text`` is the body's text, unescaped, without placeholders.
+    ``text`` is the body's text without placeholders, unescaped run by run.
     """
     def turn(chunk: Column) -> Column:
         both = F.split(F.regexp_replace(chunk, r"<\|end\|>$", ""), r"<\|body\|>", 2)
-        return let(both, lambda b: F.struct(unescape(b[0]).alias("role"), unescape(F.regexp_replace(b[1], PLACEHOLDER, "")).alias("text"),
+        return let(both, lambda b: F.struct(unescape(b[0]).alias("role"), F.array_join(F.transform(F.split(b[1], PLACEHOLDER, -1), unescape), "").alias("text"),
                                             b[1].alias("body")))
     chunks = F.filter(F.split("formatted", r"<\|turn\|>", -1), lambda c, i: i > 0)  # nothing stands before the first mark
     return formatted.withColumn("turns", F.transform(chunks, turn))

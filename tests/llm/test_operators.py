@@ -372,3 +372,20 @@ def test_typed_parts(spark):
     assert "<|image:0|><|audio:1|>end" in out["formatted"] and r"look <\|image:0|> " in out["formatted"]
     assert [(a["turn"], a["type"], a["ref"], a["tokens"]) for a in out["attachments"]] == [(0, "image", "s3://i.png", 3), (0, "audio", "a.wav", 38), (1, "document", "d.pdf", 1800)]
     assert out["expanded_tokens"] == 1841 and [t["text"] for t in out["turns"]] == ["look <|image:0|> end", "fine", ""] and out["loss"] == ["fine"]
+
+
+def test_control_strings_across_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    rng = random.Random(5)
+    bits = ["<", "|", "[", "INST]", "/INST]", "/", "s>", "\\", "end|>", "<|turn", "image:0|>", "", None, "IMAGE"]
+    rows, want = [], {}
+    for c in range(400):
+        picked = [rng.choice(bits) for _ in range(rng.randrange(9))]
+        parts = [("image", None, "r", 1, 1, None, None) if b == "IMAGE" else ("text", b, None, None, None, None, None) for b in picked]
+        rows.append((c, 0, "user<", parts))
+        rows.append((c, 1, "assistant", [("text", "ok", None, None, None, None, None)]))
+        want[c] = ("".join(b or "" for b in picked if b != "IMAGE"), picked.count("IMAGE"))
+    out = chat.loss_spans(chat.parse(chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>"))))
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert {c: (r["turns"][0]["text"], len(r["attachments"])) for c, r in got.items()} == want
+    assert all([t["role"] for t in r["turns"]] == ["user<", "assistant"] and r["loss"] == ["ok"] for r in got.values())
