@@ -6,18 +6,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carelake.functions.text import basename
 from carelake.sinks.lake import FILE_PARTITIONS, to_uploads, write_lake
-from carelake.sources.files import BINARY_FILE_SCHEMA, PLACEHOLDER_TEXT, with_format
+from carelake.sources.files import BINARY_FILE_SCHEMA, PLACEHOLDER_TEXT, open_path, with_format
 from carelake.sources.lake import key_parts, source_key
 
 MAX_FILES_PER_TRIGGER = 1000
 MAX_HEADER_BYTES = 1 << 20
 HEADER_READERS = 16
+STAGED = "hidden-uploads"
 MANIFEST = "key string, format string, status string"
 
 
@@ -89,7 +93,7 @@ def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_r
         names = _column_names(list(hdr))
         sig = hashlib.sha256("\x1f".join(names).encode()).hexdigest()[:16]
         body = rows.where(F.col("path").isin(group) & (F.col("row_index") > F.col("header_row")))
-        key = source_key(F.col("path"), upload_root)
+        key = _key(F.col("path"), upload_root)
         wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
                            key.alias("_source_key"), (F.col("row_index") - F.col("header_row")).alias("_row"))
         wide = wide.withColumns(key_parts(F.col("_source_key")))
@@ -134,6 +138,36 @@ def drop_stale(spark: SparkSession, folders: DataFrame, lake_root: str, keep: st
                 fs.delete(path, True)
 
 
+def _key(path, upload_root: str):
+    """The object key of an upload, also where a staged copy of it is read."""
+    key = source_key(path, upload_root)
+    staged = F.regexp_extract(key, f"/{STAGED}-[0-9a-f]+/(.*)$", 1)
+    return F.when(staged != "", F.regexp_replace(staged, "(^|/)u([^/]*)$", "$1$2")).otherwise(key)
+
+
+def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for source, target in zip(b.column("source").to_pylist(), b.column("path").to_pylist()):
+            (a, src), (z, dst) = open_path(source), open_path(target)
+            z.create_dir(dst.rsplit("/", 1)[0], recursive=True)
+            with a.open_input_stream(src) as i, z.open_output_stream(dst) as o:
+                while data := i.read(1 << 20):
+                    o.write(data)
+        yield b.select(["path", "key"])
+
+
+def stage_hidden(spark: SparkSession, hidden: DataFrame) -> DataFrame:
+    """(path, key) of copies that Spark's readers see, below the shared scratch
+    folder; the executors copy the files."""
+    from carelake.session import checkpoint_root, scratch_dir
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, STAGED))
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    target = F.concat(F.lit(root + "/"), F.regexp_replace("key", "(^|/)([^/]+)$", "$1u$2"))
+    checkpoint_root(spark)
+    return (hidden.select(F.col("path").alias("source"), target.alias("path"), "key").repartition("source")
+            .mapInArrow(_copy_files, "path string, key string").checkpoint())
+
+
 def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_root: str,
                   uploads_root: str | None = None) -> int:
     """Convert the files of one micro-batch.  CSV/TXT uploads are read with
@@ -144,7 +178,7 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
     table's folder, where a file's new rows replace all its old ones.  Only the
     batch's file list (bounded by the trigger size) reaches the driver."""
     files = (with_format(batch.select("path")
-                         .withColumn("_source_key", source_key(F.col("path"), upload_root))
+                         .withColumn("_source_key", _key(F.col("path"), upload_root))
                          .withColumn("file_name", F.element_at(F.split("_source_key", "/"), -1)), "file_name")
              .select("path", "format", "_source_key", "file_name").collect())
     csv_paths = [r.path for r in files if r.format == "csv"]
@@ -157,7 +191,7 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
         # One root per (header, inferred types): a later batch that infers other
         # types for the same header never mixes conflicting Parquet files.
         types = hashlib.sha256(df.schema.simpleString().encode()).hexdigest()[:8]
-        df = df.withColumn("_source_key", source_key(F.col("_metadata.file_path"), upload_root))
+        df = df.withColumn("_source_key", _key(F.col("_metadata.file_path"), upload_root))
         parts = key_parts(F.col("_source_key"))
         root = f"{lake_root}/csv/sig={sig}/types={types}"
         keyed = spark.createDataFrame([(r._source_key,) for r in files if r.path in set(group)], "_source_key string")
@@ -212,15 +246,20 @@ def backfill(spark: SparkSession, upload_root: str, lake_root: str, force: bool
              chunk_files: int = MAX_FILES_PER_TRIGGER, uploads_root: str | None = None) -> int:
     """Batch conversion of every tabular upload that has no lake output yet.
 
+    Uploads that Spark's readers skip (``_1_.csv``) are read from staged copies.
     Listing (no bytes read) -> anti-join with the keys already in the lake, kept
     in the shared checkpoint folder and so done once for all chunks -> conversion in chunks of ``chunk_files`` files, each chunk one grouped read
     and one write per header signature.  Returns the rows written.
     """
     from carelake.session import checkpoint_root
-    from carelake.sources.files import list_files, pending_files
-    listing = list_files(spark, upload_root).withColumn("key", source_key(F.col("path"), upload_root))
+    from carelake.sources.files import hidden_files, list_files, pending_files
+    listing = list_files(spark, upload_root).unionByName(hidden_files(spark, upload_root)).withColumn("key", source_key(F.col("path"), upload_root))
     checkpoint_root(spark)
-    todo = pending_files(listing, converted_keys(spark, lake_root), key="key", force=force).checkpoint()
+    todo = pending_files(listing, converted_keys(spark, lake_root), key="key", force=force)
+    todo = todo.select("path", "key").checkpoint()
+    hidden = basename(F.col("key")).rlike("^[_.]")
+    if not todo.where(hidden).isEmpty():
+        todo = todo.where(~hidden).unionByName(stage_hidden(spark, todo.where(hidden)))
     n_files = todo.count()
     n_chunks = max(1, -(-n_files // chunk_files))
     todo = todo.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks)))

@@ -16,8 +16,9 @@ from carelake.operators import conversations as V
 from carelake.plans import derived as D
 from carelake.sinks.lake import register_uploads, to_uploads, write_lake
 from carelake.sources.extract import UNREADABLE_TEXT, extract_text
+from carelake.sources.files import file_inventory
 from carelake.sources.lake import read_lake
-from carelake.sources.xlsx import read_xlsx
+from carelake.sources.xlsx import build_xlsx, read_xlsx
 from carelake.streaming import inbound as SI
 from carelake.streaming import login as SL
 from carelake.streaming.common import run_available_now, stream_parquet
@@ -170,6 +171,24 @@ def test_ingest_fills_the_uploads_table(spark, tmp_path):
     assert got[:2] == [("b.csv", '{"id":"x","v":6}'), ("c.csv", '{"id":"7","v":8}')]
 
 
+def test_names_that_spark_skips_are_listed_and_converted(spark, tmp_path):
+    up, lake, table = (str(tmp_path / n) for n in ("uploads", "lake", "table"))
+    _put(up, "_1_.csv", b"id,v\n1,2\n")
+    _put(up, ".x y.csv", b"id,v\n3,4\n")
+    _put(up, "plain.csv", b"id,v\n5,6\n")
+    _put(up, "_book.xlsx", build_xlsx([("S", [["h"], ["c"]])]))
+    want = ["_1_.csv", ".x y.csv", "plain.csv", "_book.xlsx"]
+    for user in (None, "u1"):
+        names = [r.name for r in file_inventory(spark, str(tmp_path), user).collect()]
+        assert sorted(names) == sorted(want)
+    backfill(spark, up, lake, uploads_root=table)
+    assert sorted((r.id, r.v) for r in read_lake(spark, f"{lake}/csv").collect()) == [(1, 2), (3, 4), (5, 6)]
+    assert sorted(r.filename for r in read_lake(spark, table).collect()) == sorted(want)
+    keys = {r.key for r in spark.read.parquet(f"{lake}/manifest").where("status = 'converted'").collect()}
+    assert keys == {f"user_id=u1/year=2026/month=06/{n}" for n in want}
+    assert backfill(spark, up, lake) == 0
+
+
 def test_uploads_of_one_month_stand_side_by_side(spark, tmp_path):
     root = str(tmp_path / "it's")
     for name, n in (("f1.csv", 25), ("f2.csv", 25), ("f1.csv", 3)):
