@@ -74,30 +74,38 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
 
 
-def extract_lines(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> one row per text line of each workbook or document;
-    plain text stays in the JVM (one row per file, malformed bytes replaced)."""
+def _split(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of workbooks and documents, one row per plain text); a file without a path is plain text."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    parsed = F.element_at(F.split(name, r"\."), -1).isin("xlsx", "docx", *NO_PARSER)
+    parsed = F.coalesce(F.element_at(F.split(name, r"\."), -1).isin("xlsx", "docx", *NO_PARSER), F.lit(False))
     plain = files.where(~parsed).select(
         "path", F.lit("text").alias("kind"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
         F.lit(None).cast("array<string>").alias("cells"), make_valid_text(F.coalesce("content", F.lit(b""))).alias("text"))
-    return files.where(parsed).select("path", "content").mapInArrow(_lines, LINE_SCHEMA).unionByName(plain)
+    return files.where(parsed).select("path", "content").mapInArrow(_lines, LINE_SCHEMA), plain
+
+
+def extract_lines(files: DataFrame) -> DataFrame:
+    """``(path, content)`` -> one row per text line of each workbook or document;
+    plain text stays in the JVM (one row per file, malformed bytes replaced)."""
+    lines, plain = _split(files)
+    return lines.unionByName(plain)
 
 
 def extract_text(files: DataFrame) -> DataFrame:
     """``(path, content)`` -> ``(path, text)``.  Workbooks: a header line per
     sheet, rows tab-joined (null -> ''); documents: non-blank paragraphs;
     PDF and legacy ``.xls``: the unsupported-type text; damaged files: the
-    unreadable text; anything else: UTF-8 with malformed bytes replaced."""
-    lines = extract_lines(files)
+    unreadable text; anything else, also a file without a path: UTF-8 with
+    malformed bytes replaced, a row per file."""
+    lines, plain = _split(files)
     kind = F.col("kind")
     blank_para = (kind == "para") & (pystrip(F.col("text")) == "")
     line = (F.when(kind == "sheet", F.format_string(SHEET_HEADER, F.col("text")))
              .when(kind == "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\t"))
              .when((kind == "file") | blank_para, F.lit(None).cast("string"))   # ignored by listagg
              .otherwise(F.col("text")))
-    return (lines.select("path", "k1", "k2", line.alias("line"))
-            .groupBy("path")
-            .agg(F.coalesce(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY k1, k2)"), F.lit(""))
-                 .alias("text")))
+    joined = (lines.select("path", "k1", "k2", line.alias("line"))
+              .groupBy("path")
+              .agg(F.coalesce(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY k1, k2)"), F.lit(""))
+                   .alias("text")))
+    return joined.unionByName(plain.select("path", "text"))
