@@ -24,7 +24,6 @@ BUCKETS = 1 << 16
 MAX_TRAIN = 4000
 ROUNDS = 8         # EM rounds over all languages
 MORE_ROUNDS = 4    # and over each smaller set
-MOST_LANGUAGES = 3
 PENALTY = 4.0      # times half the logarithm of the words; over 1 as a word's trigrams aren't independent
 SMOOTH = 0.5
 
@@ -104,7 +103,7 @@ class Model:
         order = np.argsort(-share, axis=1, kind="stable")
         best_share = np.zeros_like(share)
         best = np.full(len(some), -np.inf)
-        for m in range(1, min(MOST_LANGUAGES, langs) + 1):
+        for m in range(1, langs + 1):
             allowed = np.zeros(share.shape, bool)
             np.put_along_axis(allowed, order[:, :m], True, axis=1)
             s = np.where(allowed, np.maximum(share, 1e-6), 0)

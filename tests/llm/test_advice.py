@@ -1,0 +1,22 @@
+"""What a reviewer found cut short."""
+
+import re
+
+import numpy as np
+
+from carelake.llm import language
+from carelake.llm.common import table
+
+
+# 3: language
+
+
+def test_a_text_in_four_languages_has_four_shares(spark):
+    d = table(spark, "/root/testdata/sf0.1", "documents")
+    model = language.train(d)
+    parts = {r["lang"]: r["text"] for r in d.where("length(text) > 4000").groupBy("lang").agg({"text": "min"}).withColumnRenamed("min(text)", "text").collect()}
+    want = dict(zip(sorted(parts), (0.38, 0.30, 0.20, 0.12)))
+    raw = " ".join(w for x, share in want.items() for w in re.findall(r"[^\W\d_]+", parts[x])[:int(500 * share)]).encode()
+    mix = model.mixtures(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    assert [x for x, _ in mix] == list(want) and len(want) == 4
+    assert all(abs(share - want[x]) < 0.02 for x, share in mix)
