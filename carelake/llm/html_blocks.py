@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 #: a comment, declaration or tag; quoted attribute values may hold '>'; what is cut off by the end of the page is a tag too
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: attributes one after the other, so that a value is never taken for a name
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 
 #: elements whose content is never text
@@ -46,6 +47,10 @@ SIGNS = {
     "comment": frozenset("comment comments reply replies respond discussion disqus responses".split()),
 }
 _SIGN_OF = {w: s for s, words in SIGNS.items() for w in words}
+#: what follows these in a class or id says what the page has beside it, not what the element is
+_BESIDE = frozenset("has with no without".split())
+#: hidden on some screens or on paper only
+_HIDDEN_SOMEWHERE = re.compile(r"hidden-(?:print|xs|sm|md|lg|xl|phone|tablet|desktop|mobile)\b")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", *SIGNS, "marked")
 
 
@@ -55,20 +60,38 @@ class Blocks:
     rows: list[list[float]]  # features
 
 
+def _token_signs(token: str) -> set[str]:
+    """The signs of one class or id: "post-footer" and "content-ad" aren't the article."""
+    found: set[str] = set()
+    for w in _WORDS.findall("" if _HIDDEN_SOMEWHERE.match(token) else token):
+        if w in _BESIDE:
+            break
+        if w in _SIGN_OF:
+            found.add(_SIGN_OF[w])
+    if len(found) > 1:
+        found.discard("article")
+    return found
+
+
 @functools.lru_cache(maxsize=65536)
 def _signs(name: str, attrs: str) -> frozenset[str]:
+    if name in ("body", "html"):
+        return frozenset()  # classes of the whole page say nothing about its parts
     found = {_SIGN_OF[name]} if name in _SIGN_OF else set()
+    tokens: list[set[str]] = []
     for key, *values in _ATTR.findall(attrs):
         value = "".join(values).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             found.add("form")
-        elif key in ("class", "id", "role"):
+        elif key in ("class", "id"):
+            tokens += map(_token_signs, value.split())
+        elif key == "role":
             found.update(_SIGN_OF[w] for w in _WORDS.findall(value) if w in _SIGN_OF)
-    if name in ("body", "html"):
-        found.clear()  # classes of the whole page say nothing about its parts
+    # a class or id that names the article isn't overruled by another one; the element, its role or its being hidden do so
+    found.update(*([{"article"}] if {"article"} in tokens else tokens))
     if len(found) > 1:
-        found.discard("article")  # "post-footer", "content-ad"
+        found.discard("article")
     return frozenset(found)
 
 
@@ -157,9 +180,14 @@ def split_blocks(page: str) -> Blocks:
     return Blocks(texts, rows)
 
 
-def _sample_pages(n: int = 120, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
+#: containers of an article whose mark-up also names something else
+MIXED = ('class="content has-sidebar"', 'class="main with-comments"', 'class="post hidden-print"', 'id="main" class="no-sidebar content-with-ads"',
+         'class="entry post-7 category-social tag-cookie"', 'class="content" data-title="hidden gems"', 'class="story" data-id="search"')
+
+
+def _sample_pages(n: int = 120, seed: int = 7, mixed: bool = False) -> Iterator[tuple[str, set[str]]]:
     """Labelled pages made by rule: (page, its article blocks).  Layouts, lengths and mark-up vary; word counts of
-    boilerplate and article overlap."""
+    boilerplate and article overlap.  With ``mixed`` the articles' containers are those of MIXED."""
     rng = random.Random(seed)
     serial = iter(range(10 ** 9))
 
@@ -198,7 +226,7 @@ def _sample_pages(n: int = 120, seed: int = 7) -> Iterator[tuple[str, set[str]]]
                 body.insert(rng.randint(1, len(body)), dress(sign).replace("|", f"<p>{words(1, 40)}</p>"))
         article = "".join(body)
         if rng.random() < 0.8:
-            article = dress("article").replace("|", article)
+            article = (f"<div {rng.choice(MIXED)}>|</div>" if mixed else dress("article")).replace("|", article)
         before = [dress("menu").replace("|", f"<ul>{links(rng.randint(2, 9))}</ul>"), dress("menu").replace("|", words(1, 14)), f"<ul>{links(5)}</ul>",
                   dress("notice").replace("|", words(3, 40)), dress("form").replace("|", words(1, 8)), dress("side").replace("|", f"<p>{words(2, 50)}</p>")]
         after = [dress("side").replace("|", words(3, 40)), dress("comment").replace("|", f"<p>{words(2, 60)}</p><p>{words(3, 20)}</p>"), f"<ul>{links(6)}</ul>",
@@ -208,9 +236,9 @@ def _sample_pages(n: int = 120, seed: int = 7) -> Iterator[tuple[str, set[str]]]
 
 
 def labelled_table(n: int = 120, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The training table: features and label of every block of the sample pages (about 2,200 rows)."""
+    """The training table: features and label of every block of the sample pages (about 3,000 rows)."""
     rows, labels = [], []
-    for page, keep in _sample_pages(n, seed):
+    for page, keep in [*_sample_pages(n, seed), *_sample_pages(n // 3, seed + 1, mixed=True)]:
         b = split_blocks(page)
         rows += b.rows
         labels += [t in keep for t in b.texts]
