@@ -9,43 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import cut, ranked
+from carelake.llm.common import cut, let, ranked
 
 
 def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str = "curve") -> DataFrame:
-    """Add the Hilbert index of integer coordinates 0 .. 2^bits - 1 (Skilling's transform, unrolled into projections).
+    """Add the Hilbert index of integer coordinates 0 .. 2^bits - 1 (Skilling's transform).
 
-    Every step is a projection of its own, so no expression is written out twice.
+    The coordinates are one array and the transform folds over its (bit, axis)
+    steps, so the expression has one size whatever ``bits`` and the axes are.
     """
     n = len(axes)
     if n * bits > 62:
         raise ValueError("axes x bits must fit a long")
-    names = [f"_x{i}" for i in range(n)]
-    df = df.select("*", *[F.col(a).cast("long").alias(x) for a, x in zip(axes, names)])
-
-    def put(**new: Column) -> DataFrame:
-        return df.withColumns(new)
-
-    for b in range(bits - 1, 0, -1):
-        low = F.lit((1 << b) - 1).cast("long")
-        for x in names:
-            on = F.col(x).bitwiseAND(F.lit(1 << b).cast("long")) != 0
-            df = put(_t=F.when(on, F.lit(0)).otherwise(F.col("_x0").bitwiseXOR(F.col(x)).bitwiseAND(low)).cast("long"), _on=on)
-            first = F.when(F.col("_on"), F.col("_x0").bitwiseXOR(low)).otherwise(F.col("_x0").bitwiseXOR(F.col("_t")))
-            df = put(_x0=first) if x == "_x0" else put(_x0=first, **{x: F.col(x).bitwiseXOR(F.col("_t"))})
-    for a, x in zip(names, names[1:]):
-        df = put(**{x: F.col(x).bitwiseXOR(F.col(a))})
-    gray = F.lit(0).cast("long")
-    for b in range(bits - 1, 0, -1):
-        gray = gray.bitwiseXOR(F.when(F.col(names[-1]).bitwiseAND(F.lit(1 << b).cast("long")) != 0,
-                                      F.lit((1 << b) - 1).cast("long")).otherwise(F.lit(0).cast("long")))
-    df = put(_t=gray)
-    df = put(**{x: F.col(x).bitwiseXOR(F.col("_t")) for x in names})
-    index = F.lit(0).cast("long")
-    for b in range(bits - 1, -1, -1):
-        for x in names:
-            index = index * 2 + F.shiftright(F.col(x), b).bitwiseAND(F.lit(1).cast("long"))
-    return df.withColumn(out, index).drop(*names, "_t", "_on")
+
+    def steps(lowest: int) -> Column:
+        return F.array(*[F.struct(F.lit(1 << b).cast("long").alias("bit"), F.lit(i).alias("axis"))
+                         for b in range(bits - 1, lowest - 1, -1) for i in range(n)])
+
+    def turn(x: Column, s: Column) -> Column:
+        low, at = s["bit"] - 1, F.element_at(x, s["axis"] + 1)
+        swap = x[0].bitwiseXOR(at).bitwiseAND(low)
+        return F.when(at.bitwiseAND(s["bit"]) != 0, F.transform(x, lambda v, j: F.when(j == 0, v.bitwiseXOR(low)).otherwise(v))).otherwise(
+            F.transform(x, lambda v, j: F.when((j == 0) | (j == s["axis"]), v.bitwiseXOR(swap)).otherwise(v)))
+
+    zero = F.lit(0).cast("long")
+    x = F.array(*[F.col(a).cast("long") for a in axes])
+    if bits > 1:
+        x = F.aggregate(steps(1), x, turn)
+    # Gray code: each axis takes the exclusive or of all up to it, then all take that of the last one's higher bits
+    x = F.aggregate(x, F.array().cast("array<long>"), lambda done, v: F.concat(done, F.array(
+        F.when(F.size(done) == 0, v).otherwise(F.element_at(done, -1).bitwiseXOR(v)))))
+    df = df.withColumn(out, x)
+    ones = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)] or [zero])
+    gray = F.aggregate(ones, zero, lambda t, bit: F.when(F.element_at(out, -1).bitwiseAND(bit) != 0, t.bitwiseXOR(bit - 1)).otherwise(t))
+    df = df.withColumn(out, let(gray, lambda t: F.transform(out, lambda v: v.bitwiseXOR(t))))
+    return df.withColumn(out, F.aggregate(steps(0), zero, lambda index, s: index * 2 + F.when(
+        F.element_at(out, s["axis"] + 1).bitwiseAND(s["bit"]) != 0, 1).otherwise(0)))
 
 
 def quantise_text(df: DataFrame, col: str, bits: int, out: str) -> DataFrame:

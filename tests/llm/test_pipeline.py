@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from carelake.llm import language, mixing
 from carelake.llm.common import table
-from test_operators import SF, brute_components, brute_contamination, water_fill
+from test_llm_operators import SF, brute_components, brute_contamination, water_fill
 
 
 def test_run_equals_the_plain_version(spark):
