@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, html_blocks, language, mixing, neardup, quality, sharding, tokens, warc, winnow
+from carelake.llm import chat, html_blocks, language, mixing, neardup, quality, runs, sharding, tokens, warc, winnow
 from carelake.llm.common import scratch_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,13 @@ def op6_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token that crosses a line's end counts where it begins."""
     out = tokens.attribute(table(spark, sf_dir, "documents"), rule="first")
     return out.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(runs.repeat_tails(table(spark, sf_dir, "documents"))).withColumn("best", runs.best_run())
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -59,7 +59,7 @@ class Words:
 
     lo: int
     hi: int
-    data: np.ndarray    # the rows' bytes, ASCII letters lower-cased
+    data: np.ndarray    # the rows' bytes, ASCII letters lower-cased if asked
     start: np.ndarray   # of each word, into data
     end: np.ndarray
     hash: np.ndarray    # uint64
@@ -89,10 +89,10 @@ def byte_chunks(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(col: pa.Array, word_class: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[Words]:
-    """The words of every row, lower-cased, hashed, chunk by chunk."""
+def words(col: pa.Array, word_class: np.ndarray, max_bytes: int = 1 << 20, lower: bool = True) -> Iterator[Words]:
+    """The words of every row, lower-cased (unless told otherwise), hashed, chunk by chunk."""
     for lo, hi, raw, offs in byte_chunks(col, max_bytes):
-        data = LOWER[raw]
+        data = LOWER[raw] if lower else raw
         n = len(data)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = word_class[data]
