@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, html_blocks, language, mixing, neardup, quality, runs, sharding, tokens, warc, winnow
-from carelake.llm.common import scratch_uri, table
+from carelake.llm import chat, html_blocks, language, mixing, neardup, quality, runs, sharding, tokens, trie, warc, winnow
+from carelake.llm.common import cut, scratch_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +158,36 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                         milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op12_prefix_trie", r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < c.h
+      UNION ALL
+      SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(n.n, 0)), t.role, t.text
+      FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN n ON n.conv_id = c.base WHERE t.pos >= c.h),
+p AS (SELECT conv_id, pos + 1 AS d, string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS k,
+             octet_length(encode(text)) AS b FROM r
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(b) AS own FROM p GROUP BY d, k),
+up AS (SELECT nodes.*, q.conv_id AS parent FROM nodes LEFT JOIN p ON p.conv_id = nodes.conv_id AND p.d = nodes.d - 1
+       LEFT JOIN nodes q ON q.d = p.d AND q.k = p.k),
+kids AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS m FROM up WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT up.*, coalesce(m, 0) AS m FROM up LEFT JOIN kids USING (d, conv_id)),
+sums AS (SELECT a.d, a.k, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) AS leaves, sum(CASE WHEN f.d > 0 THEN own ELSE 0 END) AS saved
+         FROM full_ f JOIN p a ON a.conv_id = f.conv_id AND a.d <= f.d GROUP BY ALL),
+ends AS (SELECT d, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY d, k)
+SELECT conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs, m::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_ JOIN sums USING (d, k) LEFT JOIN ends USING (d, k)
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = cut(trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(trie.share_openings(turns), turns.select("conv_id"))
