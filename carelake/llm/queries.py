@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, html_blocks, language, mixing, neardup, quality, runs, sharding, tokens, trie, warc, winnow
+from carelake.llm import chat, html_blocks, language, mixing, neardup, packing, quality, runs, sharding, tokens, trie, warc, winnow
 from carelake.llm.common import cut, scratch_uri, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,5 +189,10 @@ SELECT conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_con
 FROM full_ JOIN sums USING (d, k) LEFT JOIN ends USING (d, k)
 """)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = cut(trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    turns = cut(trie.turn_digests(trie.ordered_turns(table(spark, sf_dir, "conversations"))))
     return trie.prefix_trie(trie.share_openings(turns), turns.select("conv_id"))
+
+
+@register("op13_retrieval_packing")
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))

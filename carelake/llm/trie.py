@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from carelake.llm.common import cut, ranked, union_all
 
-ROOT = ""          # name of the empty prefix
+ROOT = b""         # name of the empty prefix
 IDS_A_CHUNK = 4096  # members whose ids are gathered at once
 
 
@@ -48,26 +48,33 @@ def ordered_turns(messages: DataFrame) -> DataFrame:
 def share_openings(turns: DataFrame, block: int = 5, most: int = 9) -> DataFrame:
     """Conversations that begin alike: conversation c opens with the first h turns of conversation c - c % ``block``
     (h by a checksum of c, below ``most``), then goes on with its own turns after its first h."""
+    values = [c for c in turns.columns if c not in ("conv_id", "pos")]
     convs = turns.select("conv_id").distinct()
     h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(most)).alias("h")
     convs = convs.select("conv_id", h, (F.col("conv_id") - F.col("conv_id") % block).alias("base"))
     head = turns.where(F.col("pos") < most - 1).withColumnRenamed("conv_id", "base")
-    opening = convs.join(head, "base").where("pos < h").select("conv_id", "pos", "role", "text")
+    opening = convs.join(head, "base").where("pos < h").select("conv_id", "pos", *values)
     # turns that the base has to give: its length, as far as h can ask
     length = head.groupBy("base").agg(F.count("*").alias("have"))
     convs = convs.join(length, "base", "left").select("conv_id", "h", F.least("h", F.coalesce("have", F.lit(0))).alias("taken"))
-    own = turns.join(convs, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "role", "text")
+    own = turns.join(convs, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), *values)
     return opening.unionByName(own)
 
 
 def _digest(*parts: Column) -> Column:
-    return F.sha2(F.concat(*parts), 256)
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def turn_digests(turns: DataFrame) -> DataFrame:
+    """(conv_id, pos, content, bytes): what the trie needs of a turn, so that texts aren't shuffled any more."""
+    # both parts' digests, so that no text can pass for another split
+    content = _digest(_digest(F.col("role").cast("binary")), _digest(F.col("text").cast("binary")))
+    return turns.select("conv_id", "pos", content.alias("content"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 def _contents(turns: DataFrame, levels: int) -> list[DataFrame]:
     """By level k: (conv_id, depth, content) of the whole blocks of 2^k turns that end at ``depth``, an odd multiple of 2^k."""
-    # a turn's content: both parts' digests, so that no text can pass for another split
-    level = turns.select("conv_id", F.col("pos").alias("block"), _digest(F.sha2("role", 256), F.sha2("text", 256)).alias("content"))
+    level = turns.select("conv_id", F.col("pos").alias("block"), "content")
     out = []
     for k in range(levels):
         named = level.where("block % 2 = 0").select("conv_id", ((F.col("block") + 1) * (1 << k)).alias("depth"), "content")
@@ -96,7 +103,7 @@ def name_prefixes(turns: DataFrame) -> tuple[DataFrame, int]:
             part = part.withColumn("root", F.lit(ROOT))
         part = part.select("conv_id", "depth", _digest(F.coalesce("root", F.lit(ROOT)), F.col("content")).alias("name"))
         found.append(cut(part))
-    return (union_all(found) if found else turns.select("conv_id", F.col("pos").alias("depth"), F.col("role").alias("name")).limit(0)), levels
+    return (union_all(found) if found else turns.select("conv_id", F.col("pos").alias("depth"), F.col("content").alias("name")).limit(0)), levels
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,7 @@ def member_hashes(ends: DataFrame) -> DataFrame:
 
 
 def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
-    """One row per distinct prefix of the sequences in ``turns`` (conv_id, pos from 0 without gaps, role, text):
+    """One row per distinct prefix of the sequences in ``turns`` (conv_id, pos from 0 without gaps, content, bytes):
 
     conv_id (smallest member) and depth name the node; parent_conv_id;
     n_convs; n_children; n_leaves and saved_tokens (n_convs - 1 times the bytes
@@ -143,14 +150,14 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> Dat
     members of the root and end there.  With no conversation at all there is no
     node.  Other columns are left out.
     """
-    turns = cut(turns.select("conv_id", "pos", "role", "text"))
+    turns = cut(turns.select("conv_id", "pos", "content", "bytes"))
     everyone = turns.select("conv_id")
     if conversations is not None:
         everyone = everyone.unionByName(conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id")))
     everyone = cut(everyone.distinct())
     names, levels = name_prefixes(turns)
     names = names.withColumn("depth", F.col("depth").cast("long"))
-    size = turns.select("conv_id", (F.col("pos") + 1).alias("depth"), F.octet_length("text").cast("long").alias("bytes"))
+    size = turns.select("conv_id", (F.col("pos") + 1).alias("depth"), "bytes")
     nodes = names.groupBy("depth", "name").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
     nodes = cut(nodes.join(size, ["conv_id", "depth"]))  # all members end a prefix with the same turn
     # the path of every node's smallest member: the node's ancestors by their smallest members

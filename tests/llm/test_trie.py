@@ -65,7 +65,7 @@ def test_trie_equals_a_plain_one(spark):
     seqs = random_sequences()
     turns = spark.createDataFrame(as_rows(seqs), "conv_id long, pos long, role string, text string").repartition(4)
     everyone = spark.createDataFrame([(c,) for c in seqs], "conv_id long")
-    assert collected(trie.prefix_trie(turns, everyone)) == plain_trie(seqs)
+    assert collected(trie.prefix_trie(trie.turn_digests(turns), everyone)) == plain_trie(seqs)
 
 
 def test_query_equals_the_plain_trie_on_the_smallest_data(spark):
@@ -100,9 +100,9 @@ def test_hard_rows_and_an_empty_table(spark):
     for r in sorted(turns.collect()):
         got[r["conv_id"]].append((r["role"], r["text"]))
     assert got == convs
-    assert collected(trie.prefix_trie(trie.share_openings(turns), turns.select("conv_id"))) == plain_trie(rebuilt(convs))
+    assert collected(trie.prefix_trie(trie.turn_digests(trie.share_openings(turns)), turns.select("conv_id"))) == plain_trie(rebuilt(convs))
     none = trie.ordered_turns(spark.createDataFrame([], SCHEMA))
-    assert trie.prefix_trie(trie.share_openings(none), none.select("conv_id")).collect() == []
+    assert trie.prefix_trie(trie.turn_digests(trie.share_openings(none)), none.select("conv_id")).collect() == []
 
 
 def test_query_matches_its_sql(spark):
