@@ -13,11 +13,8 @@ a shard's last is full.
 
 from __future__ import annotations
 
-import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,151 +23,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.llm.common import cut, ranked
-from carelake.llm.words import _power, mix
+from carelake.llm.tokens import MAX_RANKS_BYTES, _encoder
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-MAX_TOKENIZER_BYTES = 64 << 20
+#: the merges of byte_bpe_50k.json as ranks: the same vocabulary and ids
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WINDOW = 1024
 END_ID = 0              # stands after every document
 SHARD_TOKENS = 1 << 18  # of an index; bounds a task's group
 K1, B = 1.2, 0.75
 SIGNATURE = 3           # heaviest terms that order the units
-CACHED_PIECES = 500_000
-BLOCK_CHARS = 1 << 20
+def read_ranks(path: str) -> bytes:
+    with open(path, "rb") as f:
+        raw = f.read(MAX_RANKS_BYTES + 1)
+    if len(raw) > MAX_RANKS_BYTES:
+        raise ValueError("the rank file is too large to send")
+    return raw
 
-OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Unicode's White_Space (fixed values)
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-_kinds: list[np.ndarray] = []
-_loaded: dict[int, "Encoder"] = {}
-
-
-def _kind_table() -> np.ndarray:
-    if not _kinds:
-        of = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((of.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
-        table[WHITE] = SPACE
-        _kinds.append(table)
-    return _kinds[0]
-
-
-def piece_starts(c: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where the pieces begin that the byte-level split pattern makes of rows of code points:
-    contractions, runs of letters, numbers or other signs with one space before them, and white space.
-
-    ``first``: where each row begins, and the end.
-    """
-    n = len(c)
-    kind = _kind_table()[c]
-    edge = np.zeros(n + 1, bool)
-    edge[first] = True
-    begin = edge.copy()
-    begin[1:n] |= kind[1:] != kind[:-1]
-    # the last white sign before a word stands alone, or goes with the word if it is a space
-    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~edge[1:n])
-    begin[last] = True
-    begin[last[c[last] == 0x20] + 1] = False
-    # contractions: an apostrophe that begins a piece, and the letters it takes along
-    at = np.flatnonzero((c == 0x27) & begin[:n])
-    at = at[~edge[at + 1]]
-    one = at[np.isin(c[at + 1], [ord(x) for x in "stmd"])]
-    two = at[at + 2 < n]
-    two = two[~edge[two + 2]]
-    pairs = np.zeros(len(two), bool)
-    for x, y in ("re", "ve", "ll"):
-        pairs |= (c[two + 1] == ord(x)) & (c[two + 2] == ord(y))
-    two = two[pairs]
-    begin[one + 1] = False
-    begin[two + 1] = False
-    begin[one + 2] = True
-    begin[np.minimum(two + 3, n)] = True
-    return np.flatnonzero(begin[:n])
-
-
-class Encoder:
-    """Ids of many texts at once: each distinct piece is encoded once and kept."""
-
-    def __init__(self, raw: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[int, list[int]] = {}
-        self.size = self.tokenizer.get_vocab_size()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text; memory follows the longest text."""
-        out: list[np.ndarray] = []
-        held: list[str] = []
-        chars = 0
-        for t in texts:
-            if len(t) > BLOCK_CHARS:
-                out += self._rows(held)
-                out.append(np.concatenate([self._rows([b])[0] for b in blocks(t)]))
-                held, chars = [], 0
-                continue
-            held.append(t)
-            chars += len(t)
-            if chars > BLOCK_CHARS:
-                out += self._rows(held)
-                held, chars = [], 0
-        return out + self._rows(held)
-
-    def _rows(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        if not len(c):
-            return [np.zeros(0, np.int64) for _ in texts]
-        start = piece_starts(c, first)
-        end = np.append(start[1:], len(c))
-        p, inverse = _power(len(c) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(c) + 1, np.uint64)
-            np.cumsum((c.astype(np.uint64) + np.uint64(1)) * p[:len(c)], out=total[1:])
-            h = mix((total[end] - total[start]) * inverse[start])
-        names, example, which = np.unique(h, return_index=True, return_inverse=True)
-        found = self._pieces(names.tolist(), c, start[example], end[example])
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(length.sum()))
-        begin = np.concatenate(([0], np.cumsum(length)))[:-1]
-        each = length[which]
-        after = np.cumsum(each)
-        ids = flat[np.repeat(begin[which] - (after - each), each) + np.arange(int(after[-1]))]
-        row_first = np.concatenate(([0], after))[np.searchsorted(start, first)]
-        return [ids[a:z] for a, z in zip(row_first, row_first[1:])]
-
-    def _pieces(self, names: list[int], c: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        new = [i for i, h in enumerate(names) if h not in self.known]
-        texts = [c[start[i]:end[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[names[i]] = e.ids
-        return [self.known[h] for h in names]
-
-
-def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
-    """A long text in parts of about ``size`` characters, cut before a space between letters, where pieces always part."""
-    at = 0
-    while len(text) - at > size:
-        to = at + size
-        while to < len(text) - 1 and not (text[to] == " " and text[to - 1].isalpha() and text[to + 1].isalpha()):
-            to += 1
-        if to >= len(text) - 1:
-            break
-        yield text[at:to]
-        at = to
-    yield text[at:]
-
-
-def _encoder(raw: bytes) -> Encoder:
-    key = hash(raw)
-    if key not in _loaded:
-        _loaded[key] = Encoder(raw)
-    return _loaded[key]
+def encode(raw: bytes, text: str | None) -> np.ndarray:
+    """The ids of a text; strings of special tokens are ordinary text."""
+    return _encoder(raw)[0].encode_to_numpy(text or "", allowed_special=set(), disallowed_special=())
 
 
 def _id_type(size: int) -> str:
@@ -181,25 +53,21 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenise(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:
+def tokenise(docs: DataFrame, ranks: str = RANKS, window: int = WINDOW) -> DataFrame:
     """(doc_id, doc_tokens, whole, tail): the checksums of a document's whole windows, and the ids that are left.
 
     A document's ids end with ``END_ID``; a null text has that id only.  The
-    tokenizer's file is read by the driver and sent along.
+    rank file is read by the driver and sent along.
     """
-    with open(tokenizer, "rb") as f:
-        raw = f.read(MAX_TOKENIZER_BYTES + 1)
-    if len(raw) > MAX_TOKENIZER_BYTES:
-        raise ValueError("the tokenizer is too large to send")
+    raw = read_ranks(ranks)
     sent = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value)
-        kept = _id_type(encoder.size)
+        kept = _id_type(len(_encoder(sent.value)[1]))
         for batch in batches:
             count, whole, tail = [], [], []
-            for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
-                ids = np.append(ids, END_ID)
+            for text in batch.column(1):
+                ids = np.append(encode(sent.value, text.as_py()), END_ID)
                 n = len(ids) // window * window
                 count.append(len(ids))
                 whole.append([checksum(ids[a:a + window]) for a in range(0, n, window)])
@@ -294,23 +162,22 @@ def fill_windows(units: list[np.ndarray], idf: np.ndarray, mean: float, window:
         sequence, seed = sequence + 1, seed_next
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, ranks: str = RANKS, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece of a sequence.
 
     Every id of a document, its closing ``END_ID`` included, lies in exactly
     one piece; a sequence is a whole window of one document, or pieces
     that follow each other in a window without a gap, only a shard's last one
     with room left.  Null and empty texts are the closing id alone; null ids
-    and repeated rows are packed like others, row by row.  Long texts are encoded
-    in parts; other columns are left out.  No document gives no piece.
+    and repeated rows are packed like others, row by row.
+    Other columns are left out.  No document gives no piece.
     """
     spark = docs.sparkSession
-    rows = cut(tokenise(docs, tokenizer, window))
+    rows = cut(tokenise(docs, ranks, window))
     whole = rows.select("doc_id", "doc_tokens", F.posexplode("whole").alias("k", "ids_crc32"))
     whole = whole.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32",
                          "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    with open(tokenizer, "rb") as f:
-        kind = _id_type(_encoder(f.read()).size)
+    kind = _id_type(len(_encoder(read_ranks(ranks))[1]))
     units = rows.where(F.length("tail") > 0).select("doc_id", "doc_tokens", "tail")
     n, total = units.agg(F.count("*"), F.sum(F.length("tail"))).first()
     if not n:
