@@ -4,7 +4,11 @@ DOCX bytes, FHIR NDJSON, and backfill discovery."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.session import scratch_dir
@@ -12,8 +16,9 @@ from carelake.sinks.lake import register_uploads, to_uploads, write_lake
 from carelake.sources import docx as DX
 from carelake.sources import fhir as FH
 from carelake.sources import xlsx as XL
-from carelake.sources.files import pending_files
+from carelake.sources.files import file_inventory, pending_files
 from carelake.sources.lake import key_parts, read_lake, with_provenance
+from carelake.sources.uploads import open_path
 from carelake.plans.registry import register
 from carelake.plans.tables import table
 
@@ -90,6 +95,45 @@ def q_uploads_table(spark, sf):
                     F.get_json_object("content", "$.o_orderkey").cast("long").alias("o_orderkey"))
 
 
+# -------------------------------------------------------------- file trees --
+def _write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            fs, name = open_path(path)
+            fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(name, compression=None) as out:
+                out.write(content or b"")
+        yield b.select(["path"])
+
+
+def put_files(files: DataFrame) -> None:
+    """Write (path, content) as files with just these names; the tasks write."""
+    n = files.sparkSession.sparkContext.defaultParallelism
+    files.select("path", "content").repartition(n, "path").mapInArrow(_write_files, "path string").write.format("noop").mode("overwrite").save()
+
+
+@register("upload_inventory", """
+WITH f AS (
+  SELECT 'uploads/user_id=u' || CAST(doc_id % 7 AS VARCHAR) || '/year=2026/month=' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') || '/' AS folder,
+    CASE doc_id % 5 WHEN 0 THEN '_' || CAST(doc_id AS VARCHAR) || '_.csv' WHEN 1 THEN '.' || CAST(doc_id AS VARCHAR) || '.csv'
+      WHEN 2 THEN 'no bytes ' || CAST(doc_id AS VARCHAR) || '.txt' ELSE 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' END AS name,
+    CASE WHEN doc_id % 5 = 2 THEN 0 ELSE octet_length(encode(coalesce(text, ''))) END AS size, doc_id % 7 AS u
+  FROM documents)
+SELECT 'all' AS scope, folder || name AS key, name, CAST(size AS BIGINT) AS size FROM f
+UNION ALL SELECT 'u3', folder || name, name, CAST(size AS BIGINT) FROM f WHERE u = 3""")
+def q_upload_inventory(spark, sf):
+    """Documents as files of seven users, under hidden names and without bytes too, listed for all users and for one."""
+    root = scratch_dir(spark, "inventory")
+    i = F.col("doc_id")
+    kind = i % 5
+    name = (F.when(kind == 0, F.format_string("_%d_.csv", i)).when(kind == 1, F.format_string(".%d.csv", i))
+            .when(kind == 2, F.format_string("no bytes %d.txt", i)).otherwise(F.format_string("doc-%d.txt", i)))
+    path = F.concat(F.format_string(f"{root}/uploads/user_id=u%d/year=2026/month=%02d/", i % 7, 1 + i % 12), name)
+    put_files(table(spark, sf, "documents").select(path.alias("path"), F.when(kind != 2, F.col("text").cast("binary")).alias("content")))
+    listed = [file_inventory(spark, root, user).select(F.lit(scope).alias("scope"), "key", "name", "size") for scope, user in (("all", None), ("u3", "u3"))]
+    return listed[0].unionByName(listed[1])
+
+
 # ------------------------------------------------------------------- xlsx --
 _XLSX_HEADERS = ["Customer Key", " First Name ", "Last Name", "Amount Due", "MOBILE NUMBER", "last name"]
 WORKBOOK_ROWS = 1000  # customers per workbook: files stay bounded at any scale

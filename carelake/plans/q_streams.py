@@ -10,11 +10,10 @@ from carelake.operators.sql import query
 from carelake.plans import derived as D
 from carelake.plans.q_audit import _AUDIT_SQL, logs
 from carelake.plans.q_outreach import _TIMELINE_SQL
-from carelake.plans.q_sources import _ORDER_COLS, _ORDERS_WITH_KEYS_SQL, _conform, _orders_keyed
+from carelake.plans.q_sources import _ORDER_COLS, _ORDERS_WITH_KEYS_SQL, _conform, _orders_keyed, put_files
 from carelake.plans.registry import register
 from carelake.session import scratch_dir
-from carelake.sinks.lake import register_uploads
-from carelake.sources.lake import read_lake
+from carelake.sinks.versions import current_files, read_current, register_current_uploads
 from carelake.streaming import inbound as SI
 from carelake.streaming import login as SL
 from carelake.streaming.common import run_available_now, stream_parquet, write_time_chunks
@@ -70,8 +69,8 @@ def q_stream_ingest(spark, sf):
     root = scratch_dir(spark, "ingest-stream")
     (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
-    ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt", glob="*.csv")
-    lake = read_lake(spark, f"{root}/lake/csv")
+    ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt")
+    lake = read_current(spark, f"{root}/lake", "csv")
     return _conform(lake.select(*_ORDER_COLS, "user_id", "year", "month"), spark, sf)
 
 
@@ -88,7 +87,7 @@ def q_ingest_uploads(spark, sf):
     for _ in range(2):
         backfill(spark, f"{root}/uploads", f"{root}/lake", force=True, uploads_root=f"{root}/table")
     name = f"uploads_{root.rsplit('-', 1)[-1]}"
-    register_uploads(spark, f"{root}/table", table=name)
+    register_current_uploads(spark, f"{root}/table", f"{root}/lake", table=name)
     return query(spark, f"""
         SELECT user_id, year, count(*) AS n_rows,
           CAST(sum(CAST(get_json_object(content, '$.o_totalprice') AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
@@ -105,11 +104,52 @@ def q_backfill_ingest(spark, sf):
     root = scratch_dir(spark, "backfill")
     (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
-    ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt", glob="*.csv")
+    ingest_stream(spark, f"{root}/uploads", f"{root}/lake", f"{root}/ckpt")
     # New month folders arrive after the first conversion.
     extra = _orders_keyed(spark, sf).withColumn("year", F.lit("2030"))
     (extra.hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.mode("append").option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
     backfill(spark, f"{root}/uploads", f"{root}/lake")
-    lake = read_lake(spark, f"{root}/lake/csv")
+    lake = read_current(spark, f"{root}/lake", "csv")
     return _conform(lake.select(*_ORDER_COLS, "user_id", "year", "month"), spark, sf)
+
+
+_ORDER_FILES_SQL = """
+o AS (SELECT 'u' || CAST(o_custkey % 4 AS VARCHAR) AS u, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS m,
+        CAST(o_orderkey // 1000000 AS VARCHAR) AS b, o_totalprice FROM orders),
+f AS (SELECT 'user_id=' || u || '/year=' || y || '/month=' || m || '/' ||
+        CASE CAST(m AS INTEGER) % 3 WHEN 0 THEN '_' || b || '_.csv' WHEN 1 THEN '.' || b || '.CSV' ELSE 'o ' || b || '.csv' END AS key,
+        count(*) AS n_rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total
+      FROM o GROUP BY u, y, m, b),
+e AS (SELECT DISTINCT 'user_id=' || u || '/year=' || y || '/month=01/_void_.csv' AS key FROM o),
+all_ AS (SELECT key, 'converted' AS status, n_rows, total FROM f
+         UNION ALL SELECT key, 'placeholder', 0, NULL FROM e)"""
+
+
+@register("ingest_every_upload", f"""
+WITH {_ORDER_FILES_SQL}
+SELECT 'stream' AS by_, * FROM all_ UNION ALL SELECT 'backfill' AS by_, * FROM all_""")
+def q_ingest_every_upload(spark, sf):
+    """Orders as one CSV per user, month and million of keys, two thirds of them under names that Spark's readers skip, and a
+    file without bytes per user and year: the ingest stream and the backfill convert the same files into the same rows."""
+    root = scratch_dir(spark, "every-upload")
+    o = _orders_keyed(spark, sf).withColumn("b", F.expr("o_orderkey div 1000000"))
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_totalprice")
+    folder = F.concat(F.lit(f"{root}/uploads/user_id="), "user_id", F.lit("/year="), "year")
+    month = F.col("month").cast("int") % 3
+    name = (F.when(month == 0, F.format_string("_%d_.csv", "b")).when(month == 1, F.format_string(".%d.CSV", "b"))
+            .otherwise(F.format_string("o %d.csv", "b")))
+    lines = o.withColumn("line", line).groupBy("user_id", "year", "month", "b").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY o_orderkey)").alias("text"))
+    files = lines.select(F.concat(folder, F.lit("/month="), "month", F.lit("/"), name).alias("path"),
+                         F.concat(F.lit("o_orderkey,o_custkey,o_totalprice\n"), "text", F.lit("\n")).cast("binary").alias("content"))
+    void = o.select(F.concat(folder, F.lit("/month=01/_void_.csv")).alias("path"), F.lit(b"").alias("content")).distinct()
+    put_files(files.unionByName(void))
+    ingest_stream(spark, f"{root}/uploads", f"{root}/stream", f"{root}/ckpt")
+    backfill(spark, f"{root}/uploads", f"{root}/backfill")
+    out = []
+    for by in ("stream", "backfill"):
+        rows = read_current(spark, f"{root}/{by}", "csv").groupBy(F.col("_source_key").alias("key")).agg(
+            F.count("*").alias("n_rows"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
+        files = current_files(spark, f"{root}/{by}").select("key", "status")
+        out.append(files.join(rows, "key", "left").select(F.lit(by).alias("by_"), "key", "status", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "total"))
+    return out[0].unionByName(out[1])

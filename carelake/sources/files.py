@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.functions.text import basename, extension, extension_or_name, make_valid_text, utc_minute_text
+from carelake.sources.uploads import list_uploads, open_path  # noqa: F401
 
 # Fixed value: text stored for a file that is not tabular.
 PLACEHOLDER_TEXT = "[non-tabular file — text extraction done at query time]"
@@ -56,23 +56,6 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
             .select("path", "modificationTime", "length"))
 
 
-#: folders of an upload below the uploads folder
-UPLOAD_FOLDERS = ("user_id=*", "year=*", "month=*")
-
-
-def hidden_files(spark: SparkSession, root: str, folders: Sequence[str] = UPLOAD_FOLDERS) -> DataFrame:
-    """Metadata, as ``list_files`` gives it, of the uploads whose names begin
-    with ``_`` or ``.``: Spark's file sources skip them, and an upload called
-    ``(1).csv`` is stored as ``_1_.csv``.  The file system matches the names, so
-    only these few reach the driver."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *folders, "[_.]*"]))
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in fs.globStatus(pattern) or [] if s.isFile()]
-    rows = spark.createDataFrame(found, "path string, ms long, length long")
-    return rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")
-
-
 def relative_key(path: Column, root: str) -> Column:
     """Object key relative to the bucket/root prefix."""
     prefix = root.rstrip("/") + "/"
@@ -94,13 +77,9 @@ def inventory(listing: DataFrame, key: str = "key", ts: str = "modificationTime"
 
 
 def file_inventory(spark: SparkSession, root: str, user_id: str | None = None) -> DataFrame:
-    """All uploads below ``root`` (``root/uploads/...``), or one user's folder."""
-    base, folders = f"{root.rstrip('/')}/uploads", UPLOAD_FOLDERS
-    if user_id:
-        base, folders = f"{base}/user_id={user_id}", UPLOAD_FOLDERS[1:]
-    listing = list_files(spark, base).unionByName(hidden_files(spark, base, folders))
-    listing = listing.withColumn("key", relative_key(F.col("path"), root))
-    return inventory(listing)
+    """All uploads below ``root`` (``root/uploads/...``), or one user's folder; hidden names and empty files count."""
+    listing = list_uploads(spark, f"{root.rstrip('/')}/uploads", user_id or None)
+    return inventory(listing.withColumn("key", relative_key(F.col("path"), root)))
 
 
 def pending_files(listing: DataFrame, done: DataFrame, key: str = "key",
@@ -112,18 +91,6 @@ def pending_files(listing: DataFrame, done: DataFrame, key: str = "key",
     return tab.join(done.select(F.col(key)).distinct(), on=key, how="left_anti")
 
 
-def open_path(path: str):
-    """(file system, path on it) of a full path, for tasks that open files themselves."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file" or not rest or "/" in scheme:
-        local = rest if scheme == "file" else path
-        return pafs.LocalFileSystem(), "/" + local.lstrip("/")
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-    host, _, name = rest.lstrip("/").partition("/")
-    fs, base = pafs.FileSystem.from_uri(f"{scheme}://{host}/")
-    return fs, f"{base.rstrip('/')}/{name}"
-
-
 def read_csv(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType | None = None) -> DataFrame:
     """Header row, inferred types (or a given schema); ``.txt`` is read as CSV."""
     reader = spark.read.option("header", "true").option("multiLine", "false")

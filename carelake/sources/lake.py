@@ -22,12 +22,13 @@ def key_parts(key: Column) -> dict[str, Column]:
     }
 
 
-def source_key(path: Column, root: str | None = None) -> Column:
-    """Object key of a scanned file: the URI-decoded path below ``root`` (or
-    from ``uploads/`` on when no root is given)."""
-    raw = F.regexp_replace(path, "^file:(//)?", "")
+def source_key(path: Column, root: str | None = None, encoded: bool = True) -> Column:
+    """Object key of a scanned file: the path below ``root`` (or from
+    ``uploads/`` on when no root is given).  A scan's ``_metadata.file_path``
+    is URI-encoded and is decoded; the path of a listing isn't (``encoded=False``)."""
+    raw = F.regexp_replace(path, "^file:(//(?=/))?", "")
     # Only %XX escapes are decoded: a literal "+" stays "+", a stray "%" keeps the raw path.
-    p = F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), raw)
+    p = F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), raw) if encoded else raw
     if root:
         r = root.replace("file://", "").replace("file:", "").rstrip("/") + "/"
         return F.when(F.startswith(p, F.lit(r)), F.substring(p, len(r) + 1, 1 << 30)).otherwise(p)

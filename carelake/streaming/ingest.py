@@ -1,6 +1,6 @@
-"""Upload ingest stream: every new tabular upload is converted once into the
-lake (one Parquet folder per source file), with exactly-once bookkeeping in the
-stream checkpoint."""
+"""Upload ingest, as a stream and as a batch: every new tabular upload is
+converted into the lake once, with its rows, provenance and, if wanted, its
+rows in the ``uploads`` table."""
 
 from __future__ import annotations
 
@@ -10,52 +10,67 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.functions.text import basename
-from carelake.sinks.lake import FILE_PARTITIONS, to_uploads, write_lake
-from carelake.sources.files import BINARY_FILE_SCHEMA, PLACEHOLDER_TEXT, open_path, with_format
+from carelake.session import checkpoint_root, scratch_dir
+from carelake.sinks.lake import FILE_PARTITIONS, to_uploads
+from carelake.sinks.versions import commit, current_files, new_version, write_version
+from carelake.sources.files import PLACEHOLDER_TEXT, TABULAR_EXTENSIONS, pending_files, with_format
 from carelake.sources.lake import key_parts, source_key
+from carelake.sources.uploads import is_hidden, list_uploads, open_path, stream_uploads
 
 MAX_FILES_PER_TRIGGER = 1000
-MAX_HEADER_BYTES = 1 << 20
-HEADER_READERS = 16
+CHUNKS_AT_ONCE = 4     # chunks of a batch that are converted side by side
 STAGED = "hidden-uploads"
-MANIFEST = "key string, format string, status string"
+HEADER_PIECE = 1 << 16
+#: what Spark's CSV reader trims from a line to see whether it is blank (fixed values)
+BLANK = bytes(range(0x21))
+
+
+def header_signature(stream) -> str | None:
+    """Hash of the first line that isn't blank, wherever it begins and however long it is; None without one."""
+    seen, blank = hashlib.sha256(), True
+    while data := stream.read(HEADER_PIECE):
+        if blank:
+            rest = data.lstrip(BLANK)
+            lead = data[:len(data) - len(rest)]
+            line = max(lead.rfind(b"\n"), lead.rfind(b"\r")) + 1
+            if line:
+                seen = hashlib.sha256()
+            seen.update(lead[line:])
+            data, blank = rest, not rest
+        if not blank:
+            ends = [i for i in (data.find(b"\n"), data.find(b"\r")) if i >= 0]
+            seen.update(data[:min(ends, default=len(data))])
+            if ends:
+                break
+    return None if blank else seen.hexdigest()[:16]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = []
+        for path in b.column("path").to_pylist():
+            fs, name = open_path(path)
+            with fs.open_input_stream(name, compression=None) as f:
+                found.append(header_signature(f))
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.string())], ["path", "sig"])
 
 
 def csv_header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Files grouped by their header line, so each group is read with one
-    consistent schema (files with another header are never mixed in).  Only the
-    beginning of each file is read, through the file system of its path; a
-    file without any text is in no group."""
+    consistent schema (files with another header are never mixed in).  Tasks read the beginning
+    of each file, up to its header; a file without any text is in no group."""
     groups: dict[str, list[str]] = {}
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        for path, header in zip(paths, pool.map(lambda p: _header_line(spark, p), paths)):
-            if header is not None:
-                groups.setdefault(hashlib.sha256(header.encode()).hexdigest()[:16], []).append(path)
-    return groups
-
-
-def _header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of a file that isn't blank; what lies beyond
-    ``MAX_HEADER_BYTES`` of a line or of blank lines isn't looked at."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    try:
-        reader, line, left = jvm.org.apache.hadoop.util.LineReader(stream), jvm.org.apache.hadoop.io.Text(), MAX_HEADER_BYTES
-        while left > 0:
-            n = reader.readLine(line, left, left)
-            if n == 0:
-                return None
-            if line.toString().strip():
-                return line.toString()
-            left -= n
-        return None
-    finally:
-        stream.close()
+    if paths:
+        rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 64), "path")
+        for r in rows.mapInArrow(_signatures, "path string, sig string").collect():
+            if r.sig is not None:
+                groups.setdefault(r.sig, []).append(r.path)
+    return {sig: sorted(group) for sig, group in sorted(groups.items())}
 
 
 def _column_names(header: list) -> list[str]:
@@ -72,39 +87,66 @@ def _column_names(header: list) -> list[str]:
     return out
 
 
-def convert_xlsx(spark: SparkSession, paths: list[str], upload_root: str, lake_root: str,
-                 uploads_root: str | None = None) -> tuple[int, set[str]]:
-    """First sheet of each workbook, first row as header, cells as text; one
-    wide table per header signature.  Each workbook is parsed once, into the
-    shared checkpoint folder.  Only one header row per file reaches the driver.
-    Returns the rows written and the files that could be read."""
-    from carelake.session import checkpoint_root
-    from carelake.sources.xlsx import parse_xlsx
-    files = spark.read.format("binaryFile").load(paths)
-    checkpoint_root(spark)
-    rows = parse_xlsx(files).where(F.col("sheet_idx") == 0).checkpoint()
-    heads = rows.where(F.col("row_index") == F.col("header_row")).select("path", F.col("header").alias("hdr"))
-    written = 0
-    groups: dict[tuple, list[str]] = {}
-    for r in heads.collect():
-        groups.setdefault(tuple(r.hdr or []), []).append(r.path)
-    readable = {p for group in groups.values() for p in group}
-    for hdr, group in groups.items():
-        names = _column_names(list(hdr))
-        sig = hashlib.sha256("\x1f".join(names).encode()).hexdigest()[:16]
-        body = rows.where(F.col("path").isin(group) & (F.col("row_index") > F.col("header_row")))
-        key = _key(F.col("path"), upload_root)
-        wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
-                           key.alias("_source_key"), (F.col("row_index") - F.col("header_row")).alias("_row"))
-        wide = wide.withColumns(key_parts(F.col("_source_key")))
-        if uploads_root:
-            content = F.to_json(F.struct(*[F.col(n) for n in names]))
-            write_lake(_long(wide, F.col("_row"), content), uploads_root)
-        wide = wide.drop("_row")
-        root = f"{lake_root}/xlsx/sig={sig}/types=text"
-        drop_stale(spark, wide.select(*FILE_PARTITIONS).distinct(), lake_root, keep=root)
-        written += write_lake(wide, root)
-    return written, readable
+class Batch:
+    """One version of some files: where their rows went, committed together."""
+
+    def __init__(self, spark: SparkSession, upload_root: str, lake_root: str, uploads_root: str | None):
+        self.spark, self.upload_root, self.lake_root, self.uploads_root = spark, upload_root, lake_root, uploads_root
+        self.version, self.written, self.root_of = new_version(), 0, {}
+
+    def key(self, path, encoded: bool = False):
+        return _key(path, self.upload_root, encoded)
+
+    def write(self, rows: DataFrame, root: str, paths: list[str], long: DataFrame | None = None) -> None:
+        """``rows`` of the files ``paths`` below ``root`` of the lake; ``long``: the same in the ``uploads`` form."""
+        self.written += write_version(rows, f"{self.lake_root}/{root}", self.version)
+        if self.uploads_root and long is not None:
+            write_version(long, self.uploads_root, self.version)
+        self.root_of.update(dict.fromkeys(paths, root))
+
+    def csv(self, paths: list[str]) -> None:
+        """Header and inferred types, one read per header signature."""
+        for sig, group in csv_header_groups(self.spark, paths).items():
+            df = self.spark.read.option("header", "true").option("inferSchema", "true").csv(group)
+            # One root per (header, inferred types): a later batch that infers other
+            # types for the same header never mixes conflicting Parquet files.
+            types = hashlib.sha256(df.schema.simpleString().encode()).hexdigest()[:8]
+            df = df.withColumn("_source_key", self.key(F.col("_metadata.file_path"), encoded=True))
+            df = df.withColumns(key_parts(F.col("_source_key")))
+            long = to_uploads(df, uploaded_at=F.col("_metadata.file_modification_time")) if self.uploads_root else None
+            self.write(df, f"csv/sig={sig}/types={types}", group, long)
+
+    def xlsx(self, paths: list[str]) -> None:
+        """First sheet of each workbook, first row as header, cells as text; one
+        wide root per header signature.  Each workbook is parsed once, into the
+        shared checkpoint folder.  Only one header row per file reaches the driver."""
+        if not paths:
+            return
+        from carelake.sources.xlsx import parse_xlsx
+        files = self.spark.read.format("binaryFile").load(paths)
+        checkpoint_root(self.spark)
+        rows = parse_xlsx(files).where(F.col("sheet_idx") == 0).checkpoint()
+        heads = rows.where(F.col("row_index") == F.col("header_row")).select("path", F.col("header").alias("hdr"))
+        groups: dict[tuple, list[str]] = {}
+        for r in heads.collect():
+            groups.setdefault(tuple(r.hdr or []), []).append(r.path)
+        for hdr, group in groups.items():
+            names = _column_names(list(hdr))
+            sig = hashlib.sha256("\x1f".join(names).encode()).hexdigest()[:16]
+            body = rows.where(F.col("path").isin(group) & (F.col("row_index") > F.col("header_row")))
+            wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
+                               self.key(F.col("path")).alias("_source_key"), (F.col("row_index") - F.col("header_row")).alias("_row"))
+            wide = wide.withColumns(key_parts(F.col("_source_key")))
+            long = _long(wide, F.col("_row"), F.to_json(F.struct(*[F.col(n) for n in names])))
+            self.write(wide.drop("_row"), f"xlsx/sig={sig}/types=text", group, long)
+
+    def placeholders(self, files: list) -> None:
+        if not files:
+            return
+        ph = self.spark.createDataFrame([(r.file_name, r._source_key) for r in files], "filename string, _source_key string")
+        parts = key_parts(F.col("_source_key"))
+        ph = ph.select("filename", F.lit(PLACEHOLDER_TEXT).alias("content"), "_source_key", *[parts[k].alias(k) for k in FILE_PARTITIONS])
+        self.write(ph, "placeholder", [r.path for r in files], _long(ph, F.lit(1), F.to_json(F.struct("filename", "content"))))
 
 
 def _long(rows: DataFrame, row_index, content) -> DataFrame:
@@ -113,34 +155,9 @@ def _long(rows: DataFrame, row_index, content) -> DataFrame:
                        F.current_timestamp().alias("uploaded_at"), *FILE_PARTITIONS)
 
 
-def drop_stale(spark: SparkSession, folders: DataFrame, lake_root: str, keep: str | None = None,
-               uploads_root: str | None = None) -> None:
-    """Delete what earlier uploads of the same files left in other roots of the
-    lake, so that a file with another header or other types replaces its rows.
-    ``folders`` has the partition values of one batch's files.  With
-    ``uploads_root`` their folders there go, and none of the lake's."""
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(lake_root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    roots = [str(s.getPath().toString()) for kind in ("csv", "xlsx") for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{lake_root}/{kind}/sig=*/types=*")) or []]
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{lake_root}/placeholder")):
-        roots.append(f"{lake_root}/placeholder")
-    tail = "/".join((keep or "").split("/")[-3:])   # kind/sig=../types=..: the scheme of the path may differ
-    if uploads_root:
-        roots = [uploads_root] if fs.exists(jvm.org.apache.hadoop.fs.Path(uploads_root)) else []
-    else:
-        roots = [r for r in roots if not (tail and r.endswith(tail))]
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for row in folders.select(*[F.col(c).cast("string").alias(c) for c in FILE_PARTITIONS]).collect() if roots else []:
-        sub = "/".join(f"{c}={escape(row[c])}" for c in FILE_PARTITIONS if row[c])
-        for r in roots:
-            path = jvm.org.apache.hadoop.fs.Path(f"{r}/{sub}")
-            if fs.exists(path):
-                fs.delete(path, True)
-
-
-def _key(path, upload_root: str):
+def _key(path, upload_root: str, encoded: bool = False):
     """The object key of an upload, also where a staged copy of it is read."""
-    key = source_key(path, upload_root)
+    key = source_key(path, upload_root, encoded)
     staged = F.regexp_extract(key, f"/{STAGED}-[0-9a-f]+/(.*)$", 1)
     return F.when(staged != "", F.regexp_replace(staged, "(^|/)u([^/]*)$", "$1$2")).otherwise(key)
 
@@ -150,7 +167,7 @@ def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, target in zip(b.column("source").to_pylist(), b.column("path").to_pylist()):
             (a, src), (z, dst) = open_path(source), open_path(target)
             z.create_dir(dst.rsplit("/", 1)[0], recursive=True)
-            with a.open_input_stream(src) as i, z.open_output_stream(dst) as o:
+            with a.open_input_stream(src, compression=None) as i, z.open_output_stream(dst, compression=None) as o:
                 while data := i.read(1 << 20):
                     o.write(data)
         yield b.select(["path", "key"])
@@ -159,7 +176,6 @@ def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stage_hidden(spark: SparkSession, hidden: DataFrame) -> DataFrame:
     """(path, key) of copies that Spark's readers see, below the shared scratch
     folder; the executors copy the files."""
-    from carelake.session import checkpoint_root, scratch_dir
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, STAGED))
     root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
     target = F.concat(F.lit(root + "/"), F.regexp_replace("key", "(^|/)([^/]+)$", "$1u$2"))
@@ -170,100 +186,96 @@ def stage_hidden(spark: SparkSession, hidden: DataFrame) -> DataFrame:
 
 def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_root: str,
                   uploads_root: str | None = None) -> int:
-    """Convert the files of one micro-batch.  CSV/TXT uploads are read with
-    header and inferred types, one read per header signature; other files, and
-    workbooks that can't be read, get a placeholder row.  Every file of the
-    batch is entered in the manifest, so that files without rows are not
-    converted again.  With ``uploads_root`` the rows also go to the ``uploads``
-    table's folder, where a file's new rows replace all its old ones.  Only the
-    batch's file list (bounded by the trigger size) reaches the driver."""
+    """Convert the files of one batch (``path``) and commit them together.
+
+    CSV/TXT uploads are read with header and inferred types; workbooks sheet by
+    sheet; other files, files without a header and workbooks that can't be read
+    get a placeholder row.  With ``uploads_root`` the rows also go to the
+    ``uploads`` table's folder.  What a file had before counts until the commit.
+    Only the batch's file list (bounded by the chunk size) reaches the driver.
+    Returns the rows written.
+    """
     files = (with_format(batch.select("path")
                          .withColumn("_source_key", _key(F.col("path"), upload_root))
                          .withColumn("file_name", F.element_at(F.split("_source_key", "/"), -1)), "file_name")
              .select("path", "format", "_source_key", "file_name").collect())
-    csv_paths = [r.path for r in files if r.format == "csv"]
-    written = 0
-    if uploads_root and files:
-        keys = spark.createDataFrame([(r._source_key,) for r in files], "_source_key string")
-        drop_stale(spark, keys.withColumns(key_parts(F.col("_source_key"))), lake_root, uploads_root=uploads_root)
-    for sig, group in csv_header_groups(spark, csv_paths).items():
-        df = spark.read.option("header", "true").option("inferSchema", "true").csv(group)
-        # One root per (header, inferred types): a later batch that infers other
-        # types for the same header never mixes conflicting Parquet files.
-        types = hashlib.sha256(df.schema.simpleString().encode()).hexdigest()[:8]
-        df = df.withColumn("_source_key", _key(F.col("_metadata.file_path"), upload_root))
-        parts = key_parts(F.col("_source_key"))
-        root = f"{lake_root}/csv/sig={sig}/types={types}"
-        keyed = spark.createDataFrame([(r._source_key,) for r in files if r.path in set(group)], "_source_key string")
-        drop_stale(spark, keyed.withColumns(key_parts(F.col("_source_key"))), lake_root, keep=root)
-        df = df.withColumns(parts)
-        written += write_lake(df, root)
-        if uploads_root:
-            write_lake(to_uploads(df, uploaded_at=F.col("_metadata.file_modification_time")), uploads_root)
-    xlsx_paths = [r.path for r in files if r.format == "xlsx"]
-    readable = set(csv_paths)
-    if xlsx_paths:
-        rows, found = convert_xlsx(spark, xlsx_paths, upload_root, lake_root, uploads_root)
-        written, readable = written + rows, readable | found
-    other = [(r.file_name, r._source_key) for r in files if r.path not in readable]
-    if other:
-        ph = spark.createDataFrame(other, "filename string, _source_key string")
-        parts = key_parts(F.col("_source_key"))
-        ph = ph.select("filename", F.lit(PLACEHOLDER_TEXT).alias("content"), "_source_key",
-                       *[parts[k].alias(k) for k in ("user_id", "year", "month", "_filename")])
-        written += write_lake(ph, f"{lake_root}/placeholder")
-        if uploads_root:
-            write_lake(_long(ph, F.lit(1), F.to_json(F.struct("filename", "content"))), uploads_root)
-    if files:
-        status = [(r._source_key, r.format, "converted" if r.path in readable else "placeholder") for r in files]
-        spark.createDataFrame(status, MANIFEST).coalesce(1).write.mode("append").parquet(f"{lake_root}/manifest")
-    return written
-
-
-def ingest_stream(spark: SparkSession, upload_root: str, lake_root: str, checkpoint: str,
-                  glob: str = "*", max_files: int = MAX_FILES_PER_TRIGGER, uploads_root: str | None = None):
-    """Start the stream (``availableNow``): returns the finished query."""
-    src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .option("maxFilesPerTrigger", max_files).load(upload_root)
-           .select("path"))
-    q = (src.writeStream.foreachBatch(lambda b, _id: convert_batch(spark, b, upload_root, lake_root, uploads_root))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    b = Batch(spark, upload_root, lake_root, uploads_root)
+    b.csv([r.path for r in files if r.format == "csv"])
+    b.xlsx([r.path for r in files if r.format == "xlsx"])
+    converted = set(b.root_of)
+    b.placeholders([r for r in files if r.path not in converted])
+    commit(spark, lake_root, [{"key": r._source_key, "format": r.format, "status": "converted" if r.path in converted else "placeholder",
+                               "root": b.root_of[r.path], "version": b.version, "in_uploads": uploads_root is not None} for r in files])
+    return b.written
+
+
+def convert_files(spark: SparkSession, files: DataFrame, upload_root: str, lake_root: str, uploads_root: str | None = None,
+                  chunk_files: int = MAX_FILES_PER_TRIGGER) -> int:
+    """Convert any number of uploads (``path``): hidden ones from copies that Spark's readers see, in chunks of about
+    ``chunk_files`` files, some of them side by side, each with a commit of its own.  Returns the rows written."""
+    checkpoint_root(spark)
+    todo = files.select("path", source_key(F.col("path"), upload_root, encoded=False).alias("key")).checkpoint()
+    hidden = is_hidden(basename(F.col("key")))
+    if not todo.where(hidden).isEmpty():
+        todo = todo.where(~hidden).unionByName(stage_hidden(spark, todo.where(hidden)))
+    n_files = todo.count()
+    chunks = -(-n_files // chunk_files)
+    todo = todo.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(max(1, chunks))))
+
+    def one(c: int) -> int:
+        return convert_batch(spark, todo.where(F.col("_chunk") == c).select("path"), upload_root, lake_root, uploads_root)
+    if chunks <= 1:
+        return one(0) if chunks else 0
+    with ThreadPoolExecutor(CHUNKS_AT_ONCE) as pool:
+        return sum(pool.map(inheritable_thread_target(spark)(one), range(chunks)))
+
+
+def ingest_stream(spark: SparkSession, upload_root: str, lake_root: str, checkpoint: str, max_files: int = MAX_FILES_PER_TRIGGER,
+                  uploads_root: str | None = None):
+    """Convert every tabular upload that is new or has changed since the last run (``availableNow``), as the backfill
+    would; returns the finished query.  Its source's log lies beside the checkpoint.  After a batch that died, a run
+    repeats that one and a second run takes what has come since."""
+    def convert(files: DataFrame, _id: int) -> None:
+        name = F.lower(F.element_at(F.split("path", "/"), -1))
+        tabular = files.where(F.element_at(F.split(name, r"\."), -1).isin(*TABULAR_EXTENSIONS) & name.contains("."))
+        convert_files(spark, tabular, upload_root, lake_root, uploads_root, max_files)
+    for _ in range(2 if unfinished(spark, checkpoint) else 1):
+        src = stream_uploads(spark, upload_root, f"{checkpoint}-files", max_files=max_files)
+        q = src.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     return q
 
 
+def unfinished(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether the stream has a batch that was begun and not committed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(checkpoint).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def last(folder: str) -> int:
+        found = fs.globStatus(path(f"{checkpoint}/{folder}/[0-9]*")) or []
+        return max((int(s.getPath().getName()) for s in found if s.getPath().getName().isdigit()), default=-1)
+    return last("offsets") > last("commits")
+
+
 def converted_keys(spark: SparkSession, lake_root: str) -> DataFrame:
-    """Source keys that have been converted (empty when nothing is there): the
-    manifest's, however many rows a file gave."""
-    from carelake.session import path_exists
-    if not path_exists(spark, f"{lake_root}/manifest"):
-        return spark.createDataFrame([], "key string")
-    return spark.read.schema(MANIFEST).parquet(f"{lake_root}/manifest").select("key").distinct()
+    """Source keys that have been converted (empty when nothing is there), however many rows a file gave."""
+    return current_files(spark, lake_root).select("key")
+
+
+def convert_key(spark: SparkSession, key: str, upload_root: str, lake_root: str, uploads_root: str | None = None) -> int:
+    """Convert one upload, given by its key below ``upload_root``, again if it has been converted before."""
+    path = spark.createDataFrame([(f"{upload_root.rstrip('/')}/{key}",)], "path string")
+    return convert_files(spark, path, upload_root, lake_root, uploads_root)
 
 
 def backfill(spark: SparkSession, upload_root: str, lake_root: str, force: bool = False,
              chunk_files: int = MAX_FILES_PER_TRIGGER, uploads_root: str | None = None) -> int:
-    """Batch conversion of every tabular upload that has no lake output yet.
+    """Batch conversion of every tabular upload that has no lake output yet (``force``: of all).
 
-    Uploads that Spark's readers skip (``_1_.csv``) are read from staged copies.
-    Listing (no bytes read) -> anti-join with the keys already in the lake, kept
-    in the shared checkpoint folder and so done once for all chunks -> conversion in chunks of ``chunk_files`` files, each chunk one grouped read
-    and one write per header signature.  Returns the rows written.
+    Listing by tasks (hidden names and empty files too) -> anti-join with the
+    keys already in the lake -> conversion in chunks.  Returns the rows written.
     """
-    from carelake.session import checkpoint_root
-    from carelake.sources.files import hidden_files, list_files, pending_files
-    listing = list_files(spark, upload_root).unionByName(hidden_files(spark, upload_root)).withColumn("key", source_key(F.col("path"), upload_root))
-    checkpoint_root(spark)
+    listing = list_uploads(spark, upload_root).withColumn("key", source_key(F.col("path"), upload_root, encoded=False))
     todo = pending_files(listing, converted_keys(spark, lake_root), key="key", force=force)
-    todo = todo.select("path", "key").checkpoint()
-    hidden = basename(F.col("key")).rlike("^[_.]")
-    if not todo.where(hidden).isEmpty():
-        todo = todo.where(~hidden).unionByName(stage_hidden(spark, todo.where(hidden)))
-    n_files = todo.count()
-    n_chunks = max(1, -(-n_files // chunk_files))
-    todo = todo.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks)))
-    written = 0
-    for c in range(n_chunks if n_files else 0):
-        written += convert_batch(spark, todo.where(F.col("_chunk") == c).select("path"), upload_root, lake_root, uploads_root)
-    return written
+    return convert_files(spark, todo, upload_root, lake_root, uploads_root, chunk_files)

@@ -15,9 +15,9 @@ from carelake.operators import audit as A
 from carelake.operators import conversations as V
 from carelake.plans import derived as D
 from carelake.sinks.lake import register_uploads, to_uploads, write_lake
+from carelake.sinks.versions import current_files, read_current, read_current_uploads
 from carelake.sources.extract import UNREADABLE_TEXT, extract_text
 from carelake.sources.files import file_inventory
-from carelake.sources.lake import read_lake
 from carelake.sources.xlsx import build_xlsx, read_xlsx
 from carelake.streaming import inbound as SI
 from carelake.streaming import login as SL
@@ -136,16 +136,14 @@ def test_ingest_isolates_bad_files_and_replaces_reuploads(spark, tmp_path):
     _put(up, "head.csv", b"id,v\n")
     bad, old = _put(up, "bad.xlsx", b"not a zip"), _put(up, "old.xls", b"\xd0\xcf\x11\xe0 legacy")
     backfill(spark, up, lake)
-    rows = lambda: sorted((r.id, str(r.v)) for r in read_lake(spark, f"{lake}/csv").select("id", "v").collect())
+    rows = lambda: sorted((r.id, str(r.v)) for r in read_current(spark, lake, "csv").select("id", "v").collect())
     assert rows() == [(1, "2"), (3, "4")]
-    manifest = {r.key.split("/")[-1]: r.status for r in spark.read.parquet(f"{lake}/manifest").collect()}
+    manifest = {r.key.split("/")[-1]: r.status for r in current_files(spark, lake).collect()}
     assert manifest == {"a.csv": "converted", "head.csv": "converted", "bad.xlsx": "placeholder", "old.xls": "placeholder"}
     assert backfill(spark, up, lake) == 0   # nothing stays pending
     _put(up, "a.csv", b"id,v\n1,text\n")
     backfill(spark, up, lake, force=True)
-    kept = [r.v for f in spark.read.parquet(f"{lake}/csv/sig=*/types=*/user_id=u1/year=2026/month=06/_filename=a.csv").inputFiles()
-            for r in spark.read.parquet(f).collect()]
-    assert kept == ["text"]
+    assert [r.v for r in read_current(spark, lake, "csv").where("_filename = 'a.csv'").collect()] == ["text"]
     assert read_xlsx(spark, [bad, old]).collect() == []
     files = spark.read.format("binaryFile").load([bad])
     assert [r.text for r in extract_text(files).collect()] == [UNREADABLE_TEXT]
@@ -160,14 +158,14 @@ def test_ingest_fills_the_uploads_table(spark, tmp_path):
     _put(up, "two words.csv", b"id,w\n9,0\n")
     for again in range(2):
         backfill(spark, up, lake, force=True, uploads_root=table, chunk_files=2)
-        got = sorted((r.filename, r.row_index, r.content) for r in read_lake(spark, table).collect())
+        got = sorted((r.filename, r.row_index, r.content) for r in read_current_uploads(spark, table, lake).collect())
         want = [("a.csv", 1, '{"id":1,"v":2}'), ("a.csv", 2, '{"id":3,"v":4}'), ("b.csv", 1, '{"id":5,"v":6}'), ("c.csv", 1, '{"id":7,"v":8}')]
         assert got[:len(want)] == want and [g[0] for g in got[len(want):]] == ["old.xls", "two words.csv"]
-    assert all(r.uploaded_at is not None for r in read_lake(spark, table).collect())
+    assert all(r.uploaded_at is not None for r in read_current_uploads(spark, table, lake).collect())
     _put(up, "a.csv", b"id,v\n")   # header only: its rows go
     _put(up, "b.csv", b"id,v\nx,6\n")
     backfill(spark, up, lake, force=True, uploads_root=table)
-    got = sorted((r.filename, r.content) for r in read_lake(spark, table).collect())
+    got = sorted((r.filename, r.content) for r in read_current_uploads(spark, table, lake).collect())
     assert got[:2] == [("b.csv", '{"id":"x","v":6}'), ("c.csv", '{"id":"7","v":8}')]
 
 
@@ -182,9 +180,9 @@ def test_names_that_spark_skips_are_listed_and_converted(spark, tmp_path):
         names = [r.name for r in file_inventory(spark, str(tmp_path), user).collect()]
         assert sorted(names) == sorted(want)
     backfill(spark, up, lake, uploads_root=table)
-    assert sorted((r.id, r.v) for r in read_lake(spark, f"{lake}/csv").collect()) == [(1, 2), (3, 4), (5, 6)]
-    assert sorted(r.filename for r in read_lake(spark, table).collect()) == sorted(want)
-    keys = {r.key for r in spark.read.parquet(f"{lake}/manifest").where("status = 'converted'").collect()}
+    assert sorted((r.id, r.v) for r in read_current(spark, lake, "csv").collect()) == [(1, 2), (3, 4), (5, 6)]
+    assert sorted(r.filename for r in read_current_uploads(spark, table, lake).collect()) == sorted(want)
+    keys = {r.key for r in current_files(spark, lake).where("status = 'converted'").collect()}
     assert keys == {f"user_id=u1/year=2026/month=06/{n}" for n in want}
     assert backfill(spark, up, lake) == 0
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carelake.sinks.lake import register_uploads, to_uploads, write_lake
+from carelake.sinks.versions import read_current
 from carelake.sources import docx as DX
 from carelake.sources import fhir as FH
 from carelake.sources import xlsx as XL
@@ -148,11 +149,11 @@ def test_backfill_skips_converted(spark, tmp):
     put(up, "user_id=u1/year=2026/month=06/f.xlsx", wb)
     lake = os.path.join(tmp, "lake")
     assert backfill(spark, up, lake) == 4 + 2      # 4 CSV/TXT rows + 2 sheet rows
-    xl = read_lake(spark, os.path.join(lake, "xlsx")).collect()
+    xl = read_current(spark, lake, "xlsx").collect()
     assert sorted((r.Name, r.Mobile_Number) for r in xl) == [("Ann", "602-555-0100"), ("Bo", None)]
     put(up, "user_id=u2/year=2026/month=07/e.csv", "id,v\n5,w\n")
     assert backfill(spark, up, lake) == 1          # only the new file
-    sigs = {r.sig for r in read_lake(spark, os.path.join(lake, "csv")).select("sig").distinct().collect()}
+    sigs = {r.sig for r in read_current(spark, lake, "csv").select("sig").distinct().collect()}
     assert len(sigs) == 2                          # two header signatures, two wide roots
     assert backfill(spark, up, lake, force=True) == 5 + 2
 
