@@ -6,20 +6,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from carelake import functions as C
+from carelake.operators import conversations as V
 from carelake.operators.sql import query
 from carelake.plans import derived as D
 from carelake.plans.q_audit import _AUDIT_SQL, logs
-from carelake.plans.q_outreach import _TIMELINE_SQL
+from carelake.plans.q_outreach import _TIMELINE_SQL, _hist_cols
 from carelake.plans.q_sources import _ORDER_COLS, _ORDERS_WITH_KEYS_SQL, _conform, _orders_keyed, put_files
-from carelake.plans.registry import register
+from carelake.plans.registry import ORACLE, register
 from carelake.session import scratch_dir
+from carelake.sinks.conversations import ItemStore
 from carelake.sinks.versions import current_files, read_current, register_current_uploads
 from carelake.streaming import inbound as SI
 from carelake.streaming import login as SL
-from carelake.streaming.common import run_available_now, stream_parquet, write_time_chunks
+from carelake.streaming.common import latest, run_available_now, stream_parquet, write_time_chunks
 from carelake.streaming.ingest import backfill, ingest_stream
 
 CHUNKS = 3
+CHUNK_ROWS = 5_000_000   # a replayed micro-batch holds about so many rows at most
+
+
+def _replay(spark, df, ts, root, key) -> int:
+    """Write ``df`` as time-ordered chunks of several files; -> files of a chunk, the size of a micro-batch."""
+    files = _state_partitions(spark)
+    write_time_chunks(df, ts, root, max(CHUNKS, -(-df.count() // CHUNK_ROWS)), files, key)
+    return files
 
 
 def _state_partitions(spark) -> int:
@@ -42,23 +53,59 @@ FROM run""")
 def q_stream_inbound(spark, sf):
     root = scratch_dir(spark, "inbound-stream")
     src = D.inbound(spark, sf)
-    write_time_chunks(src, "ts", f"{root}/in", CHUNKS)
+    files = _replay(spark, src, "ts", f"{root}/in", C.pystrip(F.coalesce("phone", F.lit(""))))
     # The stored conversations are a table: materialised once, not re-derived per micro-batch.
     D.conversation_items(spark, sf).write.parquet(f"{root}/convs")
     convs = spark.read.parquet(f"{root}/convs")
-    out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", src.schema), convs)
+    out = SI.inbound_stream(stream_parquet(spark, f"{root}/in", src.schema, files), convs)
     run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt",
                       spark, _state_partitions(spark))
     return spark.read.schema(SI.OUTPUT_SCHEMA).parquet(f"{root}/out")
 
 
+def _late_stream(spark, sf):
+    """Every fifth message arrives three days late; -> (folder of the messages' outcomes, store of the items)."""
+    root = scratch_dir(spark, "late-stream")
+    src = D.inbound(spark, sf)
+    arrival = F.col("ts") + F.when(F.col("msg_id") % 5 == 0, F.expr("INTERVAL 3 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    files = _replay(spark, src.withColumn("arrival", arrival), "arrival", f"{root}/in", C.pystrip(F.coalesce("phone", F.lit(""))))
+    convs = D.conversation_items(spark, sf)
+    convs = convs.select(*[F.col(c) if c in convs.columns else F.lit(None).cast("string").alias(c) for c in V.CONV_COLUMNS])
+    store = ItemStore(spark, f"{root}/items")
+    store.start(convs)
+
+    def merge(changes, batch_id: int) -> None:
+        changes = changes.persist()   # read for the items and for the messages
+        store.merge(latest(SI.item_rows(changes), ["phone_number"]).select(*V.CONV_COLUMNS), batch_id)
+        SI.message_rows(changes).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        changes.unpersist()
+    out = SI.inbound_changes(stream_parquet(spark, f"{root}/in", src.schema, files), store.read(), "5 days")
+    run_available_now(out.writeStream.foreachBatch(merge), f"{root}/ckpt", spark, _state_partitions(spark))
+    return f"{root}/out", store
+
+
+@register("stream_inbound_late", ORACLE["stream_inbound"])
+def q_stream_inbound_late(spark, sf):
+    """Messages that arrive three days late act at their own time, as in the batch."""
+    out, _ = _late_stream(spark, sf)
+    return latest(spark.read.parquet(out).drop("batch"), ["msg_id"]).drop("rec", "revision")
+
+
+@register("stream_items", ORACLE["fold_conversations"])
+def q_stream_items(spark, sf):
+    """The stored items as the stream leaves them, late messages and all."""
+    _, store = _late_stream(spark, sf)
+    return store.read().select("phone_number", "patient_name", "amount_due", "message_type", "reply_count", "opt_out",
+                               "last_inbound_message", *_hist_cols())
+
+
 @register("stream_login", _AUDIT_SQL + " SELECT * FROM audit")
 def q_stream_login(spark, sf):
     root = scratch_dir(spark, "login-stream")
     issues, attempts = logs(spark, sf)
     ev = SL.login_events(issues, attempts)
-    write_time_chunks(ev, "t", f"{root}/in", CHUNKS)
-    out = SL.login_stream(stream_parquet(spark, f"{root}/in", ev.schema))
+    files = _replay(spark, ev, "t", f"{root}/in", C.normalize_email(F.coalesce("email", F.lit(""))))
+    out = SL.login_stream(stream_parquet(spark, f"{root}/in", ev.schema, files))
     run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ckpt",
                       spark, _state_partitions(spark))
     return spark.read.schema(SL.OUTPUT_SCHEMA).parquet(f"{root}/out")

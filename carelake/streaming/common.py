@@ -3,16 +3,24 @@ to completion with ``availableNow``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_time_chunks(df: DataFrame, ts: str, root: str, chunks: int, files_per_chunk: int = 1) -> None:
+def write_time_chunks(df: DataFrame, ts: str, root: str, chunks: int, files_per_chunk: int = 1, key: Column | None = None) -> None:
     """Replay ``df`` into ``root`` as ``chunks`` successive appends in time
     order, the way an upstream producer drops files, so a file stream with
     ``maxFilesPerTrigger = files_per_chunk`` sees one time range per
-    micro-batch.  A fixture/replay helper: production streams consume the
-    producer's own files and never go through it."""
+    micro-batch.  With a ``key`` a chunk's files are dealt by it, so the rows of a
+    key stay in order whatever files make a micro-batch.  A fixture/replay
+    helper: production streams consume the producer's own files and never go
+    through it."""
+    def write(part: DataFrame) -> None:
+        dealt = part.repartition(files_per_chunk) if key is None else part.repartition(files_per_chunk, key)
+        dealt.write.mode("append").parquet(root)
+    untimed = df.where(F.col(ts).isNull())   # rows without a time come first, as they do in time order
+    if not untimed.isEmpty():
+        write(untimed)
     bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
@@ -23,7 +31,7 @@ def write_time_chunks(df: DataFrame, ts: str, root: str, chunks: int, files_per_
         cond = F.col(ts) >= F.lit(a)
         if i < chunks - 1:
             cond &= F.col(ts) < F.lit(lo + step * (i + 1))
-        df.where(cond).repartition(files_per_chunk).write.mode("append").parquet(root)
+        write(df.where(cond))
 
 
 def run_available_now(query_builder, checkpoint: str, spark: SparkSession | None = None,
@@ -53,3 +61,26 @@ def run_available_now(query_builder, checkpoint: str, spark: SparkSession | None
 def stream_parquet(spark: SparkSession, root: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
             .parquet(root))
+
+
+#: no event has this time; the optimiser can't know that
+_NEVER = -9_000_000_000_000_000_000
+
+
+def with_event_clock(rows: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """``rows`` (streaming) with ``_arrived``, in a query whose watermark is the latest ``ts`` less ``lateness``.
+
+    A stateful step drops the rows that are behind the watermark of its own
+    event-time column.  Here that column is the arrival, so no row is ever
+    dropped, while the clock that fires the timers is the event time: it comes from a
+    second branch of the union that has the other watermark and gives no rows.
+    """
+    clock = rows.withColumn("_clock", F.col(ts).cast("timestamp")).withWatermark("_clock", lateness)
+    clock = clock.where(F.unix_micros("_clock") == F.lit(_NEVER)).drop("_clock").withColumn("_arrived", F.current_timestamp())
+    return rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds").unionByName(clock)
+
+
+def latest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: that of the highest ``revision``."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "revision").alias("_r")).select(*keys, "_r.*").select(*df.columns)

@@ -5,7 +5,12 @@ A timer drops the state of an e-mail that has been idle for ``grace_s`` seconds.
 Its clock, and the watermark, follow the rows' arrival (as a store's
 time-to-live would), so no row is ever behind the watermark and dropped.  Outcomes are decided by the strict ``attempt >
 expiry`` comparison, never by the timer.  Attempts without e-mail or code never
-reach the keyed step."""
+reach the keyed step.
+
+With ``lateness`` everything goes by event time: the state of an e-mail is its
+code as of the watermark and the events since then; a late event has them decided again,
+and attempts whose outcome changes come out again with a higher ``revision``.
+The timer then drops what has been idle for ``grace_s`` seconds of event time."""
 
 from __future__ import annotations
 
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from carelake.functions.text import normalize_email
+from carelake.streaming.common import with_event_clock
 
 OUTPUT_SCHEMA = "attempt_id long, email string, attempt_s long, issue_id long, user_sub string, status string"
 STATE_SCHEMA = "issue_id long, code_hash string, expiry_s long, user_sub string, consumed boolean"
@@ -66,17 +72,83 @@ def _make_fold(grace_s: int):
     return fold
 
 
-def login_stream(events: DataFrame, attempts: DataFrame | None = None, grace_s: int = 86400) -> DataFrame:
+_EVENT = "t long, kind int, id long, code_hash string, expiry_s long, user_sub string"
+_DECIDED = "issue_id long, sub string, status string"
+LATE_STATE = (STATE_SCHEMA + ", last_t long, revision long, recent array<struct<"
+              + ",".join(":".join(f.split()) for f in f"{_EVENT}, {_DECIDED}".split(", ")) + ">>")
+
+
+def _decide(code: tuple | None, e: tuple) -> tuple[tuple | None, tuple]:
+    """(code in force after the event, (issue_id, user_sub, status) of an attempt)."""
+    t, kind, id_, code_hash, expiry_s, user_sub = e
+    if kind == 0:
+        return (id_, code_hash, expiry_s, user_sub, False), (None, None, None)
+    if code is None:
+        return code, (None, None, "no_session")
+    issue, right, expiry, sub, consumed = code
+    status = "no_session" if consumed else "expired" if t > expiry else "incorrect" if code_hash != right else "success"
+    return (issue, right, expiry, sub, consumed or status in ("expired", "success")), (issue, sub, status)
+
+
+def _make_event_time_fold(grace_s: int):
+    def fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        watermark_ms = state.getCurrentWatermarkMs()
+        known = tuple(state.get) if state.exists else None
+        sealed = known[:5] if known and known[0] is not None else None
+        last_t, revision, recent = known[5:] if known else (None, 0, [])
+        events = []
+        for r in recent:   # in order
+            if r[0] * 1000 < watermark_ms:
+                sealed = _decide(sealed, tuple(r)[:6])[0]   # nothing older is waited for
+            else:
+                events.append((tuple(r)[:6], tuple(r)[6:]))
+        for pdf in (() if state.hasTimedOut else pdfs):
+            for r in pdf.itertuples(index=False):
+                e = (int(r.t), int(r.kind), int(r.id), r.code_hash, int(r.expiry_s), r.user_sub)
+                events.append((e, None))
+                last_t = e[0] if last_t is None else max(last_t, e[0])
+        if state.hasTimedOut and watermark_ms > (last_t + grace_s) * 1000:
+            state.remove()
+            return
+        events.sort(key=lambda x: x[0][:3])
+        out, recent, now = [], [], sealed
+        for e, before in events:
+            now, decided = _decide(now, e)
+            if e[1] == 1 and decided != before:
+                out.append((e[2], key[0], e[0], *decided, revision + 1))
+            if e[0] * 1000 < watermark_ms:
+                sealed = now
+            else:
+                recent.append((*e, *decided))
+        state.update((*(sealed or (None,) * 5), last_t, revision + 1, recent))
+        due = recent[0][0] if recent else last_t + grace_s
+        state.setTimeoutTimestamp(max(watermark_ms, due * 1000) + 1)
+        if out:
+            pdf = pd.DataFrame(out, columns=["attempt_id", "email", "attempt_s", "issue_id", "user_sub", "status", "revision"])
+            pdf["issue_id"] = pdf["issue_id"].astype("Int64")
+            yield pdf
+    return fold
+
+
+def login_stream(events: DataFrame, attempts: DataFrame | None = None, grace_s: int = 86400, lateness: str | None = None) -> DataFrame:
     """Attempt outcomes from a stream of :func:`login_events`, or from an
-    issue stream and an attempt stream (``login_stream(issues, attempts)``)."""
+    issue stream and an attempt stream (``login_stream(issues, attempts)``).
+    With ``lateness`` (an interval) in event time: of an attempt's rows that of the highest ``revision`` counts."""
     if attempts is not None:
         events = login_events(events, attempts)
-    events = (events.withColumn("email", normalize_email(F.coalesce(F.col("email"), F.lit(""))))
-              .withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "1 minute"))
+    events = events.withColumn("email", normalize_email(F.coalesce(F.col("email"), F.lit(""))))
+    if lateness is None:
+        events = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "1 minute")
     blank = (F.col("email") == "") | (F.coalesce(F.col("code_hash"), F.lit("")) == "")
     bad = events.where(blank & (F.col("kind") == 1)).select(
         F.col("id").alias("attempt_id"), "email", F.col("t").alias("attempt_s"), F.lit(None).cast("long").alias("issue_id"),
         F.lit(None).cast("string").alias("user_sub"), F.lit("bad_request").alias("status"))
+    if lateness is not None:
+        timed = events.where(~blank | ((F.col("kind") == 0) & (F.col("email") != ""))).fillna({"expiry_s": 0})
+        timed = with_event_clock(timed, "event_time", lateness).drop("event_time")
+        late = timed.groupBy("email").applyInPandasWithState(_make_event_time_fold(grace_s), OUTPUT_SCHEMA + ", revision long", LATE_STATE, "append",
+                                                             GroupStateTimeout.EventTimeTimeout)
+        return late.unionByName(bad.withColumn("revision", F.lit(1).cast("long")))
     known = (events.where(~blank | ((F.col("kind") == 0) & (F.col("email") != ""))).groupBy("email")
              .applyInPandasWithState(_make_fold(grace_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
     return known.unionByName(bad)
