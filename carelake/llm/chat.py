@@ -102,7 +102,7 @@ def message_body(seen: Column) -> Column:
 def format_conversations(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, parts) -> (conv_id, formatted, attachments, expanded_tokens).
 
-    Turns sort by turn (null first), then role, then body, so ties have one
+    Turns sort by turn (null first), then role, then the text before it is escaped, so ties have one
     order; null roles are empty; a null conv_id is a conversation of its own.
     Other columns are left out.  A conversation is one string, hence one group;
     its rows are formatted before they are gathered.
@@ -111,8 +111,9 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     body = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY), message_body(F.col("seen")), F.lit(END))
     found = F.transform(F.filter("seen", lambda s: s["type"].isNotNull()),
                         lambda s: F.struct(F.col("turn").alias("turn"), s["type"].alias("type"), s["ref"].alias("ref"), s["tokens"].alias("tokens")))
-    rows = rows.select("conv_id", "turn", "role", body.alias("body"), found.alias("found"))
-    per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "found"))).alias("t"))
+    raw = F.array_join(F.transform("seen", lambda s: s["piece"]), "")
+    rows = rows.select("conv_id", "turn", "role", raw.alias("raw"), body.alias("body"), found.alias("found"))
+    per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "raw", "body", "found"))).alias("t"))
     per = per.select("conv_id", F.array_join(F.transform("t", lambda x: x["body"]), "").alias("formatted"),
                      F.flatten(F.transform("t", lambda x: x["found"])).alias("attachments"))
     return per.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))

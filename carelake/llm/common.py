@@ -55,11 +55,28 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def _by_key(docs: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    named = checked(named.select("doc_id", "key")).alias("b")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (text_key("d.text") == F.col("b.key"))
+    return docs.alias("d").join(named, same, how).select(*docs.columns)
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` without the rows named by ``bad`` (doc_id, key): the id, null or not, and the text's hash."""
-    bad = checked(bad.select("doc_id", "key")).alias("b")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (text_key("d.text") == F.col("b.key"))
-    return docs.alias("d").join(bad, same, "left_anti").select(*docs.columns)
+    return _by_key(docs, bad, "left_anti")
+
+
+def within(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are named by ``good``, as in ``without``."""
+    return _by_key(docs, good, "left_semi")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def let(value: Column, body) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import WORD, cut, ranked
+from carelake.llm.common import WORD, cut, fresh, ranked, union_all
 
 #: share of the sources in code-point order, repeating
 WEIGHTS = (3, 1, 2)
@@ -93,10 +93,20 @@ def mix_documents(docs: DataFrame, **recipe) -> DataFrame:
     """
     plan = mix(document_sizes(docs), **recipe)
     copies = (F.col("epochs") + (F.col("extra") * 2 > F.col("size")).cast("long")).cast("int")
-    # repeated rows of one id and text share a plan row
-    plan = (plan.select("doc_id", "_crc", copies.alias("copies")).where("copies > 0")
-            .groupBy("doc_id", "_crc").agg(F.max("copies").alias("copies")))
-    crc = F.crc32(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (crc == F.col("p._crc"))
-    out = docs.alias("d").join(plan.alias("p"), same)
-    return out.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("__copy")).drop("__copy")
+    # rows alike in id, text and source share a plan row; where the budget's edge parts them, the first ``more`` take one more
+    plan = plan.withColumn("copies", copies).groupBy("doc_id", "_crc", "source").agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    plan = cut(plan.select("doc_id", "_crc", "source", "least", (F.col("all") - F.col("least") * F.col("n")).alias("more")).where("least > 0 or more > 0"))
+
+    def taken(part: DataFrame) -> DataFrame:
+        crc = F.crc32(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))
+        same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (crc == F.col("p._crc")) & F.col("d.source").eqNullSafe(F.col("p.source"))
+        return docs.alias("d").join(part.alias("p"), same)
+    name = fresh(docs, "copy")
+    columns = [F.col(f"d.{c}") for c in docs.columns]
+    parts = [taken(plan.where("more = 0")).select(*columns, F.explode(F.sequence(F.lit(1), F.col("p.least"))).alias(name))]
+    parted = plan.where("more > 0")  # one group a source at most
+    if not parted.isEmpty():
+        alike = Window.partitionBy("p.doc_id", "p._crc", "p.source").orderBy("p._crc")
+        rows = taken(parted).select(*columns, (F.col("p.least") + (F.row_number().over(alike) <= F.col("p.more")).cast("int")).alias(name))
+        parts.append(rows.where(F.col(name) > 0).withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))))
+    return union_all(parts).select(*docs.columns)

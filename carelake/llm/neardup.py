@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import checked, cut, only, tidy
+from carelake.llm.common import checked, cut, fresh, only, ranked, text_key, tidy, within, without
 from carelake.llm.graph import components
 from carelake.llm.words import NON_SPACE, shingle_set, words
 
@@ -303,10 +303,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K, shingle
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The documents that stay: one row of every group, and every row without an id; columns unchanged."""
-    gone = near_duplicates(docs, **params).where("not kept and doc_id is not null").select("doc_id")
-    stay = docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.where("doc_id is not null")
-    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The documents that stay, columns unchanged: one of every group of near copies, the one with the smallest id.
+
+    Where ids are missing or repeat, a document is an id and a text: different
+    texts of one id are compared like any others, rows without an id are the last
+    of their group, and of rows alike in both one stays.  Texts without words
+    all stay.
+    """
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id is null or count > 1").isEmpty():
+        gone = near_duplicates(docs, **params).where("not kept").select("doc_id")
+        return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", "text", text_key().alias("key"))
+    numbers = rows.groupBy("doc_id", "key").agg(F.count("*").alias("copies")).withColumn("last", F.col("doc_id").isNull())
+    numbers = cut(ranked(numbers, ["last", "doc_id", "key"]).select("doc_id", "key", "copies", F.col("before").alias("number")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.key") == F.col("n.key"))
+    texts = rows.alias("d").join(numbers.alias("n"), same).select(F.col("n.number").alias("doc_id"), "d.text")
+    # repeated rows give repeated rows here, with one answer
+    found = near_duplicates(cut(texts), **params).select(F.col("doc_id").alias("number"), "n_shingles", "kept").distinct()
+    found = cut(numbers.join(found, "number"))
+    stay = without(docs, found.where("not kept"))
+    again = found.where("kept and n_shingles > 0 and copies > 1")
+    if again.isEmpty():
         return stay
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    key = fresh(docs, "key")
+    once = within(stay, again).withColumn(key, text_key()).dropDuplicates(["doc_id", key]).select(*docs.columns)
+    return without(stay, again).unionByName(once)

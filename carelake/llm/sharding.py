@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import cut, let, ranked
+from carelake.llm.common import cut, fresh, let, ranked
 
 
 def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str = "curve") -> DataFrame:
@@ -120,16 +120,17 @@ def place_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     so one small row per such group (its first rank) joins the texts.  Texts are
     shuffled twice: to meet their rank, and into order.
     """
-    key = F.struct("doc_id", "lang", "source").alias("__id")  # nulls are values too
+    id_, crc, first, rank, total = (fresh(docs, n) for n in ("_id", "_crc", "_first", "_rank", "_all"))
+    key = F.struct("doc_id", "lang", "source").alias(id_)  # nulls are values too
     meta = shard_documents(docs, shards)
-    first = meta.select(key, F.col("text_crc32").alias("__crc"), "rank").groupBy("__id", "__crc").agg(F.min("rank").alias("__first"))
+    ranks = meta.select(key, F.col("text_crc32").alias(crc), "rank").groupBy(id_, crc).agg(F.min("rank").alias(first))
     rows = docs.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], key,
-                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("__crc"))
-    copy = F.row_number().over(Window.partitionBy("__id", "__crc").orderBy("__first"))
-    rows = rows.join(first, ["__id", "__crc"]).withColumn("__rank", F.col("__first") + copy - 1).withColumn("__all", F.lit(docs.count()))
-    rows = _cut_runs(rows, shards, "__rank", "__all").drop("__id", "__crc", "__first", "__all")
+                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias(crc))
+    copy = F.row_number().over(Window.partitionBy(id_, crc).orderBy(first))
+    rows = rows.join(ranks, [id_, crc]).withColumn(rank, F.col(first) + copy - 1).withColumn(total, F.lit(docs.count()))
+    rows = _cut_runs(rows, shards, rank, total).drop(id_, crc, first, total)
     n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(n, "__rank").sortWithinPartitions("__rank").drop("__rank")
+    return rows.repartitionByRange(n, rank).sortWithinPartitions(rank).drop(rank)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:

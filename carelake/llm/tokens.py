@@ -94,8 +94,8 @@ def attribute_spans(ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str)
 def attribute(docs: DataFrame, ranks: str = RANKS, rule: str = "first") -> DataFrame:
     """(doc_id, section, start, end, n_tokens, n_crossing) for documents with ``text`` and ``sections``.
 
-    ``sections``: array of (section, start, end), spans in code points that
-    don't overlap; or null for the text's lines, numbered from 0, each with its
+    ``sections``: array of (section, start, end), spans in code points; where
+    two overlap, the later one begins at the end of the earlier; or null for the text's lines, numbered from 0, each with its
     line break.  A row with section -1 holds what lies outside, if anything
     does.  Null and empty texts have no tokens and no rows of lines.  The rank
     file is read by the driver and sent along.
@@ -116,6 +116,7 @@ def attribute(docs: DataFrame, ranks: str = RANKS, rule: str = "first") -> DataF
         def flush() -> pa.RecordBatch:
             nonlocal held
             cols = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int64(),) * 4 + (pa.float64(), pa.int64()))]
+            cols[0] = ids.cast(pa.int64()).take(cols[0])  # rows of the batch: an id may be null
             for c in out:
                 c.clear()
             held = 0
@@ -139,24 +140,23 @@ def attribute(docs: DataFrame, ranks: str = RANKS, rule: str = "first") -> DataF
                     name = np.array([s["section"] for s in spans], np.int64)
                     start = np.clip(np.array([s["start"] for s in spans], np.int64), 0, chars)
                     end = np.maximum(start, np.clip(np.array([s["end"] for s in spans], np.int64), 0, chars))
-                    if np.any(end[:-1] > start[1:]):
-                        raise ValueError("sections of a document overlap")
+                    taken = np.maximum.accumulate(np.concatenate(([0], end)))[:-1]
+                    start = np.maximum(start, taken)
+                    end = np.maximum(start, end)
                     lo, hi = place[start], place[end]
                 got, crossing, outside = attribute_spans(ends, lo, hi, rule)
                 if outside > 1e-9:
                     name, start, end = np.append(name, OUTSIDE), np.append(start, 0), np.append(end, chars)
                     got, crossing = np.append(got, outside), np.append(crossing, 0)
-                doc = ids[r].as_py()
-                for c, v in zip(out, ([doc] * len(name), name, start, end, got, crossing)):
+                for c, v in zip(out, ([r] * len(name), name, start, end, got, crossing)):
                     c.append(np.asarray(v))
                 held += len(name)
                 if held >= 20_000:
                     yield flush()
-        yield flush()
+            if held:
+                yield flush()
     cols = docs.columns
     sections = F.col("sections") if "sections" in cols else F.lit(None)
     sections = sections.cast("array<struct<section:long,start:long,end:long>>")
-    # a null id stays out of numpy: it travels as the smallest long
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("doc_id")
-    found = docs.select(key, "text", sections.alias("sections")).mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
-    return found.withColumn("doc_id", F.when(F.col("doc_id") != -2 ** 63, F.col("doc_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", sections.alias("sections"))
+    return rows.mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,6 +30,7 @@ from carelake.llm.common import cut
 
 CHUNK = 1 << 20
 ROLL = 256 << 20     # payload bytes after which a task begins another archive
+HEAD = 600           # bytes that a record's headers count as
 LEVEL = 6
 LEAST_REVISIT = 1000  # payload bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,7 +108,7 @@ def write_monoliths(records: DataFrame, folder: str, level: int = LEVEL, roll: i
                     name, gz, held, count = f"{uuid.uuid4().hex}.warc.gz", zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                     out = fs.open_output_stream(f"{top}/{name}", compression=None)
                 out.write(gz.compress(make_record(page_id, url, payload, size, digest, refers)))
-                held, count = held + size, count + 1
+                held, count = held + size + HEAD, count + 1
                 if held >= roll:
                     finish()
         if out is not None:
@@ -202,10 +204,29 @@ def normalise(manifest: DataFrame, folder: str, level: int = LEVEL) -> DataFrame
     return cut(manifest.select("archive").mapInArrow(run, "archive string, index string, records long"))
 
 
+def read_record(record: bytes, where: str) -> tuple[int | None, str | None, str, int, str, int | None]:
+    """(page_id, url, type, payload bytes, payload digest, refers_to) of one record."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    fields = parse_head(head)
+    block, kind, url = block[:int(fields["content-length"])], fields.get("warc-type", "unknown"), fields.get("warc-target-uri")
+    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    if "x-payload-length" not in fields:
+        return None, url, kind, size, digest, None
+    given = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    if kind == "response" and (size != int(fields["x-payload-length"]) or digest != given):
+        raise ValueError(f"{where}: the payload doesn't match its digest")
+    page, refers = (int(fields[k]) if k in fields else None for k in ("x-page-id", "x-refers-to-page-id"))
+    return page, None if url is None else json.loads(f'"{url}"'), kind, int(fields["x-payload-length"]), given, refers
+
+
 def read_records(archives: DataFrame) -> DataFrame:
     """Every record by its place in the index: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, archive, offset, length).
 
-    A response's payload is digested again and must match its header.
+    A response's payload is digested again and must match the header of an
+    archive written here.  Records from elsewhere (warcinfo, request, ..; other digests or
+    none) have no page_id, and the size and SHA-1 of the payload they hold: the
+    body of an HTTP message, else the whole block.
     """
     schema = ("page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
               "archive string, offset long, length long")
@@ -216,26 +237,14 @@ def read_records(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for archive, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, path = open_fs(archive)
-                with fs.open_input_stream(open_fs(index)[1], compression=None) as f:
-                    lines = f.read().splitlines()
-                with fs.open_input_file(path) as f:
-                    for at in range(0, len(lines), 2000):
+                with fs.open_input_stream(open_fs(index)[1], compression=None) as x, fs.open_input_file(path) as f:
+                    lines = io.BufferedReader(x)
+                    while part := list(islice(lines, 2000)):
                         rows = []
-                        for line in lines[at:at + 2000]:
+                        for line in part:
                             place = json.loads(line)
                             record = zlib.decompress(f.read_at(place["length"], place["offset"]), 31)
-                            head, _, block = record.partition(b"\r\n\r\n")
-                            fields = parse_head(head)
-                            block = block[:int(fields["content-length"])]
-                            payload = block.partition(b"\r\n\r\n")[2]
-                            digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                            size = int(fields["x-payload-length"])
-                            if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                                raise ValueError(f"{archive}: the payload at {place['offset']} doesn't match its digest")
-                            number = lambda k: int(fields[k]) if k in fields else None
-                            url = fields.get("warc-target-uri")
-                            rows.append((number("x-page-id"), None if url is None else json.loads(f'"{url}"'), fields["warc-type"], size, digest,
-                                         number("x-refers-to-page-id"), archive, place["offset"], place["length"]))
+                            rows.append((*read_record(record, f"{archive} at {place['offset']}"), archive, place["offset"], place["length"]))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
     return archives.select("archive", "index").mapInArrow(run, schema)
 

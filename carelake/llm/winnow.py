@@ -52,7 +52,7 @@ class Windows:
 class Fingerprints:
     """What one block of the benchmark is searched by."""
 
-    names: list[str]
+    names: list[str | None]
     kept: np.ndarray            # winnowed k-gram hashes, sorted
     windows: dict[int, Windows]  # by length: SPAN, and those of shorter items
 
@@ -62,7 +62,7 @@ def fingerprints(ids: list, texts: pa.Array) -> Fingerprints:
     for w in words(texts, ALNUM):
         for r in range(w.hi - w.lo):
             h = w.hash[w.row(r)]
-            if names[w.lo + r] is None or len(h) == 0:
+            if len(h) == 0:
                 continue
             m = min(SPAN, len(h))
             grams = np.unique(gram_hashes(h, m))
@@ -139,7 +139,7 @@ def _scan(docs: DataFrame, marks: Fingerprints, with_key: bool) -> DataFrame:
         for batch in batches:
             for w in words(batch.column(1), ALNUM):
                 mask, pairs = _search(w, marks)
-                items: dict[int, list[str]] = {}
+                items: dict[int, list[str | None]] = {}
                 for r, i in pairs:
                     items.setdefault(r, []).append(marks.names[i])
                 spans, names = [], []
@@ -147,7 +147,7 @@ def _scan(docs: DataFrame, marks: Fingerprints, with_key: bool) -> DataFrame:
                     if r in items:
                         m = np.diff(np.concatenate(([0], mask[w.row(r)].view(np.int8), [0])))
                         spans.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(m == 1).tolist(), np.flatnonzero(m == -1).tolist())])
-                        names.append(sorted(set(items[r])))
+                        names.append(sorted(set(items[r]), key=lambda x: (x is None, x or "")))  # an item without an id comes last
                     else:
                         spans.append([])
                         names.append([])
@@ -165,8 +165,8 @@ def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BY
     """(doc_id, n_words, spans, items), one row per row of ``docs``: the word spans (start, end) that occur in the
     benchmark, and the item_ids, as sorted strings, whose windows they hold.
 
-    Null texts have no words; items without words, and null item_ids, are never
-    found.  Documents are never shuffled while the benchmark fits one block;
+    Null texts have no words; items without words are never found; all items without an id
+    are one, a null at the end of the array.  Documents are never shuffled while the benchmark fits one block;
     beyond that every block of it makes a pass and the passes are merged.
     ``with_key`` adds ``key``, the hash of the text.
     """
