@@ -111,11 +111,13 @@ def sheets_to_text(cells: DataFrame, workbook: str = "workbook", sheet: str = "s
                    row_index: str = "row_index", cells_col: str = "cells") -> DataFrame:
     """One text per workbook, lines newline-joined in sheet then row order.
     Each sheet's lines are joined first and its header put before them, so the
-    workbooks are parsed once."""
+    workbooks are parsed once.  The row that stands for a damaged workbook
+    (sheet -1) is its text as it is."""
     line = F.array_join(F.transform(F.col(cells_col), lambda c: F.coalesce(c.cast("string"), F.lit(""))), "\t")
     sheets = (cells.select(workbook, F.col(sheet_idx).alias("_idx"), F.col(sheet).alias("_sheet"),
                            F.col(row_index).cast("long").alias("_no"), line.alias("_line"))
               .groupBy(workbook, "_idx", "_sheet")
               .agg(F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY _no)").alias("_body"))
-              .withColumn("_body", F.concat(F.format_string(SHEET_HEADER, F.col("_sheet")), F.lit("\n"), F.col("_body"))))
+              .withColumn("_body", F.when(F.col("_idx") < 0, F.col("_body"))
+                          .otherwise(F.concat(F.format_string(SHEET_HEADER, F.col("_sheet")), F.lit("\n"), F.col("_body")))))
     return sheets.groupBy(workbook).agg(F.expr("listagg(_body, '\\n') WITHIN GROUP (ORDER BY _idx)").alias("text"))

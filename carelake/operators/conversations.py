@@ -228,8 +228,9 @@ def fold_conversations(convs: DataFrame, actions: DataFrame, keep: int = HISTORY
             .withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= pairs_needed)
             .groupBy("phone")
             .agg(F.array_sort(F.collect_list(F.struct(*ordkey, F.col("body"), F.col("reply")))).alias("_tail")))
-    new_msgs = F.flatten(F.transform(F.col("_tail"), lambda r: F.array(message("user", r["body"]),
-                                                                     message("assistant", r["reply"]))))
+    none = F.array().cast(HISTORY)
+    new_msgs = F.aggregate(F.coalesce(F.col("_tail"), F.array().cast(tail.schema["_tail"].dataType)), none,
+                           lambda h, r: C.append_pair(h, r["body"], r["reply"]))
     changes = per_phone.join(tail, on="phone", how="left").withColumnRenamed("phone", "phone_number")
 
     cur = convs.select(*[F.col(c) if c in convs.columns else F.lit(None).cast(
@@ -237,7 +238,7 @@ def fold_conversations(convs: DataFrame, actions: DataFrame, keep: int = HISTORY
     j = cur.join(changes, on="phone_number", how="full_outer")
     replied = F.coalesce(F.col("_replies"), F.lit(0)) > 0
     stored_h = C.parse_history("conversation_history")
-    new_h = C.last_n(F.concat(stored_h, F.coalesce(new_msgs, F.array().cast(HISTORY))), keep)
+    new_h = C.last_n(F.concat(stored_h, new_msgs), keep)
     return j.select(
         "phone_number", "patient_name", "amount_due", "message_type", "last_outbound_message", "last_message_id",
         F.when(replied, C.history_json(new_h)).otherwise(F.col("conversation_history")).alias("conversation_history"),

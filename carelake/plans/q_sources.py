@@ -211,6 +211,36 @@ def q_docx_text(spark, sf):
     return DX.docx_text(_docx_files(spark, sf))
 
 
+@register("damaged_files", """
+WITH f AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'xlsx' ELSE 'docx' END AS ext, doc_id % 10 // 2 AS state, coalesce(text, '') AS text FROM documents),
+t AS (SELECT ext || '/' || CAST(doc_id AS VARCHAR) || '.' || ext AS path,
+        CASE WHEN state IN (1, 2) THEN '[Could not read this file]' WHEN ext = 'docx' THEN CASE WHEN state = 3 THEN '' ELSE 'words ' || CAST(length(text) AS VARCHAR) END
+          WHEN state = 3 THEN '=== Sheet: S ===' || chr(10) ELSE '=== Sheet: S ===' || chr(10) || 'words ' || CAST(length(text) AS VARCHAR) END AS text
+      FROM f)
+SELECT 'extract' AS by_, path, text FROM t UNION ALL SELECT 'format', path, text FROM t""")
+def q_damaged_files(spark, sf):
+    """A workbook or document per text: good, cut off, without bytes or without content; every file gets an answer, from the
+    dispatching extractor and from the readers of each format."""
+    from carelake.operators.context import sheets_to_text
+    from carelake.sources.extract import extract_text
+    docs = table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+
+    def build(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for i, n in zip(pdf.doc_id.tolist(), pdf.n.tolist()):
+                ext, state = "xlsx" if i % 2 == 0 else "docx", i % 10 // 2
+                line = [] if state == 3 else [f"words {n}"]
+                data = XL.build_xlsx([("S", [line] if line else [])]) if ext == "xlsx" else DX.build_docx(line)
+                rows.append((f"{ext}/{i}.{ext}", data[:len(data) // 2] if state == 1 else b"" if state == 2 else data))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+    files = docs.mapInPandas(build, "path string, content binary")
+    books = XL.parse_xlsx(files.where(F.col("path").endswith("xlsx")), DX.UNREADABLE_TEXT)
+    by_format = sheets_to_text(books, workbook="path").unionByName(DX.docx_text(files.where(F.col("path").endswith("docx"))))
+    out = [df.select(F.lit(by).alias("by_"), "path", "text") for by, df in (("extract", extract_text(files)), ("format", by_format))]
+    return out[0].unionByName(out[1])
+
+
 # ------------------------------------------------------------------- fhir --
 def _fhir_root(spark, sf):
     """Patient resources from customer as NDJSON (plus malformed lines)."""
@@ -312,13 +342,13 @@ def q_xlsx_sheet_text(spark, sf):
 @register("extract_text", f"""
 SELECT * FROM ({_XLSX_TEXT_SQL})
 UNION ALL SELECT * FROM ({_DOCX_TEXT_SQL})
-UNION ALL SELECT 'uploads/docs/' || CAST(doc_id AS VARCHAR) || '.' || lang AS path, text FROM documents""")
+UNION ALL SELECT 'uploads/docs/' || CAST(doc_id AS VARCHAR) || '.' || coalesce(lang, 'txt') AS path, coalesce(text, '') AS text FROM documents""")
 def q_extract_text(spark, sf):
     """A mixed upload set -- workbooks, documents and text files with other
     extensions -- turned into text by one dispatching job."""
     from carelake.sources.extract import extract_text
     docs = table(spark, sf, "documents").select(
-        F.concat(F.lit("uploads/docs/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang")).alias("path"),
+        F.concat(F.lit("uploads/docs/"), F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("txt"))).alias("path"),
         F.encode("text", "UTF-8").alias("content"))
     files = _xlsx_files(spark, sf).unionByName(_docx_files(spark, sf)).unionByName(docs)
     return extract_text(files)
@@ -327,8 +357,8 @@ def q_extract_text(spark, sf):
 _QUESTION_DOCS_SQL = f"""
 SELECT 'workbooks' AS request_id, * FROM ({_XLSX_TEXT_SQL})
 UNION ALL SELECT 'chat ' || CAST(CAST(regexp_extract(path, 'conv-([0-9]+)-', 1) AS BIGINT) % 50 AS VARCHAR), * FROM ({_DOCX_TEXT_SQL})
-UNION ALL SELECT lang || ' ' || CAST(doc_id % 40 AS VARCHAR), 'uploads/docs/' || CAST(doc_id AS VARCHAR) || '.' || lang, text FROM documents
-  WHERE lang IS NOT NULL"""
+UNION ALL SELECT coalesce(lang, 'txt') || ' ' || CAST(doc_id % 40 AS VARCHAR),
+  'uploads/docs/' || CAST(doc_id AS VARCHAR) || '.' || coalesce(lang, 'txt'), coalesce(text, '') FROM documents"""
 
 
 @register("question_context", f"""
@@ -349,7 +379,7 @@ def q_question_context(spark, sf):
     from carelake.operators.context import combined_context
     path = f"{scratch_dir(spark, 'question')}/texts"
     q_extract_text(spark, sf).write.parquet(path)
-    docs = spark.read.parquet(path).withColumnRenamed("path", "key").where(F.col("key").isNotNull())
+    docs = spark.read.parquet(path).withColumnRenamed("path", "key")
     conv = F.regexp_extract("key", "conv-([0-9]+)-", 1)
     name = F.element_at(F.split("key", "/"), -1)
     request = (F.when(F.col("key").startswith("uploads/xlsx/"), F.lit("workbooks"))

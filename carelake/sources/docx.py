@@ -44,30 +44,33 @@ def paragraphs(data: bytes) -> list[str]:
     return out
 
 
+#: fixed value: the answer for a file that can't be read
+UNREADABLE_TEXT = "[Could not read this file]"
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, data in zip(b.column("path"), b.column("content")):
-            path, data = path.as_py(), data.as_py()
-            if data is None:
-                continue
             try:
-                texts = paragraphs(data)
-            except UNREADABLE:
-                continue   # one bad file never takes the others with it
-            for i in range(0, len(texts), CHUNK_ROWS):
-                part = texts[i:i + CHUNK_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(i, i + len(part)), pa.int64()),
-                                                  pa.array(part, pa.string())], ["path", "para_idx", "text"])
+                rows = list(enumerate(paragraphs(data.as_py() or b"")))
+            except UNREADABLE:   # one bad file never takes the others with it
+                rows = [(-1, UNREADABLE_TEXT)]
+            rows = rows or [(-1, None)]   # a file without paragraphs
+            for i in range(0, len(rows), CHUNK_ROWS):
+                part = rows[i:i + CHUNK_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(part), pa.string()), pa.array([n for n, _ in part], pa.int64()),
+                                                  pa.array([t for _, t in part], pa.string())], ["path", "para_idx", "text"])
 
 
 def parse_docx(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> ``(path, para_idx, text)``; a damaged file gives no rows."""
+    """``(path, content)`` -> ``(path, para_idx, text)``; a file without paragraphs gives one row with
+    ``para_idx`` -1 and no text, a damaged one (or one without content) such a row with the unreadable text."""
     return files.select("path", "content").mapInArrow(_parse_batches, PARA_SCHEMA)
 
 
 def docx_text(files: DataFrame) -> DataFrame:
     """One text per file: non-blank paragraphs joined by newlines ('' when
-    every paragraph is blank)."""
+    every paragraph is blank or there is none; the unreadable text for a damaged file)."""
     paras = parse_docx(files).withColumn(
         "text", F.when(pystrip(F.col("text")) != "", F.col("text")))   # blank -> null, ignored by listagg
     return (paras.groupBy("path")

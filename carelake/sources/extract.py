@@ -1,9 +1,9 @@
 """Question-time text of any upload: the format is chosen by extension
 (workbook -> sheet text, docx -> paragraphs, anything else -> UTF-8 text).
 
-One pass over the files: a single Arrow-batch parser turns every file into
-uniform line rows, then Spark assembles each file's text with one ordered
-aggregation.  Files are read once whatever the mix of formats.
+One pass over the files: a single Arrow-batch parser puts each parsed file's
+text together in the task that holds the file, and lets plain bytes through.
+``extract_lines`` gives the same as line rows.
 """
 
 from __future__ import annotations
@@ -11,19 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelake.functions.text import make_valid_text, pystrip
+from carelake.functions.text import make_valid_text
 from carelake.operators.context import SHEET_HEADER
-from carelake.sources.docx import paragraphs
+from carelake.sources.docx import UNREADABLE_TEXT, paragraphs
 from carelake.sources.xlsx import CHUNK_ROWS, UNREADABLE, workbook_rows
 
 # Fixed value: text given for a file whose format cannot be extracted here.
 UNSUPPORTED_TEXT = "[Could not extract text from this file type]"
-# Fixed value: text given for a file that is damaged.
-UNREADABLE_TEXT = "[Could not read this file]"
 NO_PARSER = ("pdf", "xls")
 
 LINE_SCHEMA = T.StructType([
@@ -91,21 +90,39 @@ def extract_lines(files: DataFrame) -> DataFrame:
     return lines.unionByName(plain)
 
 
+def _file_text(path: str, data: bytes) -> str:
+    """The text of one workbook, document or unsupported file, put together where it is parsed."""
+    lines = []
+    for kind, _, _, cells, text in _file_lines(path, data):
+        if kind == "sheet":
+            lines.append(SHEET_HEADER % text)
+        elif kind == "row":
+            lines.append("\t".join(c or "" for c in cells))
+        elif kind == "text" or text.strip():
+            lines.append(text)
+    return "\n".join(lines)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        paths = b.column("path").to_pylist()
+        parsed = [p is not None and _ext(p) in ("xlsx", "docx", *NO_PARSER) for p in paths]
+        texts: list[str | None] = []
+        for i, (path, mine) in enumerate(zip(paths, parsed)):
+            try:
+                texts.append(_file_text(path, b.column("content")[i].as_py() or b"") if mine else None)
+            except UNREADABLE:
+                texts.append(UNREADABLE_TEXT)
+        raw = pc.if_else(pa.array(parsed, pa.bool_()), pa.scalar(None, pa.binary()), b.column("content").cast(pa.binary()).fill_null(b""))
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string()), raw], ["path", "text", "raw"])
+
+
 def extract_text(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> ``(path, text)``.  Workbooks: a header line per
-    sheet, rows tab-joined (null -> ''); documents: non-blank paragraphs;
-    PDF and legacy ``.xls``: the unsupported-type text; damaged files: the
-    unreadable text; anything else, also a file without a path: UTF-8 with
-    malformed bytes replaced, a row per file."""
-    lines, plain = _split(files)
-    kind = F.col("kind")
-    blank_para = (kind == "para") & (pystrip(F.col("text")) == "")
-    line = (F.when(kind == "sheet", F.format_string(SHEET_HEADER, F.col("text")))
-             .when(kind == "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\t"))
-             .when((kind == "file") | blank_para, F.lit(None).cast("string"))   # ignored by listagg
-             .otherwise(F.col("text")))
-    joined = (lines.select("path", "k1", "k2", line.alias("line"))
-              .groupBy("path")
-              .agg(F.coalesce(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY k1, k2)"), F.lit(""))
-                   .alias("text")))
-    return joined.unionByName(plain.select("path", "text"))
+    """``(path, content)`` -> ``(path, text)``, a row per file.  Workbooks: a
+    header line per sheet, rows tab-joined (null -> ''); documents: non-blank
+    paragraphs; PDF and legacy ``.xls``: the unsupported-type text; damaged
+    files: the unreadable text; anything else, also a file without a path:
+    UTF-8 with malformed bytes replaced (plain bytes pass the parser by and are
+    decoded in the JVM).  Files are read once and nothing is shuffled."""
+    found = files.select("path", "content").mapInArrow(_texts, "path string, text string, raw binary")
+    return found.select("path", F.coalesce("text", make_valid_text(F.col("raw"))).alias("text"))

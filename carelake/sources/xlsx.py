@@ -15,7 +15,9 @@ import io
 import re
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake.functions.outreach import normalize_headers
+from carelake.session import checkpoint_root
+from carelake.sources.uploads import open_path
 
 ROW_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -98,101 +102,196 @@ def _serial_text(v: str, date1904: bool) -> str:
     return str(base + datetime.timedelta(microseconds=round(serial * 86400 * 1e6)))
 
 
+#: sheets of at most so many bytes of XML are held as a grid; larger ones are read twice, row by row
+GRID_BYTES = 4 << 20
+
+
+class _Strings:
+    """The shared strings: one buffer of bytes and the places in it."""
+
+    def __init__(self):
+        self.data, self.ends = bytearray(), array("Q", [0])
+
+    def add(self, text: str) -> None:
+        self.data += text.encode("utf-8", "surrogatepass")
+        self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < len(self.ends) - 1:
+            raise IndexError(i)
+        return self.data[self.ends[i]:self.ends[i + 1]].decode("utf-8", "surrogatepass")
+
+
+class Workbook:
+    """A workbook read by events: memory holds the shared strings and a row, and a small sheet's grid."""
+
+    def __init__(self, file):
+        self.zf = zf = zipfile.ZipFile(file)
+        names = set(zf.namelist())
+        self.shared = _Strings()
+        if "xl/sharedStrings.xml" in names:
+            with zf.open("xl/sharedStrings.xml") as f:
+                for si in _elements(f, "si"):
+                    self.shared.add(_text_of(si))
+        wb = ET.fromstring(zf.read("xl/workbook.xml"))
+        rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
+        target = {r.get("Id"): r.get("Target") for r in rels.findall("pr:Relationship", _NS)}
+        self.date_styles = _date_styles(zf, names)
+        pr = wb.find("m:workbookPr", _NS)
+        self.date1904 = pr is not None and pr.get("date1904", "0") in ("1", "true")
+        view = wb.find("m:bookViews/m:workbookView", _NS)
+        active = int(view.get("activeTab", "0")) if view is not None else 0
+        self.sheets: list[tuple[int, str, bool, str]] = []
+        for idx, sh in enumerate(wb.findall("m:sheets/m:sheet", _NS)):
+            t = target.get(sh.get(f"{{{_NS['r']}}}id"), "")
+            self.sheets.append((idx, sh.get("name"), idx == active, t.lstrip("/") if t.startswith("/") else f"xl/{t}"))
+        self._bounds: dict[str, tuple] = {}
+        self._grids: dict[str, dict[int, dict[int, str | None]]] = {}
+
+    def _value(self, c) -> str | None:
+        typ, v = c.get("t", "n"), c.find("m:v", _NS)
+        if typ == "s":
+            return self.shared[int(v.text)] if v is not None else None
+        if typ == "inlineStr":
+            is_ = c.find("m:is", _NS)
+            return _text_of(is_) if is_ is not None else None
+        if typ == "b":
+            return None if v is None else ("True" if v.text == "1" else "False")
+        if typ == "str":
+            return v.text if v is not None else None
+        if v is None or v.text is None:
+            return None
+        if c.get("s") is not None and int(c.get("s")) in self.date_styles:
+            return _serial_text(v.text, self.date1904)
+        return _number_text(v.text)
+
+    def _stored(self, part: str, wanted=lambda n: True) -> Iterator[tuple[int, dict[int, str | None]]]:
+        """(row number, cells by column) of the rows that have cells, as they stand; values only of wanted rows."""
+        number = 0
+        with self.zf.open(part) as f:
+            for row in _elements(f, "row"):
+                number = int(row.get("r")) if row.get("r") else number + 1
+                cells: dict[int, str | None] = {}
+                nxt, keep = 1, wanted(number)
+                for c in row.findall("m:c", _NS):
+                    ref = c.get("r")
+                    col = _col_number(_REF.match(ref).group(1)) if ref else nxt
+                    nxt = col + 1
+                    cells[col] = self._value(c) if keep else None
+                if cells:
+                    yield number, cells
+
+    def bounds(self, part: str) -> tuple[int, int, int, int, dict[int, str | None]]:
+        """First and last used row, first and last used column, cells of the first used row (an empty sheet is one
+        empty cell).  Reads the whole sheet, so a damaged one shows."""
+        if part not in self._bounds:
+            whole = self.zf.getinfo(part).file_size <= GRID_BYTES
+            grid: dict[int, dict[int, str | None]] = {}
+            r0 = r1 = c0 = c1 = None
+            first: dict[int, str | None] = {}
+            for number, cells in self._stored(part):
+                if r1 is not None and number <= r1 and not whole:
+                    # rows out of order: only a grid can put them right
+                    grid, whole = dict(self._stored(part)), True
+                    break
+                if whole:
+                    grid[number] = cells
+                if r0 is None:
+                    r0, first = number, cells
+                r1 = number
+                c0, c1 = (min(cells), max(cells)) if c0 is None else (min(c0, min(cells)), max(c1, max(cells)))
+            if whole:
+                self._grids[part] = grid
+                if grid:
+                    r0, r1 = min(grid), max(grid)
+                    c0, c1 = min(min(c) for c in grid.values()), max(max(c) for c in grid.values())
+                    first = grid[r0]
+            self._bounds[part] = (r0, r1, c0, c1, first) if r0 is not None else (1, 1, 1, 1, {})
+        return self._bounds[part]
+
+    def rows(self, part: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+        """(row number, cells padded to the used columns) of the used range, rows without cells too; of rows lo .. hi - 1."""
+        r0, r1, c0, c1, _ = self.bounds(part)
+        lo, hi = max(lo, r0), min(r1 + 1, hi if hi is not None else r1 + 1)
+        grid = self._grids.get(part)
+        stored = iter(sorted(grid.items())) if grid is not None else self._stored(part, lambda n: lo <= n < hi)
+        at = lo
+        for number, cells in stored:
+            if number < lo:
+                continue
+            if number >= hi:
+                break
+            for blank in range(at, number):
+                yield blank, [None] * (c1 - c0 + 1)
+            yield number, [cells.get(i) for i in range(c0, c1 + 1)]
+            at = number + 1
+        for blank in range(at, hi):
+            yield blank, [None] * (c1 - c0 + 1)
+
+    def header(self, part: str) -> tuple[int, list[str | None]]:
+        r0, _, c0, c1, first = self.bounds(part)
+        return r0, [first.get(i) for i in range(c0, c1 + 1)]
+
+
+def _elements(f, name: str) -> Iterator[ET.Element]:
+    """The elements of a name, one at a time; what has been read is let go."""
+    tag, open_ = f"{{{_NS['m']}}}{name}", []
+    for event, el in ET.iterparse(f, ("start", "end")):
+        if event == "start":
+            open_.append(el)
+            continue
+        open_.pop()
+        if el.tag == tag:
+            yield el
+            if open_:
+                open_[-1].clear()
+
+
 def workbook_rows(data: bytes) -> Iterator[tuple[int, str, bool, int, list[str | None], int, list[str | None]]]:
     """(sheet_idx, sheet name, is active, 1-based row number, cells, header row
     number, header cells) for every row of each sheet's used range, cells
-    padded to the used columns."""
-    zf = zipfile.ZipFile(io.BytesIO(data))
-    names = set(zf.namelist())
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in names:
-        root = ET.fromstring(zf.read("xl/sharedStrings.xml"))
-        shared = [_text_of(si) for si in root.findall("m:si", _NS)]
-    wb = ET.fromstring(zf.read("xl/workbook.xml"))
-    rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
-    target = {r.get("Id"): r.get("Target") for r in rels.findall("pr:Relationship", _NS)}
-    date_styles = _date_styles(zf, names)
-    pr = wb.find("m:workbookPr", _NS)
-    date1904 = pr is not None and pr.get("date1904", "0") in ("1", "true")
-    view = wb.find("m:bookViews/m:workbookView", _NS)
-    active = int(view.get("activeTab", "0")) if view is not None else 0
-    for idx, sh in enumerate(wb.findall("m:sheets/m:sheet", _NS)):
-        rid = sh.get(f"{{{_NS['r']}}}id")
-        t = target.get(rid, "")
-        part = t.lstrip("/") if t.startswith("/") else f"xl/{t}"
-        root = ET.fromstring(zf.read(part))
-        grid: dict[int, dict[int, str | None]] = {}
-        for row in root.iter(f"{{{_NS['m']}}}row"):
-            rnum = int(row.get("r"))
-            cells: dict[int, str | None] = {}
-            nxt = 1
-            for c in row.findall("m:c", _NS):
-                ref = c.get("r")
-                col = _col_number(_REF.match(ref).group(1)) if ref else nxt
-                nxt = col + 1
-                typ = c.get("t", "n")
-                v = c.find("m:v", _NS)
-                if typ == "s":
-                    val = shared[int(v.text)] if v is not None else None
-                elif typ == "inlineStr":
-                    is_ = c.find("m:is", _NS)
-                    val = _text_of(is_) if is_ is not None else None
-                elif typ == "b":
-                    val = None if v is None else ("True" if v.text == "1" else "False")
-                elif typ == "str":
-                    val = v.text if v is not None else None
-                elif v is None or v.text is None:
-                    val = None
-                elif c.get("s") is not None and int(c.get("s")) in date_styles:
-                    val = _serial_text(v.text, date1904)
-                else:
-                    val = _number_text(v.text)
-                cells[col] = val
-            if cells:
-                grid[rnum] = cells
-        # The used range as a full grid: every row from the first to the last
-        # used one, each padded to the used columns (an empty sheet is one
-        # empty cell), as spreadsheet readers iterate it.
-        if grid:
-            r0, r1 = min(grid), max(grid)
-            c0 = min(min(c) for c in grid.values())
-            c1 = max(max(c) for c in grid.values())
-        else:
-            r0 = r1 = c0 = c1 = 1
-        first = grid.get(r0, {})
-        header = [first.get(i) for i in range(c0, c1 + 1)]
-        for rnum in range(r0, r1 + 1):
-            cells = grid.get(rnum, {})
-            yield idx, sh.get("name"), idx == active, rnum, [cells.get(i) for i in range(c0, c1 + 1)], r0, header
+    padded to the used columns.  All sheets are looked through before the first row."""
+    wb = Workbook(io.BytesIO(data))
+    for *_, part in wb.sheets:
+        wb.bounds(part)
+    for idx, name, active, part in wb.sheets:
+        head = wb.header(part)
+        for number, cells in wb.rows(part):
+            yield idx, name, active, number, cells, *head
 
 
 #: what a damaged or foreign file (a legacy .xls, say) makes the parser raise
-UNREADABLE = (zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, IndexError, AttributeError, EOFError, NotImplementedError)
+UNREADABLE = (zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, IndexError, AttributeError, TypeError, EOFError, NotImplementedError)
 CHUNK_ROWS = 2000
 _ARROW = pa.schema([("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet", pa.string()), ("active", pa.bool_()),
                     ("row_index", pa.int64()), ("cells", pa.list_(pa.string())), ("header_row", pa.int64()),
                     ("header", pa.list_(pa.string()))])
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, data in zip(b.column("path"), b.column("content")):
-            path, data = path.as_py(), data.as_py()
-            if data is None:
-                continue
-            try:
-                rows = list(workbook_rows(data))
-            except UNREADABLE:
-                continue   # one bad file never takes the others with it
-            for i in range(0, len(rows), CHUNK_ROWS):
-                part = [(path, *r) for r in rows[i:i + CHUNK_ROWS]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
+def _batches(path: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while part := [(path, *r) for r in islice(rows, CHUNK_ROWS)]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
 
 
-def parse_xlsx(files: DataFrame) -> DataFrame:
+def _parser(damaged: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path"), b.column("content")):
+                try:
+                    rows = workbook_rows(data.as_py() or b"")
+                    first = next(rows, None)   # a file that can't be read shows here
+                except UNREADABLE:   # one bad file never takes the others with it
+                    rows, first = iter(()), None if damaged is None else (-1, None, False, -1, [damaged], -1, [])
+                if first is not None:
+                    yield from _batches(path.as_py(), chain([first], rows))
+    return run
+
+
+def parse_xlsx(files: DataFrame, damaged: str | None = None) -> DataFrame:
     """``(path, content)`` -> workbook rows (see module doc).  A file that can't
-    be read gives no rows (a readable one gives at least one)."""
-    return files.select("path", "content").mapInArrow(_parse_batches, ROW_SCHEMA)
+    be read gives no rows (a readable one gives at least one), or with
+    ``damaged`` one row of sheet -1 with that text as its cell."""
+    return files.select("path", "content").mapInArrow(_parser(damaged), ROW_SCHEMA)
 
 
 def read_xlsx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -200,6 +299,55 @@ def read_xlsx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return parse_xlsx(files)
 
 
+# --------------------------------------------------------- large workbooks --
+ROWS_A_TASK = 100_000
+_PLAN = "path string, sheet_idx int, lo long, hi long"
+
+
+def _deal(rows_a_task: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for path in b.column("path").to_pylist():
+                fs, name = open_path(path)
+                try:
+                    with fs.open_input_file(name) as f:
+                        wb = Workbook(f)
+                        mine = []
+                        for idx, _, _, part in wb.sheets:
+                            r0, r1, *_ = wb.bounds(part)
+                            mine += [(path, idx, lo, min(lo + rows_a_task, r1 + 1)) for lo in range(r0, r1 + 1, rows_a_task)]
+                    out += mine
+                except UNREADABLE:
+                    pass
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()))],
+                                             [f.split()[0] for f in _PLAN.split(", ")])
+    return run
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, idx, lo, hi in zip(*(b.column(c).to_pylist() for c in range(4))):
+            fs, name = open_path(path)
+            with fs.open_input_file(name) as f:
+                wb = Workbook(f)
+                _, sheet, active, part = wb.sheets[idx]
+                head = wb.header(part)
+                yield from _batches(path, ((idx, sheet, active, n, cells, *head) for n, cells in wb.rows(part, lo, hi)))
+
+
+def read_large_xlsx(spark: SparkSession, paths: Sequence[str] | str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """The rows that ``read_xlsx`` gives, for workbooks of any size: files are never held whole, and a sheet is
+    dealt over tasks by ranges of rows.  A task reads the sheet's XML up to its
+    range and makes rows of the range only."""
+    listed = spark.createDataFrame([(p,) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
+    ranges = listed.repartition(max(1, listed.count()), "path").mapInArrow(_deal(rows_a_task), _PLAN)
+    checkpoint_root(spark)
+    ranges = ranges.checkpoint()
+    n = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism))
+    return ranges.repartition(n, "path", "sheet_idx", "lo").mapInArrow(_read_ranges, ROW_SCHEMA)
+
+
 def xlsx_table(rows: DataFrame, columns: Sequence[str], sheet: str | None = None) -> DataFrame:
     """Rows of one sheet per workbook as a table of the wanted ``columns``.
 

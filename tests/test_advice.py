@@ -27,5 +27,6 @@ def test_extract_text_matches_its_sql_with_null_languages(spark, tmp_path):
     (docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).toPandas()
      .to_parquet(tmp_path / "documents.parquet"))
     got = E.queries()["extract_text"](spark, str(tmp_path))
-    assert got.where("path is null").count() == docs.where("doc_id % 3 = 0").count() > 1
-    assert not compare(got, duck(str(tmp_path)), E.oracle_sql()["extract_text"])
+    assert got.where("path like '%.txt'").count() == docs.where("doc_id % 3 = 0").count() > 1
+    for name in ("extract_text", "question_context"):
+        assert not compare(E.queries()[name](spark, str(tmp_path)), duck(str(tmp_path)), E.oracle_sql()[name])
