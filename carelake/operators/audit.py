@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.functions.text import normalize_email
-from carelake.operators.scan import carry_last
+from carelake.operators.scan import DENSE_ROWS, carry_last, dense_buckets
 from carelake.session import checkpoint_root
 
 CODE_LIFE_S = 300
@@ -21,7 +21,7 @@ STATUSES = ("success", "incorrect", "expired", "no_session", "bad_request")
 
 
 def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600,
-                 materialize: bool = True) -> DataFrame:
+                 materialize: bool = True, most: int | None = DENSE_ROWS) -> DataFrame:
     """issues: (email, code_hash, user_sub, issued_s, expiry_s, issue_id);
     attempts: (email, code_hash, attempt_s, attempt_id).  One row per attempt.
     E-mails are stripped and lower-cased in both logs.
@@ -47,7 +47,9 @@ def audit_logins(issues: DataFrame, attempts: DataFrame, bucket_s: int = 3600,
                                              F.col("attempt_id").alias("id"),
                                              F.lit(None).cast(issue_type).alias("_issue"), "code_hash",
                                              bad.alias("_bad")))
-                .withColumn("_b", F.floor(F.col("t") / F.lit(bucket_s)).cast("long")))
+                .withColumn("_h", F.floor(F.col("t") / F.lit(bucket_s)).cast("long")))
+    # an e-mail with more than ``most`` rows in a bucket is cut finer
+    timeline = dense_buckets(timeline, ["email"], "_h", ["t", "id"], "_b", most).drop("_h")
     scanned = carry_last(timeline, ["email"], ["t", "kind", "id"], "_b", "_issue", "_cur", inclusive=True)
     cur = F.when(~F.col("_bad"), F.col("_cur"))
     looked = (scanned.where(F.col("kind") == 1)

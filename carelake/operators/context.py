@@ -54,6 +54,46 @@ def combined_context(requests: DataFrame, docs: DataFrame, request: str = "reque
     once into the shared checkpoint folder, so the documents' text is read
     only twice (lengths, kept blocks) instead of once per consumer.
     """
+    meta = _layout(requests, docs, request, ord_, key, text, materialize)
+    totals = meta.groupBy(request, "n_files").agg(
+        (F.sum("_len") - F.lit(len(BLOCK_SEPARATOR))).alias("full_length"))
+    if final_limit is not None:
+        meta = _with_starts(meta, request, ord_, bucket_size).where(F.col("_start") < F.lit(final_limit))
+    blocks = _blocks(meta, docs, request, ord_, key, text)
+    joined = (blocks.groupBy(request)
+              .agg(F.expr(f"listagg(_block, '{BLOCK_SEPARATOR.encode('unicode_escape').decode()}') "
+                          f"WITHIN GROUP (ORDER BY {ord_})").alias("_joined")))
+    out = totals.join(joined, on=request)
+    if final_limit is not None:
+        ctx = F.when(F.col("full_length") > final_limit,
+                     F.concat(F.substring("_joined", 1, final_limit), F.lit(SINGLE_MARKER))).otherwise(F.col("_joined"))
+    else:
+        ctx = F.col("_joined")
+    return out.select(request, "n_files", "full_length", ctx.alias("context"))
+
+
+def combined_context_parts(requests: DataFrame, docs: DataFrame, request: str = "request_id", ord_: str = "ord", key: str = "key",
+                           text: str = "text", part_chars: int = SINGLE_LIMIT, bucket_size: int = 4096, materialize: bool = True) -> DataFrame:
+    """The whole combined context of each request, however many files it has, as ordered parts:
+    (request, part, start, context), ``start`` being the part's place in the whole.
+
+    Parts joined in order give what ``combined_context(final_limit=None)``
+    gives.  A part holds the blocks that begin within its ``part_chars``
+    characters, so it is at most one block longer, and no string or group grows
+    with the request.
+    """
+    meta = _with_starts(_layout(requests, docs, request, ord_, key, text, materialize), request, ord_, bucket_size)
+    last = meta.groupBy(request).agg(F.max("_start").alias("_last"))   # one row a request
+    meta = meta.join(last, request).withColumn("_part", F.floor(F.col("_start") / part_chars))
+    blocks = _blocks(meta, docs, request, ord_, key, text, "_part", "_start", "_last")
+    end = F.when(F.col("_start") < F.col("_last"), F.lit(BLOCK_SEPARATOR)).otherwise(F.lit(""))
+    parts = blocks.withColumn("_block", F.concat("_block", end)).groupBy(request, "_part").agg(
+        F.min("_start").alias("start"), F.expr(f"listagg(_block, '') WITHIN GROUP (ORDER BY {ord_})").alias("context"))
+    return parts.select(request, F.col("_part").alias("part"), "start", "context")
+
+
+def _layout(requests: DataFrame, docs: DataFrame, request: str, ord_: str, key: str, text: str, materialize: bool) -> DataFrame:
+    """Per requested file its limit (``_lim``) and the length of its block with the separator (``_len``): no texts."""
     counts = requests.groupBy(request).agg(F.count(F.lit(1)).alias("n_files"))
     per_file = F.greatest(F.lit(COMBINED_FLOOR), F.floor(F.lit(COMBINED_BUDGET) / F.col("n_files")).cast("int"))
     lengths = docs.select(F.col(key), F.length(F.col(text)).alias("_tlen"))
@@ -68,30 +108,24 @@ def combined_context(requests: DataFrame, docs: DataFrame, request: str = "reque
     if materialize:
         checkpoint_root(meta.sparkSession)
         meta = meta.checkpoint(eager=True)
-    totals = meta.groupBy(request, "n_files").agg(
-        (F.sum("_len") - F.lit(len(BLOCK_SEPARATOR))).alias("full_length"))
-    if final_limit is not None:
-        meta = prefix_sum(meta.withColumn("_b", F.floor(F.col(ord_) / F.lit(bucket_size))),
-                          [request], [ord_], "_b", "_len", "_start", inclusive=False)
-        meta = meta.where(F.col("_start") < F.lit(final_limit))
-    kept = (meta.select(request, ord_, key, "_lim")
+    return meta
+
+
+def _with_starts(meta: DataFrame, request: str, ord_: str, bucket_size: int) -> DataFrame:
+    """Add ``_start``: where each block begins in its request's context."""
+    return prefix_sum(meta.withColumn("_b", F.floor(F.col(ord_) / F.lit(bucket_size))), [request], [ord_], "_b", "_len", "_start", inclusive=False)
+
+
+def _blocks(meta: DataFrame, docs: DataFrame, request: str, ord_: str, key: str, text: str, *more: str) -> DataFrame:
+    """The blocks' texts."""
+    kept = (meta.select(request, ord_, key, "_lim", *more)
             .join(docs.select(F.col(key), F.col(text).alias("_text")), on=key, how="left"))
     body = F.when(F.col("_text").isNull(), F.lit(UNREADABLE)).otherwise(
         F.when(F.length("_text") > F.col("_lim"),
                F.concat(F.substring(F.col("_text"), F.lit(1), F.col("_lim")), F.lit(COMBINED_MARKER)))
          .otherwise(F.col("_text")))
-    blocks = kept.select(request, ord_, F.concat(F.lit(RULE + "\nFILE: "), F.col(key).cast("string"),
-                                                 F.lit("\n" + RULE + "\n"), body).alias("_block"))
-    joined = (blocks.groupBy(request)
-              .agg(F.expr(f"listagg(_block, '{BLOCK_SEPARATOR.encode('unicode_escape').decode()}') "
-                          f"WITHIN GROUP (ORDER BY {ord_})").alias("_joined")))
-    out = totals.join(joined, on=request)
-    if final_limit is not None:
-        ctx = F.when(F.col("full_length") > final_limit,
-                     F.concat(F.substring("_joined", 1, final_limit), F.lit(SINGLE_MARKER))).otherwise(F.col("_joined"))
-    else:
-        ctx = F.col("_joined")
-    return out.select(request, "n_files", "full_length", ctx.alias("context"))
+    return kept.select(request, ord_, *more, F.concat(F.lit(RULE + "\nFILE: "), F.col(key).cast("string"),
+                                                      F.lit("\n" + RULE + "\n"), body).alias("_block"))
 
 
 def sheet_lines(cells: DataFrame, workbook: str = "workbook", sheet: str = "sheet",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from carelake import functions as C
 from carelake.functions.history import HISTORY, message
-from carelake.operators.scan import carry_last, hour_bucket, prefix_sum
+from carelake.operators.scan import DENSE_ROWS, carry_last, dense_buckets, hour_bucket, prefix_sum
 from carelake.sinks.conversations import upsert
 
 HISTORY_KEEP = 20      # messages stored per conversation
@@ -162,7 +162,7 @@ def _without_redeliveries(inbound: DataFrame) -> DataFrame:
     return inbound.where(F.col("msg_id").isNotNull()).dropDuplicates(key).unionByName(inbound.where(F.col("msg_id").isNull()))
 
 
-def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = False) -> DataFrame:
+def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = False, most: int | None = DENSE_ROWS) -> DataFrame:
     """Add ``command`` and ``opted_out_before``: the opt-out state just before
     each message (last STOP/START earlier for the phone, else the stored flag,
     else false), ordered by (ts, msg_id).
@@ -171,7 +171,8 @@ def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = False)
     phone (a bucket before all others), so the message rows are never joined
     with the stored table on the phone key.  ``dedupe`` handles a message that
     is delivered twice once.  Records of one envelope (column ``rec``) follow
-    their order in it.
+    their order in it.  Messages without a time are the oldest.  A phone with
+    more than ``most`` messages in an hour is cut finer.
     """
     if dedupe:
         inbound = _without_redeliveries(inbound)
@@ -182,11 +183,12 @@ def optout_timeline(inbound: DataFrame, convs: DataFrame, dedupe: bool = False)
               .withColumn("body", C.pystrip(F.coalesce(F.col("body"), F.lit(""))))
               .withColumn("_flag", F.when(F.col("command") == "stop", F.lit(True))
                           .when(F.col("command") == "start", F.lit(False)))
-              .withColumn("_bucket", hour_bucket(F.col("ts")))
+              .withColumn("_hour", F.coalesce(hour_bucket(F.col("ts")), F.lit(_FIRST_BUCKET + 1)))
               .withColumn("_real", F.lit(True)))
+    staged = dense_buckets(staged, ["phone"], "_hour", order, "_bucket", most).drop("_hour")
     stored = convs.where(F.col("opt_out").isNotNull()).select(
         F.col("phone_number").alias("phone"), F.col("opt_out").alias("_flag"),
-        F.lit(_FIRST_BUCKET).alias("_bucket"), F.lit(False).alias("_real"))
+        F.struct(F.lit(_FIRST_BUCKET).alias("coarse"), F.lit(0).alias("cell"), F.lit(0).alias("tie")).alias("_bucket"), F.lit(False).alias("_real"))
     timeline = staged.unionByName(stored, allowMissingColumns=True)
     scanned = carry_last(timeline, ["phone"], order, "_bucket", "_flag", "_prev", inclusive=False)
     return (scanned.where(F.col("_real"))

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carelake.session import checkpoint_root
+
 
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str,
                value: str, out: str, inclusive: bool = True) -> DataFrame:
@@ -59,6 +61,46 @@ def hour_bucket(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
 
 
+#: rows of a key that one bucket may hold before it is cut finer
+DENSE_ROWS = 200_000
+_EDGES = 128
+
+
+def dense_buckets(df: DataFrame, keys: Sequence[str], coarse: str, order: Sequence[str], out: str, most: int | None = DENSE_ROWS) -> DataFrame:
+    """Add ``out``, a bucket for ``carry_last``: (coarse, cell, tie).
+
+    ``coarse`` (whole hours, say) is enough for most keys.  Where a key has
+    more than ``most`` rows in one of them, a sketch of its first order
+    column (approximate quantiles) gives cells of like size, each edge a cell of
+    its own; a cell that is still too large, rows of one time that is, is cut by the second
+    order column in the same way.  Only such rows are looked at again, and
+    their sketches, one per ``most`` rows at the most, are broadcast.
+    """
+    plain = F.struct(F.col(coarse).alias("coarse"), F.lit(0).alias("cell"), F.lit(0).alias("tie"))
+    if most is None:
+        return df.withColumn(out, plain)
+    group, t, u = [*keys, coarse], F.col(order[0]).cast("double"), F.col(order[1]).cast("double")
+    checkpoint_root(df.sparkSession)
+    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n").checkpoint()
+    if hot.isEmpty():
+        return df.withColumn(out, plain)
+
+    def edges(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+        cuts = F.percentile_approx(value, [i / _EDGES for i in range(1, _EDGES)], 10_000)
+        return rows.groupBy(*by).agg(F.array_sort(F.array_distinct(cuts)).alias(name)).checkpoint()
+
+    def cell(value: Column, name: str) -> Column:
+        below = F.size(F.filter(name, lambda e: e < value))
+        return F.when(F.col(name).isNull() | value.isNull(), 0).otherwise(2 * below + F.when(F.array_contains(name, value), 1).otherwise(0))
+    times = edges(df.join(F.broadcast(hot), group), group, t, "_times")
+    df = df.join(F.broadcast(times), group, "left").withColumn("_cell", cell(t, "_times"))
+    crowded = df.where(F.col("_times").isNotNull() & (F.col("_cell") % 2 == 1))
+    again = crowded.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n")
+    ties = edges(crowded.join(F.broadcast(again), [*group, "_cell"]), [*group, "_cell"], u, "_ties")
+    df = df.join(F.broadcast(ties), [*group, "_cell"], "left").withColumn("_tie", cell(u, "_ties"))
+    return df.withColumn(out, F.struct(F.col(coarse).alias("coarse"), F.col("_cell").alias("cell"), F.col("_tie").alias("tie"))).drop("_times", "_cell", "_ties", "_tie")
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str,
                value: str, out: str, inclusive: bool = True) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``keys`` in ``order`` (the row

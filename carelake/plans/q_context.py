@@ -71,6 +71,30 @@ def q_combined_context(spark, sf):
     return X.combined_context(requests, docs)
 
 
+@register("context_parts", f"""
+WITH r AS (SELECT quality * 2 + toxic AS request_id, doc_id AS ord, {_KEY} AS key FROM labels),
+n AS (SELECT request_id, count(*) AS n_files FROM r GROUP BY request_id),
+d AS (SELECT {_KEY} AS key, text FROM documents),
+b AS (
+  SELECT r.request_id, r.ord, r.ord = max(r.ord) OVER (PARTITION BY r.request_id) AS is_last,
+    repeat('=', 60) || {_NL} || 'FILE: ' || r.key || {_NL} || repeat('=', 60) || {_NL} ||
+    CASE WHEN d.text IS NULL THEN '[Could not read this file]'
+         WHEN length(d.text) > greatest(8000, 120000 // n.n_files)
+         THEN left(d.text, CAST(greatest(8000, 120000 // n.n_files) AS BIGINT)) || {_NL} || '[... truncated ...]'
+         ELSE d.text END AS block
+  FROM r JOIN n USING (request_id) LEFT JOIN d USING (key)),
+s AS (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY request_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM b)
+SELECT request_id, CAST(st // 60000 AS BIGINT) AS part, CAST(min(st) AS BIGINT) AS start,
+  string_agg(block || CASE WHEN is_last THEN '' ELSE {_NL} || {_NL} END, '' ORDER BY ord) AS context
+FROM s GROUP BY request_id, st // 60000""")
+def q_context_parts(spark, sf):
+    """The whole contexts of the same requests, as parts of some 60,000 characters."""
+    lab = table(spark, sf, "labels")
+    key = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    requests = lab.select((F.col("quality") * 2 + F.col("toxic")).alias("request_id"), F.col("doc_id").alias("ord"), key.alias("key"))
+    return X.combined_context_parts(requests, table(spark, sf, "documents").select(key.alias("key"), "text"))
+
+
 @register("sheet_text", f"""
 WITH lines AS (
   SELECT r_regionkey AS sheet_idx, -1 AS line_no, '=== Sheet: ' || r_name || ' ===' AS line FROM region

@@ -16,7 +16,7 @@ from carelake.sinks.lake import register_uploads, to_uploads, write_lake
 from carelake.sources import docx as DX
 from carelake.sources import fhir as FH
 from carelake.sources import xlsx as XL
-from carelake.sources.files import file_inventory, pending_files
+from carelake.sources.files import file_inventory, pending_files, read_csv, read_text_docs
 from carelake.sources.lake import key_parts, read_lake, with_provenance
 from carelake.sources.uploads import open_path
 from carelake.plans.registry import register
@@ -48,9 +48,7 @@ def q_csv_scan(spark, sf):
     root = scratch_dir(spark, "csv-uploads")
     (_orders_keyed(spark, sf).hint("rebalance", "user_id", "year", "month").sortWithinPartitions("o_orderkey")
      .write.option("header", "true").partitionBy("user_id", "year", "month").csv(f"{root}/uploads"))
-    df = spark.read.option("header", "true").option("inferSchema", "true") \
-        .option("recursiveFileLookup", "true").csv(f"{root}/uploads")
-    df = with_provenance(df, root)
+    df = with_provenance(read_csv(spark, f"{root}/uploads", recursive=True), root)
     parts = key_parts(F.col("_source_key"))
     out = df.withColumns({k: parts[k] for k in ("user_id", "year", "month")})
     return _conform(out, spark, sf).drop("_source_key", "_filename")
@@ -241,6 +239,38 @@ def q_damaged_files(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@register("read_files", """
+SELECT CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'docx' WHEN 2 THEN 'xlsx' ELSE 'csv' END AS kind, doc_id,
+  CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN 'length ' || CAST(length(coalesce(text, '')) AS VARCHAR)
+    WHEN 2 THEN '=== Sheet: S ===' || chr(10) || CAST(length(coalesce(text, '')) AS VARCHAR) ELSE CAST(length(coalesce(text, '')) AS VARCHAR) END AS text
+FROM documents""")
+def q_read_files(spark, sf):
+    """Documents as files of four formats, each read back by its format's reader."""
+    from carelake.operators.context import sheets_to_text
+    root = scratch_dir(spark, "read-files")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def build(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for i, t in zip(pdf.doc_id.tolist(), pdf.text.tolist()):
+                kind = ("txt", "docx", "xlsx", "csv")[i % 4]
+                data = (t.encode() if kind == "txt" else DX.build_docx([f"length {len(t)}"]) if kind == "docx"
+                        else XL.build_xlsx([("S", [[len(t)]])]) if kind == "xlsx" else f"id,n\n{i},{len(t)}\n".encode())
+                rows.append((f"{root}/{kind}/{i}.{kind}", data))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+    put_files(docs.mapInPandas(build, "path string, content binary"))
+    id_ = F.regexp_extract("path", r"/([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id")
+    found = [read_text_docs(spark, f"{root}/txt").select(F.lit("txt").alias("kind"), id_, "text"),
+             DX.read_docx(spark, f"{root}/docx").select(F.lit("docx"), id_, "text"),
+             sheets_to_text(XL.read_xlsx(spark, f"{root}/xlsx"), workbook="path").select(F.lit("xlsx"), id_, "text"),
+             read_csv(spark, f"{root}/csv").select(F.lit("csv"), F.col("id").cast("long"), F.col("n").cast("string"))]
+    out = found[0]
+    for df in found[1:]:
+        out = out.union(df)
+    return out
+
+
 # ------------------------------------------------------------------- fhir --
 def _fhir_root(spark, sf):
     """Patient resources from customer as NDJSON (plus malformed lines)."""

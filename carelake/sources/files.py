@@ -91,9 +91,9 @@ def pending_files(listing: DataFrame, done: DataFrame, key: str = "key",
     return tab.join(done.select(F.col(key)).distinct(), on=key, how="left_anti")
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType | None = None, recursive: bool = False) -> DataFrame:
     """Header row, inferred types (or a given schema); ``.txt`` is read as CSV."""
-    reader = spark.read.option("header", "true").option("multiLine", "false")
+    reader = spark.read.option("header", "true").option("multiLine", "false").option("recursiveFileLookup", str(recursive).lower())
     if schema is not None:
         reader = reader.schema(schema)
     else:
