@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.operators.ranges import BINS, range_join
+
 _OPS = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "=": "__eq__", "!=": "__ne__"}
 
 
@@ -31,6 +33,19 @@ def critical_labs(labs: DataFrame, thresholds: DataFrame, test: str = "test", va
     return j.where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
+def critical_labs_ranged(labs: DataFrame, thresholds: DataFrame, test: str = "test", value: str = "value",
+                         bins: int = BINS) -> DataFrame:
+    """``critical_labs`` for any number of overlapping bounds per test: a reading meets the bounds that it breaks, not
+    every bound of its test.  A null ``low`` or ``high`` bounds nothing on that side."""
+    sides = F.array(F.struct(F.lit(None).cast("double").alias("start"), F.col("low").cast("double").alias("end")),
+                    F.struct(F.col("high").cast("double").alias("start"), F.lit(None).cast("double").alias("end")))
+    outside = (thresholds.withColumn("_side", F.explode(sides)).withColumns({"_above": F.col("_side.start"), "_below": F.col("_side.end")})
+               .drop("_side").where(F.col("_above").isNotNull() | F.col("_below").isNotNull()))
+    # A reading under a low and over a high that cross counts once.
+    once = F.col("_above").isNull() | F.col("low").isNull() | (F.col(value) >= F.col("low"))
+    return range_join(labs, outside, test, value, "_above", "_below", bins=bins).where(once).drop("_above", "_below")
+
+
 def max_reading(patients: DataFrame, readings: DataFrame, min_age: int, patient: str = "patient_id",
                 value: str = "reading") -> DataFrame:
     """Highest reading per patient older than ``min_age`` across all reports."""

@@ -60,6 +60,26 @@ def q_critical_labs(spark, sf):
     return R.alert_text(L.critical_labs(_labs_long(spark, sf), th), "critical")
 
 
+@register("critical_lab_bounds", """
+SELECT patient_id, l_linenumber, u.test, value, lab, low, high
+FROM (SELECT l_orderkey AS patient_id, l_linenumber, v.test, v.value FROM lineitem,
+      LATERAL (VALUES ('price', l_extendedprice), ('quantity', l_quantity)) v(test, value)) u
+JOIN (SELECT s_suppkey AS lab, t.test, CASE WHEN t.test = 'price' THEN 905.0::DOUBLE + s_suppkey % 10 END AS low,
+        CASE WHEN t.test = 'price' THEN 104990.0::DOUBLE - s_suppkey % 7 ELSE 50.0::DOUBLE + s_suppkey % 3 END AS high
+      FROM supplier, (VALUES ('price'), ('quantity')) t(test)) b
+  ON b.test = u.test AND (value < low OR value > high)""")
+def q_critical_lab_bounds(spark, sf):
+    """Every lab (supplier) has its own, overlapping bounds on the same two tests."""
+    readings = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("patient_id"), "l_linenumber", F.col("l_extendedprice").alias("price"),
+        F.col("l_quantity").alias("quantity")).unpivot(["patient_id", "l_linenumber"], ["price", "quantity"], "test", "value")
+    key, price = F.col("lab"), F.col("test") == "price"
+    bounds = (table(spark, sf, "supplier").select(F.col("s_suppkey").alias("lab"), F.explode(F.array(F.lit("price"), F.lit("quantity"))).alias("test"))
+              .withColumns({"low": F.when(price, F.lit(905.0) + key % 10),
+                            "high": F.when(price, F.lit(104990.0) - key % 7).otherwise(F.lit(50.0) + key % 3)}))
+    return L.critical_labs_ranged(readings, bounds)
+
+
 @register("max_reading", f"""
 SELECT o.o_custkey AS patient_id, CAST(20 + c.c_custkey % 70 AS BIGINT) AS age,
   max(l.l_extendedprice) AS max_reading, count(*) AS n_readings
