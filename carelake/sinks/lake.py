@@ -32,7 +32,7 @@ def to_uploads(df: DataFrame, uploaded_at=None, file_col: str = "_source_key") -
     """Long form of ingested rows: one JSON ``content`` per row with its
     position in the file, the file name, upload time and partition keys.  The
     file is a partition too: writing one never replaces its neighbours."""
-    data_cols = [c for c in df.columns if c not in (*LAKE_PARTITIONS, "_source_key", "_filename")]
+    data_cols = [c for c in df.columns if c not in (*LAKE_PARTITIONS, "_source_key", "_filename", "_blk", "_mid", "_modified")]
     ts = uploaded_at if uploaded_at is not None else F.current_timestamp()
     numbered = with_row_index(df.withColumn("_uploaded_at", ts), file_col=file_col)
     return numbered.select(

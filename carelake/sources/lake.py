@@ -43,16 +43,19 @@ def with_provenance(df: DataFrame, root: str | None = None) -> DataFrame:
     return df.withColumns({"_source_key": key, "_filename": basename(key)})
 
 
-def with_row_index(df: DataFrame, file_col: str = "_source_key", out: str = "row_index",
-                   bucket_rows: int | None = None) -> DataFrame:
+def scan_position() -> dict[str, Column]:
+    """Columns of a scan that order a file's rows (split start, scan order), for ``with_row_index``."""
+    return {"_blk": F.col("_metadata.file_block_start"), "_mid": F.monotonically_increasing_id()}
+
+
+def with_row_index(df: DataFrame, file_col: str = "_source_key", out: str = "row_index") -> DataFrame:
     """1-based position of each row inside its file, in file order.
 
-    Captured at scan time from (split start, scan order); the running count is
+    ``df`` is a scan, or rows written with ``scan_position`` at the scan.  The running count is
     bucketed by split, so one enormous file is numbered by many tasks.
     """
-    staged = df.withColumns({"_blk": F.col("_metadata.file_block_start"),
-                             "_mid": F.monotonically_increasing_id(), "_one": F.lit(1)})
-    numbered = prefix_sum(staged, [file_col], ["_blk", "_mid"], "_blk", "_one", out, inclusive=True)
+    staged = df if {"_blk", "_mid"} <= set(df.columns) else df.withColumns(scan_position())
+    numbered = prefix_sum(staged.withColumn("_one", F.lit(1)), [file_col], ["_blk", "_mid"], "_blk", "_one", out, inclusive=True)
     return numbered.withColumn(out, F.col(out).cast("long")).drop("_blk", "_mid", "_one")
 
 

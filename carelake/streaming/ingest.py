@@ -19,7 +19,8 @@ from carelake.session import checkpoint_root, scratch_dir
 from carelake.sinks.lake import FILE_PARTITIONS, to_uploads
 from carelake.sinks.versions import commit, current_files, new_version, write_version
 from carelake.sources.files import PLACEHOLDER_TEXT, TABULAR_EXTENSIONS, pending_files, with_format
-from carelake.sources.lake import key_parts, source_key
+from carelake.sources.lake import key_parts, scan_position, source_key
+from carelake.sources.typed_csv import read_csv_once
 from carelake.sources.uploads import is_hidden, list_uploads, open_path, stream_uploads
 
 MAX_FILES_PER_TRIGGER = 1000
@@ -98,23 +99,29 @@ class Batch:
         return _key(path, self.upload_root, encoded)
 
     def write(self, rows: DataFrame, root: str, paths: list[str], long: DataFrame | None = None) -> None:
-        """``rows`` of the files ``paths`` below ``root`` of the lake; ``long``: the same in the ``uploads`` form."""
+        """``rows`` of the files ``paths`` below ``root`` of the lake; ``long``: the same in the ``uploads`` form.
+        Files without rows leave no folder."""
+        self.root_of.update(dict.fromkeys(paths, root))
+        if rows.isEmpty():
+            return
         self.written += write_version(rows, f"{self.lake_root}/{root}", self.version)
         if self.uploads_root and long is not None:
             write_version(long, self.uploads_root, self.version)
-        self.root_of.update(dict.fromkeys(paths, root))
 
     def csv(self, paths: list[str]) -> None:
-        """Header and inferred types, one read per header signature."""
+        """Header and inferred types; the files of a header signature are read once, and their types, lake rows and
+        ``uploads`` rows all come from that read."""
         for sig, group in csv_header_groups(self.spark, paths).items():
-            df = self.spark.read.option("header", "true").option("inferSchema", "true").csv(group)
-            # One root per (header, inferred types): a later batch that infers other
-            # types for the same header never mixes conflicting Parquet files.
-            types = hashlib.sha256(df.schema.simpleString().encode()).hexdigest()[:8]
-            df = df.withColumn("_source_key", self.key(F.col("_metadata.file_path"), encoded=True))
-            df = df.withColumns(key_parts(F.col("_source_key")))
-            long = to_uploads(df, uploaded_at=F.col("_metadata.file_modification_time")) if self.uploads_root else None
-            self.write(df, f"csv/sig={sig}/types={types}", group, long)
+            keep = {"_source_key": self.key(F.col("_metadata.file_path"), encoded=True)}
+            if self.uploads_root:
+                keep |= {"_modified": F.col("_metadata.file_modification_time"), **scan_position()}
+            with read_csv_once(self.spark, group, keep, FILE_PARTITIONS) as (df, names):
+                # One root per (header, inferred types): a later batch that infers other
+                # types for the same header never mixes conflicting Parquet files.
+                types = hashlib.sha256(df.select(df.columns[:len(names)]).schema.simpleString().encode()).hexdigest()[:8]
+                df = df.withColumns(key_parts(F.col("_source_key")))
+                long = to_uploads(df, uploaded_at=F.col("_modified")) if self.uploads_root else None
+                self.write(df.drop("_modified", "_blk", "_mid"), f"csv/sig={sig}/types={types}", group, long)
 
     def xlsx(self, paths: list[str]) -> None:
         """First sheet of each workbook, first row as header, cells as text; one
