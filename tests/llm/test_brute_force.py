@@ -1,0 +1,186 @@
+"""Whole results of operators without SQL against plain Python: token spans, curve order, the mix."""
+
+import math
+import random
+import re
+import struct
+import zlib
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from carelake.llm import mixing, queries, sharding, tokens
+from carelake.llm.common import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_tokens(encoding, text, sections, rule):
+    """{section: [tokens, crossing]}: every token against every section, byte by byte; sections given in code points."""
+    at, places = 0, []
+    for ch in text:
+        places.append(at)
+        at += len(ch.encode())
+    places.append(at)
+    spans = {name: set(range(places[a], places[b])) for name, a, b in sections}
+    got = {name: [0.0, 0] for name in spans} | {-1: [0.0, 0]}
+    at = 0
+    for t in encoding.encode_ordinary(text):
+        size = len(encoding.decode_single_token_bytes(t))
+        own, at = set(range(at, at + size)), at + size
+        part = {name: len(own & b) for name, b in spans.items() if own & b}
+        rest = size - sum(part.values())
+        for name, p in part.items():
+            got[name][1] += p < size
+        if rule == "split":
+            for name, p in part.items():
+                got[name][0] += p / size
+            got[-1][0] += rest / size
+        elif rule == "most":
+            best = max(part, key=part.get, default=-1)      # the first of equals
+            got[best if best != -1 and part[best] >= rest else -1][0] += 1
+        else:
+            got[next((name for name in part if min(own) in spans[name]), -1)][0] += 1
+    return got
+
+
+def _lines(text):
+    out, at = [], 0
+    for i, line in enumerate(re.findall(r"[^\n]*\n|[^\n]+", text)):
+        out.append((i, at, at + len(line)))
+        at += len(line)
+    return out
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_tokens_of_every_line_and_section(spark, rule):
+    r = random.Random(rule)
+    with open(tokens.RANKS, "rb") as f:
+        encoding, _ = tokens._encoder(f.read())
+    texts = [x.text or "" for x in table(spark, SF, "documents").orderBy("doc_id").limit(25).collect()]
+    texts = [t[:3000] for t in texts] + ["", "\n", "\n\nab\n", "naïve — 日本語\n\U0001f642\U0001f642 x", "no break"]
+    rows, want = [], {}
+    for i, text in enumerate(texts):
+        lines = [(2 * i, text, None)]
+        cuts = sorted(r.randint(0, len(text)) for _ in range(2 * r.randint(1, 9)))
+        given = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+        rows += [*lines, (2 * i + 1, text, given)]
+        for doc, sections in ((2 * i, _lines(text)), (2 * i + 1, given)):
+            found = plain_tokens(encoding, text, sections, rule)
+            for name, a, b in sections:
+                want[doc, name] = (a, b, round(found[name][0], 6), found[name][1])
+            if found[-1][0] > 1e-9:
+                want[doc, -1] = (0, len(text), round(found[-1][0], 6), 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string, sections array<struct<section:long,start:long,end:long>>")
+    got = {(x.doc_id, x.section): (x.start, x.end, round(x.n_tokens, 6), x.n_crossing) for x in tokens.attribute(df, rule=rule).collect()}
+    assert got == want
+
+
+def plain_hilbert(point, bits):
+    """Index on the Hilbert curve, bit by bit in plain integers (Skilling 2004)."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    index = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            index = index << 1 | (v ^ t) >> b & 1
+    return index
+
+
+def test_curve_and_slots_of_all_documents(spark):
+    docs = [(d.doc_id, d.lang, d.source, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode()))
+            for d in table(spark, SF, "documents").select("doc_id", "lang", "source", "text").collect()]
+    n, steps = len(docs), 32
+    assert n <= 10_000    # up to here the sketch of the sizes is exact
+    sizes = sorted(d[3] for d in docs)
+    cuts = sorted({sizes[max(0, math.ceil(n * i / steps) - 1)] for i in range(1, steps)})
+
+    def grade(col):
+        values = [d[col] for d in docs]
+        order = sorted(set(values), key=lambda v: (v is not None, v or ""))
+        below, out = 0, {}
+        for v in order:
+            out[v] = min(steps - 1, below * steps // n)
+            below += values.count(v)
+        return out
+    by_lang, by_source = grade(1), grade(2)
+
+    def curve(d):
+        return plain_hilbert((sum(d[3] > c for c in cuts), by_lang[d[1]], by_source[d[2]]), 5)
+    ranked = sorted(docs, key=lambda d: (curve(d), d[4], d[3], d[0]))
+    want = {}
+    for rank, d in enumerate(ranked):
+        shard = next(s for s in range(8) if s * n // 8 <= rank < (s + 1) * n // 8)
+        want[d[0]] = (curve(d), shard, rank - shard * n // 8)
+    got = {r.doc_id: (r.curve, r["shard"], r.slot) for r in sharding.shard_documents(table(spark, SF, "documents")).collect()}
+    assert got == want
+    out = {r.doc_id: (r["shard"], r.slot) for r in queries.op7_hilbert_shards(spark, SF).collect()}
+    assert out == {i: v[1:] for i, v in want.items()}
+
+
+def plain_mix(rows, weights=(3, 1, 2), budget=1.5, most=2, seed=17):
+    """{doc_id: words taken} of (doc_id, source, size, quality, crc)."""
+    order = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in order}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), budget * sum(size.values())
+    while open_:
+        full = {s for s in open_ if left * weight[s] / sum(weight[t] for t in open_) > most * size[s]}
+        if not full:
+            target |= {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+            break
+        for s in full:
+            target[s] = float(most * size[s])
+            left -= target[s]
+        open_ -= full
+
+    def key(r):
+        h = 42
+        for form, v in (("<i", seed), ("<q", r[0]), ("<q", r[4])):
+            h = xxhash.xxh64_intdigest(struct.pack(form, v), seed=h)
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / r[3]
+    taken = {}
+    for s in order:
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        rest = math.floor(target[s] - epochs * size[s] + 0.5)
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: (key(r), r[0], r[4])):
+            extra = min(r[2], max(0, rest))
+            rest -= r[2]
+            taken[r[0]] = epochs * r[2] + extra
+    return target, taken
+
+
+def test_words_taken_of_every_document(spark):
+    docs = table(spark, SF, "documents")
+    sized = mixing.document_sizes(docs).select("doc_id", "source", "size", "quality", "_crc").collect()
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) and 0 < r.quality <= 1 for r in sized)
+    target, taken = plain_mix([tuple(r) for r in sized])
+    out = queries.op8_weighted_mix(spark, SF).collect()
+    assert {r.doc_id: r.taken for r in out} == taken
+    assert all(math.isclose(r.target, target[r.source], rel_tol=1e-12) for r in out)
+
+
+def test_mix_of_a_small_and_a_null_source(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([0, 1, 5, 40]), r.choice([0.05, 0.5, 1.0]), r.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, quality double, _crc long")
+    _, taken = plain_mix(rows)
+    assert {x.doc_id: x.taken for x in mixing.mix(df).select("doc_id", F.col("taken")).collect()} == taken
