@@ -2,7 +2,7 @@
 
 A source whose target exceeds its size is taken in complete epochs first; the
 rest of its budget is a weighted sample without replacement: every document
-gets the key -ln(u) / w (u from a hash of the document, w its quality), the
+gets the key -ln(u) / w (u from a hash of the document, w its quality by the rule ledger), the
 source is sorted by key, and documents are taken while the running word count
 stays within the budget.
 """
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import WORD, cut, fresh, ranked, union_all
+from carelake.llm.common import cut, fresh, ranked, union_all
+from carelake.llm.quality import ledger
 
 #: share of the sources in code-point order, repeating
 WEIGHTS = (3, 1, 2)
@@ -52,14 +53,19 @@ def uniform(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def ledger_quality() -> Column:
+    """(0, 1] from a row of the quality ledger: each failed rule halves it, and it loses the shares of words in repeated
+    windows and of repeated lines (at most 19/20 of it).  A text without words has no shares to lose."""
+    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    clean = F.greatest(F.lit(0.05), (1 - F.col("n_repeat_words") / words) * (1 - F.col("n_dup_lines") / lines))
+    return clean * F.pow(F.lit(0.5), F.bit_count("fail_bits"))
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """One small row per document: its words, and its quality: the share of its words that carry no symbol debris."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    debris = F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
-    return (docs.select("doc_id", "source", F.crc32(text.cast("binary")).alias("_crc"), size.alias("size"), debris.alias("_d"))
-            .withColumn("quality", F.greatest(F.lit(0.05), 1 - F.col("_d") / F.greatest(F.col("size"), F.lit(1))))
-            .drop("_d"))
+    """One small row per document: its words, and its quality by the rules and measurements of the ledger."""
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    led = ledger(docs.select(F.struct("doc_id", "source", crc.alias("_crc")).alias("doc_id"), "text"))
+    return led.select("doc_id.doc_id", "doc_id.source", "doc_id._crc", F.col("n_words").alias("size"), ledger_quality().alias("quality"))
 
 
 def mix(sized: DataFrame, seed: int = 17, **recipe) -> DataFrame:

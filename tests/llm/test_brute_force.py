@@ -178,6 +178,22 @@ def test_words_taken_of_every_document(spark):
     assert all(math.isclose(r.target, target[r.source], rel_tol=1e-12) for r in out)
 
 
+def test_quality_weights_come_from_the_ledger(spark):
+    """Clean texts outweigh repeating ones, those with debris, and those that fail several rules; nothing weighs 0."""
+    r = random.Random(5)
+
+    def clean(n):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    texts = [clean(200), "buy now " * 100, clean(100) + " ### $$$ ||| &&& %%%" * 10, ("same line here\n" * 40) + clean(60), "# A", "", None]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {x.doc_id: (x["size"], x.quality) for x in mixing.document_sizes(df).collect()}
+    assert got[0] == (200, 1.0) and all(0 < q < 0.6 for i, (_, q) in got.items() if i)
+    assert got[1][1] < got[2][1] and got[5] == got[6] == (0, 0.5)
+    labels = table(spark, SF, "labels").select("doc_id", F.col("quality").alias("label"))
+    mean = dict(mixing.document_sizes(table(spark, SF, "documents")).join(labels, "doc_id").groupBy("label").agg(F.avg("quality")).collect())
+    assert mean[1] > 0.9 and mean[0] < 0.4
+
+
 def test_mix_of_a_small_and_a_null_source(spark):
     r = random.Random(8)
     rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([0, 1, 5, 40]), r.choice([0.05, 0.5, 1.0]), r.randint(0, 9)) for i in range(300)]
