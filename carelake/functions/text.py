@@ -83,3 +83,8 @@ def display_name(email) -> Column:
 def make_valid_text(content) -> Column:
     """Binary -> UTF-8 text, malformed sequences replaced by U+FFFD."""
     return F.make_valid_utf8(_c(content).cast("string"))
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has (dots, blanks, backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")

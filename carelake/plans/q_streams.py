@@ -4,6 +4,9 @@ SQL."""
 
 from __future__ import annotations
 
+import datetime
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from carelake import functions as C
@@ -14,9 +17,11 @@ from carelake.plans.q_audit import _AUDIT_SQL, logs
 from carelake.plans.q_outreach import _TIMELINE_SQL, _hist_cols
 from carelake.plans.q_sources import _ORDER_COLS, _ORDERS_WITH_KEYS_SQL, _conform, _orders_keyed, put_files
 from carelake.plans.registry import ORACLE, register
+from carelake.plans.tables import table
 from carelake.session import scratch_dir
 from carelake.sinks.conversations import ItemStore
 from carelake.sinks.versions import current_files, read_current, register_current_uploads
+from carelake.sources.xlsx import build_xlsx
 from carelake.streaming import inbound as SI
 from carelake.streaming import login as SL
 from carelake.streaming.common import latest, run_available_now, stream_parquet, write_time_chunks
@@ -200,3 +205,42 @@ def q_ingest_every_upload(spark, sf):
         files = current_files(spark, f"{root}/{by}").select("key", "status")
         out.append(files.join(rows, "key", "left").select(F.lit(by).alias("by_"), "key", "status", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "total"))
     return out[0].unionByName(out[1])
+
+
+_BOOK_HEADER = ["Customer Key", "Balance", "Active", "Since", "Code", "Note", "Month", "month"]
+_BOOK_ROWS = 1000   # customers of a workbook: files stay bounded at any scale
+
+
+@register("ingest_workbooks", """
+SELECT CAST(c_custkey AS BIGINT) AS customer_key, CAST(c_acctbal AS DOUBLE) AS balance, c_custkey % 2 = 0 AS active,
+  CASE WHEN c_custkey % 9 <> 0 THEN CAST(DATE '2020-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS DATE) END AS since,
+  lpad(CAST(c_custkey % 100 AS VARCHAR), 4, '0') AS code,
+  CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'n' || CAST(c_custkey AS VARCHAR) END AS note,
+  CAST(c_custkey % 12 + 1 AS BIGINT) AS own_month, CAST(NULL AS VARCHAR) AS second_month,
+  'bigint,double,boolean,timestamp,string,string,bigint,string' AS types,
+  'u' || CAST(c_nationkey % 4 AS VARCHAR) AS user_id, '06' AS month,
+  'book ' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey // 1000 AS VARCHAR) || '.xlsx' AS file_name
+FROM customer""")
+def q_ingest_workbooks(spark, sf):
+    """Customers as workbooks (one per nation and thousand keys), converted by the backfill: types come from the cells, text
+    that looks like numbers stays text, columns of mixed cells are text, and own columns named like a partition are kept."""
+    root = scratch_dir(spark, "workbooks")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("balance"),
+                                            F.floor(F.col("c_custkey") / _BOOK_ROWS).alias("b"))
+
+    def build(pdf):
+        rows: list[list] = [_BOOK_HEADER]
+        for k, balance in zip(pdf.c_custkey.tolist(), pdf.balance.tolist()):
+            since = datetime.date(2020, 1, 1) + datetime.timedelta(days=k % 1000) if k % 9 else None
+            rows.append([k, balance, k % 2 == 0, since, f"{k % 100:04d}", k if k % 2 == 0 else f"n{k}", k % 12 + 1, None])
+        nation, b = int(pdf.c_nationkey.iloc[0]), int(pdf.b.iloc[0])
+        path = f"{root}/uploads/user_id=u{nation % 4}/year=2026/month=06/book {nation}-{b}.xlsx"
+        return pd.DataFrame({"path": [path], "content": [build_xlsx([("Customers", rows)], shared_strings=b % 2 == 0)]})
+    put_files(c.groupBy("c_nationkey", "b").applyInPandas(build, "path string, content binary"))
+    backfill(spark, f"{root}/uploads", f"{root}/lake")
+    lake = read_current(spark, f"{root}/lake", "xlsx")
+    own = ["Customer_Key", "Balance", "Active", "Since", "Code", "Note", "Month_2", "month_3"]
+    return lake.select(F.col("Customer_Key").alias("customer_key"), F.col("Balance").alias("balance"), F.col("Active").alias("active"),
+                       F.col("Since").cast("date").alias("since"), F.col("Code").alias("code"), F.col("Note").alias("note"),
+                       F.col("Month_2").alias("own_month"), F.col("month_3").alias("second_month"),
+                       F.concat_ws(",", *[F.typeof(n) for n in own]).alias("types"), "user_id", "month", F.col("_filename").alias("file_name"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.sources.lake import LAKE_PARTITIONS, with_row_index
+from carelake.functions.text import named
+from carelake.sources.lake import LAKE_PARTITIONS, scan_position, with_row_index
 
 UPLOADS_COLUMNS = "row_index BIGINT, content STRING, filename STRING, uploaded_at TIMESTAMP"
 FILE_PARTITIONS = (*LAKE_PARTITIONS, "_filename")
@@ -34,9 +35,13 @@ def to_uploads(df: DataFrame, uploaded_at=None, file_col: str = "_source_key") -
     file is a partition too: writing one never replaces its neighbours."""
     data_cols = [c for c in df.columns if c not in (*LAKE_PARTITIONS, "_source_key", "_filename", "_blk", "_mid", "_modified")]
     ts = uploaded_at if uploaded_at is not None else F.current_timestamp()
-    numbered = with_row_index(df.withColumn("_uploaded_at", ts), file_col=file_col)
+    placed = df if {"_blk", "_mid"} <= set(df.columns) else df.withColumns(scan_position())
+    # one text a row is numbered, so that no name of the helpers meets a column of the file
+    rows = placed.select(F.to_json(F.struct(*[named(c) for c in data_cols])).alias("content"), ts.alias("_uploaded_at"),
+                         *dict.fromkeys((file_col, *FILE_PARTITIONS, "_blk", "_mid")))
+    numbered = with_row_index(rows, file_col=file_col)
     return numbered.select(
-        "row_index", F.to_json(F.struct(*data_cols)).alias("content"), F.col("_filename").alias("filename"),
+        "row_index", "content", F.col("_filename").alias("filename"),
         F.col("_uploaded_at").cast("timestamp").alias("uploaded_at"), *FILE_PARTITIONS)
 
 

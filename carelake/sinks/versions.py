@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from carelake.functions.text import named
 from carelake.session import path_exists
 from carelake.sinks.lake import FILE_PARTITIONS
 from carelake.sources.lake import key_parts, read_lake
@@ -106,7 +107,7 @@ def _visible(spark: SparkSession, data: DataFrame, lake_root: str, uploads: bool
     stale = stale_files(spark, lake_root, uploads).select("version", *_file_columns()).distinct()
     same = [F.coalesce(data[c], F.lit("")) == F.coalesce(stale[c], F.lit("")) for c in ("version", *FILE_PARTITIONS)]
     rows = data.join(stale, on=same, how="left_anti")
-    return rows.join(committed, "version", "left_semi").select(*data.columns)
+    return rows.join(committed, "version", "left_semi").select(*[named(c) for c in data.columns])
 
 
 def read_current(spark: SparkSession, lake_root: str, kind: str) -> DataFrame:
@@ -130,7 +131,7 @@ def read_current(spark: SparkSession, lake_root: str, kind: str) -> DataFrame:
     for df in parts:
         for f in df.schema:
             types.setdefault(f.name, set()).add(f.dataType.simpleString())
-    parts = [df.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(types[c]) > 1 else F.col(f"`{c}`") for c in df.columns]) for df in parts]
+    parts = [df.select(*[named(c).cast("string").alias(c) if len(types[c]) > 1 else named(c) for c in df.columns]) for df in parts]
     out = parts[0]
     for df in parts[1:]:
         out = out.unionByName(df, allowMissingColumns=True)

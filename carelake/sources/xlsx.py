@@ -105,6 +105,30 @@ def _serial_text(v: str, date1904: bool) -> str:
 #: sheets of at most so many bytes of XML are held as a grid; larger ones are read twice, row by row
 GRID_BYTES = 4 << 20
 
+#: types that a cell can have: its mask has bit i for CELL_TYPES[i]; text has no bit, and a cell without a value (blank, empty
+#: text, an error such as #N/A) no mask, as it fits every type
+CELL_TYPES = ("bigint", "double", "timestamp", "boolean")
+WHOLE, NUMBER, MOMENT, TRUTH, TEXT = 0b0011, 0b0010, 0b0100, 0b1000, 0
+_WHOLE = re.compile(r"-?\d{1,18}")
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+_DAY = re.compile(r"\d{4}-\d\d-\d\d([ T]|$)")
+Cell = tuple[str | None, int | None]   # text and mask
+BLANK: Cell = (None, None)
+
+
+def _number_cell(v: str) -> Cell:
+    text = _number_text(v)
+    return text, WHOLE if _WHOLE.fullmatch(text) else NUMBER if _NUMBER.fullmatch(text) else TEXT
+
+
+def _date_cell(v: str, date1904: bool) -> Cell:
+    """A date, or a time of day (text, as it has no date); a number that is no date of the calendar stays a number."""
+    try:
+        text = _serial_text(v, date1904)
+    except (ValueError, OverflowError):
+        return _number_cell(v)
+    return text, MOMENT if _DAY.match(text) else TEXT
+
 
 class _Strings:
     """The shared strings: one buffer of bytes and the places in it."""
@@ -146,49 +170,53 @@ class Workbook:
             t = target.get(sh.get(f"{{{_NS['r']}}}id"), "")
             self.sheets.append((idx, sh.get("name"), idx == active, t.lstrip("/") if t.startswith("/") else f"xl/{t}"))
         self._bounds: dict[str, tuple] = {}
-        self._grids: dict[str, dict[int, dict[int, str | None]]] = {}
+        self._grids: dict[str, dict[int, dict[int, Cell]]] = {}
 
-    def _value(self, c) -> str | None:
+    def _cell(self, c) -> Cell:
         typ, v = c.get("t", "n"), c.find("m:v", _NS)
-        if typ == "s":
-            return self.shared[int(v.text)] if v is not None else None
         if typ == "inlineStr":
             is_ = c.find("m:is", _NS)
-            return _text_of(is_) if is_ is not None else None
-        if typ == "b":
-            return None if v is None else ("True" if v.text == "1" else "False")
-        if typ == "str":
-            return v.text if v is not None else None
+            text = _text_of(is_) if is_ is not None else None
+            return text, TEXT if text else None
         if v is None or v.text is None:
-            return None
+            return BLANK
+        if typ in ("s", "str"):
+            text = self.shared[int(v.text)] if typ == "s" else v.text
+            return text, TEXT if text else None
+        if typ == "b":
+            return "True" if v.text == "1" else "False", TRUTH
+        if typ == "e":
+            return v.text, None
+        if typ == "d":   # a date as ISO text
+            return v.text.replace("T", " "), MOMENT if _DAY.match(v.text) else TEXT
         if c.get("s") is not None and int(c.get("s")) in self.date_styles:
-            return _serial_text(v.text, self.date1904)
-        return _number_text(v.text)
+            return _date_cell(v.text, self.date1904)
+        return _number_cell(v.text)
 
-    def _stored(self, part: str, wanted=lambda n: True) -> Iterator[tuple[int, dict[int, str | None]]]:
+    def _stored(self, part: str, wanted=lambda n: True) -> Iterator[tuple[int, dict[int, Cell]]]:
         """(row number, cells by column) of the rows that have cells, as they stand; values only of wanted rows."""
         number = 0
         with self.zf.open(part) as f:
             for row in _elements(f, "row"):
                 number = int(row.get("r")) if row.get("r") else number + 1
-                cells: dict[int, str | None] = {}
+                cells: dict[int, Cell] = {}
                 nxt, keep = 1, wanted(number)
                 for c in row.findall("m:c", _NS):
                     ref = c.get("r")
                     col = _col_number(_REF.match(ref).group(1)) if ref else nxt
                     nxt = col + 1
-                    cells[col] = self._value(c) if keep else None
+                    cells[col] = self._cell(c) if keep else BLANK
                 if cells:
                     yield number, cells
 
-    def bounds(self, part: str) -> tuple[int, int, int, int, dict[int, str | None]]:
+    def bounds(self, part: str) -> tuple[int, int, int, int, dict[int, Cell]]:
         """First and last used row, first and last used column, cells of the first used row (an empty sheet is one
         empty cell).  Reads the whole sheet, so a damaged one shows."""
         if part not in self._bounds:
             whole = self.zf.getinfo(part).file_size <= GRID_BYTES
-            grid: dict[int, dict[int, str | None]] = {}
+            grid: dict[int, dict[int, Cell]] = {}
             r0 = r1 = c0 = c1 = None
-            first: dict[int, str | None] = {}
+            first: dict[int, Cell] = {}
             for number, cells in self._stored(part):
                 if r1 is not None and number <= r1 and not whole:
                     # rows out of order: only a grid can put them right
@@ -209,7 +237,7 @@ class Workbook:
             self._bounds[part] = (r0, r1, c0, c1, first) if r0 is not None else (1, 1, 1, 1, {})
         return self._bounds[part]
 
-    def rows(self, part: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+    def cells(self, part: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, list[Cell]]]:
         """(row number, cells padded to the used columns) of the used range, rows without cells too; of rows lo .. hi - 1."""
         r0, r1, c0, c1, _ = self.bounds(part)
         lo, hi = max(lo, r0), min(r1 + 1, hi if hi is not None else r1 + 1)
@@ -222,15 +250,20 @@ class Workbook:
             if number >= hi:
                 break
             for blank in range(at, number):
-                yield blank, [None] * (c1 - c0 + 1)
-            yield number, [cells.get(i) for i in range(c0, c1 + 1)]
+                yield blank, [BLANK] * (c1 - c0 + 1)
+            yield number, [cells.get(i, BLANK) for i in range(c0, c1 + 1)]
             at = number + 1
         for blank in range(at, hi):
-            yield blank, [None] * (c1 - c0 + 1)
+            yield blank, [BLANK] * (c1 - c0 + 1)
+
+    def rows(self, part: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
+        """``cells`` as texts."""
+        for number, cells in self.cells(part, lo, hi):
+            yield number, [text for text, _ in cells]
 
     def header(self, part: str) -> tuple[int, list[str | None]]:
         r0, _, c0, c1, first = self.bounds(part)
-        return r0, [first.get(i) for i in range(c0, c1 + 1)]
+        return r0, [first.get(i, BLANK)[0] for i in range(c0, c1 + 1)]
 
 
 def _elements(f, name: str) -> Iterator[ET.Element]:
@@ -268,9 +301,9 @@ _ARROW = pa.schema([("path", pa.string()), ("sheet_idx", pa.int32()), ("sheet",
                     ("header", pa.list_(pa.string()))])
 
 
-def _batches(path: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def _batches(path: str, rows: Iterator[tuple], schema: pa.Schema = _ARROW) -> Iterator[pa.RecordBatch]:
     while part := [(path, *r) for r in islice(rows, CHUNK_ROWS)]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
 def _parser(damaged: str | None):
@@ -301,10 +334,15 @@ def read_xlsx(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 # --------------------------------------------------------- large workbooks --
 ROWS_A_TASK = 100_000
+WHOLE_BYTES = 64 << 20
+CELL_SCHEMA = T.StructType([*ROW_SCHEMA.fields, T.StructField("masks", T.ArrayType(T.ByteType()))])
+_ARROW_CELLS = _ARROW.append(pa.field("masks", pa.list_(pa.int8())))
 _PLAN = "path string, sheet_idx int, lo long, hi long"
 
 
-def _deal(rows_a_task: int):
+def _deal(rows_a_task: int, whole_bytes: int | None = None):
+    """Ranges of rows of the sheets.  With ``whole_bytes`` of the first sheet only, which is one range without an end where
+    the sheets' XML takes no more than that (then only the directory of the file is read here)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -312,9 +350,12 @@ def _deal(rows_a_task: int):
                 fs, name = open_path(path)
                 try:
                     with fs.open_input_file(name) as f:
+                        if whole_bytes is not None and _sheet_bytes(f) <= whole_bytes:
+                            out.append((path, 0, 0, None))
+                            continue
                         wb = Workbook(f)
                         mine = []
-                        for idx, _, _, part in wb.sheets:
+                        for idx, _, _, part in wb.sheets[:None if whole_bytes is None else 1]:
                             r0, r1, *_ = wb.bounds(part)
                             mine += [(path, idx, lo, min(lo + rows_a_task, r1 + 1)) for lo in range(r0, r1 + 1, rows_a_task)]
                     out += mine
@@ -325,6 +366,12 @@ def _deal(rows_a_task: int):
     return run
 
 
+def _sheet_bytes(f) -> int:
+    """Bytes of XML of the largest sheet, from the file's directory."""
+    with zipfile.ZipFile(f) as zf:
+        return max((i.file_size for i in zf.infolist() if i.filename.startswith("xl/worksheets/")), default=0)
+
+
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, idx, lo, hi in zip(*(b.column(c).to_pylist() for c in range(4))):
@@ -336,16 +383,49 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _batches(path, ((idx, sheet, active, n, cells, *head) for n, cells in wb.rows(part, lo, hi)))
 
 
+def _read_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, idx, lo, hi in zip(*(b.column(c).to_pylist() for c in range(4))):
+            fs, name = open_path(path)
+            with fs.open_input_file(name) as f:
+                try:
+                    wb = Workbook(f)
+                    _, sheet, active, part = wb.sheets[idx]
+                    head = wb.header(part)   # looks through the whole sheet
+                except UNREADABLE:
+                    if hi is not None:
+                        raise   # it could be read when it was dealt
+                    continue
+                rows = ((idx, sheet, active, n, [t for t, _ in cells], *head, [m for _, m in cells]) for n, cells in wb.cells(part, lo, hi))
+                yield from _batches(path, rows, _ARROW_CELLS)
+
+
+def _dealt(spark: SparkSession, paths: Sequence[str], deal) -> DataFrame:
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    ranges = listed.repartition(max(1, len(paths)), "path").mapInArrow(deal, _PLAN)
+    checkpoint_root(spark)
+    ranges = ranges.checkpoint()
+    n = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism))
+    return ranges.repartition(n, "path", "sheet_idx", "lo")
+
+
 def read_large_xlsx(spark: SparkSession, paths: Sequence[str] | str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """The rows that ``read_xlsx`` gives, for workbooks of any size: files are never held whole, and a sheet is
     dealt over tasks by ranges of rows.  A task reads the sheet's XML up to its
     range and makes rows of the range only."""
-    listed = spark.createDataFrame([(p,) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
-    ranges = listed.repartition(max(1, listed.count()), "path").mapInArrow(_deal(rows_a_task), _PLAN)
-    checkpoint_root(spark)
-    ranges = ranges.checkpoint()
-    n = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism))
-    return ranges.repartition(n, "path", "sheet_idx", "lo").mapInArrow(_read_ranges, ROW_SCHEMA)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return _dealt(spark, paths, _deal(rows_a_task)).mapInArrow(_read_ranges, ROW_SCHEMA)
+
+
+def read_first_sheets(spark: SparkSession, paths: Sequence[str], rows_a_task: int = ROWS_A_TASK,
+                      whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Rows of the first sheet of workbooks of any size, with the ``masks`` of their cells (see ``CELL_TYPES``).
+
+    A file whose sheets take at most ``whole_bytes`` of XML is one task's and read once; the first sheet of a
+    larger one is dealt over tasks by ranges of rows.  No file is held whole.  Files that can't be read give no rows,
+    readable ones at least one.
+    """
+    return _dealt(spark, list(paths), _deal(rows_a_task, whole_bytes)).mapInArrow(_read_cells, CELL_SCHEMA)
 
 
 def xlsx_table(rows: DataFrame, columns: Sequence[str], sheet: str | None = None) -> DataFrame:

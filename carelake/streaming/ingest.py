@@ -5,7 +5,6 @@ rows in the ``uploads`` table."""
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -14,13 +13,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.functions.text import basename
+from carelake.functions.text import basename, named
 from carelake.session import checkpoint_root, scratch_dir
 from carelake.sinks.lake import FILE_PARTITIONS, to_uploads
 from carelake.sinks.versions import commit, current_files, new_version, write_version
 from carelake.sources.files import PLACEHOLDER_TEXT, TABULAR_EXTENSIONS, pending_files, with_format
 from carelake.sources.lake import key_parts, scan_position, source_key
 from carelake.sources.typed_csv import read_csv_once
+from carelake.sources.typed_xlsx import read_sheets_once, signature
 from carelake.sources.uploads import is_hidden, list_uploads, open_path, stream_uploads
 
 MAX_FILES_PER_TRIGGER = 1000
@@ -74,20 +74,6 @@ def csv_header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[s
     return {sig: sorted(group) for sig, group in sorted(groups.items())}
 
 
-def _column_names(header: list) -> list[str]:
-    """Header cells -> distinct, Parquet-safe column names (blank -> ``_cN``)."""
-    out, seen = [], set()
-    for i, h in enumerate(header, start=1):
-        name = re.sub(r"[ ,;{}()\n\t=]+", "_", (h or "").strip()) or f"_c{i}"
-        base, k = name, 1
-        while name in seen:
-            k += 1
-            name = f"{base}_{k}"
-        seen.add(name)
-        out.append(name)
-    return out
-
-
 class Batch:
     """One version of some files: where their rows went, committed together."""
 
@@ -115,37 +101,27 @@ class Batch:
             keep = {"_source_key": self.key(F.col("_metadata.file_path"), encoded=True)}
             if self.uploads_root:
                 keep |= {"_modified": F.col("_metadata.file_modification_time"), **scan_position()}
-            with read_csv_once(self.spark, group, keep, FILE_PARTITIONS) as (df, names):
+            with read_csv_once(self.spark, group, keep, [*FILE_PARTITIONS, "_modified", "_blk", "_mid"]) as (df, names):
                 # One root per (header, inferred types): a later batch that infers other
                 # types for the same header never mixes conflicting Parquet files.
-                types = hashlib.sha256(df.select(df.columns[:len(names)]).schema.simpleString().encode()).hexdigest()[:8]
+                types = hashlib.sha256(df.select(*[named(n) for n in names]).schema.simpleString().encode()).hexdigest()[:8]
                 df = df.withColumns(key_parts(F.col("_source_key")))
                 long = to_uploads(df, uploaded_at=F.col("_modified")) if self.uploads_root else None
                 self.write(df.drop("_modified", "_blk", "_mid"), f"csv/sig={sig}/types={types}", group, long)
 
     def xlsx(self, paths: list[str]) -> None:
-        """First sheet of each workbook, first row as header, cells as text; one
-        wide root per header signature.  Each workbook is parsed once, into the
-        shared checkpoint folder.  Only one header row per file reaches the driver."""
+        """First sheet of each workbook, first row as header, types from the cells; one wide root per header
+        and types.  Each workbook is parsed once.  Only one header row per file reaches the driver."""
         if not paths:
             return
-        from carelake.sources.xlsx import parse_xlsx
-        files = self.spark.read.format("binaryFile").load(paths)
-        checkpoint_root(self.spark)
-        rows = parse_xlsx(files).where(F.col("sheet_idx") == 0).checkpoint()
-        heads = rows.where(F.col("row_index") == F.col("header_row")).select("path", F.col("header").alias("hdr"))
-        groups: dict[tuple, list[str]] = {}
-        for r in heads.collect():
-            groups.setdefault(tuple(r.hdr or []), []).append(r.path)
-        for hdr, group in groups.items():
-            names = _column_names(list(hdr))
-            sig = hashlib.sha256("\x1f".join(names).encode()).hexdigest()[:16]
-            body = rows.where(F.col("path").isin(group) & (F.col("row_index") > F.col("header_row")))
-            wide = body.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
-                               self.key(F.col("path")).alias("_source_key"), (F.col("row_index") - F.col("header_row")).alias("_row"))
-            wide = wide.withColumns(key_parts(F.col("_source_key")))
-            long = _long(wide, F.col("_row"), F.to_json(F.struct(*[F.col(n) for n in names])))
-            self.write(wide.drop("_row"), f"xlsx/sig={sig}/types=text", group, long)
+        with read_sheets_once(self.spark, paths, ["_source_key", *FILE_PARTITIONS]) as groups:
+            for g in groups:
+                own = [named(n) for n in g.names]
+                types = signature([f.dataType.simpleString() for f in g.rows.select(*own).schema])[:8]
+                rows = g.rows.withColumn("_source_key", self.key(F.col("_path")))
+                rows = rows.withColumns(key_parts(F.col("_source_key")))
+                long = _long(rows, F.col("_row"), F.to_json(F.struct(*own)))
+                self.write(rows.drop("_path", "_row"), f"xlsx/sig={signature(g.names)}/types={types}", g.paths, long)
 
     def placeholders(self, files: list) -> None:
         if not files:
@@ -195,8 +171,8 @@ def convert_batch(spark: SparkSession, batch: DataFrame, upload_root: str, lake_
                   uploads_root: str | None = None) -> int:
     """Convert the files of one batch (``path``) and commit them together.
 
-    CSV/TXT uploads are read with header and inferred types; workbooks sheet by
-    sheet; other files, files without a header and workbooks that can't be read
+    CSV/TXT uploads and the first sheets of workbooks are read with header and
+    inferred types; other files, files without a header and workbooks that can't be read
     get a placeholder row.  With ``uploads_root`` the rows also go to the
     ``uploads`` table's folder.  What a file had before counts until the commit.
     Only the batch's file list (bounded by the chunk size) reaches the driver.
