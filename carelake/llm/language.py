@@ -50,10 +50,10 @@ def _trigrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     place = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     row_start = place[offs]  # in code points
     char = np.minimum(char, len(letter) - 1)
-    # one separator after each row, so that no word goes on into the next
+    # two separators after each row, so that no trigram takes in letters of two rows
     row = np.repeat(np.arange(len(offs) - 1), np.diff(row_start))
-    seq = np.zeros(len(char) + len(offs) + 2, np.uint64)
-    at = np.arange(len(char)) + row + 2
+    seq = np.zeros(len(char) + 2 * len(offs) + 2, np.uint64)
+    at = np.arange(len(char)) + 2 * row + 2
     seq[at] = np.where(letter[char], lower[char], 0)
     a, b, c = seq[:-2], seq[1:-1], seq[2:]
     used = (b > 0) | (c > 0)
