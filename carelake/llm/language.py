@@ -3,7 +3,10 @@
 A document is a mixture of languages: each word is drawn from one of them, and
 its likelihood under a language is that of its character trigrams.
 Expectation-maximisation estimates the proportions; the set of languages is the
-one with the best likelihood less a penalty per language (BIC).  The prediction
+one with the best likelihood less a penalty per language (BIC), of the sets that
+the largest shares make.  Sets are tried from one language on, each over its own
+languages only, until none that follows can win: no mixture's likelihood exceeds
+the concave bound that the shares over all languages give.  The prediction
 is the language of the largest share, the score that share.
 """
 
@@ -72,6 +75,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _em(like: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> np.ndarray:
+    """Shares of the columns of ``like`` (words x languages) by document, after so many rounds."""
+    for _ in range(rounds):
+        r = like * share[doc]
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
+        share = np.add.reduceat(r, start, axis=0) / n[:, None]
+    return share
+
+
+def _fit(like: np.ndarray, doc: np.ndarray, start: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log-likelihood by document."""
+    mix = np.maximum((like * share[doc]).sum(axis=1), 1e-30)
+    return np.add.reduceat(np.log(mix, dtype=np.float64), start)
+
+
+def _roof(like: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """No shares give a document a greater log-likelihood: it is at most that of ``share`` and n log max d, where d is the
+    mean, by language, of a word's likelihood over that of its mixture (the logarithm is concave)."""
+    mix = np.maximum((like * share[doc]).sum(axis=1, keepdims=True), 1e-30)
+    d = np.add.reduceat(like / mix, start, axis=0, dtype=np.float64) / n[:, None]
+    return np.add.reduceat(np.log(mix[:, 0], dtype=np.float64), start) + n * np.log(np.maximum(d.max(axis=1), 1)) + 1e-4 * (1 + n)
+
+
 class Model:
     """Log-likelihoods of trigrams by language (names sorted)."""
 
@@ -91,27 +117,30 @@ class Model:
         some, start = np.unique(row, return_index=True)
         n = np.diff(np.append(start, len(row)))
         doc = np.repeat(np.arange(len(some)), n)
-
-        def em(share: np.ndarray, rounds: int) -> np.ndarray:
-            for _ in range(rounds):
-                r = like * share[doc]
-                r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-                share = np.add.reduceat(r, start, axis=0) / n[:, None]
-            return share
-
-        share = em(np.full((len(some), langs), 1 / langs, np.float32), ROUNDS)
+        share = _em(like, doc, start, n, np.full((len(some), langs), 1 / langs, np.float32), ROUNDS)
         order = np.argsort(-share, axis=1, kind="stable")
+        roof = _roof(like, doc, start, n, share)
+        step = PENALTY * 0.5 * np.log(n)
         best_share = np.zeros_like(share)
         best = np.full(len(some), -np.inf)
+        live = np.arange(len(some))
         for m in range(1, langs + 1):
-            allowed = np.zeros(share.shape, bool)
-            np.put_along_axis(allowed, order[:, :m], True, axis=1)
-            s = np.where(allowed, np.maximum(share, 1e-6), 0)
-            s = em((s / s.sum(axis=1, keepdims=True)).astype(np.float32), MORE_ROUNDS if m > 1 else 0)
-            fit = np.add.reduceat(np.log(np.maximum((like * s[doc]).sum(axis=1), 1e-30)), start)
-            fit -= PENALTY * 0.5 * (m - 1) * np.log(n)
-            better = fit > best
-            best[better], best_share[better] = fit[better], s[better]
+            live = live[roof[live] - (m - 1) * step[live] > best[live]]
+            if len(live) == 0:
+                break
+            chosen = order[live, :m]
+            of = np.repeat(np.arange(len(live)), n[live])
+            at = np.concatenate(([0], np.cumsum(n[live])[:-1]))
+            word = np.arange(len(of)) + np.repeat(start[live] - at, n[live])
+            part = like[word[:, None], chosen[of]]  # words x m
+            s = np.maximum(np.take_along_axis(share[live], chosen, axis=1), 1e-6)
+            s = _em(part, of, at, n[live], (s / s.sum(axis=1, keepdims=True)).astype(np.float32), MORE_ROUNDS if m > 1 else 0)
+            fit = _fit(part, of, at, s) - (m - 1) * step[live]
+            better = fit > best[live]
+            won = live[better]
+            best[won] = fit[better]
+            best_share[won] = 0
+            best_share[won[:, None], chosen[better]] = s[better]
         for d, r in enumerate(some.tolist()):
             out[r] = [(self.names[i], float(best_share[d, i])) for i in np.argsort(-best_share[d], kind="stable") if best_share[d, i] > 0]
         return out
