@@ -9,6 +9,9 @@ item's windows, and the windows found make up the spans.
 
 Items shorter than a window count as one window of their own length and are
 looked up whole.
+
+A benchmark of a checked size is sent to the tasks that read the documents; the fingerprints of a larger one stay on
+Spark, and documents' fingerprints are joined with them.
 """
 
 from __future__ import annotations
@@ -18,16 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import text_key, union_all, without
+from carelake.llm.common import cut, text_key, without
 from carelake.llm.words import ALNUM, gram_hashes, words
 
 K = 5
 W = 6
 SPAN = K + W - 1
-#: bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes
+#: bytes of benchmark text up to which its fingerprints are sent to every task; those of more are joined
 BLOCK_BYTES = 32 << 20
 
 
@@ -50,7 +53,7 @@ class Windows:
 
 @dataclass
 class Fingerprints:
-    """What one block of the benchmark is searched by."""
+    """What a benchmark of checked size is searched by."""
 
     names: list[str | None]
     kept: np.ndarray            # winnowed k-gram hashes, sorted
@@ -160,36 +163,122 @@ def _scan(docs: DataFrame, marks: Fingerprints, with_key: bool) -> DataFrame:
     return docs.select(*cols).mapInArrow(run, SCHEMA + (", key long" if with_key else ""))
 
 
+def _item_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) -> (m, gram, item): the distinct windows of each item by length, and as length 0 the kept k-grams."""
+    for batch in batches:
+        for w in words(batch.column(1), ALNUM):
+            for r in range(w.hi - w.lo):
+                h = w.hash[w.row(r)]
+                if len(h) == 0:
+                    continue
+                m = min(SPAN, len(h))
+                grams, kept = np.unique(gram_hashes(h, m)), np.zeros(0, np.uint64)
+                if m == SPAN:
+                    k = gram_hashes(h, K)
+                    kept = np.unique(k[winnow(k)])
+                n = len(grams) + len(kept)
+                length = np.concatenate((np.full(len(grams), m, np.int32), np.zeros(len(kept), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(np.concatenate((grams, kept)).view(np.int64)),
+                                                  pa.array([batch.column(0)[w.lo + r].as_py()] * n, pa.string())], ["m", "gram", "item"])
+
+
+def _document_marks(lengths: list[int]):
+    """(doc_id, text, key) -> (doc_id, key, m, gram, windows): the kept k-grams with the windows that hold them (m is SPAN),
+    and every window of the shorter lengths."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column(1), ALNUM):
+                n = len(w.hash)
+                row = np.repeat(np.arange(w.hi - w.lo), np.diff(w.first))
+                for m in lengths:
+                    if n < m:
+                        continue
+                    inside = row[:n - m + 1] == row[m - 1:]
+                    grams = gram_hashes(w.hash, m)
+                    if m == SPAN:
+                        k = gram_hashes(w.hash, K)
+                        at = winnow(k)
+                        start = at[:, None] - np.arange(W)[None, :]
+                        good = (start >= 0) & (start <= n - m)
+                        good &= inside[np.where(good, start, 0)]
+                        some = good.any(axis=1)
+                        at, start, good = at[some], start[some], good[some]
+                        mark, size, start = k[at], good.sum(axis=1), start[good]
+                    else:
+                        at = start = np.flatnonzero(inside)
+                        mark, size = grams[at], np.ones(len(at), np.int64)
+                    of = row[start]
+                    windows = pa.StructArray.from_arrays([pa.array(start - w.first[of]), pa.array(grams[start].view(np.int64))], ["start", "gram"])
+                    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                    place = pa.array(w.lo + row[at])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(2).take(place), pa.array(np.full(len(at), m, np.int32)),
+                                                      pa.array(mark.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), windows)],
+                                                     ["doc_id", "key", "m", "gram", "windows"])
+    return run
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for w in words(batch.column(1), ALNUM):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), batch.column(2).slice(w.lo, w.hi - w.lo),
+                                              pa.array(np.diff(w.first), pa.int64())], ["doc_id", "key", "n_words"])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``contamination`` of any benchmark, with ``key``: its fingerprints and those of the documents meet in joins.
+
+    Only marks of documents that the benchmark has too are kept, and the windows around these are looked up; texts are
+    never shuffled and nothing of the benchmark reaches the driver but the lengths of short items, nine at the most.
+    """
+    marks = cut(items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_marks, "m int, gram long, item string"))
+    lengths = sorted(r["m"] for r in marks.where("m > 0").select("m").distinct().collect())
+    known = marks.where(F.col("m") < SPAN).select(F.when(F.col("m") == 0, SPAN).otherwise(F.col("m")).alias("m"), "gram").distinct()
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    same = texts.mapInArrow(_document_marks(lengths), "doc_id long, key long, m int, gram long, windows array<struct<start:long,gram:long>>")
+    near = same.join(known, ["m", "gram"], "left_semi").select("doc_id", "key", "m", F.explode("windows").alias("w")).select("doc_id", "key", "m", "w.*").distinct()
+    windows = marks.where("m > 0")
+    spans = near.join(windows.select("m", "gram").distinct(), ["m", "gram"], "left_semi")
+    spans = cut(spans)   # the hits: read for the spans and for the items
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (spans.select("doc_id", "key", "start", (F.col("start") + F.col("m")).alias("end"))
+            .withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+            .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+            .groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    held = (spans.select("doc_id", "key", "m", "gram").distinct().join(windows, ["m", "gram"]).select("doc_id", "key", "item").distinct()
+            .groupBy("doc_id", "key").agg(F.collect_list(F.struct("item")).alias("found"))
+            .select("doc_id", "key", F.array_sort(F.transform("found", lambda x: x["item"])).alias("items")))
+    out = texts.mapInArrow(_count_words, "doc_id long, key long, n_words long").alias("d")
+    for name, part in (("s", runs), ("i", held)):
+        part = part.alias(name)
+        out = out.join(part, F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & (F.col("d.key") == F.col(f"{name}.key")), "left")
+    none = "cast(array() as array<{}>)"
+    return out.select("d.doc_id", "d.n_words", F.coalesce("spans", F.expr(none.format("struct<start:bigint,end:bigint>"))).alias("spans"),
+                      F.coalesce("items", F.expr(none.format("string"))).alias("items"), "d.key")
+
+
 def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES,
                   with_key: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items), one row per row of ``docs``: the word spans (start, end) that occur in the
     benchmark, and the item_ids, as sorted strings, whose windows they hold.
 
     Null texts have no words; items without words are never found; all items without an id
-    are one, a null at the end of the array.  Documents are never shuffled while the benchmark fits one block;
-    beyond that every block of it makes a pass and the passes are merged.
+    are one, a null at the end of the array.  While the benchmark's texts take at most ``block_bytes`` its fingerprints are
+    broadcast and nothing is shuffled; beyond that they are joined.
     ``with_key`` adds ``key``, the hash of the text.
     """
     items = items.select("item_id", "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
-    passes = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        got = part.toArrow()
-        passes.append(_scan(docs, fingerprints(got["item_id"].to_pylist(), got["text"].combine_chunks()), with_key or blocks > 1))
-    if blocks == 1:
-        return passes[0]
-    # equal rows (id and text) meet here; their number is kept
-    merged = union_all(passes).groupBy("doc_id", "key", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.expr(f"cast(count(*) / {blocks} as int)").alias("copies"))
-    cols = ["doc_id", "n_words", "spans", "items", *["key"] * with_key]
-    return merged.select(*cols, F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
+    total = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8), F.lit(0))).first()[0]
+    if total > block_bytes:
+        found = _joined(docs, items)
+        return found if with_key else found.drop("key")
+    got = items.toArrow()
+    return _scan(docs, fingerprints(got["item_id"].to_pylist(), got["text"].combine_chunks()), with_key)
 
 
 def hit_words(found: DataFrame) -> DataFrame:
-    """Add ``n_hit``: words inside any span (spans are sorted; those of several passes may overlap)."""
+    """Add ``n_hit``: words inside any span (spans are sorted)."""
     n = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("end")),
                     lambda a, s: F.struct((a["sum"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))).alias("sum"),
                                           F.greatest(a["end"], s["end"]).alias("end")))
