@@ -401,11 +401,12 @@ def _read_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(spark: SparkSession, paths: Sequence[str], deal) -> DataFrame:
+    most = 4 * spark.sparkContext.defaultParallelism
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    ranges = listed.repartition(max(1, len(paths)), "path").mapInArrow(deal, _PLAN)
+    ranges = listed.repartition(max(1, min(len(paths), most)), "path").mapInArrow(deal, _PLAN)
     checkpoint_root(spark)
     ranges = ranges.checkpoint()
-    n = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism))
+    n = max(1, min(ranges.count(), most))
     return ranges.repartition(n, "path", "sheet_idx", "lo")
 
 
