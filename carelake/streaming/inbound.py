@@ -16,22 +16,19 @@ new item with them.  The stored items are rows of the stream, read once.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from carelake import functions as C
 from carelake.functions.history import HISTORY
 from carelake.operators.conversations import CONV_COLUMNS, HISTORY_KEEP
 from carelake.session import scratch_dir
 from carelake.streaming.common import with_event_clock
+from carelake.streaming.keyed import fold_keys
 
 OUTPUT_SCHEMA = ("msg_id long, phone string, command string, action string, "
                  "reply_count int, opt_out boolean, history_size int")
-STATE_SCHEMA = "opt_out boolean, reply_count int, history string, last_inbound string"
 
 
 def _history(text):
@@ -42,22 +39,19 @@ def _history(text):
         return []
 
 
-def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    phone = key[0]
-    parts = list(pdfs)
-    pdf = (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(["ts", "msg_id", "rec"])
-    if state.exists:
-        opt, count, hist_text, last_in = state.get
-        hist = _history(hist_text)
-    else:
-        first = pdf.iloc[0]
-        opt = bool(first["stored_opt_out"]) if pd.notna(first["stored_opt_out"]) else None
-        count = int(first["stored_reply_count"]) if pd.notna(first["stored_reply_count"]) else None
-        hist = _history(first["stored_history"] if pd.notna(first["stored_history"]) else None)
-        last_in = first["stored_last_inbound"] if pd.notna(first["stored_last_inbound"]) else None
-    ids, cmds, acts, counts, opts, sizes = [], [], [], [], [], []
-    for mid, cmd, body, reply, sent in zip(pdf["msg_id"].tolist(), pdf["command"].tolist(), pdf["body"].tolist(),
-                                           pdf["reply"].tolist(), pdf["sent"].tolist()):
+def _by_arrival(row: dict) -> tuple:
+    return "t" not in row, row.get("t", 0), "msg_id" not in row, row.get("msg_id", 0), "rec" not in row, row.get("rec", 0)
+
+
+def _fold(phone: str, rows: list[dict], state, _watermark, _timed_out) -> tuple[list[tuple], object, None]:
+    rows.sort(key=_by_arrival)
+    if state is None:
+        stored = json.loads(rows[0].get("stored") or "{}")
+        state = [stored.get("opt_out"), stored.get("reply_count"), _history(stored.get("history")), stored.get("last_inbound")]
+    opt, count, hist, last_in = state
+    out = []
+    for r in rows:
+        cmd = r["command"]
         if cmd == "ignore":
             act = "ignore"
         elif cmd == "stop":
@@ -70,20 +64,13 @@ def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
             act = "suppressed"
         else:
             act = "reply"
-            if sent:
-                hist = (hist + [{"role": "user", "content": body},
-                                {"role": "assistant", "content": reply}])[-HISTORY_KEEP:]
+            if r.get("sent"):
+                hist = (hist + [{"role": "user", "content": r["body"]},
+                                {"role": "assistant", "content": r.get("reply")}])[-HISTORY_KEEP:]
                 count = (count or 0) + 1
-                last_in = body
-        ids.append(mid)
-        cmds.append(cmd)
-        acts.append(act)
-        counts.append(count)
-        opts.append(opt)
-        sizes.append(len(hist))
-    state.update((opt, count, json.dumps(hist), last_in))
-    yield pd.DataFrame({"msg_id": ids, "phone": phone, "command": cmds, "action": acts, "reply_count": counts,
-                        "opt_out": opts, "history_size": sizes})
+                last_in = r["body"]
+        out.append((r.get("msg_id"), phone, cmd, act, count, opt, len(hist)))
+    return out, [opt, count, hist, last_in], None
 
 
 def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str | None = None) -> DataFrame:
@@ -95,10 +82,8 @@ def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str | Non
     and ``rec`` within that event time) is handled once, at the price that
     messages later than the delay are dropped by the watermark.  Messages
     without a sender never reach the keyed step."""
-    stored = convs.select(F.col("phone_number").alias("phone"), F.col("opt_out").alias("stored_opt_out"),
-                          F.col("reply_count").alias("stored_reply_count"),
-                          F.col("conversation_history").alias("stored_history"),
-                          F.col("last_inbound_message").alias("stored_last_inbound"))
+    stored = convs.select(F.col("phone_number").alias("phone"), F.to_json(F.struct(
+        "opt_out", "reply_count", F.col("conversation_history").alias("history"), F.col("last_inbound_message").alias("last_inbound"))).alias("stored"))
     inbound = inbound.withColumn("rec", F.col("rec") if "rec" in inbound.columns else F.lit(1))
     if dedupe_delay:
         inbound = (inbound.withColumn("_event_time", F.col("ts").cast("timestamp"))   # watermarks need TIMESTAMP
@@ -110,24 +95,17 @@ def inbound_stream(inbound: DataFrame, convs: DataFrame, dedupe_delay: str | Non
     blank = staged.where(F.col("phone") == "").select(
         "msg_id", "phone", "command", F.lit("ignore").alias("action"), F.lit(None).cast("int").alias("reply_count"),
         F.lit(None).cast("boolean").alias("opt_out"), F.lit(0).alias("history_size"))
-    known = (staged.where(F.col("phone") != "").join(stored, on="phone", how="left").groupBy("phone")
-             .applyInPandasWithState(_fold, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    timed = staged.where(F.col("phone") != "").join(stored, on="phone", how="left").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    known = fold_keys(timed.select("phone", "t", "msg_id", "rec", "command", "body", "reply", "sent", "stored"), "phone", _fold, OUTPUT_SCHEMA)
     return known.unionByName(blank)
 
 
 # ------------------------------------------------------------- event time --
 _ITEM_TEXTS = ("patient_name", "amount_due", "message_type", "last_outbound_message", "last_message_id")
-_ROW = "t long, timed boolean, msg_id long, has_id boolean, rec int, command string, body string, reply string, sent boolean"
 _OUTCOME = "action string, reply_count int, opt_out boolean, history_size int"
-LATE_STATE = ("seeded boolean, touched boolean, revision long, opt_out boolean, reply_count int, replied boolean, last_inbound string, "
-              "history_text string, history array<struct<role:string,content:string>>, " + ", ".join(f"{c} string" for c in _ITEM_TEXTS)
-              + f", recent array<struct<{', '.join(':'.join(f.split()) for f in (_ROW + ', ' + _OUTCOME).split(', '))}>>")
 CHANGES = ("kind string, phone string, revision long, msg_id long, rec int, command string, " + _OUTCOME
            + ", last_inbound_message string, history_text string, history array<struct<role:string,content:string>>, "
            + ", ".join(f"{c} string" for c in _ITEM_TEXTS))
-_STATE_FIELDS = [f.split()[0] for f in LATE_STATE.split(", recent ")[0].split(", ") if not f.startswith("history array")]
-_CHANGE_FIELDS = ["kind", "phone", "revision", "msg_id", "rec", "command", "action", "reply_count", "opt_out", "history_size",
-                  "last_inbound_message", "history_text", "history", *_ITEM_TEXTS]
 
 
 class _Item:
@@ -159,68 +137,57 @@ def _in_order(row: tuple) -> tuple:
     return row[1], row[0], row[3], row[2], row[4]   # rows without a time, then without an id, come first
 
 
-def _seeded(item: _Item, seed) -> _Item:
+def _seeded(item: _Item, seed: dict) -> _Item:
     """The item with the stored one before it."""
-    stored = [(m["role"], m["content"]) for m in (seed.history if seed.history is not None else [])]
-    count = None if seed.reply_count < 0 else int(seed.reply_count)
+    stored = [(m.get("role"), m.get("content")) for m in seed.get("history", ())]
+    count = None if seed["reply_count"] < 0 else seed["reply_count"]
     if item.reply_count is not None:
         count = (count or 0) + item.reply_count
-    opt = bool(seed.opt_out) if seed.has_opt_out else None
+    opt = seed["opt_out"] if seed["has_opt_out"] else None
     return _Item(opt if item.opt_out is None else item.opt_out, count, (stored + item.history)[-HISTORY_KEEP:],
-                 item.last_inbound if item.replied else seed.last_inbound, item.replied, item.touched)
-
-
-def _text(v):
-    return v if isinstance(v, str) else None
+                 item.last_inbound if item.replied else seed.get("last_inbound"), item.replied, item.touched)
 
 
-def _fold_in_event_time(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    known = state.get if state.exists else None
-    s = dict(zip([*_STATE_FIELDS[:8], "history", *_STATE_FIELDS[8:], "recent"], known)) if known else dict.fromkeys(_STATE_FIELDS)
-    item = _Item(s["opt_out"], s["reply_count"], [tuple(m) for m in s.get("history") or []], s["last_inbound"], bool(s["replied"]), bool(s["touched"]))
-    watermark = state.getCurrentWatermarkMs() * 1000
+def _fold_in_event_time(phone: str, news: list[dict], state, watermark_ms: int, _timed_out: bool) -> tuple[list[tuple], object, int | None]:
+    s = state or {}
+    item = _Item(s.get("opt_out"), s.get("reply_count"), [tuple(m) for m in s.get("history", ())], s.get("last_inbound"),
+                 s.get("replied", False), s.get("touched", False))
+    seeded, texts = s.get("seeded", False), s.get("texts", {})
+    watermark = watermark_ms * 1000
     rows, new = [], False
-    for r in s.get("recent") or []:   # in order
-        if r[0] < watermark:
-            item.take(tuple(r)[:9])   # nothing older is waited for: the item takes it in
+    for row, outcome in s.get("recent", ()):   # in order
+        if row[0] < watermark:
+            item.take(row)   # nothing older is waited for: the item takes it in
         else:
-            rows.append((tuple(r)[:9], tuple(r)[9:]))
-    for pdf in (() if state.hasTimedOut else pdfs):
-        for r in pdf.itertuples(index=False):
-            if r.kind == "seed":
-                if not s["seeded"]:   # a restarted stream may read the stored items again
-                    item = _seeded(item, r)
-                    s |= {c: _text(getattr(r, c)) for c in (*_ITEM_TEXTS, "history_text")} | {"seeded": True}
-                    new = new or bool(rows)
-                continue
-            new = True
-            rows.append(((int(r.t), bool(r.timed), int(r.msg_id), bool(r.has_id), int(r.rec), r.command, r.body, _text(r.reply), bool(r.sent)), None))
+            rows.append((tuple(row), tuple(outcome)))
+    for r in news:
+        if r["kind"] == "seed":
+            if not seeded:   # a restarted stream may read the stored items again
+                item = _seeded(item, r)
+                seeded, texts = True, {c: r[c] for c in (*_ITEM_TEXTS, "history_text") if c in r}
+                new = new or bool(rows)
+            continue
+        new = True
+        rows.append(((r["t"], r["timed"], r["msg_id"], r["has_id"], r["rec"], r["command"], r["body"], r.get("reply"), r["sent"]), None))
     rows.sort(key=lambda x: _in_order(x[0]))
-    revision = (s["revision"] or 0) + 1
+    revision = s.get("revision", 0) + 1
     out, recent, now = [], [], item.copy()
     for row, before in rows:
         outcome = now.take(row)
         if outcome != before:
-            out.append(("message", key[0], revision, row[2] if row[3] else None, row[4], row[5], *outcome, None, None, None, *[None] * len(_ITEM_TEXTS)))
+            out.append(("message", phone, revision, row[2] if row[3] else None, row[4], row[5], *outcome, None, None, None, *[None] * len(_ITEM_TEXTS)))
         if not row[1] or row[0] < watermark:
             item = now.copy()
         else:
-            recent.append((*row, *outcome))
-    if new and (now.touched or s["seeded"]):
-        text = None if now.replied else s["history_text"]
+            recent.append((row, outcome))
+    if new and (now.touched or seeded):
+        text = None if now.replied else texts.get("history_text")
         history = [dict(zip(("role", "content"), m)) for m in now.history] if now.replied else None
-        out.append(("item", key[0], revision, None, None, None, None, now.reply_count, now.opt_out, None, now.last_inbound, text, history,
-                    *[s[c] for c in _ITEM_TEXTS]))
-    state.update((bool(s["seeded"]), item.touched, revision, item.opt_out, item.reply_count, item.replied, item.last_inbound, s["history_text"],
-                  item.history, *[s[c] for c in _ITEM_TEXTS], recent))
-    if recent:
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), recent[0][0] // 1000) + 1)
-    if out:
-        pdf = pd.DataFrame(out, columns=_CHANGE_FIELDS)
-        for c in ("reply_count", "history_size", "msg_id", "rec"):
-            pdf[c] = pdf[c].astype("Int64")
-        pdf["opt_out"] = pdf["opt_out"].astype("boolean")
-        yield pdf
+        out.append(("item", phone, revision, None, None, None, None, now.reply_count, now.opt_out, None, now.last_inbound, text, history,
+                    *[texts.get(c) for c in _ITEM_TEXTS]))
+    after = {"seeded": seeded, "touched": item.touched, "revision": revision, "opt_out": item.opt_out, "reply_count": item.reply_count,
+             "replied": item.replied, "last_inbound": item.last_inbound, "history": item.history, "texts": texts, "recent": recent}
+    return out, after, max(watermark_ms, recent[0][0][0] // 1000) + 1 if recent else None
 
 
 def inbound_changes(inbound: DataFrame, convs: DataFrame, lateness: str = "7 days") -> DataFrame:
@@ -261,7 +228,7 @@ def inbound_changes(inbound: DataFrame, convs: DataFrame, lateness: str = "7 day
     both = both.withColumns({"timed": F.col("ts").isNotNull(), "t": F.coalesce(F.unix_micros("ts"), F.lit(0))})
     both = both.fillna({"msg_id": 0, "has_id": False, "rec": 1, "sent": False, "reply_count": -1, "has_opt_out": False, "opt_out": False})
     both = with_event_clock(both, "ts", lateness).drop("ts")
-    known = both.groupBy("phone").applyInPandasWithState(_fold_in_event_time, CHANGES, LATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    known = fold_keys(both, "phone", _fold_in_event_time, CHANGES, "_arrived")
     return known.unionByName(blank, allowMissingColumns=True)
 
 
