@@ -14,18 +14,16 @@ The timer then drops what has been idle for ``grace_s`` seconds of event time.""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from carelake.functions.text import normalize_email
 from carelake.streaming.common import with_event_clock
+from carelake.streaming.keyed import fold_keys
 
 OUTPUT_SCHEMA = "attempt_id long, email string, attempt_s long, issue_id long, user_sub string, status string"
-STATE_SCHEMA = "issue_id long, code_hash string, expiry_s long, user_sub string, consumed boolean"
 
 
 def login_events(issues: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -39,46 +37,24 @@ def login_events(issues: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def _make_fold(grace_s: int):
-    def fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        email = key[0]
-        cur = state.get if state.exists else None
+    def fold(email: str, rows: list[dict], cur, _watermark_ms, timed_out: bool) -> tuple[list[tuple], object, int | None]:
+        if timed_out:
+            return [], None, None
         out = []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "kind", "id"])
-        for r in pdf.itertuples(index=False):
-            if r.kind == 0:
-                cur = (int(r.id), r.code_hash, int(r.expiry_s), r.user_sub, False)
-                continue
-            if cur is None:
-                out.append((int(r.id), email, int(r.t), None, None, "no_session"))
-                continue
-            iid, code, exp, sub, consumed = cur
-            if consumed:
-                status = "no_session"
-            elif r.t > exp:
-                status, consumed = "expired", True
-            elif r.code_hash != code:
-                status = "incorrect"
-            else:
-                status, consumed = "success", True
-            cur = (iid, code, exp, sub, consumed)
-            out.append((int(r.id), email, int(r.t), iid, sub, status))
-        if cur is not None:
-            state.update(cur)
-            state.setTimeoutTimestamp(int(pdf["_arrived"].max().timestamp() * 1000) + grace_s * 1000)
-        yield pd.DataFrame(out, columns=["attempt_id", "email", "attempt_s", "issue_id", "user_sub", "status"])
+        rows.sort(key=lambda r: ("t" not in r, r.get("t", 0), r["kind"], r["id"]))
+        for r in rows:
+            cur, decided = _decide(cur, _event(r))
+            if r["kind"] == 1:
+                out.append((r["id"], email, r["t"], *decided))
+        return out, cur, max(r["arrived_ms"] for r in rows) + grace_s * 1000
     return fold
 
 
-_EVENT = "t long, kind int, id long, code_hash string, expiry_s long, user_sub string"
-_DECIDED = "issue_id long, sub string, status string"
-LATE_STATE = (STATE_SCHEMA + ", last_t long, revision long, recent array<struct<"
-              + ",".join(":".join(f.split()) for f in f"{_EVENT}, {_DECIDED}".split(", ")) + ">>")
+def _event(r: dict) -> tuple:
+    return r["t"], r["kind"], r["id"], r.get("code_hash"), r.get("expiry_s"), r.get("user_sub")
 
 
-def _decide(code: tuple | None, e: tuple) -> tuple[tuple | None, tuple]:
+def _decide(code: Sequence | None, e: Sequence) -> tuple[Sequence | None, tuple]:
     """(code in force after the event, (issue_id, user_sub, status) of an attempt)."""
     t, kind, id_, code_hash, expiry_s, user_sub = e
     if kind == 0:
@@ -91,42 +67,31 @@ def _decide(code: tuple | None, e: tuple) -> tuple[tuple | None, tuple]:
 
 
 def _make_event_time_fold(grace_s: int):
-    def fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        watermark_ms = state.getCurrentWatermarkMs()
-        known = tuple(state.get) if state.exists else None
-        sealed = known[:5] if known and known[0] is not None else None
-        last_t, revision, recent = known[5:] if known else (None, 0, [])
+    def fold(email: str, rows: list[dict], known, watermark_ms: int, timed_out: bool) -> tuple[list[tuple], object, int | None]:
+        sealed, last_t, revision, seen = known or (None, None, 0, ())
         events = []
-        for r in recent:   # in order
-            if r[0] * 1000 < watermark_ms:
-                sealed = _decide(sealed, tuple(r)[:6])[0]   # nothing older is waited for
+        for e, decided in seen:   # in order
+            if e[0] * 1000 < watermark_ms:
+                sealed = _decide(sealed, e)[0]   # nothing older is waited for
             else:
-                events.append((tuple(r)[:6], tuple(r)[6:]))
-        for pdf in (() if state.hasTimedOut else pdfs):
-            for r in pdf.itertuples(index=False):
-                e = (int(r.t), int(r.kind), int(r.id), r.code_hash, int(r.expiry_s), r.user_sub)
-                events.append((e, None))
-                last_t = e[0] if last_t is None else max(last_t, e[0])
-        if state.hasTimedOut and watermark_ms > (last_t + grace_s) * 1000:
-            state.remove()
-            return
+                events.append((tuple(e), tuple(decided)))
+        for e in map(_event, rows):
+            events.append((e, None))
+            last_t = e[0] if last_t is None else max(last_t, e[0])
+        if timed_out and watermark_ms > (last_t + grace_s) * 1000:
+            return [], None, None
         events.sort(key=lambda x: x[0][:3])
         out, recent, now = [], [], sealed
         for e, before in events:
             now, decided = _decide(now, e)
             if e[1] == 1 and decided != before:
-                out.append((e[2], key[0], e[0], *decided, revision + 1))
+                out.append((e[2], email, e[0], *decided, revision + 1))
             if e[0] * 1000 < watermark_ms:
                 sealed = now
             else:
-                recent.append((*e, *decided))
-        state.update((*(sealed or (None,) * 5), last_t, revision + 1, recent))
-        due = recent[0][0] if recent else last_t + grace_s
-        state.setTimeoutTimestamp(max(watermark_ms, due * 1000) + 1)
-        if out:
-            pdf = pd.DataFrame(out, columns=["attempt_id", "email", "attempt_s", "issue_id", "user_sub", "status", "revision"])
-            pdf["issue_id"] = pdf["issue_id"].astype("Int64")
-            yield pdf
+                recent.append((e, decided))
+        due = recent[0][0][0] if recent else last_t + grace_s
+        return out, (sealed, last_t, revision + 1, recent), max(watermark_ms, due * 1000) + 1
     return fold
 
 
@@ -146,9 +111,8 @@ def login_stream(events: DataFrame, attempts: DataFrame | None = None, grace_s:
     if lateness is not None:
         timed = events.where(~blank | ((F.col("kind") == 0) & (F.col("email") != ""))).fillna({"expiry_s": 0})
         timed = with_event_clock(timed, "event_time", lateness).drop("event_time")
-        late = timed.groupBy("email").applyInPandasWithState(_make_event_time_fold(grace_s), OUTPUT_SCHEMA + ", revision long", LATE_STATE, "append",
-                                                             GroupStateTimeout.EventTimeTimeout)
+        late = fold_keys(timed, "email", _make_event_time_fold(grace_s), OUTPUT_SCHEMA + ", revision long", "_arrived")
         return late.unionByName(bad.withColumn("revision", F.lit(1).cast("long")))
-    known = (events.where(~blank | ((F.col("kind") == 0) & (F.col("email") != ""))).groupBy("email")
-             .applyInPandasWithState(_make_fold(grace_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    coded = events.where(~blank | ((F.col("kind") == 0) & (F.col("email") != ""))).withColumn("arrived_ms", F.unix_millis("_arrived"))
+    known = fold_keys(coded.drop("event_time"), "email", _make_fold(grace_s), OUTPUT_SCHEMA, "_arrived")
     return known.unionByName(bad)
