@@ -31,3 +31,25 @@ def test_small_files_share_tasks(spark, tmp_path):
     df = read_text_docs(spark, str(tmp_path))
     assert df.rdd.getNumPartitions() <= 16   # with Spark's own cost of opening a file: 32
     assert sorted(int(r.text) for r in df.collect()) == list(range(1000))
+
+
+def test_folders_of_many_small_files_are_written_by_several_tasks(spark, tmp_path):
+    """Few bytes, but a folder a file: the rows of a version aren't left to one task."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from carelake.sinks.versions import write_version
+    name = F.concat(F.lit("f"), (F.col("id") % 64).cast("string"))
+    rows = spark.range(8000).select(F.sha2(F.col("id").cast("string"), 256).alias("v"), F.lit("u").alias("user_id"), F.lit("2026").alias("year"),
+                                      F.lit("06").alias("month"), name.alias("_filename"))
+    assert write_version(rows, str(tmp_path), "v1") == 8000
+    parts = {re.match(r"part-(\d+)", p.name)[1] for p in tmp_path.rglob("part-*")}
+    assert len(parts) > 1
+
+
+def test_documents_and_workbooks_are_built_without_a_frame_a_group(spark):
+    from carelake.plans import q_sources as Q
+    for files in (Q._docx_files(spark, "/root/testdata/sf0.001"), Q._xlsx_files(spark, "/root/testdata/sf0.001")):
+        plan = files._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
