@@ -84,6 +84,15 @@ class Batch:
     def key(self, path, encoded: bool = False):
         return _key(path, self.upload_root, encoded)
 
+    def placed(self, rows: DataFrame, encoded: bool = False) -> DataFrame:
+        """Rows with their file's key in place of its path (``_source_key``), and the key's parts.  The key is derived once a
+        file, not once a row; the driver gets the batch's paths."""
+        files = rows.select("_source_key").distinct().withColumn("_key", self.key(F.col("_source_key"), encoded))
+        files = files.select("_source_key", F.struct(F.col("_key").alias("key"), *[c.alias(n) for n, c in key_parts(F.col("_key")).items()]).alias("_filename"))
+        joined = rows.join(F.broadcast(self.spark.createDataFrame(files.toArrow())), "_source_key")
+        return joined.select(*[F.col("_filename.key").alias(c) if c == "_source_key" else named(c) for c in rows.columns],
+                             *[F.col(f"_filename.{c}").alias(c) for c in FILE_PARTITIONS])
+
     def write(self, rows: DataFrame, root: str, paths: list[str], long: DataFrame | None = None) -> None:
         """``rows`` of the files ``paths`` below ``root`` of the lake; ``long``: the same in the ``uploads`` form.
         Files without rows leave no folder."""
@@ -98,14 +107,14 @@ class Batch:
         """Header and inferred types; the files of a header signature are read once, and their types, lake rows and
         ``uploads`` rows all come from that read."""
         for sig, group in csv_header_groups(self.spark, paths).items():
-            keep = {"_source_key": self.key(F.col("_metadata.file_path"), encoded=True)}
+            keep = {"_source_key": F.col("_metadata.file_path")}
             if self.uploads_root:
                 keep |= {"_modified": F.col("_metadata.file_modification_time"), **scan_position()}
             with read_csv_once(self.spark, group, keep, [*FILE_PARTITIONS, "_modified", "_blk", "_mid"]) as (df, names):
                 # One root per (header, inferred types): a later batch that infers other
                 # types for the same header never mixes conflicting Parquet files.
                 types = hashlib.sha256(df.select(*[named(n) for n in names]).schema.simpleString().encode()).hexdigest()[:8]
-                df = df.withColumns(key_parts(F.col("_source_key")))
+                df = self.placed(df, encoded=True)
                 long = to_uploads(df, uploaded_at=F.col("_modified")) if self.uploads_root else None
                 self.write(df.drop("_modified", "_blk", "_mid"), f"csv/sig={sig}/types={types}", group, long)
 
@@ -118,8 +127,7 @@ class Batch:
             for g in groups:
                 own = [named(n) for n in g.names]
                 types = signature([f.dataType.simpleString() for f in g.rows.select(*own).schema])[:8]
-                rows = g.rows.withColumn("_source_key", self.key(F.col("_path")))
-                rows = rows.withColumns(key_parts(F.col("_source_key")))
+                rows = self.placed(g.rows.withColumn("_source_key", F.col("_path")))
                 long = _long(rows, F.col("_row"), F.to_json(F.struct(*own)))
                 self.write(rows.drop("_path", "_row"), f"xlsx/sig={signature(g.names)}/types={types}", g.paths, long)
 
