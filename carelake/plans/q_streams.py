@@ -5,8 +5,10 @@ SQL."""
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from carelake import functions as C
@@ -185,19 +187,28 @@ def q_ingest_every_upload(spark, sf):
     """Orders as one CSV per user, month and million of keys, two thirds of them under names that Spark's readers skip, and a
     file without bytes per user and year: the ingest stream and the backfill convert the same files into the same rows."""
     root = scratch_dir(spark, "every-upload")
-    o = _orders_keyed(spark, sf).withColumn("b", F.expr("o_orderkey div 1000000"))
-    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_totalprice")
-    folder = F.concat(F.lit(f"{root}/uploads/user_id="), "user_id", F.lit("/year="), "year")
-    month = F.col("month").cast("int") % 3
-    name = (F.when(month == 0, F.format_string("_%d_.csv", "b")).when(month == 1, F.format_string(".%d.CSV", "b"))
+    # Rows are grouped by numbers and dates; the texts of names and folders are made once a file.
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_custkey") % 4).alias("u"),
+                                          F.trunc("o_orderdate", "month").alias("since"), F.expr("o_orderkey div 1000000").alias("b"))
+    user, year, month = F.concat(F.lit("u"), F.col("u").cast("string")), F.date_format("since", "yyyy"), F.date_format("since", "MM")
+    folder = F.concat(F.lit(f"{root}/uploads/user_id="), user, F.lit("/year="), year)
+    third = month.cast("int") % 3
+    name = (F.when(third == 0, F.format_string("_%d_.csv", "b")).when(third == 1, F.format_string(".%d.CSV", "b"))
             .otherwise(F.format_string("o %d.csv", "b")))
-    lines = o.withColumn("line", line).groupBy("user_id", "year", "month", "b").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY o_orderkey)").alias("text"))
-    files = lines.select(F.concat(folder, F.lit("/month="), "month", F.lit("/"), name).alias("path"),
+    lines = (o.withColumn("line", F.concat_ws(",", "o_orderkey", "o_custkey", "o_totalprice")).groupBy("u", "since", "b")
+             .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY o_orderkey)").alias("text")))
+    files = lines.select(F.concat(folder, F.lit("/month="), month, F.lit("/"), name).alias("path"),
                          F.concat(F.lit("o_orderkey,o_custkey,o_totalprice\n"), "text", F.lit("\n")).cast("binary").alias("content"))
-    void = o.select(F.concat(folder, F.lit("/month=01/_void_.csv")).alias("path"), F.lit(b"").alias("content")).distinct()
+    years = o.select("u", F.trunc("since", "year").alias("since")).distinct()
+    void = years.select(F.concat(folder, F.lit("/month=01/_void_.csv")).alias("path"), F.lit(b"").alias("content"))
     put_files(files.unionByName(void))
-    ingest_stream(spark, f"{root}/uploads", f"{root}/stream", f"{root}/ckpt")
-    backfill(spark, f"{root}/uploads", f"{root}/backfill")
+    # Two lakes of their own: one fills the cores that the other's listings, commits and last tasks leave free.
+    side = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(2) as pool:
+        both = [pool.submit(side(ingest_stream), spark, f"{root}/uploads", f"{root}/stream", f"{root}/ckpt"),
+                pool.submit(side(backfill), spark, f"{root}/uploads", f"{root}/backfill")]
+    for one in both:
+        one.result()
     out = []
     for by in ("stream", "backfill"):
         rows = read_current(spark, f"{root}/{by}", "csv").groupBy(F.col("_source_key").alias("key")).agg(

@@ -27,6 +27,7 @@ MAX_FILES_PER_TRIGGER = 1000
 CHUNKS_AT_ONCE = 4     # chunks of a batch that are converted side by side
 STAGED = "hidden-uploads"
 HEADER_PIECE = 1 << 16
+HEADERS_A_TASK = 64    # files whose headers one task reads
 #: what Spark's CSV reader trims from a line to see whether it is blank (fixed values)
 BLANK = bytes(range(0x21))
 
@@ -67,7 +68,7 @@ def csv_header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[s
     of each file, up to its header; a file without any text is in no group."""
     groups: dict[str, list[str]] = {}
     if paths:
-        rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 64), "path")
+        rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(-(-len(paths) // HEADERS_A_TASK))
         for r in rows.mapInArrow(_signatures, "path string, sig string").collect():
             if r.sig is not None:
                 groups.setdefault(r.sig, []).append(r.path)
